@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ def chunk_array(data: np.ndarray, starts: np.ndarray) -> pa.StringArray:
 def joined_back(lists: list[list[int]], index: np.ndarray, dtype: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
     """The lists named by index, one after another, and where each begins (with the end)."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for ids in lists for x in ids), dtype, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(lists), dtype, int(sizes.sum()))
     begin = np.concatenate(([0], np.cumsum(sizes)))
     sizes = sizes[index]
     ends = np.concatenate(([0], np.cumsum(sizes)))

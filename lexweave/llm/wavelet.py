@@ -5,7 +5,7 @@ documents' ids and ends. After loading, rank directories give random access, cou
 k-th occurrence, all from that one file.
 
 File format (little-endian): b"LXWM", unsigned 32-bit length of the header, header (JSON), then the parts that the header
-lists in order with their byte lengths: doc ids (int64), doc id nulls (packed bits), ends (uint64), planes from the top bit
+lists in order with their byte lengths: doc ids (int64), doc id nulls (packed bits), ends (uint64), alphabet (uint32), planes from the top bit
 (packed bits). Every part is a zstandard frame.
 """
 
@@ -33,24 +33,28 @@ WORD = 64
 
 
 class WaveletMatrix:
-    """Rank and select over a sequence of unsigned integers, kept as one packed bit plane for each bit."""
+    """Rank and select over a sequence of unsigned integers, kept as one packed bit plane for each bit of their ranks in the
+    alphabet, which holds the distinct integers in ascending order."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
+    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], alphabet: np.ndarray):
+        self.n, self.planes, self.zeros, self.alphabet = n, planes, zeros, alphabet
         self.words: list[np.ndarray] | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> WaveletMatrix:
-        top = max(1, int(values.max()).bit_length()) if len(values) else 1
-        row = values.astype(np.uint16 if top <= 16 else np.uint32)
+        there = np.bincount(values) > 0 if len(values) else np.zeros(0, bool)
+        alphabet = np.flatnonzero(there)
+        top = max(1, (len(alphabet) - 1).bit_length()) if len(alphabet) else 1
+        kind = np.uint16 if top <= 16 else np.uint32
+        row = (np.cumsum(there) - 1).astype(kind)[values] if len(values) else np.zeros(0, kind)
         planes, zeros = [], []
         for bit in range(top - 1, -1, -1):
-            one = (row >> row.dtype.type(bit) & row.dtype.type(1)).view(np.uint8 if row.dtype.itemsize == 1 else row.dtype).astype(bool)
+            one = (row & row.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(one, bitorder="little"))
             low = row[~one]
             zeros.append(len(low))
             row = np.concatenate((low, row[one]))
-        return cls(len(values), planes, zeros)
+        return cls(len(values), planes, zeros, alphabet)
 
     def decode_all(self) -> np.ndarray:
         """The whole sequence: each plane's stable split is undone from the lowest bit up."""
@@ -61,7 +65,7 @@ class WaveletMatrix:
             up[~one] = row[: self.zeros[level]]
             up[one] = row[self.zeros[level] :] | row.dtype.type(1 << (len(self.planes) - 1 - level))
             row = up
-        return row
+        return self.alphabet.astype(np.uint32)[row] if self.n else np.zeros(0, np.uint32)
 
     def _directories(self) -> None:
         if self.words is None:
@@ -86,11 +90,16 @@ class WaveletMatrix:
             bit = self._rank1(level, i + 1) - ones
             value = value << 1 | bit
             i = zeros + ones if bit else i - ones
-        return value
+        return int(self.alphabet[value])
+
+    def _rank_of(self, value: int) -> int:
+        at = int(np.searchsorted(self.alphabet, value))
+        return at if at < len(self.alphabet) and self.alphabet[at] == value else -1
 
     def _span(self, value: int, a: int, b: int) -> tuple[int, int]:
         self._directories()
-        if value >> len(self.planes) or value < 0:
+        value = self._rank_of(value)
+        if value < 0:
             return 0, 0
         for level, zeros in enumerate(self.zeros):
             ones_a, ones_b = self._rank1(level, a), self._rank1(level, b)
@@ -110,7 +119,7 @@ class WaveletMatrix:
         lo, hi = self._span(value, 0, self.n)
         if k < 0 or k >= hi - lo:
             return -1
-        at = lo + k
+        at, value = lo + k, self._rank_of(value)
         for level in range(len(self.planes) - 1, -1, -1):
             bit = value >> (len(self.planes) - 1 - level) & 1
             at = self._select_bit(level, bit, at - self.zeros[level] if bit else at)
@@ -133,7 +142,7 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, level: in
 
     matrix = WaveletMatrix.build(ids)
     none = np.array([x is None for x in doc_ids], bool)
-    parts = [np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(), np.packbits(none).tobytes(), ends.astype("<u8").tobytes(), *(p.tobytes() for p in matrix.planes)]
+    parts = [np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(), np.packbits(none).tobytes(), ends.astype("<u8").tobytes(), matrix.alphabet.astype("<u4").tobytes(), *(p.tobytes() for p in matrix.planes)]
     packer = zstandard.ZstdCompressor(level=level)
     frames = [packer.compress(p) for p in parts]
     header = json.dumps({"n": matrix.n, "docs": len(doc_ids), "zeros": matrix.zeros, "parts": [len(f) for f in frames]}).encode()
@@ -154,70 +163,110 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
         at += length
     none = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=header["docs"])
     doc_ids = [None if gone else x for x, gone in zip(np.frombuffer(parts[0], "<i8").tolist(), none.tolist(), strict=True)]
-    planes = [np.frombuffer(p, np.uint8) for p in parts[3:]]
-    return WaveletMatrix(header["n"], planes, header["zeros"]), doc_ids, np.frombuffer(parts[2], "<u8").astype(np.int64)
+    planes = [np.frombuffer(p, np.uint8) for p in parts[4:]]
+    return WaveletMatrix(header["n"], planes, header["zeros"], np.frombuffer(parts[3], "<u4")), doc_ids, np.frombuffer(parts[2], "<u8").astype(np.int64)
+
+
+#: Kinds of bytes: 1 ASCII white space as the splitter sees it, 2 ASCII letters.
+_KINDS = np.array([1 if b == 0x20 or 0x09 <= b <= 0x0D or 0x1C <= b <= 0x1F else 2 if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A else 0 for b in range(256)], np.uint8)
+#: First bytes of the white space beyond ASCII in UTF-8 (U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000). Fixed values of Unicode.
+_WIDE = ((b"\xc2", (b"\x85", b"\xa0")), (b"\xe1", (b"\x9a",)), (b"\xe2", (b"\x80", b"\x81")), (b"\xe3", (b"\x80",)))
 
 
-#: White space as the byte-level splitter sees it beyond ASCII. Fixed values of Unicode.
-WIDE_SPACE = "[\u0085   -     　]"
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one of those from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(0x100) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(others)}
 
 
 class ByteEncoder:
-    """Texts to ids of a byte-level BPE file. Its splitter never joins white space to what stands before, and
-    ends a run of letters before anything else, so a text is cut before each run of white space and behind each run of ASCII
-    letters, and each distinct piece of a slice is encoded once. Texts with
-    white space beyond ASCII or with a special token's string are encoded whole."""
+    """Texts to ids of a byte-level BPE file. Its splitter never joins white space to what stands before, and ends a run of
+    letters before anything else, so a text is cut before each run of white space and behind each run of Latin letters, and each
+    distinct piece of a slice is encoded once. A piece that is one word goes straight to the library's BPE model, any other
+    through the whole tokenizer. Texts with white space beyond ASCII or with a special token's string are encoded whole."""
 
-    def __init__(self, tokenizer_path: str, special_strings_as_text: bool = False):
+    def __init__(self, tokenizer_path: str, special_strings_as_text: bool = False, known_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = special_strings_as_text
         self.known: dict[str, list[int]] = {}
+        self.known_words = known_words
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = json.loads(self.tokenizer.to_str())
-        self.by_chunk = (kind.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and kind["normalizer"] is None and not kind["pre_tokenizer"].get("add_prefix_space")
+        split = kind.get("pre_tokenizer") or {}
+        self.by_chunk = split.get("type") == "ByteLevel" and kind["normalizer"] is None and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.letters = byte_letters()
+        self.space = chr(self.letters[0x20])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # one call for each: the library's own threads would take the cores of other tasks
+        return [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def of_word(self, word: str) -> list[int]:
+        body = word[1:] if word[0] == " " else word
+        if not body.isalpha():
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        told = (self.space + body if word[0] == " " else word) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(told)]
 
     def of_words(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > 400_000:  # a bounded memory of words; what falls out is encoded again
-            self.known, new = {}, words
-        found = dict(zip(new, self.encode(new), strict=True))
-        self.known |= {w: x for w, x in found.items() if len(w) <= 24}
-        return [found[w] if w in found else self.known[w] for w in words]
+        known, out = self.known, []
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                ids = self.of_word(w)
+                if len(w) <= 16:
+                    known[w] = ids
+            out.append(ids)
+        if len(known) > self.known_words:  # a bounded memory of words; what falls out is encoded again
+            known.clear()
+        return out
+
+    def _whole(self, texts: pa.StringArray, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        whole = np.zeros(len(texts), bool)
+        raw = data.tobytes()
+        for lead, seconds in _WIDE:
+            if lead in raw:
+                at = np.flatnonzero(data[:-1] == lead[0])
+                at = at[np.isin(data[at + 1], [x[0] for x in seconds])]
+                whole[np.searchsorted(rows, at, side="right") - 1] = True
+        for special in self.special:
+            if special.encode() in raw:
+                whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        return whole
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        whole = pc.match_substring_regex(texts, WIDE_SPACE).to_numpy(zero_copy_only=False) if self.by_chunk else np.ones(len(texts), bool)
-        for special in self.special:
-            whole = whole | pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
-        if whole.any():
-            lists = np.empty(len(texts), object)
-            lists[np.flatnonzero(whole)] = pa.array([None] * int(whole.sum())).to_pylist()
-            for i, x in zip(np.flatnonzero(whole).tolist(), self.encode(texts.filter(pa.array(whole)).to_pylist()), strict=True):
-                lists[i] = x
-            flat, ends = self.chunked(texts.filter(pa.array(~whole)))
-            for k, i in enumerate(np.flatnonzero(~whole).tolist()):
-                lists[i] = flat[ends[k] : ends[k + 1]].tolist()
-            return joined_back(list(lists), np.arange(len(texts)))
-        return self.chunked(texts)
-
-    def chunked(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts and where each text begins (with the end)."""
         data, rows = text_buffers(texts)
+        whole = self._whole(texts, data, rows) if self.by_chunk else np.ones(len(texts), bool)
+        if not whole.any():
+            return self.chunked(data, rows)
+        lists: list = [None] * len(texts)
+        for i, x in zip(np.flatnonzero(whole).tolist(), self.encode(texts.filter(pa.array(whole)).to_pylist()), strict=True):
+            lists[i] = x
+        flat, ends = self.chunked(*text_buffers(pa.concat_arrays([texts.filter(pa.array(~whole))])))
+        for k, i in enumerate(np.flatnonzero(~whole).tolist()):
+            lists[i] = flat[ends[k] : ends[k + 1]].tolist()
+        return joined_back(lists, np.arange(len(texts)))
+
+    def chunked(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D)) | ((data >= 0x1C) & (data <= 0x1F))
+            return np.zeros(0, np.uint32), np.zeros(len(rows), np.int64)
+        kinds = _KINDS[data]
+        space, letter = kinds == 1, kinds == 2
         begins = space.copy()
         begins[1:] &= ~space[:-1]
-        letter = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
-        begins[1:] |= letter[:-1] & ~letter[1:] & (data[1:] < 0x80)
+        # the accented Latin letters end a run of letters as well; beside them stand two signs
+        last = letter[:-1].copy()
+        last[1:] |= (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+        begins[1:] |= last & ~letter[1:] & (data[1:] < 0x80)
         begins[rows[:-1][np.diff(rows) > 0]] = True
         starts = np.flatnonzero(begins)
         table = chunk_array(data, starts).dictionary_encode()
         ids = self.of_words(table.dictionary.to_pylist())
-        flat, ends = joined_back(ids, table.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        flat, ends = joined_back(ids, table.indices.to_numpy(zero_copy_only=False))
         return flat, ends[np.searchsorted(starts, rows)]
 
 
@@ -256,7 +305,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, texts in text_slices(batch.column(1), 2 << 20):
+            for at, texts in text_slices(batch.column(1), 4 << 20):
                 flat, ends = encoder(texts)
                 sizes = np.diff(ends) + 1
                 with_end = np.full(len(flat) + len(texts), end_id, flat.dtype)
