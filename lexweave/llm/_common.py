@@ -97,16 +97,22 @@ def map_texts(df: DataFrame, text_col: str, made: T.StructType | str, work: Call
     made = T.StructType.fromDDL(made) if isinstance(made, str) else made
     names = [f.name for f in made]
     kept = kept_columns(df, names, keep)
-    source = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)], quoted(text_col).cast("string").alias("text_in"))
+    columns = [quoted(c).alias(f"k{i}") for i, c in enumerate(kept)]
+    if text_col in kept and df.schema[text_col].dataType == T.StringType():
+        at_text = kept.index(text_col)  # the texts travel once
+    else:
+        at_text = len(kept)
+        columns.append(quoted(text_col).cast("string").alias("text_in"))
     schema = T.StructType([*(T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(kept)), *(T.StructField(f"m{i}", f.dataType) for i, f in enumerate(made))])
     n_kept, labels = len(kept), [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
         for batch in batches:
-            for at, texts in text_slices(batch.column(n_kept)):
+            for at, texts in text_slices(batch.column(at_text)):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(texts)) for i in range(n_kept)), *each(texts)], names=labels)
 
+    source = df.select(*columns)
     out = source.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"m{i}").alias(n) for i, n in enumerate(names)])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import langid, licenses, merkle, mixing, pieces, secret_scan, sharding, sql, wavelet
+from lexweave.llm import langid, licenses, merkle, minhash, mixing, pieces, secret_scan, sharding, sql, topk, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=(85, 100))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.edit_study(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -60,6 +64,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~langid.held_out()), langid.public_pieces(vocabulary("piece_bpe_32k.model")))
@@ -75,13 +83,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
+    "op8_top_k": op8_top_k,
     "op9_language": op9_language,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": sql.OP6_MIXING,
+    "op8_top_k": sql.OP8_TOP_K,
 }
