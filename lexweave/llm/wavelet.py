@@ -16,6 +16,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -186,7 +187,7 @@ class ByteEncoder:
     distinct piece of a slice is encoded once. A piece that is one word goes straight to the library's BPE model, any other
     through the whole tokenizer. Texts with white space beyond ASCII or with a special token's string are encoded whole."""
 
-    def __init__(self, tokenizer_path: str, special_strings_as_text: bool = False, known_words: int = 300_000):
+    def __init__(self, tokenizer_path: str, special_strings_as_text: bool = False, known_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -217,11 +218,9 @@ class ByteEncoder:
             ids = known.get(w)
             if ids is None:
                 ids = self.of_word(w)
-                if len(w) <= 16:
+                if len(w) <= 20 and len(known) < self.known_words:  # a bounded memory; frequent words come early
                     known[w] = ids
             out.append(ids)
-        if len(known) > self.known_words:  # a bounded memory of words; what falls out is encoded again
-            known.clear()
         return out
 
     def _whole(self, texts: pa.StringArray, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -270,6 +269,12 @@ class ByteEncoder:
         return flat, ends[np.searchsorted(starts, rows)]
 
 
+@lru_cache(maxsize=1)
+def byte_encoder(tokenizer_path: str, special_strings_as_text: bool) -> ByteEncoder:
+    """One encoder for all tasks of a Python worker, so that the words it knows are known to the next task."""
+    return ByteEncoder(tokenizer_path, special_strings_as_text)
+
+
 def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, file_tokens: int = FILE_TOKENS, special_strings_as_text: bool = False) -> DataFrame:
     """Encodes every whole text of df, appends end_id to each document and writes the ids as wavelet-matrix files of folder, in
     ascending id_col order over the files' names. Gives a stored table of the files: file, docs, tokens, bytes.
@@ -289,7 +294,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
 
         store, root = fs.FileSystem.from_uri(folder)
         shard, part = TaskContext.get().partitionId(), 0
-        encoder = ByteEncoder(tokenizer_path, special_strings_as_text)
+        encoder = byte_encoder(tokenizer_path, special_strings_as_text)
         held, docs, lengths, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -305,7 +310,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, texts in text_slices(batch.column(1), 4 << 20):
+            for at, texts in text_slices(batch.column(1), 16 << 20):
                 flat, ends = encoder(texts)
                 sizes = np.diff(ends) + 1
                 with_end = np.full(len(flat) + len(texts), end_id, flat.dtype)
