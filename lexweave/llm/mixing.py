@@ -50,8 +50,9 @@ class Mix:
         """df with each document as often as the mix begins it, in df's columns. Texts do not move: a row needs only the cuts of
         its source."""
         own = df.withColumns({"__key": random_key(self.id_col, self.seed), "__source": quoted(self.source_col).cast("string")})
-        begun = F.col("epochs") + F.when((F.col("__key") < F.col("cut_key")) | ((F.col("__key") == F.col("cut_key")) & (F.col("cut_words") > 0)), 1).otherwise(0)
-        held = own.join(self.cuts, own["__source"].eqNullSafe(self.cuts["of"])).withColumn("__copies", begun.cast("int")).filter("__copies > 0")
+        cuts = self.cuts.select(*[F.col(c).alias(f"__{c}") for c in self.cuts.columns])  # df may have columns of these names
+        in_last = (F.col("__key") < F.col("__cut_key")) | ((F.col("__key") == F.col("__cut_key")) & (F.col("__cut_words") > 0))
+        held = own.join(cuts, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("__copies", (F.col("__epochs") + F.when(in_last, 1).otherwise(0)).cast("int")).filter("__copies > 0")
         return held.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[quoted(c) for c in df.columns])
 
 

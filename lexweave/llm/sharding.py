@@ -80,12 +80,12 @@ def _values(spark, rows: list[tuple], names: str) -> DataFrame:
 
 def _descend(rows: DataFrame, cuts: tuple[Cut, ...], n_dims: int) -> DataFrame:
     """rows with `__lo` moved to the child of each row's node. cuts has at most a row for each shard."""
-    table = _values(rows.sparkSession, [(c.lo, c.left, c.dim, c.value, c.key, c.id, c.group_right) for c in cuts], "c_lo, c_left, c_dim, c_value, c_key, c_id, c_right")
-    held = rows.join(table, F.col("__lo") == F.col("c_lo"), "left")
-    along = F.get(F.array(*[F.col(f"__d{i}") for i in range(n_dims)]), F.col("c_dim").cast("int"))
-    in_group = F.when(F.col("c_id").isNull(), F.col("c_right")).otherwise(F.col("__id") > F.col("c_id"))
-    right = (along > F.col("c_value")) | ((along == F.col("c_value")) & ((F.col("__key") > F.col("c_key")) | ((F.col("__key") == F.col("c_key")) & in_group)))
-    return held.withColumn("__lo", F.col("__lo") + F.when(right, F.col("c_left")).otherwise(F.lit(0))).drop("c_lo", "c_left", "c_dim", "c_value", "c_key", "c_id", "c_right")
+    table = _values(rows.sparkSession, [(c.lo, c.left, c.dim, c.value, c.key, c.id, c.group_right) for c in cuts], "__c_lo, __c_left, __c_dim, __c_value, __c_key, __c_id, __c_right")
+    held = rows.join(table, F.col("__lo") == F.col("__c_lo"), "left")
+    along = F.get(F.array(*[F.col(f"__d{i}") for i in range(n_dims)]), F.col("__c_dim").cast("int"))
+    in_group = F.when(F.col("__c_id").isNull(), F.col("__c_right")).otherwise(F.col("__id") > F.col("__c_id"))
+    right = (along > F.col("__c_value")) | ((along == F.col("__c_value")) & ((F.col("__key") > F.col("__c_key")) | ((F.col("__key") == F.col("__c_key")) & in_group)))
+    return held.withColumn("__lo", F.col("__lo") + F.when(right, F.col("__c_left")).otherwise(F.lit(0))).drop("__c_lo", "__c_left", "__c_dim", "__c_value", "__c_key", "__c_id", "__c_right")
 
 
 def with_shard(df: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", name: str = "shard") -> DataFrame:
