@@ -84,12 +84,17 @@ def chunk_array(data: np.ndarray, starts: np.ndarray) -> pa.StringArray:
 
 def joined_back(lists: list[list[int]], index: np.ndarray, dtype: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
     """The lists named by index, one after another, and where each begins (with the end)."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), dtype, int(sizes.sum()))
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    sizes = sizes[index]
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    return flat[np.repeat(begin[index] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+    kind = np.int32 if len(index) < 1 << 24 else np.int64
+    sizes = np.fromiter(map(len, lists), kind, len(lists))
+    flat = np.fromiter(chain.from_iterable(lists), dtype, int(sizes.sum(dtype=np.int64)))
+    begin = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(kind)
+    sizes = np.take(sizes, index)
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    if ends[-1] >= 1 << 31:
+        begin = begin.astype(np.int64)
+    places = np.repeat(np.take(begin, index) - ends[:-1].astype(begin.dtype), sizes)
+    places += np.arange(len(places), dtype=places.dtype)
+    return np.take(flat, places), ends
 
 
 def map_texts(df: DataFrame, text_col: str, made: T.StructType | str, work: Callable[[], Callable[[pa.StringArray], list[pa.Array]]], keep: list[str] | None) -> DataFrame:

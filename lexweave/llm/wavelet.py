@@ -52,9 +52,10 @@ class WaveletMatrix:
         for bit in range(top - 1, -1, -1):
             one = (row & row.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            low = row[~one]
+            # by places, which is several times as fast as by mask
+            low = np.take(row, np.flatnonzero(~one))
             zeros.append(len(low))
-            row = np.concatenate((low, row[one]))
+            row = np.concatenate((low, np.take(row, np.flatnonzero(one))))
         return cls(len(values), planes, zeros, alphabet)
 
     def decode_all(self) -> np.ndarray:
@@ -63,8 +64,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(row)
-            up[~one] = row[: self.zeros[level]]
-            up[one] = row[self.zeros[level] :] | row.dtype.type(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(~one)] = row[: self.zeros[level]]
+            up[np.flatnonzero(one)] = row[self.zeros[level] :] | row.dtype.type(1 << (len(self.planes) - 1 - level))
             row = up
         return self.alphabet.astype(np.uint32)[row] if self.n else np.zeros(0, np.uint32)
 
@@ -316,7 +317,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
                 with_end = np.full(len(flat) + len(texts), end_id, flat.dtype)
                 mask = np.ones(len(with_end), bool)
                 mask[np.cumsum(sizes) - 1] = False
-                with_end[mask] = flat
+                with_end[np.flatnonzero(mask)] = flat
                 held.append(with_end.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else with_end)
                 docs += ids[at : at + len(texts)]
                 lengths += sizes.tolist()
