@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from lexweave.llm._common import map_texts, quoted, range_bucket, range_splits
 
 LEAF = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
-#: A leaf longer than this is cut behind words chosen by their checksum.
-LONG_LEAF = 400
+#: A leaf longer than this is cut behind words chosen by their checksum, and after so many words anyway.
+LONG_LEAF, LONG_WORDS = 100, 16
 #: Paragraphs of a section on average, where the text has no marks of its own.
 FAN_OUT = 8
 
@@ -35,7 +35,7 @@ def _leaves(paragraph: str) -> list[str]:
             continue
         words, at = re.findall(r"\s*\S+\s*", leaf) or [leaf], 0
         for i, w in enumerate(words):
-            if zlib.crc32(w.encode()) % 16 == 0 or i + 1 == len(words):
+            if i + 1 - at == LONG_WORDS or i + 1 == len(words) or zlib.crc32(w.encode()) % 8 == 0:
                 out.append("".join(words[at : i + 1]))
                 at = i + 1
     return out
@@ -156,18 +156,21 @@ def edit_study(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of = F.coalesce(range_bucket(F.col("id"), splits) + 1, F.lit(0))
     firsts = {r["b"]: r["first"] for r in ids.groupBy(of.alias("b")).agg(F.max("id").alias("first")).collect()}  # a row for each range
     held = sorted(firsts)
-    goes_to = {firsts[b]: held[(i + 1) % len(held)] for i, b in enumerate(held)}  # first of a range: the range that precedes it
-    extra = F.create_map(*[F.lit(x) for k, v in goes_to.items() if k is not None for x in (k, v)])[F.col("id")] if any(k is not None for k in goes_to) else F.lit(None).cast("int")
-    if None in goes_to:
-        extra = F.when(F.col("id").isNull(), F.lit(goes_to[None])).otherwise(extra)
+    goes_to = [(firsts[b], held[(i + 1) % len(held)]) for i, b in enumerate(held)]  # first of a range: the range that precedes it
     rows = df.select(quoted(id_col).cast("long").alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    if goes_to:
+        first_of = df.sparkSession.createDataFrame(goes_to, "first long, extra int")
+        # a row for each range, of which there are as many as partitions at most
+        rows = rows.join(F.broadcast(first_of), F.col("id").eqNullSafe(F.col("first")), "left")
+    extra = F.col("extra") if goes_to else F.lit(None).cast("int")
     own = F.struct(of.cast("int").alias("bin"), F.lit(0).alias("guest"))
-    sent = F.when(extra.isNull(), F.array(own)).otherwise(F.array(own, F.struct(extra.cast("int").alias("bin"), F.lit(1).alias("guest"))))
+    sent = F.when(extra.isNull(), F.array(own)).otherwise(F.array(own, F.struct(extra.alias("bin"), F.lit(1).alias("guest"))))
     dealt = rows.select("id", "text", F.inline(sent)).repartitionById(len(splits) + 2, "bin").sortWithinPartitions("bin", "guest", F.desc_nulls_last("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # id, text, fingerprint, sentences
         out: list[tuple] = []
+        size = 0
         for batch in batches:
             for i, text, guest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3).to_pylist(), strict=True):
                 if guest and held is None:
@@ -180,10 +183,11 @@ def edit_study(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     new = edited(before, text)
                     of_new = fingerprint(new)
                     out.append((before_id, len(before), new, of_before, of_new, _likeness(of_before, of_new, in_before, _sentences(of_new)), _likeness(of_before, of_text, in_before, inside)))
+                    size += len(new)
                 held = None if guest else (i, text, of_text, inside)
-                if len(out) >= 500:
+                if size >= 4 << 20:
                     yield packed(out)
-                    out = []
+                    out, size = [], 0
         if out:
             yield packed(out)
 
