@@ -5,6 +5,8 @@ White space and word characters follow Unicode: Java's classes and those of othe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def lit_regex(text: str) -> str:
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where use names its argument several times but the value is to be computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -81,11 +88,13 @@ def table_cell(c: Column) -> Column:
 
 def drops_line(line: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
     """Whether a line of an extracted page is a page number or furniture; blank lines stay."""
-    bare = stripped(line)
-    out = bare.rlike(r"^\d{1,3}$")
-    for p in patterns:
-        out = out | bare.rlike("(?i)" + p)
-    return (bare != "") & out
+    def drops(bare: Column) -> Column:
+        out = bare.rlike(r"^\d{1,3}$")
+        for p in patterns:
+            out = out | bare.rlike("(?i)" + p)
+        return (bare != "") & out
+
+    return once(stripped(line), drops)
 
 
 def clean_page(c: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
@@ -160,9 +169,11 @@ def has_potential_issue(summary: Column) -> Column:
 
 def text_chunks(c: Column, size: int = 2000) -> Column:
     """The stripped text in pieces of at most size characters; none for a blank one."""
-    text = stripped(F.coalesce(c, F.lit("")))
-    made = F.transform(F.sequence(F.lit(0), ((F.length(text) - 1) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(made)
+    def cut(text: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), ((F.length(text) - 1) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(made)
+
+    return once(stripped(F.coalesce(c, F.lit(""))), cut)
 
 
 def flag_value(flag: Column, kind: Column) -> Column:
@@ -233,6 +244,11 @@ def matches_term(text: Column, term: Column) -> Column:
     return (F.instr(text, term) > 0) & F.regexp_like(text, quoted)
 
 
+def has_constant(text: Column, term: str) -> Column:
+    """matches_term for a term that is known when the plan is made."""
+    return F.contains(text, F.lit(term)) & text.rlike(f"(?<!{W}){lit_regex(term)}(?!{W})")
+
+
 def escaped(c: Column) -> Column:
     """HTML escaping, quotes included."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

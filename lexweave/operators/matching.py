@@ -12,26 +12,34 @@ from pyspark.sql import functions as F
 from lexweave.functions import text as t
 
 #: More terms than this are matched by their first word instead of each against each sentence.
-BROADCAST_TERMS = 500
+CONSTANT_TERMS = 64
 
 
-def containing(sentences: DataFrame, terms: DataFrame, text: str = "folded", key: str = "term_key", n_terms: int | None = None) -> DataFrame:
+def containing(sentences: DataFrame, terms: DataFrame, text: str = "folded", key: str = "term_key", constant_terms: int = CONSTANT_TERMS) -> DataFrame:
     """The sentences with each term of terms they contain, both folded.
 
-    Few terms (their count is checked) are sent to all tasks and searched for. Many are joined on their first word: only
-    sentences that hold a term's first word are tested for it, and nothing is sent whole."""
-    n = terms.count() if n_terms is None else n_terms
-    if n <= BROADCAST_TERMS:
-        return sentences.join(F.broadcast(terms), t.matches_term(F.col(text), F.col(key)))
+    Few terms (their count is checked) become constants of the plan: one pass over the sentences, no join with them, and every
+    pattern is compiled once. Many are joined on their first word: only sentences that hold a term's first word are tested for
+    it, and nothing is sent whole."""
+    few = [r[0] for r in terms.select(key).distinct().limit(constant_terms + 1).collect()]
+    if len(few) <= constant_terms:
+        return _constant(sentences, few, text, key).join(F.broadcast(terms), key)
     word = f"({t.W}+)"
     keyed = terms.withColumn("__first", F.regexp_extract(key, word, 1))
     words = sentences.withColumn("__word", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(word), 1))))
     by_word = words.join(keyed.filter("__first <> ''"), F.col("__word") == F.col("__first")).filter(t.matches_term(F.col(text), F.col(key))).drop("__word", "__first")
-    # terms without any word character are few by nature; the plain search takes them, in checked number
+    # terms without any word character are few by nature
     odd = keyed.filter("__first = ''").drop("__first")
-    if odd.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
-        raise ValueError(f"more than {BROADCAST_TERMS} terms hold no word character")
-    return by_word.unionByName(sentences.join(F.broadcast(odd), t.matches_term(F.col(text), F.col(key))))
+    rest = [r[0] for r in odd.select(key).distinct().limit(CONSTANT_TERMS + 1).collect()]
+    if len(rest) > CONSTANT_TERMS:
+        raise ValueError(f"more than {CONSTANT_TERMS} terms hold no word character")
+    return by_word.unionByName(_constant(sentences, rest, text, key).join(F.broadcast(odd), key)) if rest else by_word
+
+
+def _constant(sentences: DataFrame, keys: list[str], text: str, key: str) -> DataFrame:
+    found = [F.when(t.has_constant(F.col(text), k), F.lit(k)) for k in sorted(keys)]
+    inside = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    return sentences.withColumn(key, F.explode(inside))
 
 
 def usage_counts(sentences: DataFrame, terms: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def read_workbook(spark: SparkSession, path: str, required: tuple[str, ...] = ("
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """doc, text of whole UTF-8 files; lines are split later, by the rules of the text functions."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
 
 
@@ -137,7 +137,7 @@ ENVELOPE = f"format_version int, model string, created_at string, updated_at str
 def read_artifact(spark: SparkSession, path: str, model: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The summaries and failures of an artifact file as tables. Another version, another model (if one is named) or a file
     without a summaries object is an error where the tables are used."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", ENVELOPE).alias("e")).select("e.*")
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", ENVELOPE).alias("e")).select("e.*")
     wrong = F.when(~F.col("format_version").eqNullSafe(F.lit(1)), "unsupported artifact version").when(F.col("summaries").isNull(), "artifact has no summaries")
     if model is not None:
         wrong = wrong.when(~F.col("model").eqNullSafe(F.lit(model)), "artifact is of another model")
