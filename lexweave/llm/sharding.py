@@ -2,8 +2,8 @@
 
 The documents are split again and again at the weighted median along the widest metadata dimension until a leaf holds the
 target bytes. Medians are found by histograms that are refined in rounds over a small stored table; only a row for each node
-reaches the driver. Rows are ordered by (dimension, text hash, id), so equal texts stand together and a cut goes round them,
-unless they are so many that the shards would become uneven: then they are cut by id.
+reaches the driver. Rows are ordered by (dimension, text hash, id), so equal texts stand together and a cut goes round them.
+Where they are so many that this would make the shards uneven, the next widest dimension is tried, and at last they are cut by id.
 """
 
 from __future__ import annotations
@@ -117,8 +117,9 @@ def _fit(table: DataFrame, shards: int | None, target_bytes: int | None, dims: t
         goals = {}
         for r in found:
             if nodes[r["__lo"]] > 1:
-                wide = max(range(n), key=lambda i, r=r: ((r[f"hi{i}"] - r[f"lo{i}"]) / max(1, whole[f"hi{i}"] - whole[f"lo{i}"]), -i))
-                goals[r["__lo"]] = {"dim": wide, "goal": r["w"] * (nodes[r["__lo"]] // 2) / nodes[r["__lo"]], "lo": r[f"lo{wide}"], "hi": r[f"hi{wide}"]}
+                width = {i: (r[f"hi{i}"] - r[f"lo{i}"]) / max(1, whole[f"hi{i}"] - whole[f"lo{i}"]) for i in range(n)}
+                by_width = sorted((i for i in range(n) if width[i] or i == 0), key=lambda i, w=width: (-w[i], i))
+                goals[r["__lo"]] = {"goal": r["w"] * (nodes[r["__lo"]] // 2) / nodes[r["__lo"]], "dims": [(i, r[f"lo{i}"], r[f"hi{i}"]) for i in by_width]}
         cuts = _medians(rows, goals, nodes, n, room)
         levels.append(tuple(cuts))
         rows = _descend(rows, levels[-1], n)
@@ -129,29 +130,35 @@ def _fit(table: DataFrame, shards: int | None, target_bytes: int | None, dims: t
 
 
 def _medians(rows: DataFrame, goals: dict[int, dict], nodes: dict[int, int], n_dims: int, room: float) -> list[Cut]:
+    """A cut for each node: along its widest dimension, or where many equal texts stand at that median, along the next one at
+    whose median they do not; if they stand at all of them, through them by id."""
     along = F.get(F.array(*[F.col(f"__d{i}") for i in range(n_dims)]), F.col("g_dim").cast("int"))
-    state = {lo: g | {"below": 0} for lo, g in goals.items()}
-    _narrow(rows, state, along, F.lit(True), ("dim",))
-    for s in state.values():
-        s["value"] = s["lo"]
     same = along == F.col("g_value")
-    for s in state.values():
-        s |= {"lo": LOWEST, "hi": (1 << 63) - 1}
-    _narrow(rows, state, F.col("__key"), same, ("dim", "value"))
-    cuts, heavy = [], {}
-    for lo, s in state.items():
-        s["key"] = s["lo"]
-        before, after = abs(s["goal"] - s["below"]), abs(s["below"] + s["here"] - s["goal"])
-        if min(before, after) <= room:
-            cuts.append(Cut(lo, nodes[lo] // 2, s["dim"], s["value"], s["key"], None, before < after))
-        else:
-            heavy[lo] = s | {"lo": LOWEST, "hi": (1 << 63) - 1}
+    whole = {"lo": LOWEST, "hi": (1 << 63) - 1}
+    cuts, heavy, open_nodes = [], {}, dict(goals)
+    for turn in range(n_dims):
+        state = {at: {"goal": g["goal"], "below": 0} | dict(zip(("dim", "lo", "hi"), g["dims"][turn], strict=True)) for at, g in open_nodes.items() if turn < len(g["dims"])}
+        if not state:
+            break
+        _narrow(rows, state, along, F.lit(True), ("dim",))
+        state = {at: s | {"value": s["lo"]} | whole for at, s in state.items()}
+        _narrow(rows, state, F.col("__key"), same, ("dim", "value"))
+        for at, s in state.items():
+            s["key"] = s["lo"]
+            before, after = abs(s["goal"] - s["below"]), abs(s["below"] + s["here"] - s["goal"])
+            if min(before, after) <= room:
+                cuts.append(Cut(at, nodes[at] // 2, s["dim"], s["value"], s["key"], None, before < after))
+                del open_nodes[at]
+                heavy.pop(at, None)
+            else:
+                heavy.setdefault(at, s)
     if heavy:
+        heavy = {at: s | whole for at, s in heavy.items()}
         _narrow(rows, heavy, F.col("__id"), same & (F.col("__key") == F.col("g_key")), ("dim", "value", "key"))
-        for lo, s in heavy.items():
+        for at, s in heavy.items():
             before, after = abs(s["goal"] - s["below"]), abs(s["below"] + s["here"] - s["goal"])
             # rows of equal ids and texts stay together; the nearer side takes them
-            cuts.append(Cut(lo, nodes[lo] // 2, s["dim"], s["value"], s["key"], s["lo"] - 1 if before < after and s["lo"] > LOWEST else s["lo"], False))
+            cuts.append(Cut(at, nodes[at] // 2, s["dim"], s["value"], s["key"], s["lo"] - 1 if before < after and s["lo"] > LOWEST else s["lo"], False))
     return cuts
 
 

@@ -102,15 +102,16 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     inner product, ties to the smaller id; all of them if there are fewer.
 
     Vectors that are null or hold a null or non-finite value take no part, nor do rows without an id; a shorter vector counts as
-    filled up by zeros. Rows that repeat an id are one row of each of their vectors and never answer a query of that id. Scores
+    filled up by zeros. A repeated row counts once; an id with several vectors has a row for each, none of which answers a query of
+    that id. Scores
     are whole while components stay below 2^26. An empty df gives an empty result.
 
     Rows are cut into blocks and queries into groups; each task joins one of each, so memory is bounded and a block's best k are
     all that moves on."""
-    rows = df.select(quoted(id_col).cast("long").alias("id"), is_query.alias("q"), floored(quoted(vector_col), scale).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL")
+    rows = df.select(quoted(id_col).cast("long").alias("id"), is_query.alias("q"), floored(quoted(vector_col), scale).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL").dropDuplicates(["id", "v"])
     counts = df.select(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     blocks, groups = max(1, -(-counts["n"] // BLOCK_ROWS)), max(1, -(-counts["q"] // BLOCK_QUERIES))
-    block, group = (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int") for salt, n in ((1, blocks), (2, groups)))
+    block, group = (F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int") for salt, n in ((1, blocks), (2, groups)))
     rows_dealt = rows.select("id", "v", block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     queries = rows.filter("q").select("id", "v", group.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
 

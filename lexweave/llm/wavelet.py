@@ -270,6 +270,18 @@ class ByteEncoder:
         return flat, ends[np.searchsorted(starts, rows)]
 
 
+def put_in_place(store, own: str, name: str) -> None:
+    """Renames a finished file; where a repeated task finds its file there and the store does not replace it, the old one, which
+    is equal, goes first."""
+    try:
+        store.move(own, name)
+    except OSError:
+        if store.get_file_info(name).type.name != "File":
+            raise
+        store.delete_file(name)
+        store.move(own, name)
+
+
 @lru_cache(maxsize=1)
 def byte_encoder(tokenizer_path: str, special_strings_as_text: bool) -> ByteEncoder:
     """One encoder for all tasks of a Python worker, so that the words it knows are known to the next task."""
@@ -304,7 +316,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
             name = f"shard-{shard:06d}-{part:06d}.lxwm"
             with store.open_output_stream(own := f"{root}/.{name}.{uuid.uuid4().hex}") as out:
                 out.write(data)
-            store.move(own, f"{root}/{name}")
+            put_in_place(store, own, f"{root}/{name}")
             row = {"file": [name], "docs": [len(docs)], "tokens": [total], "bytes": [len(data)]}
             held, docs, lengths, total, part = [], [], [], 0, part + 1
             return pa.RecordBatch.from_pydict(row)

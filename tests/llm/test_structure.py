@@ -251,6 +251,7 @@ def test_top_k_of_odd_vectors(spark, monkeypatch, blocks):
     rnd = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rnd.choice([-1.5, -0.25, 0.0, 0.5, 3.0], 6)]) for i in range(120)]
     rows += [(150, None), (200, [1.0, None, 2.0]), (250, [float("nan")] * 6), (300, [float("inf")] * 6), (350, []), (400, [1.0, 2.0]), (None, [1.0] * 6), (3, None)]
+    rows += [rows[7], rows[50]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()} == plain_top(rows, 5)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
