@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 #: One Unicode white-space character (for Java regexes).
 WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters one by one.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: One word character.
 W = r"[\p{L}\p{N}_]"
-#: What ends a line: also the separators that a plain text reader does not know.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+#: What ends a line beside \n: also separators that a plain text reader does not know.
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 #: Page furniture that a text extraction leaves behind; a parameter where it is used.
 BOILERPLATE = (r"do\s+not\s+cite,\s*quote\s+or\s+distribute", r"total\s+pages\s*:\s*\d+")
 #: The assessment markup that is removed before terms are paired: (high confidence, ...) and {...}. A fixed pattern.
@@ -38,7 +40,7 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapsed(c: Column) -> Column:
@@ -58,7 +60,9 @@ def folded(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines of a text; a line end at its end begins no further line."""
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, f"(?:{LINE_END})\\z", ""), LINE_END))
+    plain = F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
+    cut = once(F.split(plain, "\n"), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(cut)
 
 
 def sentences(c: Column) -> Column:
@@ -100,7 +104,7 @@ def drops_line(line: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
 def clean_page(c: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
     """An extracted page made readable, in this order: line ends, trailing blanks, furniture, hyphenated breaks, trailing page
     numbers (a true number of up to three digits at a line's end goes as well), blank lines."""
-    rows = F.transform(F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, WS + "+$", ""))
+    rows = F.transform(F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n"), lambda x: F.rtrim(x, F.lit(BLANKS)))
     kept = F.array_join(F.filter(rows, lambda x: ~drops_line(x, patterns)), "\n")
     joined = F.regexp_replace(kept, f"(?<={W})-\n(?={W})", "")
     plain = F.array_join(F.transform(F.split(joined, "\n"), lambda x: F.regexp_replace(x, r"(?<=\S)" + WS + r"+\d{1,3}\z", "")), "\n")
@@ -110,7 +114,7 @@ def clean_page(c: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
 def parent_of(explanation: Column) -> Column:
     """The parent in `See X (under P)` or `See X.`; `See also` names none."""
     under = r"(?id)^See(?!\s+also\b)\s+.+?\s+\(under\s+"
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(explanation, under, ""), r"\.+$", ""), WS + "+$", "")
+    rest = F.rtrim(F.regexp_replace(F.regexp_replace(explanation, under, ""), r"\.+$", ""), F.lit(BLANKS))
     see = F.regexp_extract(explanation, r"(?id)^See(?!\s+also\b)\s+(.+?)\.?\z", 1)
     direct = F.trim(F.regexp_replace(see, r"\.+$", ""))
     return F.when(explanation.rlike(under) & rest.endswith(")"), F.regexp_replace(rest, r"\)\z", "")).otherwise(direct)
