@@ -24,9 +24,10 @@ def text_lines(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     return df.select(F.col(doc).alias("doc"), F.posexplode(t.lines(F.col(text))).alias("pos", "line"))
 
 
-def report_lines(lines: DataFrame) -> DataFrame:
+def report_lines(lines: DataFrame, skip: str = "") -> DataFrame:
     """doc, section, section_rank, pos, line: the report lines in their sections, white space collapsed. Lines under unknown
-    headings, of the table of contents, and blank ones go; headings of three marks and more are ordinary lines."""
+    headings, of the table of contents, and blank ones go; headings of three marks and more are ordinary lines. The section
+    named by skip is left out."""
     bare = lines.withColumn("line", t.collapsed(F.col("line"))).filter(F.col("line") != "")
     heading = F.lower(F.trim(F.substring("line", 4, 1_000_000)))
     is_heading = F.col("line").startswith("## ")
@@ -40,7 +41,7 @@ def report_lines(lines: DataFrame) -> DataFrame:
         (is_heading | F.col("line").startswith("# ") | contents).alias("marker"),
     )
     rank = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")).cast("int")
-    return state.filter("NOT marker AND NOT in_contents AND section <> ''").select("doc", "section", rank.alias("section_rank"), "pos", "line")
+    return state.filter("NOT marker AND NOT in_contents AND section <> ''").filter(F.col("section") != skip).select("doc", "section", rank.alias("section_rank"), "pos", "line")
 
 
 def report_titles(lines: DataFrame, default: str = "") -> DataFrame:

@@ -150,6 +150,15 @@ def read_artifact(spark: SparkSession, path: str, model: str | None = None) -> t
     return of("summaries", SUMMARY_SCHEMA), of("failures", FAILURE_SCHEMA)
 
 
+def artifact_or_new(spark: SparkSession, path: str, model: str, stamp: str) -> tuple[DataFrame, DataFrame, str]:
+    """An artifact's tables and the time it was made; empty tables and this time if there is no file yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], SUMMARY_SCHEMA), spark.createDataFrame([], FAILURE_SCHEMA), stamp
+    made = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.created_at")).first()[0]
+    return *read_artifact(spark, path, model), made
+
+
 def usable_summaries(artifact: DataFrame) -> DataFrame:
     """term_key (folded), summary: the entries with a text. artifact: place, term_key, summary; of keys that fold alike the later
     one counts."""
