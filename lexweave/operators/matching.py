@@ -23,7 +23,7 @@ def containing(sentences: DataFrame, terms: DataFrame, text: str = "folded", key
     it, and nothing is sent whole."""
     few = [r[0] for r in terms.select(key).distinct().limit(constant_terms + 1).collect()]
     if len(few) <= constant_terms:
-        return _constant(sentences, few, text, key).join(F.broadcast(terms), key)
+        return _constant(sentences, few, terms, text, key)
     word = f"({t.W}+)"
     keyed = terms.withColumn("__first", F.regexp_extract(key, word, 1))
     words = sentences.withColumn("__word", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(word), 1))))
@@ -33,13 +33,14 @@ def containing(sentences: DataFrame, terms: DataFrame, text: str = "folded", key
     rest = [r[0] for r in odd.select(key).distinct().limit(CONSTANT_TERMS + 1).collect()]
     if len(rest) > CONSTANT_TERMS:
         raise ValueError(f"more than {CONSTANT_TERMS} terms hold no word character")
-    return by_word.unionByName(_constant(sentences, rest, text, key).join(F.broadcast(odd), key)) if rest else by_word
+    return by_word.unionByName(_constant(sentences, rest, odd, text, key)) if rest else by_word
 
 
-def _constant(sentences: DataFrame, keys: list[str], text: str, key: str) -> DataFrame:
+def _constant(sentences: DataFrame, keys: list[str], terms: DataFrame, text: str, key: str) -> DataFrame:
     found = [F.when(t.has_constant(F.col(text), k), F.lit(k)) for k in sorted(keys)]
     inside = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
-    return sentences.withColumn(key, F.explode(inside))
+    held = sentences.withColumn(key, F.explode(inside))
+    return held if terms.columns == [key] else held.join(terms, key)
 
 
 def usage_counts(sentences: DataFrame, terms: DataFrame) -> DataFrame:

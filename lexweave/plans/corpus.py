@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import markup
 from lexweave.functions import text as t
 from lexweave.operators import anchors, audit, documents, glossary, matching, network, summaries
+from lexweave.sources import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -304,4 +305,96 @@ def html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.html_document(parts, documents.report_titles(rows))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, page_plain, highlighted, chunked_texts, audit_records, event_properties, flagged_documents, linked_items, linked_pages, markdown_items, html_reports)}
+def _talk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs out of conversations: every second turn is a bold term, some of them indented."""
+    talk = _table(spark, sf_dir, "conversations")
+    term = F.pmod("turn", F.lit(2)) == 0
+    text = F.when(term, F.concat_ws(" ", "role", F.pmod("conv_id", F.lit(7)))).when(F.pmod("turn", F.lit(7)) == 3, F.concat(F.lit("See "), "role")).otherwise(F.col("text"))
+    runs = F.array(F.struct(text.alias("text"), term.alias("bold"), F.lit(None).cast("boolean").alias("italic")))
+    style = F.when(F.pmod("turn", F.lit(3)) == 1, "Heading 2").when(F.pmod("turn", F.lit(5)) == 2, "My 3rd level").otherwise("Normal")
+    return talk.select(F.pmod("conv_id", F.lit(40)).alias("doc"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), style.alias("style"), F.when(F.pmod("turn", F.lit(4)) == 2, 10.0).alias("left_indent_pt"), runs.alias("runs"))
+
+
+def bold_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.bold_entries(_talk_paragraphs(spark, sf_dir)).select("doc", "pos", "term", F.md5("explanation").alias("explanation_md5"), "parent")
+
+
+def styled_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.styled_paragraphs(_talk_paragraphs(spark, sf_dir)).select("doc", "pos", F.md5("line").alias("line_md5"))
+
+
+def paragraphs_before_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.until_style(_talk_paragraphs(spark, sf_dir), "my 3rd level").select("doc", "pos")
+
+
+def listed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = _table(spark, sf_dir, "conversations")
+    line = F.when(F.pmod("turn", F.lit(3)) == 1, F.concat(F.lit("Term"), "turn", F.lit("   of "), "role")).when((F.col("turn") == 6) & (F.pmod("conv_id", F.lit(2)) == 0), "References here").otherwise(F.concat(F.lit("  more "), "turn"))
+    return documents.listed_entries(talk.select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), line.alias("line")), "Term1", "REFERENCES")
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.when(F.pmod("turn", F.lit(4)) == 3, " 12 ").otherwise(F.concat("role", F.lit(" ends 45"))).alias("text"))
+    return documents.page_markdown(pages, F.concat(F.lit("talk "), F.col("doc")), headers=True)
+
+
+def archive_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("content"), "doc_id")
+    changed = docs.filter("doc_id % 25 <> 1").select("name", F.when(F.col("doc_id") % 10 == 0, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("content")).alias("content"))
+    return writers.archive_differences(docs.select("name", "content"), changed)
+
+
+def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old records of even documents, new ones of every third, failures of every fifth and seventh."""
+    ids = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("term_key"), "doc_id")
+    old, done = ids.filter("doc_id % 2 = 0").select("term_key", F.lit("old").alias("summary")), ids.filter("doc_id % 3 = 0").select("term_key", F.lit("new").alias("summary"))
+    was, failed = ids.filter("doc_id % 5 = 0").select("term_key", F.lit("old").alias("error")), ids.filter("doc_id % 7 = 0 AND doc_id % 3 <> 0").select("term_key", F.lit("new").alias("error"))
+    kept, still = summaries.merged(old, was, done, failed)
+    return kept.select("term_key", F.lit("summary").alias("kind"), F.col("summary").alias("value")).unionByName(still.select("term_key", F.lit("failure").alias("kind"), F.col("error").alias("value")))
+
+
+def issue_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether summaries of six forms report a potential issue."""
+    forms = ("### Potential issues substantive review\nyes", "### Potential Issues needing substantive review (x)\n- *None identified*.\n### Next\nyes", "text\n### potential issues for substantive review\n- None identified in A1\n", "none", "### Potential issues substantive review\n", "### Potential issues substantive review\n`none` identifiedly")
+    said = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.pmod("doc_id", F.lit(len(forms))) + 1).cast("int"))
+    return _table(spark, sf_dir, "documents").select("doc_id", t.has_potential_issue(said).alias("issue"))
+
+
+def shifted_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.repeat(F.lit("#"), (F.pmod("turn", F.lit(7))).cast("int")), F.when(F.pmod("conv_id", F.lit(3)) == 0, "").otherwise(" "), "role")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", t.shifted_headings(line).alias("line"))
+
+
+def picked_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn of a conversation that a clicked index names, if it names one."""
+    roles = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(" ", x["turn"], x["role"])).alias("turns"))
+    clicked = F.element_at(F.array(*[F.lit(x) for x in ("0", "2", "-1", "x", "99")]), (F.pmod("conv_id", F.lit(5)) + 1).cast("int"))
+    return roles.select("conv_id", t.occurrence_at(F.col("turns"), clicked).alias("turn"))
+
+
+def source_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = anchors.statement_units(report_statements(spark, sf_dir))
+    return anchors.source_attributes(units, anchors.statement_anchors(units)).select("doc", "pos", "attributes")
+
+
+def linked_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = marked_sentences(spark, sf_dir)
+    units = anchors.statement_units(report_statements(spark, sf_dir))
+    return anchors.linked_statement(s.select("doc", "pos", "sp", "origin", "statement", "statement_text"), anchors.statement_anchors(units)).select("doc", "pos", "sp", "origin", "label")
+
+
+def last_statement_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.statement_targets(report_statements(spark, sf_dir), "pos", ("doc", "section_rank", "pos"))
+
+
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("question"), F.lit("").alias("answer"), F.lit("10.0.0.1").alias("ip"), F.lit("app").alias("app_name"), F.lit("now").alias("stamp"), F.col("turn").cast("int").alias("token_input"), F.when(F.col("turn") > 1, F.col("turn").cast("int")).alias("token_output"))
+    return audit.chat_records(chats).select("conv_id", "turn", "payload")
+
+
+def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = spark.createDataFrame([("NAME", "title"), ("Date", "rich_text"), ("IP  address", "rich_text")], "name string, kind string")
+    return audit.schema_problems(kinds)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, page_plain, highlighted, chunked_texts, audit_records, event_properties, flagged_documents, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, html_reports)}

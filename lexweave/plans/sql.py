@@ -160,6 +160,18 @@ def chars_at(x: str) -> str:
 
 ESCAPED = """replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
 
+PARAGRAPHS = f"""
+paragraphs AS (
+  SELECT conv_id % 40 AS doc, conv_id * 1000 + turn AS pos, turn % 2 = 0 AS is_term, turn % 4 = 2 AS is_sub,
+    {collapse("CASE WHEN turn % 2 = 0 THEN role || ' ' || (conv_id % 7) WHEN turn % 7 = 3 THEN 'See ' || role ELSE text END")} AS text,
+    CASE WHEN turn % 3 = 1 THEN 'Heading 2' WHEN turn % 5 = 2 THEN 'My 3rd level' ELSE 'Normal' END AS style
+  FROM conversations
+)"""
+ANCHORED = f"""{STATED},
+unit_keys AS (SELECT *, {fold(collapse('statement'))} AS number_key, {fold(collapse('statement_text'))} AS text_key FROM stated),
+first_units AS (SELECT doc, number_key, text_key, min((section_rank, pos)) AS place FROM unit_keys GROUP BY ALL),
+anchors AS (SELECT doc, number_key, text_key, 'source-statement-' || row_number() OVER (PARTITION BY doc ORDER BY place) AS anchor FROM first_units)"""
+
 ORACLE_SQL = {
     "usage_counts": f"WITH {DOC_SENTENCES}, {GLOSS}, folded AS (SELECT {fold('sentence')} AS f FROM doc_sentences), {hits('folded', 'f')} SELECT k.term_key, count(h.term_key)::BIGINT AS n FROM (SELECT DISTINCT term_key FROM gloss) AS k LEFT JOIN hits AS h ON h.term_key = k.term_key GROUP BY 1",
     "usage_by_first_word": f"WITH {DOC_SENTENCES}, folded AS (SELECT {fold('sentence')} AS f FROM doc_sentences), {hits('folded', 'f')} SELECT term_key, count(*)::BIGINT AS n FROM hits GROUP BY 1",
@@ -212,4 +224,28 @@ ORACLE_SQL = {
       SELECT event_id, ip, '{"properties":{"name":{"title":[{"text":{"content":"' || name || '"}}]},"date":{"date":{"start":"' || stamp || '"}},"ip address":{"rich_text":[{"text":{"content":"' || ip || '"}}]},"wrong pwd":{"checkbox":' || wrong || '}}}' AS payload FROM r""",
     "event_properties": "SELECT event_type, count(*)::BIGINT AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1",
     "flagged_documents": "SELECT doc_id, 'flagged' AS kind FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT doc_id, 'unlabelled' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "bold_entries": f"""WITH {PARAGRAPHS},
+      r AS (SELECT *, max(is_term::INTEGER) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM paragraphs WHERE text <> ''),
+      m AS (SELECT *, CASE WHEN is_term AND (NOT is_sub OR coalesce(seen, 0) = 0) THEN text END AS main, sum(is_term::INTEGER) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM r),
+      p AS (SELECT *, CASE WHEN is_term AND main IS NULL THEN last_value(main IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS up FROM m),
+      e AS (SELECT doc, n, min(pos) AS pos, max(text) FILTER (is_term) AS term, {collapse("coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (NOT is_term), '')")} AS explanation, coalesce(max(up), '') AS parent FROM p WHERE n > 0 GROUP BY doc, n),
+      c AS (SELECT *, row_number() OVER (PARTITION BY doc, {fold('term')} ORDER BY starts_with(lower(explanation), 'see ')::INTEGER, pos) AS k, min(pos) OVER (PARTITION BY doc, {fold('term')}) AS place FROM e)
+      SELECT doc, place AS pos, term, md5(explanation) AS explanation_md5, parent FROM c WHERE k = 1""",
+    "styled_paragraphs": f"WITH {PARAGRAPHS} SELECT doc, pos, md5(CASE style WHEN 'Heading 2' THEN '## ' WHEN 'My 3rd level' THEN '### ' ELSE '' END || text) AS line_md5 FROM paragraphs WHERE text <> ''",
+    "paragraphs_before_style": f"WITH {PARAGRAPHS}, z AS (SELECT *, min(pos) FILTER (style = 'My 3rd level') OVER (PARTITION BY doc) AS z FROM paragraphs) SELECT doc, pos FROM z WHERE z IS NULL OR pos < z",
+    "listed_entries": """WITH l AS (SELECT conv_id AS doc, turn AS pos, turn % 3 = 1 AS is_entry, turn = 6 AND conv_id % 2 = 0 AS is_stop, 'Term' || turn AS term, CASE WHEN turn % 3 = 1 THEN 'of ' || role ELSE 'more ' || turn END AS rest FROM conversations),
+      b AS (SELECT *, min(pos) FILTER (pos = 1) OVER (PARTITION BY doc) AS a FROM l), z AS (SELECT *, min(pos) FILTER (is_stop) OVER (PARTITION BY doc) AS z FROM b WHERE pos >= a),
+      n AS (SELECT *, sum(is_entry::INTEGER) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM z WHERE z IS NULL OR pos < z)
+      SELECT doc, min(pos) AS pos, max(term) FILTER (is_entry) AS term, string_agg(rest, ' ' ORDER BY pos) AS definition FROM n WHERE n > 0 GROUP BY doc, n""",
+    "page_documents": "SELECT conv_id AS doc, '# talk ' || conv_id || chr(10) || chr(10) || ltrim(string_agg(chr(10) || '## Page ' || turn || chr(10) || chr(10) || chr(10) || CASE WHEN turn % 4 = 3 THEN '_No extractable text on this page._' ELSE role || ' ends' END, chr(10) || chr(10) ORDER BY turn), '') || chr(10) AS markdown FROM conversations GROUP BY conv_id",
+    "archive_differences": "SELECT doc_id::VARCHAR AS name, 'missing' AS side FROM documents WHERE doc_id % 25 = 1 OR doc_id % 10 = 0 UNION ALL SELECT doc_id::VARCHAR, 'unexpected' FROM documents WHERE doc_id % 25 <> 1 AND doc_id % 10 = 0",
+    "merged_records": "SELECT doc_id::VARCHAR AS term_key, 'summary' AS kind, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS value FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0 UNION ALL SELECT doc_id::VARCHAR, 'failure', CASE WHEN doc_id % 7 = 0 THEN 'new' ELSE 'old' END FROM documents WHERE doc_id % 3 <> 0 AND (doc_id % 7 = 0 OR doc_id % 5 = 0)",
+    "issue_flags": "SELECT doc_id, doc_id % 6 IN (0, 4, 5) AS issue FROM documents",
+    "shifted_headings": "SELECT conv_id, turn, CASE WHEN conv_id % 3 <> 0 AND turn % 7 BETWEEN 1 AND 4 THEN repeat('#', least(turn % 7 + 2, 6)::INTEGER) ELSE repeat('#', (turn % 7)::INTEGER) END || CASE WHEN conv_id % 3 = 0 THEN '' ELSE ' ' END || role AS line FROM conversations",
+    "picked_occurrences": "SELECT c.conv_id, max(t.turn || ' ' || t.role) AS turn FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations) AS t ON t.conv_id = c.conv_id AND ((c.conv_id % 5 = 0 AND nth = 0) OR (c.conv_id % 5 = 1 AND nth = 2)) GROUP BY c.conv_id",
+    "source_attributes": f"WITH {ANCHORED} SELECT u.doc, u.pos, CASE WHEN row_number() OVER (PARTITION BY u.doc, u.number_key, u.text_key ORDER BY section_rank, pos) = 1 THEN ' id=\"' || anchor || '\" class=\"statement-target\"' ELSE '' END AS attributes FROM unit_keys AS u JOIN anchors AS a ON (a.doc, a.number_key, a.text_key) = (u.doc, u.number_key, u.text_key)",
+    "linked_statements": f"WITH {SENTENCES}, {ANCHORED[len(STATED) + 2:]} SELECT s.doc, s.pos, s.sp, s.origin, CASE WHEN anchor IS NULL THEN s.statement ELSE '<a class=\"statement-link\" href=\"#' || anchor || '\">' || s.statement || '</a>' END AS label FROM sentences AS s LEFT JOIN anchors AS a ON a.doc = s.doc AND a.number_key = {fold(collapse('s.statement'))} AND a.text_key = {fold(collapse('s.statement_text'))}",
+    "last_statement_targets": f"WITH {STATED} SELECT {fold(collapse('statement'))} AS number_key, arg_max(pos, (doc, section_rank, pos)) AS pos FROM stated GROUP BY 1",
+    "chat_records": """SELECT conv_id, turn, '{"properties":{"Title":{"title":[{"text":{"content":"chat log"}}]},"App name":{"rich_text":[{"text":{"content":"app"}}]},"questions":{"rich_text":[{"text":{"content":"' || role || '"}}]},"answer":{"rich_text":[]},"ip address":{"rich_text":[{"text":{"content":"10.0.0.1"}}]},"datetime":{"date":{"start":"now"}},"token_input":{"number":' || turn || '},"token_output":{"number":' || CASE WHEN turn > 1 THEN turn::VARCHAR ELSE 'null' END || '}}}' AS payload FROM conversations""",
+    "schema_problems": "SELECT * FROM (VALUES ('date', 'date', 'rich_text'), ('wrong pwd', 'checkbox|select|status|rich_text', NULL)) AS t(property, wanted, found)",
 }
