@@ -20,13 +20,17 @@ W = r"[\p{L}\p{N}_]"
 LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 #: Page furniture that a text extraction leaves behind; a parameter where it is used.
 BOILERPLATE = (r"do\s+not\s+cite,\s*quote\s+or\s+distribute", r"total\s+pages\s*:\s*\d+")
-#: The assessment markup that is removed before terms are paired: (high confidence, ...) and {...}. A fixed pattern.
+# The forms that a report's lines, its citations' markup and a summary's section on issues are written in.
+#: The assessment markup that is removed before terms are paired: (high confidence, ...) and {...}.
 ASSESSMENT = r"(?i)\((?:very |high |medium |low )?(?:confidence|agreement|evidence)(?:,\s*(?:very |high |medium |low )?(?:confidence|agreement|evidence))?\)|\{[^}]*\}"
 NUMBERED = r"^([A-D]\d+(?:\.\d+)+)" + WS + r"+(.*)$"
 FIRST_LEVEL = r"^([A-D]\d)" + WS + r"+(.*)$"
 FIGURE = r"^Figure" + WS + r"+(SPM\.\d+):" + WS + r"+(.*)$"
 SUMMARY_ITEM = r"^(?:#{1,6}" + WS + r"+)?\[(ES\d+\.\d+(?:\.\d+)?)\]" + WS + r"+(.*)$"
 ISSUES = r"(?imsd)^###\s+Potential issues(?:\s+(?:needing|for))?\s+substantive review[^\n]*\n(.*?)(?=\n###\s|\z)"
+NO_ISSUE = r"(?i)^-?\s*none identified\b"
+#: Parts of style names and the heading levels they stand for, the first that fits counting.
+STYLE_LEVELS = (("0th", 1), ("1st", 1), ("2nd", 2), ("3rd", 3), ("4th", 4), ("5th", 4))
 
 
 def lit_regex(text: str) -> str:
@@ -130,7 +134,7 @@ def heading_level(style: Column) -> Column:
     low = F.lower(F.trim(style))
     named = F.regexp_extract(low, r"heading\s*(\d+)", 1)
     out = F.when(named != "", F.greatest(F.lit(1), F.least(F.lit(6), named.cast("int"))))
-    for part, level in (("0th", 1), ("1st", 1), ("2nd", 2), ("3rd", 3), ("4th", 4), ("5th", 4)):
+    for part, level in STYLE_LEVELS:
         out = out.when(F.instr(low, part) > 0, F.lit(level))
     return out
 
@@ -168,7 +172,7 @@ def has_potential_issue(summary: Column) -> Column:
     """Whether a summary's section on potential issues says more than `none identified`; an empty section counts as more."""
     there = summary.rlike(ISSUES)
     said = stripped(F.regexp_replace(F.regexp_extract(summary, ISSUES, 1), "[*_`]", ""))
-    return F.coalesce(there & ~said.rlike(r"(?i)^-?\s*none identified\b"), F.lit(False))
+    return F.coalesce(there & ~said.rlike(NO_ISSUE), F.lit(False))
 
 
 def text_chunks(c: Column, size: int = 2000) -> Column:

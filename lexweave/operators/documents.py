@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from lexweave.functions import markup
 from lexweave.functions import text as t
 
-#: The sections of a report in their order; headings of other names drop what follows them.
+#: What stands for a page without text. A fixed value.
+NO_TEXT = "_No extractable text on this page._"
+#: The sections of a report in their order; headings of other names drop what follows them. Fixed values.
 SECTIONS = ("Author Team", "Introduction", "Section A", "Section B", "Section C", "Section D")
 
 
@@ -190,7 +192,7 @@ def styled_paragraphs(paragraphs: DataFrame) -> DataFrame:
 
 def page_markdown(pages: DataFrame, title: Column, headers: bool = False) -> DataFrame:
     """doc, markdown from extracted pages (doc, page, text)."""
-    body = F.coalesce(F.nullif(t.clean_page(F.coalesce("text", F.lit(""))), F.lit("")), F.lit("_No extractable text on this page._"))
+    body = F.coalesce(F.nullif(t.clean_page(F.coalesce("text", F.lit(""))), F.lit("")), F.lit(NO_TEXT))
     part = F.concat(F.format_string("\n## Page %d\n\n\n", "page"), body) if headers else body
     parts = F.array_sort(F.collect_list(F.struct("page", part.alias("part"))))
     return pages.groupBy("doc").agg(F.concat(t.stripped(F.concat(F.lit("# "), F.first(title), F.lit("\n\n"), F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n"))), F.lit("\n")).alias("markdown"))

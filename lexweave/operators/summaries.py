@@ -15,13 +15,20 @@ from lexweave.operators.documents import CORPUS_ORDER
 SUMMARY_SCHEMA = "term_key string, term string, occurrence_count long, summary string, summary_source string, generated_at string"
 FAILURE_SCHEMA = "term_key string, term string, error string, updated_at string"
 
+# The notices that stand for a summary, their sources, and the head of a prompt's table.
+NOT_APPLIED = "LLM is not applied to the term %s."
+USED_ONCE = "The term '%s' is only used once in the provided texts."
+NOT_USED = "The term '%s' is not used in the provided texts."
+NOTICE_SOURCE, LOCAL_SOURCE = "LLM not applied", "local occurrence notice"
+TABLE_HEAD = "| Statement | Sentence |\n| --- | --- |"
+
 
 def not_applied(term: Column) -> Column:
-    return F.concat(F.lit("LLM is not applied to the term "), term, F.lit("."))
+    return F.format_string(NOT_APPLIED, term)
 
 
 def local_notice(term: Column, n: Column) -> Column:
-    return F.when(n == 1, F.concat(F.lit("The term '"), term, F.lit("' is only used once in the provided texts."))).when(n == 0, F.concat(F.lit("The term '"), term, F.lit("' is not used in the provided texts.")))
+    return F.when(n == 1, F.format_string(USED_ONCE, term)).when(n == 0, F.format_string(NOT_USED, term))
 
 
 def prompts(terms: DataFrame, occurrences: DataFrame, template: str, sources: dict[str, str]) -> DataFrame:
@@ -33,7 +40,7 @@ def prompts(terms: DataFrame, occurrences: DataFrame, template: str, sources: di
     rows = F.transform(F.array_sort(F.collect_list(F.struct(*CORPUS_ORDER, row.alias("row")))), lambda r: r["row"])
     tables = occurrences.groupBy("term_key").agg(F.count("*").alias("c"), rows.alias("rows"))
     held = terms.join(tables, "term_key", "left")
-    head = F.concat(F.lit("Occurrence count: "), F.coalesce("c", F.lit(0)).cast("string"), F.lit("\n\n| Statement | Sentence |\n| --- | --- |"))
+    head = F.concat(F.lit("Occurrence count: "), F.coalesce("c", F.lit(0)).cast("string"), F.lit("\n\n" + TABLE_HEAD))
     filled = F.replace(F.lit(template), F.lit("{term}"), F.col("term"))
     for name, source in sources.items():
         filled = F.replace(filled, F.lit("{" + name + "}"), g.definition_of(F.col("definitions"), source))
@@ -51,7 +58,7 @@ def routes(terms: DataFrame, counts: DataFrame, existing: DataFrame, overwrite:
     is_out = F.col("term_key").isin(*excluded)
     made = F.when(is_out, not_applied(F.col("term"))).when(n <= 1, local_notice(F.col("term"), n))
     has = F.coalesce(t.stripped(F.col("old")) != "", F.lit(False))
-    keep = F.lit(not overwrite) & has & F.when(made.isNotNull(), F.col("old") == made).otherwise(~F.lit(strict_recheck) | ~F.coalesce(F.col("summary_source") == "local occurrence notice", F.lit(False)))
+    keep = F.lit(not overwrite) & has & F.when(made.isNotNull(), F.col("old") == made).otherwise(~F.lit(strict_recheck) | ~F.coalesce(F.col("summary_source") == LOCAL_SOURCE, F.lit(False)))
     route = F.when(keep, "skip").when(is_out, "notice").when(n <= 1, "local").otherwise("model")
     return held.select("term_key", "term", n.alias("n"), route.alias("route"), F.when(keep, F.col("old")).otherwise(made).alias("summary"))
 

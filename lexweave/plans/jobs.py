@@ -123,7 +123,7 @@ def generate_summaries(corpus: Corpus, artifact: str, template: str, placeholder
     asked = routed.filter("route = 'model'").select("term_key", "term", "n")
     prompts = summaries.prompts(corpus.terms.join(asked.select("term_key"), "term_key", "left_semi"), found, template, placeholders)
     answers = summaries.run_model(asked.join(prompts, "term_key"), ask, model, stamp).persist()
-    source = F.when(F.col("route") == "notice", "LLM not applied").otherwise("local occurrence notice")
+    source = F.when(F.col("route") == "notice", summaries.NOTICE_SOURCE).otherwise(summaries.LOCAL_SOURCE)
     notices = routed.filter("route IN ('notice', 'local')").select("term_key", "term", F.col("n").alias("occurrence_count"), "summary", source.alias("summary_source"), F.lit(stamp).alias("generated_at"))
     done = notices.unionByName(answers.filter("error IS NULL").select("term_key", "term", "occurrence_count", "summary", "summary_source", F.col("at").alias("generated_at")))
     failed = answers.filter("error IS NOT NULL").select("term_key", "term", "error", F.col("at").alias("updated_at"))
