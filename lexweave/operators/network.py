@@ -30,6 +30,12 @@ def edges(sentences: DataFrame, active: DataFrame) -> DataFrame:
     return edges_of(term_pairs(sentences, active))
 
 
+def edge_weights(sentences: DataFrame, active: DataFrame) -> DataFrame:
+    """source, target, weight: the edges without their evidence, summed before they are shuffled. Filters and ranges need no
+    more, and a pair that a third of all sentences holds is one row here."""
+    return term_pairs(sentences, active).groupBy("source", "target").agg(F.count("*").alias("weight"))
+
+
 def edges_of(pairs: DataFrame) -> DataFrame:
     evidence = F.array_sort(F.collect_list(F.struct("__at", "statement", "sentence")))
     return pairs.groupBy("source", "target").agg(F.count("*").alias("weight"), F.sort_array(F.collect_set("statement")).alias("statements"), F.transform(evidence, lambda e: F.struct(e["statement"].alias("statement"), e["sentence"].alias("sentence"))).alias("evidence"))

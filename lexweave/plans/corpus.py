@@ -188,6 +188,12 @@ def _network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return network.nodes(terms, usage), network.edges(s, usage.filter("n > 0"))
 
 
+def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = marked_sentences(spark, sf_dir)
+    terms, usage = glossary.grouped(demo_glossary(spark)), marked_usage(spark, sf_dir)
+    return network.nodes(terms, usage), network.edge_weights(s, usage.filter("n > 0"))
+
+
 def network_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _network(spark, sf_dir)[0]
 
@@ -198,12 +204,12 @@ def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = network.filtered(*_network(spark, sf_dir), (2, 100_000), (2, 100_000))
+    n, e = network.filtered(*_weights(spark, sf_dir), (2, 100_000), (2, 100_000))
     return n.select(F.lit("node").alias("kind"), "id", F.lit("").alias("target"), "count").unionByName(e.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), "target", F.col("weight").alias("count")))
 
 
 def network_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.ranges(*_network(spark, sf_dir))
+    return network.ranges(*_weights(spark, sf_dir))
 
 
 def network_file(spark: SparkSession, sf_dir: str) -> DataFrame:
