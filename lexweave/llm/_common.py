@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -26,11 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='lexweave-')}"
+        found = tempfile.mkdtemp(prefix="lexweave-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        found = f"file://{found}"
         spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
