@@ -46,7 +46,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends here, and lost executors cost no recomputation."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step and no result reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def kept_columns(df: DataFrame, made: list[str], keep: list[str] | None) -> list[str]:

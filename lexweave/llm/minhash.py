@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import quoted, stored, text_slices
+from lexweave.llm._common import discard, quoted, stored, text_slices
 
 #: Documents are linked from this similarity on where nothing else is asked for.
 SIMILARITY = (80, 100)
@@ -191,7 +191,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least(both).select("a", F.least("a", "m").alias("m")), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = down.join(least(down), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least(down).select("a", F.col("m").alias("b")))
-        now = stored(small.filter("a <> b").distinct(), "star")
+        before, now = now, stored(small.filter("a <> b").distinct(), "star")
+        discard(before)
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == last:
             return now.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
@@ -244,6 +245,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = close.select(F.least(a("id"), b("id")).alias("pivot"), F.greatest(a("id"), b("id")).alias("id")).distinct()
     late = _compared(pairs, texts, width, similarity, False).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     final = stored(components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "minhash-components")
+    discard(members, with_pivot, texts, merged, left, tokens)
 
     named = classes.select("k1", "k2", F.col("id").alias("rep")).join(final, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("of_class"))
     # an id with several texts stands in several classes, which the graph above has joined where they share it

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import bins_for, quoted, running_in_bins, stored
+from lexweave.llm._common import bins_for, discard, quoted, running_in_bins, stored
 
 KEY_BITS = 60
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -72,7 +72,9 @@ def plan_mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     capped = F.col("source_size") * F.lit(most) <= F.lit(level) * F.col("weight")
     target = F.when(capped, F.col("source_size") * F.lit(most)).otherwise(F.lit(level) * F.col("weight"))
     targets = weighed.select("source", "source_size", target.alias("target")).withColumn("words", F.floor("target")).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0).cast("long"))).withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size"))
-    return Mix(sized, stored(_cut(sized, targets), "mix-cuts"), id_col, text_col, source_col, seed)
+    cuts = stored(_cut(sized, targets), "mix-cuts")
+    discard(sources, weighed)
+    return Mix(sized, cuts, id_col, text_col, source_col, seed)
 
 
 def _water_level(sources: DataFrame, share: float, most: float) -> float:
