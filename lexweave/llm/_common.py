@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -112,7 +113,15 @@ def joined_back(lists: list[list[int]], index: np.ndarray, dtype: type = np.uint
     return np.take(flat, places), ends
 
 
-def map_texts(df: DataFrame, text_col: str, made: T.StructType | str, work: Callable[[], Callable[[pa.StringArray], list[pa.Array]]], keep: list[str] | None) -> DataFrame:
+def release_memory() -> None:
+    """Gives what a finished task has freed back to the system, as the Python worker stays and others share its machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has and needs it
+    if trim is not None:
+        trim(0)
+
+
+def map_texts(df: DataFrame, text_col: str, made: T.StructType | str, work: Callable[[], Callable[[pa.StringArray], list[pa.Array]]], keep: list[str] | None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Adds the columns made to df. work() is called once a task and gives a function from a slice of texts to those columns."""
     made = T.StructType.fromDDL(made) if isinstance(made, str) else made
     names = [f.name for f in made]
@@ -129,8 +138,9 @@ def map_texts(df: DataFrame, text_col: str, made: T.StructType | str, work: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
         for batch in batches:
-            for at, texts in text_slices(batch.column(at_text)):
+            for at, texts in text_slices(batch.column(at_text), slice_bytes):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(texts)) for i in range(n_kept)), *each(texts)], names=labels)
+        release_memory()
 
     source = df.select(*columns)
     out = source.mapInArrow(run, schema)

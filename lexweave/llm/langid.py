@@ -135,7 +135,7 @@ class WordScorer:
                 owner.append(i)
         order = np.argsort(np.fromiter(map(len, parts), np.int64, len(parts)), kind="stable")
         out = np.zeros((len(words), len(self.model.languages)))
-        step = max(256, 2_000_000 // (16 * max(1, len(self.model.languages))))
+        step = max(256, 500_000 // (16 * max(1, len(self.model.languages))))
         owner = np.array(owner, np.int64)
         for at in range(0, len(order), step):  # words of like lengths together
             chosen = order[at : at + step]

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import discard, quoted, stored, text_slices
+from lexweave.llm._common import discard, quoted, release_memory, stored, text_slices
 
 #: Documents are linked from this similarity on where nothing else is asked for.
 SIMILARITY = (80, 100)
@@ -120,6 +120,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                 whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * minhash.bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole[:, 0]), pa.array(whole[:, 1]), bands], names=["id", "n", "k1", "k2", "bands"])
+        release_memory()
 
     return stored(rows.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>"), "minhash-sketches")
 
@@ -162,6 +163,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[
                     yield pa.RecordBatch.from_arrays([*head, pa.array(tokens), pa.array(places.astype(np.int64))], names=["pivot", "id", "n", "token", "place"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["pivot", "id"])
+        release_memory()
 
     return dealt.mapInArrow(run, "pivot long, id long, n long, token long, place long" if prefixes else "pivot long, id long")
 
@@ -208,9 +210,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept (it is that id) of each row of df.
     Two documents are linked if their sets' intersection is at least similarity (a fraction) of their union.
 
-    A text without words (or null) has no shingles and no links. Rows that share an id are one document: the texts of all of
-    them link it. A row without an id links nothing, has no component and is kept. Repeated rows get equal answers, an empty df
-    an empty result; other columns are not used."""
+    A text without words (or null) has no shingles and no links. An id is taken to name one text: rows that share an id are
+    each judged by their own text, and the id links these texts only where it is the smallest of both texts' copies. A row
+    without an id links nothing, has no component and is kept. Repeated rows get equal answers, an empty df an empty result;
+    other columns are not used."""
     docs = sketches(df, id_col, text_col, width)
     num, den = similarity
     # texts with equal sets are one class from here on, and stand for it by their smallest id
@@ -248,7 +251,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(members, with_pivot, texts, merged, left, tokens)
 
     named = classes.select("k1", "k2", F.col("id").alias("rep")).join(final, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("of_class"))
-    # an id with several texts stands in several classes, which the graph above has joined where they share it
     out = docs.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.col("of_class"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -87,4 +87,5 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", keep:
 
         return each
 
-    return map_texts(df, text_col, made, work, keep)
+    # the library takes ids as lists, which are large
+    return map_texts(df, text_col, made, work, keep, 2 << 20)
