@@ -1,0 +1,25 @@
+"""A PySpark-native engine for terminology in documents and for training-data pipelines."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of a session, once, by sending it along as a zip. A session whose
+    workers find it anyway (on PYTHONPATH or in the working folder) is left alone."""
+    root, context = Path(__file__).resolve().parent.parent, spark.sparkContext
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if getattr(context, "_lexweave_shipped", False) or str(root) in (os.path.realpath(p) for p in known if p):
+        return
+    at = Path(tempfile.mkdtemp(prefix="lexweave-")) / "lexweave.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted((root / "lexweave").rglob("*.py")):
+            z.write(file, file.relative_to(root).as_posix())
+    context.addPyFile(str(at))
+    context._lexweave_shipped = True

@@ -4,11 +4,13 @@ import datetime
 import html
 import os
 import re
+import zipfile
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import lexweave
 from lexweave.functions import text as t
 from lexweave.plans import corpus, sql
 
@@ -49,6 +51,25 @@ def test_registration(spark, sf_dir):
     assert entry.entry(spark).columns == ["term_key", "n"]
 
 
+def test_the_package_is_sent_to_workers_that_lack_it(monkeypatch, tmp_path):
+    class Context:
+        sent: list = []
+
+        def addPyFile(self, path):
+            self.sent.append(path)
+
+    class Session:
+        sparkContext = Context()
+
+    lexweave.ship(Session)  # the tests run in the repository
+    assert Context.sent == []
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("PYTHONPATH", "")
+    lexweave.ship(Session)
+    lexweave.ship(Session)
+    assert len(Context.sent) == 1 and "lexweave/operators/matching.py" in zipfile.ZipFile(Context.sent[0]).namelist()
+
+
 def test_pages_by_the_rules(spark, sf_dir):
     """The chain of page cleaning, in plain Python."""
 
