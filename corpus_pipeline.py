@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave import ship
 from lexweave.llm import langid, minhash, mixing, pieces, secret_scan
 from lexweave.llm._common import new_folder
 from lexweave.llm.queries import vocabulary
@@ -20,6 +21,7 @@ LEAST_SHARE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents of which a language can be told: those with a letter and a clear best language. The model learns
     from the labelled documents that are not held out; without any, every document with a letter stays."""
+    ship(spark)
     model = langid.fit(docs.filter(~langid.held_out()), langid.public_pieces(vocabulary("piece_bpe_32k.model")))
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -29,6 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links of similarity 0.8 connect, the one of the smallest id, once if its row is
     repeated. Documents without an id are in no group and stay."""
+    ship(spark)
     dropped = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
@@ -37,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in the place of every secret; all documents stay."""
+    ship(spark)
     clean = secret_scan.redact_secrets(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
@@ -48,6 +52,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each whole text (little-endian unsigned 32-bit, with begin and end) and whether they decode to it."""
+    ship(spark)
     made = pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"))
     return made.select("doc_id", "lang", "source", F.expr("length(ids) div 4").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
