@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import chunk_array, joined_back, new_folder, quoted, range_bucket, range_splits, running_in_bins, stored, text_buffers, text_slices
+from lexweave.llm._common import chunk_array, joined_back, new_folder, quoted, range_bucket, range_splits, release_memory, running_in_bins, stored, text_buffers, text_slices
 
 MAGIC = b"LXWM"
 #: A file is closed once it holds this many ids; a document is never cut, so a longer one makes a larger file.
@@ -188,7 +188,7 @@ class ByteEncoder:
     distinct piece of a slice is encoded once. A piece that is one word goes straight to the library's BPE model, any other
     through the whole tokenizer. Texts with white space beyond ASCII or with a special token's string are encoded whole."""
 
-    def __init__(self, tokenizer_path: str, special_strings_as_text: bool = False, known_words: int = 800_000):
+    def __init__(self, tokenizer_path: str, special_strings_as_text: bool = False, known_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -323,7 +323,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, texts in text_slices(batch.column(1), 16 << 20):
+            for at, texts in text_slices(batch.column(1), 8 << 20):
                 flat, ends = encoder(texts)
                 sizes = np.diff(ends) + 1
                 with_end = np.full(len(flat) + len(texts), end_id, flat.dtype)
@@ -338,6 +338,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
                     yield close()
         if docs:
             yield close()
+        release_memory()
 
     from pyarrow import fs
 
