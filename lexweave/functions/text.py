@@ -18,7 +18,8 @@ BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0
 W = r"[\p{L}\p{N}_]"
 #: What ends a line beside \n: also separators that a plain text reader does not know.
 LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
-#: Page furniture that a text extraction leaves behind; a parameter where it is used.
+#: Page furniture that a text extraction leaves behind, whatever the document; a parameter where it is used, so that a caller adds
+#: the running titles of its own documents. Fixed values.
 BOILERPLATE = (r"do\s+not\s+cite,\s*quote\s+or\s+distribute", r"total\s+pages\s*:\s*\d+")
 # The forms that a report's lines, its citations' markup and a summary's section on issues are written in.
 #: The assessment markup that is removed before terms are paired: (high confidence, ...) and {...}.
@@ -29,8 +30,17 @@ FIGURE = r"^Figure" + WS + r"+(SPM\.\d+):" + WS + r"+(.*)$"
 SUMMARY_ITEM = r"^(?:#{1,6}" + WS + r"+)?\[(ES\d+\.\d+(?:\.\d+)?)\]" + WS + r"+(.*)$"
 ISSUES = r"(?imsd)^###\s+Potential issues(?:\s+(?:needing|for))?\s+substantive review[^\n]*\n(.*?)(?=\n###\s|\z)"
 NO_ISSUE = r"(?i)^-?\s*none identified\b"
-#: Parts of style names and the heading levels they stand for, the first that fits counting.
-STYLE_LEVELS = (("0th", 1), ("1st", 1), ("2nd", 2), ("3rd", 3), ("4th", 4), ("5th", 4))
+#: What `See X (under P)` begins with, and `See X.`; `See also` is neither.
+SEE_UNDER = rf"(?iud)^See(?!{WS}+also\b){WS}+.+?{WS}+\(under{WS}+"
+SEE = rf"(?iud)^See(?!{WS}+also\b){WS}+(.+?)\.?\z"
+#: Phrases of style names and the heading levels they stand for, the first that fits counting.
+STYLE_LEVELS = (
+    ("0th level chapter heading", 1),
+    ("1st level heading", 2),
+    ("2nd level heading", 3),
+    ("3rd level heading", 4),
+    ("4th level heading", 5),
+)
 
 
 def lit_regex(text: str) -> str:
@@ -117,11 +127,10 @@ def clean_page(c: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
 
 def parent_of(explanation: Column) -> Column:
     """The parent in `See X (under P)` or `See X.`; `See also` names none."""
-    under = r"(?id)^See(?!\s+also\b)\s+.+?\s+\(under\s+"
-    rest = F.rtrim(F.regexp_replace(F.regexp_replace(explanation, under, ""), r"\.+$", ""), F.lit(BLANKS))
-    see = F.regexp_extract(explanation, r"(?id)^See(?!\s+also\b)\s+(.+?)\.?\z", 1)
-    direct = F.trim(F.regexp_replace(see, r"\.+$", ""))
-    return F.when(explanation.rlike(under) & rest.endswith(")"), F.regexp_replace(rest, r"\)\z", "")).otherwise(direct)
+    rest = F.rtrim(F.regexp_replace(F.regexp_replace(explanation, SEE_UNDER, ""), r"\.+\z", ""), F.lit(BLANKS))
+    direct = stripped(F.regexp_replace(F.regexp_extract(explanation, SEE, 1), r"\.+\z", ""))
+    under = F.rtrim(F.regexp_replace(rest, r"\)\z", ""), F.lit(BLANKS))
+    return F.when(explanation.rlike(SEE_UNDER) & rest.endswith(")"), under).otherwise(direct)
 
 
 def chapter_of(name: Column) -> Column:
@@ -131,11 +140,12 @@ def chapter_of(name: Column) -> Column:
 
 def heading_level(style: Column) -> Column:
     """The level a paragraph style stands for, or null."""
-    low = F.lower(F.trim(style))
-    named = F.regexp_extract(low, r"heading\s*(\d+)", 1)
-    out = F.when(named != "", F.greatest(F.lit(1), F.least(F.lit(6), named.cast("int"))))
-    for part, level in STYLE_LEVELS:
-        out = out.when(F.instr(low, part) > 0, F.lit(level))
+    low = F.lower(stripped(style))
+    named = F.regexp_extract(low, f"heading{WS}*([0-9]+)", 1)
+    # a number of any length is at least 6 where it does not fit
+    out = F.when(named != "", F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(named.try_cast("int"), F.lit(6)))))
+    for phrase, level in STYLE_LEVELS:
+        out = out.when(F.contains(low, F.lit(phrase)), F.lit(level))
     return out
 
 
@@ -156,7 +166,7 @@ def statement_of(section: Column, line: Column) -> Column:
     first-level one, or the section's own line."""
     figure = (F.regexp_extract(line, FIGURE, 1) != "") & section.startswith("Section ")
     numbered, first = F.regexp_extract(line, NUMBERED, 1), F.regexp_extract(line, FIRST_LEVEL, 1)
-    number = F.when(figure, F.concat(F.substring(section, 9, 100), F.lit("-Figure "), F.regexp_extract(line, FIGURE, 1))).when(numbered != "", numbered).when(first != "", first).otherwise(section)
+    number = F.when(figure, F.concat(F.substr(section, F.lit(9)), F.lit("-Figure "), F.regexp_extract(line, FIGURE, 1))).when(numbered != "", numbered).when(first != "", first).otherwise(section)
     text = F.when(figure, F.regexp_extract(line, FIGURE, 2)).when(numbered != "", F.regexp_extract(line, NUMBERED, 2)).when(first != "", F.regexp_extract(line, FIRST_LEVEL, 2)).otherwise(line)
     return F.struct(number.alias("statement"), text.alias("statement_text"), figure.alias("whole"))
 
@@ -200,7 +210,7 @@ def property_name(c: Column) -> Column:
     return folded(collapsed(c))
 
 
-#: An IPv4 or IPv6 address.
+# Fixed values of the address formats: IPv4 and IPv6.
 IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV6 = r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=(?:.*::))(?!.*::.*::)(?:(?:[0-9a-fA-F]{1,4}:){0,6}[0-9a-fA-F]{1,4})?::(?:(?:[0-9a-fA-F]{1,4}:){0,6}[0-9a-fA-F]{1,4})?"
 

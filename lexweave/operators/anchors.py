@@ -47,28 +47,30 @@ def statement_targets(occurrences: DataFrame, target: str, order: tuple[str, ...
 
 
 def term_anchors(terms: DataFrame) -> DataFrame:
-    """term_key, anchor: unique ids in the order of the keys. Where a number is added, the result may itself be the plain id of
-    another term, so ids are claimed one after another; a glossary is small, and each base's terms are numbered in Spark first."""
-    based = terms.select("term_key", t.term_anchor(F.col("term_key")).alias("base"))
-    digits = based.withColumn("stem", F.regexp_replace("base", r"(-\d+)+$", ""))
-    # only terms whose bases share a stem can meet, and those are claimed together
-    claimed = digits.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("term_key", "base"))).alias("rows"))
-
-    @F.pandas_udf("array<struct<term_key:string,anchor:string>>")
-    def claim(groups: pd.Series) -> pd.Series:
-        def one(rows):
-            taken, out = set(), []
-            for r in rows:
-                anchor, k = r["base"], 2
-                while anchor in taken:
-                    anchor, k = f"{r['base']}-{k}", k + 1
-                taken.add(anchor)
-                out.append({"term_key": r["term_key"], "anchor": anchor})
-            return out
-
-        return groups.map(one)
-
-    return claimed.select(F.inline(claim("rows")))
+    """term_key, anchor: unique ids in the order of the keys, the second term of an id getting -2 and so on. Terms whose ids
+    share a stem with no other id are numbered by a window, however many they are. Where a numbered id may itself be the plain id
+    of another term, the ids of that stem are claimed one after another, each from the next free number of its base on."""
+    based = terms.select("term_key", t.term_anchor(F.col("term_key")).alias("base")).withColumn("stem", F.regexp_replace("base", r"(-[0-9]+)+$", ""))
+    of_stem = based.groupBy("stem").agg((F.min("base") == F.max("base")).alias("alone"))
+    placed = based.join(of_stem, "stem")
+    turn = F.row_number().over(Window.partitionBy("base").orderBy("term_key"))
+    numbered = placed.filter("alone").withColumn("turn", turn).select("term_key", F.when(F.col("turn") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "turn")).alias("anchor"))
+
+    def claim(group: pd.DataFrame) -> pd.DataFrame:
+        free: dict[str, int] = {}
+        taken: set[str] = set()
+        out = []
+        for base in group.sort_values("term_key")["base"]:
+            anchor = base
+            while anchor in taken:
+                free[base] = free.get(base, 1) + 1
+                anchor = f"{base}-{free[base]}"
+            taken.add(anchor)
+            out.append(anchor)
+        return pd.DataFrame({"term_key": group["term_key"].sort_values(), "anchor": out})
+
+    claimed = placed.filter("NOT alone").select("term_key", "base", "stem").groupBy("stem").applyInPandas(claim, "term_key string, anchor string")
+    return numbered.unionByName(claimed)
 
 
 def html_sections(report: DataFrame, units: DataFrame, labels: dict[str, str]) -> DataFrame:

@@ -31,7 +31,7 @@ def report_lines(lines: DataFrame, skip: str = "") -> DataFrame:
     headings, of the table of contents, and blank ones go; headings of three marks and more are ordinary lines. The section
     named by skip is left out."""
     bare = lines.withColumn("line", t.collapsed(F.col("line"))).filter(F.col("line") != "")
-    heading = F.lower(F.trim(F.substring("line", 4, 1_000_000)))
+    heading = F.lower(F.trim(F.substr("line", F.lit(4))))
     is_heading = F.col("line").startswith("## ")
     lettered = F.regexp_extract(heading, "^section ([a-d])", 1)
     named = F.when(heading == "introduction", F.lit("Introduction")).when(lettered != "", F.concat(F.lit("Section "), F.upper(lettered))).otherwise(F.lit(""))
@@ -49,7 +49,7 @@ def report_lines(lines: DataFrame, skip: str = "") -> DataFrame:
 def report_titles(lines: DataFrame, default: str = "") -> DataFrame:
     """doc, title: the last `# ` heading with a name."""
     bare = lines.withColumn("line", t.collapsed(F.col("line")))
-    name = F.when(F.col("line").startswith("# "), F.nullif(F.trim(F.substring("line", 3, 1_000_000)), F.lit("")))
+    name = F.when(F.col("line").startswith("# "), F.nullif(F.trim(F.substr("line", F.lit(3))), F.lit("")))
     return bare.groupBy("doc").agg(F.coalesce(F.max_by(name, F.when(name.isNotNull(), F.col("pos"))), F.lit(default)).alias("title"))
 
 

@@ -37,6 +37,8 @@ GLOSSARY = (
     ("", "no term", "", "first"),
 )
 ORDER = ("first", "second")
+#: Paragraph styles that these queries give out in turn.
+STYLES = ("Heading 2", "0th Level Chapter Heading", "X 1st level heading", "2nd level heading ", "3rd level heading", "4th level heading", "Normal", "heading  12", "My 3rd level", "heading 0", "2nd level Heading 3")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -253,7 +255,7 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(t.table_cell(F.col("text"))).alias("cell_md5"), t.heading_anchor("h", F.substring("text", 1, 40)).alias("anchor"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(t.table_cell(F.col("text"))).alias("cell_md5"), t.heading_anchor("h", F.col("text")).alias("anchor"))
 
 
 def page_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +319,7 @@ def _talk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     term = F.pmod("turn", F.lit(2)) == 0
     text = F.when(term, F.concat_ws(" ", "role", F.pmod("conv_id", F.lit(7)))).when(F.pmod("turn", F.lit(7)) == 3, F.concat(F.lit("See "), "role")).otherwise(F.col("text"))
     runs = F.array(F.struct(text.alias("text"), term.alias("bold"), F.lit(None).cast("boolean").alias("italic")))
-    style = F.when(F.pmod("turn", F.lit(3)) == 1, "Heading 2").when(F.pmod("turn", F.lit(5)) == 2, "My 3rd level").otherwise("Normal")
+    style = F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.pmod(F.col("conv_id") + F.col("turn") * 2, F.lit(len(STYLES))) + 1).cast("int"))
     return talk.select(F.pmod("conv_id", F.lit(40)).alias("doc"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), style.alias("style"), F.when(F.pmod("turn", F.lit(4)) == 2, 10.0).alias("left_indent_pt"), runs.alias("runs"))
 
 

@@ -3,6 +3,7 @@ mark that replaces the blanks behind a full stop, and words are bounded by what
 
 from lexweave.plans.corpus import GLOSSARY
 
+# Fixed values, written here once more so that the SQL stands on its own: white space, line ends, the forms of report lines.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 NUMBERED = rf"^([A-D]\d+(?:\.\d+)+){WS}+(.*)$"
@@ -164,7 +165,7 @@ PARAGRAPHS = f"""
 paragraphs AS (
   SELECT conv_id % 40 AS doc, conv_id * 1000 + turn AS pos, turn % 2 = 0 AS is_term, turn % 4 = 2 AS is_sub,
     {collapse("CASE WHEN turn % 2 = 0 THEN role || ' ' || (conv_id % 7) WHEN turn % 7 = 3 THEN 'See ' || role ELSE text END")} AS text,
-    CASE WHEN turn % 3 = 1 THEN 'Heading 2' WHEN turn % 5 = 2 THEN 'My 3rd level' ELSE 'Normal' END AS style
+    ((conv_id + turn * 2) % 11)::INTEGER AS style
   FROM conversations
 )"""
 ANCHORED = f"""{STATED},
@@ -194,7 +195,7 @@ ORACLE_SQL = {
     "glossary_labels": f"WITH {GLOSS} SELECT term_key, {DEFS.format('term')}[1] AS term, {SOURCES} AS sources, coalesce(array_to_string(list_filter({DEFS.format('parent')}, lambda p: p <> ''), '; '), '') AS parents, coalesce(nullif(array_to_string(list_filter({DEFS.format("CASE WHEN source = 'first' THEN explanation END")}, lambda e: e IS NOT NULL), chr(10) || chr(10)), ''), 'Definition not available') AS first FROM gloss GROUP BY term_key",
     "part_glossary": f"""WITH r AS (SELECT {collapse('p_name')} AS term, p_type AS explanation, p_brand AS source, min(p_partkey) AS pos, CASE p_brand WHEN 'Brand#1' THEN 0 WHEN 'Brand#2' THEN 1 ELSE 2 END AS src_rank FROM part WHERE p_name <> '' AND p_type <> '' AND p_brand <> '' GROUP BY ALL)
       SELECT {fold('term')} AS term_key, arg_min(term, (src_rank, source, pos)) AS term, count(*)::BIGINT AS definitions, CASE WHEN bool_or(src_rank = 0) AND bool_or(src_rank = 1) THEN 'Brand#1 + Brand#2' WHEN bool_or(src_rank = 0) THEN 'Brand#1' WHEN bool_or(src_rank = 1) THEN 'Brand#2' ELSE '' END AS sources FROM r GROUP BY 1""",
-    "explanation_parents": rf"WITH {GLOSS} SELECT term_key, source, CASE WHEN regexp_matches(explanation, '(?i)^See\s+also\b') THEN '' WHEN regexp_matches(explanation, '(?i)^See\s+.+?\s+\(under\s+.*\)\.*$') THEN regexp_extract(explanation, '(?i)^See\s+.+?\s+\(under\s+(.*)\)\.*$', 1) WHEN regexp_matches(explanation, '(?i)^See\s+.+') THEN trim(regexp_extract(explanation, '(?i)^See\s+(.+?)\.*$', 1)) ELSE '' END AS found FROM gloss",
+    "explanation_parents": rf"WITH {GLOSS} SELECT term_key, source, CASE WHEN regexp_matches(explanation, '(?i)^See\s+also\b') THEN '' WHEN regexp_matches(explanation, '(?i)^See\s+.+?\s+\(under\s+.*\)\.*$') THEN regexp_extract(explanation, '(?i)^See\s+.+?\s+\(under\s+(.*?)\s*\)\.*$', 1) WHEN regexp_matches(explanation, '(?i)^See\s+.+') THEN trim(regexp_extract(explanation, '(?i)^See\s+(.+?)\.*$', 1)) ELSE '' END AS found FROM gloss",
     "occurrence_rows": f"WITH {FOLDED} SELECT term_key, statement, sentence, doc, pos, sp, origin FROM hits",
     "marked_usage": f"WITH {FOLDED} SELECT * FROM usage",
     "overview": overview("t.term_key = 'of'", ""),
@@ -217,7 +218,7 @@ ORACLE_SQL = {
       made AS (SELECT t.term_key, 'Term ' || t.term || chr(10) || a || chr(10) || b || chr(10) || 'Occurrence count: ' || coalesce(c, 0) || chr(10) || chr(10) || '| Statement | Sentence |' || chr(10) || '| --- | --- |' || coalesce(chr(10) || rows, '') AS p FROM terms AS t JOIN defs AS d ON d.term_key = t.term_key LEFT JOIN said AS s ON s.term_key = t.term_key)
       SELECT term_key, md5(p) AS prompt_md5, length(p)::BIGINT AS chars FROM made""",
     "unknown_terms": f"WITH {GLOSS} SELECT DISTINCT {fold('p_name')} AS term_key FROM part WHERE {fold('p_name')} NOT IN (SELECT term_key FROM gloss)",
-    "table_cells": f"SELECT doc_id, md5(replace({collapse('text')}, '|', '\\|')) AS cell_md5, 'h-' || coalesce({chars_at(fold('substr(text, 1, 40)'))}, 'section') AS anchor FROM documents",
+    "table_cells": f"SELECT doc_id, md5(replace({collapse('text')}, '|', '\\|')) AS cell_md5, 'h-' || coalesce({chars_at(fold('text'))}, 'section') AS anchor FROM documents",
     "page_plain": f"SELECT page_id, md5({collapse("regexp_replace(html, '<[^>]+>', '', 'g')")}) AS plain_md5 FROM pages",
     "chunked_texts": f"WITH s AS (SELECT doc_id, {strip('text')} AS t FROM documents), c AS (SELECT doc_id, t, unnest(range((length(t) + 1999) // 2000)) AS i FROM s) SELECT doc_id, md5(substr(t, i * 2000 + 1, 2000)) AS chunk_md5, length(substr(t, i * 2000 + 1, 2000))::INTEGER AS chars FROM c",
     "audit_records": """WITH r AS (SELECT event_id, event_type AS name, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, CASE WHEN user_id % 300 < 256 THEN '10.0.' || (user_id % 300) || '.7' ELSE '192.0.2.' || (user_id % 256) END AS ip, event_type = 'error' AS wrong FROM events)
@@ -231,8 +232,8 @@ ORACLE_SQL = {
       e AS (SELECT doc, n, min(pos) AS pos, max(text) FILTER (is_term) AS term, {collapse("coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (NOT is_term), '')")} AS explanation, coalesce(max(up), '') AS parent FROM p WHERE n > 0 GROUP BY doc, n),
       c AS (SELECT *, row_number() OVER (PARTITION BY doc, {fold('term')} ORDER BY starts_with(lower(explanation), 'see ')::INTEGER, pos) AS k, min(pos) OVER (PARTITION BY doc, {fold('term')}) AS place FROM e)
       SELECT doc, place AS pos, term, md5(explanation) AS explanation_md5, parent FROM c WHERE k = 1""",
-    "styled_paragraphs": f"WITH {PARAGRAPHS} SELECT doc, pos, md5(CASE style WHEN 'Heading 2' THEN '## ' WHEN 'My 3rd level' THEN '### ' ELSE '' END || text) AS line_md5 FROM paragraphs WHERE text <> ''",
-    "paragraphs_before_style": f"WITH {PARAGRAPHS}, z AS (SELECT *, min(pos) FILTER (style = 'My 3rd level') OVER (PARTITION BY doc) AS z FROM paragraphs) SELECT doc, pos FROM z WHERE z IS NULL OR pos < z",
+    "styled_paragraphs": f"WITH {PARAGRAPHS} SELECT doc, pos, md5(['## ', '# ', '## ', '### ', '#### ', '##### ', '', '###### ', '', '# ', '### '][style + 1] || text) AS line_md5 FROM paragraphs WHERE text <> ''",
+    "paragraphs_before_style": f"WITH {PARAGRAPHS}, z AS (SELECT *, min(pos) FILTER (style = 8) OVER (PARTITION BY doc) AS z FROM paragraphs) SELECT doc, pos FROM z WHERE z IS NULL OR pos < z",
     "listed_entries": """WITH l AS (SELECT conv_id AS doc, turn AS pos, turn % 3 = 1 AS is_entry, turn = 6 AND conv_id % 2 = 0 AS is_stop, 'Term' || turn AS term, CASE WHEN turn % 3 = 1 THEN 'of ' || role ELSE 'more ' || turn END AS rest FROM conversations),
       b AS (SELECT *, min(pos) FILTER (pos = 1) OVER (PARTITION BY doc) AS a FROM l), z AS (SELECT *, min(pos) FILTER (is_stop) OVER (PARTITION BY doc) AS z FROM b WHERE pos >= a),
       n AS (SELECT *, sum(is_entry::INTEGER) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM z WHERE z IS NULL OR pos < z)

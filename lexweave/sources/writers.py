@@ -4,10 +4,12 @@ files are made of what fits one of them by nature (a glossary, a network, a page
 from __future__ import annotations
 
 import io
+import json
 import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +37,27 @@ def _store(spark: SparkSession, path: str):
 
 
 def write_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """A file that is there whole or not at all: written beside and renamed, in any store that Spark knows."""
+    """A file that is there whole or not at all: written beside and renamed over what stood there, in one step of the store, so
+    a crash at any moment leaves the old file or the new one. Stores that do not rename files in one step (objects) put a file in
+    its place only when it is closed."""
     at, store, jvm = _store(spark, path)
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = jvm.org.apache.hadoop.fs
+    at = at.makeQualified(store.getUri(), store.getWorkingDirectory())
+    try:
+        context = fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    except Py4JJavaError as e:
+        if "UnsupportedFileSystemException" not in str(e.java_exception):
+            raise
+        context = None
+    beside = at if context is None else fs.Path(f"{at.toString()}.{uuid.uuid4().hex}.tmp")
     out = store.create(beside, True)
     out.write(data)
     out.close()
-    if store.exists(at):
-        store.delete(at, False)
-    if not store.rename(beside, at):
-        raise OSError(f"{beside} could not be renamed to {path}")
+    if context is not None:
+        rename = getattr(fs, "Options$Rename")
+        over = spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        context.rename(beside, at, over)
 
 
 def artifact_json(summaries: DataFrame, failures: DataFrame, model: str, created_at: str, updated_at: str) -> str:
@@ -54,9 +67,10 @@ def artifact_json(summaries: DataFrame, failures: DataFrame, model: str, created
         made = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("term_key").alias("key"), F.struct(*rest).alias("value")))))
         return df.agg(made.alias("r"))
 
-    both = records(summaries).withColumnRenamed("r", "summaries").crossJoin(records(failures).withColumnRenamed("r", "failures"))  # two single rows
-    head = [F.lit(1).alias("format_version"), F.lit(model).alias("model"), F.lit(created_at).alias("created_at"), F.lit(updated_at).alias("updated_at")]
-    return both.select(F.to_json(F.struct(*head, "summaries", "failures"))).first()[0] + "\n"
+    # each half is one JSON object, as the file is one by its format
+    halves = [records(df).select(F.to_json(F.struct(F.col("r").alias(name)))).first()[0] for name, df in (("summaries", summaries), ("failures", failures))]
+    head = json.dumps({"format_version": 1, "model": model, "created_at": created_at, "updated_at": updated_at}, ensure_ascii=False)
+    return ",".join([head[:-1], halves[0][1:-1], halves[1][1:]]) + "\n"
 
 
 def xlsx_bytes(header: list[str], rows: list[list[str]], sheet: str = "Glossary") -> bytes:

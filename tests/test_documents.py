@@ -161,8 +161,23 @@ def test_marked_paragraphs(spark):
     rows = [paragraph(0, "Head", style="H One"), paragraph(1, "Short bold", True), paragraph(2, "plain"), paragraph(3, " ")]
     df = spark.createDataFrame(rows, PARAGRAPHS)
     assert [r["line"] for r in documents.marked_paragraphs(df, {"h one": 1}).orderBy("pos").collect()] == ["# Head", "## **Short bold**", "plain"]
-    styled = spark.createDataFrame([paragraph(0, "a", style="Heading 9"), paragraph(1, "b", style="My 2nd level"), paragraph(2, "c")], PARAGRAPHS)
-    assert [r["line"] for r in documents.styled_paragraphs(styled).orderBy("pos").collect()] == ["###### a", "## b", "c"]
+
+
+@pytest.mark.parametrize(
+    ("style", "level"),
+    [
+        ("0th level chapter heading", 1), ("1st level heading", 2), ("2nd level heading", 3), ("3rd level heading", 4), ("4th level heading", 5),
+        ("My 1ST Level Heading x", 2), ("Heading 9", 6), ("heading0", 1), ("heading\u00a03", 3), ("2nd level heading 4", 4), ("heading 99999999999999999999", 6),
+        ("My 3rd level", None), ("5th level heading", None), ("0th level heading", None), ("", None), ("Normal", None),
+    ],
+)
+def test_levels_of_styles(spark, style, level):
+    assert one(spark, t.heading_level(F.col("x")), x=style) == level
+
+
+def test_styled_paragraphs(spark):
+    styled = spark.createDataFrame([paragraph(0, "a", style="Heading 9"), paragraph(1, "b", style="My 2nd level heading"), paragraph(2, "c")], PARAGRAPHS)
+    assert [r["line"] for r in documents.styled_paragraphs(styled).orderBy("pos").collect()] == ["###### a", "### b", "c"]
 
 
 def test_pages(spark):
@@ -181,7 +196,7 @@ def one(spark, expression, **values):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("See Risk (under Hazard (natural)).", "Hazard (natural)"), ("See Risk.", "Risk"), ("See also Risk.", ""), ("Something. See Risk", ""), ("see risk (under x", "risk (under x"), ("", "")],
+    [("See Risk (under Hazard (natural)).", "Hazard (natural)"), ("See Risk.", "Risk"), ("See also Risk.", ""), ("Something. See Risk", ""), ("see risk (under x", "risk (under x"), ("", ""), ("See X (under P ).", "P"), ("See X (under P) ..", "P"), ("See X...", "X"), ("See X .", "X"), ("See\u00a0X.", "X")],
 )
 def test_parents(spark, text, want):
     assert one(spark, t.parent_of(F.col("x")), x=text) == want
@@ -240,6 +255,10 @@ def test_linker():
 def test_anchors(spark, lines):
     keys = spark.createDataFrame([("foo",), ("foo!",), ("foo 2",), ("bar",), ("é",), ("ü",)], "term_key string")
     assert {r["term_key"]: r["anchor"] for r in anchors.term_anchors(keys).collect()} == {"foo": "term-foo", "foo 2": "term-foo-2", "foo!": "term-foo-3", "bar": "term-bar", "é": "term-item", "ü": "term-item-2"}
+    many = spark.createDataFrame([(chr(0x4E00 + i),) for i in range(4000)] + [("a",), ("a!",), ("a 2",), ("a 2!",), ("a 3",)], "term_key string")
+    given = {r["term_key"]: r["anchor"] for r in anchors.term_anchors(many).collect()}
+    assert len(set(given.values())) == 4005 and {given[chr(0x4E00 + i)] for i in range(4000)} == {"term-item", *(f"term-item-{i}" for i in range(2, 4001))}
+    assert [given[k] for k in ("a", "a 2", "a 2!", "a 3", "a!")] == ["term-a", "term-a-2", "term-a-2-2", "term-a-3", "term-a-4"]
     units = anchors.statement_units(documents.statements(documents.report_lines(lines)))
     twice = units.unionByName(units.withColumn("pos", F.col("pos") + 100))
     marks = anchors.statement_anchors(twice)
