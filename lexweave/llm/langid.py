@@ -3,30 +3,35 @@
 Each language has a probability for every piece of one fixed public vocabulary. A word's probability under a language is the
 sum over all ways to cut it into pieces, found by a forward algorithm; a text's is the product over its words. The piece
 probabilities are fitted by expectation-maximisation on the same lattices.
+
+Words of any length are summed whole. All words of a slice share one lattice: nodes stand between characters, edges are pieces.
+A node that no piece spans is on every segmentation, so the sums of the stretches between such nodes are independent, and all
+stretches are summed side by side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import map_texts, quoted, text_buffers, text_slices
+from lexweave.llm._common import discard, map_texts, quoted, release_memory, stored, text_buffers, text_slices
 
 MARK = "▁"
-#: A longer word is scored in parts of this many characters.
-WIDTH = 32
-#: Pieces of more characters are not used.
-LONGEST = 10
 #: The probability of a character that is no piece.
 UNKNOWN = 1e-7
-_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_BASE = np.uint64(0x100000001B3)
+#: Characters of a lattice that are held at a time.
+WINDOW = 1 << 17
+#: Expected counts are whole multiples of one part in so many, so that their sums do not depend on the order of adding.
+PARTS = 1 << 20
+LOWEST = -(1 << 63)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII beside letters separates words; A-Z become a-z.
 _LETTERS = np.array([b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)], np.uint8)
 
@@ -37,77 +42,138 @@ def public_pieces(model_path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     pieces = (model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-    return sorted({p for p in pieces if len(p) <= LONGEST and p == p.lower() and (body := p.removeprefix(MARK)).isalpha() | (p == MARK)})
+    return sorted({p for p in pieces if p == p.lower() and (p.removeprefix(MARK).isalpha() or p == MARK)})
 
 
 class PieceTable:
-    """Finds the pieces among all substrings of many words at once, by two hash tables without collisions."""
+    """A trie of the pieces, walked from many places of a text at once: a step (node, character) is one whole number, found in
+    two hash tables."""
 
     SLOTS = 20
 
-    def __init__(self, pieces: list[str]):
-        self.pieces = pieces
+    def __init__(self, pieces: tuple[str, ...]):
+        steps: dict[int, int] = {}
+        piece_of = [0]
+        for i, p in enumerate(pieces, 1):
+            node = 0
+            for c in p:
+                step = node << 21 | ord(c)
+                if step not in steps:
+                    steps[step] = len(piece_of)
+                    piece_of.append(0)
+                node = steps[step]
+            piece_of[node] = i
         self.longest = max(map(len, pieces), default=1)
-        hashes = np.zeros(len(pieces), np.uint64)
-        with np.errstate(over="ignore"):
-            for i, p in enumerate(pieces):
-                for c in p:
-                    hashes[i] = (hashes[i] ^ np.uint64(ord(c))) * _BASE + _MIX
-        self.keys = np.concatenate((np.zeros(1, np.uint64), hashes))
-        if len(np.unique(self.keys)) <= len(pieces):
-            raise ValueError("two pieces share a hash")
-        self.first, self.second = (np.zeros(1 << self.SLOTS, np.uint16 if len(pieces) < 1 << 16 else np.uint32) for _ in range(2))
-        rest = []
-        for i, slot in enumerate(self._slots(hashes, _MIX).tolist(), 1):
-            if self.first[slot]:
-                rest.append(i)
-            else:
-                self.first[slot] = i
-        self.mix = _MIX2
-        rest = np.array(rest, np.int64)
-        while len(np.unique(self._slots(self.keys[rest], self.mix))) < len(rest):
-            self.mix = self.mix * _MIX2 | np.uint64(1)
-        self.second[self._slots(self.keys[rest], self.mix)] = rest
-
-    def _slots(self, hashes: np.ndarray, mix: np.uint64) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (hashes * mix) >> np.uint64(64 - self.SLOTS)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of the piece of each hash, from 1; 0 for none."""
-        a, b = self.first[self._slots(hashes, _MIX)], self.second[self._slots(hashes, self.mix)]
-        return np.where(self.keys[a] == hashes, a, np.where(self.keys[b] == hashes, b, 0))
-
-    def lattice(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(end, length, piece numbers) for all substrings of the words in codes (a row of code points each), by end."""
-        n, width = codes.shape
-        hashes = [np.zeros(n, np.uint64) for _ in range(width)]  # of the substrings that begin at each place
-        wide = codes.astype(np.uint64)
-        out = []
+        self.piece_of = np.array(piece_of)
+        self.keys = np.array([-1, *steps]).astype(np.uint64)  # node n is reached by keys[n]
+        self.first, self.second = (np.zeros(1 << self.SLOTS, np.uint32) for _ in range(2))
+        slots = self._slots(self.keys[1:], _MIX)
+        self.first[slots] = np.arange(1, len(self.keys))
+        rest = np.setdiff1d(np.arange(1, len(self.keys)), self.first[slots])
+        self.mix = _MIX
+        while True:
+            with np.errstate(over="ignore"):
+                self.mix = self.mix * _MIX | np.uint64(1)
+            slots = self._slots(self.keys[rest], self.mix)
+            if len(np.unique(slots)) == len(rest):
+                break
+        self.second[slots] = rest
+
+    def _slots(self, keys: np.ndarray, mix: np.uint64) -> np.ndarray:
         with np.errstate(over="ignore"):
-            for end in range(1, width + 1):
-                for begin in range(max(0, end - self.longest), end):
-                    hashes[begin] = (hashes[begin] ^ wide[:, end - 1]) * _BASE + _MIX
-                    out.append((end, end - begin, self.find(hashes[begin])))
-        return out
+            return (keys * mix) >> np.uint64(64 - self.SLOTS)
+
+    def _step(self, node: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The node that each node and character lead to; 0 for none."""
+        keys = (node << 21 | codes).astype(np.uint64)
+        a, b = self.first[self._slots(keys, _MIX)], self.second[self._slots(keys, self.mix)]
+        return np.where(self.keys[a] == keys, a, np.where(self.keys[b] == keys, b, 0)).astype(np.int64)
+
+    def edges(self, codes: np.ndarray, limit: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, piece number) of every piece that begins at a place in lo..hi and ends by the limit of that place, and of
+        every single character there (number 0 if it is no piece)."""
+        begin, node, length, out = np.arange(lo, hi), np.zeros(hi - lo, np.int64), 0, []
+        while len(begin):
+            length += 1
+            fits = begin + length <= limit[begin]
+            begin, node = begin[fits], node[fits]
+            node = self._step(node, codes[begin + length - 1])
+            piece = self.piece_of[node]
+            there = slice(None) if length == 1 else piece > 0
+            out.append((begin[there], begin[there] + length, piece[there]))
+            begin, node = begin[node > 0], node[node > 0]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+@lru_cache(maxsize=2)
+def piece_table(pieces: tuple[str, ...]) -> PieceTable:
+    """One table for all tasks of a Python worker."""
+    return PieceTable(pieces)
 
 
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words (at most WIDTH + 1 each), padded by zeros, and their lengths."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    width = int(lengths.max()) if len(words) else 1
-    return np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width), lengths
-
-
-def _forward(edges, n: int, width: int, probs: np.ndarray) -> np.ndarray:
-    alpha = np.zeros((width + 1, n, probs.shape[1]))
-    alpha[0] = 1
-    for end, length, ids in edges:
-        step = probs[ids]
-        if length == 1:
-            step[ids == 0] = UNKNOWN
-        alpha[end] += alpha[end - length] * step
-    return alpha
+    """The code points of all words in a row, and where each begins (with the end)."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return codes, np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+
+
+class Window:
+    """The edges that end in (s, e] of a lattice, and which nodes of lo..e are on every segmentation (cut)."""
+
+    def __init__(self, table: PieceTable, codes: np.ndarray, limit: np.ndarray, s: int, e: int):
+        self.lo = lo = max(0, s - table.longest)
+        begin, end, piece = table.edges(codes, limit, lo, e)
+        spanned = np.zeros(e + table.longest + 2 - lo, np.int64)
+        long = end - begin > 1
+        np.add.at(spanned, begin[long] + 1 - lo, 1)
+        np.add.at(spanned, end[long] - lo, -1)
+        self.cut = np.cumsum(spanned)[: e + 1 - lo] == 0
+        inside = (end > s) & (end <= e)
+        self.begin, self.end, self.piece = begin[inside], end[inside], piece[inside]
+        self.s, self.e = s, e
+
+    def shrunk(self) -> Window | None:
+        """The window up to its last cut node behind s; None without any."""
+        at = np.flatnonzero(self.cut[self.s + 1 - self.lo :])
+        if not len(at):
+            return None
+        self.e = self.s + 1 + int(at[-1])
+        self.cut = self.cut[: self.e + 1 - self.lo]
+        inside = self.end <= self.e
+        self.begin, self.end, self.piece = self.begin[inside], self.end[inside], self.piece[inside]
+        return self
+
+    def sweep(self, logp: np.ndarray, known: np.ndarray, backward: bool = False) -> np.ndarray:
+        """For each node of lo..e the logarithm of the sum over all ways from the cut node before it (backward: to the cut node
+        behind it). logp has a row for each edge, known a row for each node of lo..s: what these nodes give to their edges."""
+        nodes = np.arange(self.lo, self.e + 1)
+        if backward:
+            source, target = self.end, self.begin
+            after = np.minimum.accumulate(np.where(self.cut | (nodes == self.e), nodes, self.e)[::-1])[::-1]
+            level = np.append(after[1:], self.e) - nodes
+        else:
+            source, target = self.begin, self.end
+            before = np.maximum.accumulate(np.where(self.cut | (nodes <= self.s), nodes, self.lo))
+            level = nodes - np.append(self.lo, before[:-1])
+        order = np.lexsort((target, level[target - self.lo]))
+        source, target, logp = source[order] - self.lo, target[order] - self.lo, logp[order]
+        first = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))  # the first edge of each target
+        sizes = np.diff(np.append(first, len(target)))
+        goal = target[first]
+        turns = np.flatnonzero(np.concatenate(([True], level[goal[1:]] != level[goal[:-1]], [True])))
+        out = np.zeros((len(nodes), *logp.shape[1:]))
+        gives = out.copy()  # a cut node begins anew: it gives 0
+        gives[: len(known)] = known
+        for a, b in zip(turns.tolist(), turns[1:].tolist(), strict=False):
+            x, z = int(first[a]), int(first[b]) if b < len(first) else len(target)
+            values = gives[source[x:z]] + logp[x:z]
+            at = first[a:b] - x
+            top = np.maximum.reduceat(values, at)
+            total = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, sizes[a:b], 0)), at))
+            out[goal[a:b]] = total
+            gives[goal[a:b]] = np.where(self.cut[goal[a:b]].reshape(-1, *(1,) * (total.ndim - 1)), 0, total)
+        self.gives = gives
+        return out
 
 
 @dataclass
@@ -122,26 +188,33 @@ class LanguageModel:
         return WordScorer(self)
 
 
+def _logs(probs: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        out = np.log(probs)
+    out[0] = np.log(UNKNOWN)
+    return out
+
+
 class WordScorer:
     def __init__(self, model: LanguageModel):
-        self.model, self.table = model, PieceTable(model.pieces)
-
-    def log_probs(self, words: list[str]) -> np.ndarray:
-        """The logarithm of each word's probability (words begin with the marker) under each language."""
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for at in range(0, len(w), WIDTH + 1):
-                parts.append(w[at : at + WIDTH + 1])
-                owner.append(i)
-        order = np.argsort(np.fromiter(map(len, parts), np.int64, len(parts)), kind="stable")
+        self.model, self.table, self.logp = model, piece_table(tuple(model.pieces)), _logs(model.probs)
+
+    def log_probs(self, words: list[str], window: int = WINDOW) -> np.ndarray:
+        """The logarithm of each word's probability (words begin with the marker) under each language. Memory follows the window,
+        not the longest word: the nodes before a window hand over what later pieces can reach."""
+        codes, bounds = coded(words)
+        limit = np.repeat(bounds[1:], np.diff(bounds))
         out = np.zeros((len(words), len(self.model.languages)))
-        step = max(256, 500_000 // (16 * max(1, len(self.model.languages))))
-        owner = np.array(owner, np.int64)
-        for at in range(0, len(order), step):  # words of like lengths together
-            chosen = order[at : at + step]
-            codes, lengths = coded([parts[i] for i in chosen.tolist()])
-            alpha = _forward(self.table.lattice(codes), len(chosen), codes.shape[1], self.model.probs)
-            np.add.at(out, owner[chosen], np.log(alpha[lengths, np.arange(len(chosen))]))
+        handed, s = np.zeros((1, out.shape[1])), 0
+        while s < len(codes):
+            w = Window(self.table, codes, limit, s, min(len(codes), s + window))
+            sums = w.sweep(self.logp[w.piece], handed[len(handed) - 1 - (s - w.lo) :])
+            at = np.flatnonzero(w.cut & (np.arange(w.lo, w.e + 1) > s))
+            if len(at):
+                word = np.searchsorted(bounds, at + w.lo, side="left") - 1
+                first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                out[word[first]] += np.add.reduceat(sums[at], first)
+            handed, s = w.gives, w.e
         return out
 
     def __call__(self, texts: pa.StringArray) -> tuple[list[str], list[float]]:
@@ -173,17 +246,25 @@ def words_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return table.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy(zero_copy_only=False).astype(np.int64), table.dictionary.to_pylist()
 
 
-def fit(df: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500, words_per_language: int = 40_000, rounds: int = 3) -> LanguageModel:
+def hash_bound(wanted: int, count: int) -> int:
+    """The signed 64-bit number up to which a uniform hash picks about wanted of count rows, however many they are."""
+    return LOWEST + min((1 << 64) - 1, (wanted << 64) // max(1, count))
+
+
+def fit(df: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500, rounds: int = 3) -> LanguageModel:
     """Fits a model on a bounded sample of the labelled rows of df: about per_language rows of each language, chosen by the hash
-    of their id, and of their words the words_per_language most frequent ones. Rows without a language teach nothing; without
-    any the model knows no language."""
+    of their id (of their text, without an id); all words of these rows teach. Rows without a language teach nothing; without any
+    the model knows no language.
+
+    The words are counted and each round of expectation-maximisation runs distributed; a row for each language, and for each
+    piece of the vocabulary and language, reaches the driver."""
     rows = df.filter(quoted(lang_col).isNotNull()).select(quoted(id_col).cast("string").alias("id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
     languages = sorted(counts)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, per_language / counts[k]) * 1_000_000))])[F.col("lang")]
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("lang", "text")
+    bound = F.create_map(*[F.lit(x) for k in languages for x in (k, hash_bound(per_language, counts[k]))])[F.col("lang")]
+    sample = rows.filter(F.xxhash64(F.coalesce("id", "text")) <= bound).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,56 +274,67 @@ def fit(df: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str
                 of_word = np.repeat(np.searchsorted(languages, lang.astype(str)), np.diff(bounds))
                 keys, n = np.unique(of_word * len(table) + index, return_counts=True) if len(index) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 words = [table[k % len(table)].lower() for k in keys.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([languages[k // len(table)] for k in keys.tolist()], pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
-
-    found = sample.mapInArrow(count, "lang string, word string, n long").filter("word <> '' and length(word) <= 32").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = found.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= words_per_language)
-    table = top.select("lang", "word", "n").toPandas()  # bounded by the two parameters
-    words = sorted(table["word"].unique())
-    weights = np.zeros((len(words), len(languages)))
-    weights[np.searchsorted(words, table["word"]), np.searchsorted(languages, table["lang"])] = table["n"]
-    return LanguageModel(languages, pieces, expectation_maximisation(pieces, [MARK + w for w in words], weights, rounds))
-
-
-def expectation_maximisation(pieces: list[str], words: list[str], weights: np.ndarray, rounds: int) -> np.ndarray:
-    table, k, g = PieceTable(pieces), len(pieces) + 1, weights.shape[1]
-    order = np.argsort([len(w) for w in words], kind="stable")
-    groups = []
-    for at in range(0, len(order), 20_000):
-        chosen = order[at : at + 20_000]
-        codes, lengths = coded([words[i] for i in chosen])
-        groups.append((chosen, lengths, codes.shape[1], table.lattice(codes)))
-
-    def normal(counts: np.ndarray) -> np.ndarray:
-        counts = counts + 0.01
+                yield pa.RecordBatch.from_arrays([pa.array([k // len(table) for k in keys.tolist()], pa.int32()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+
+    words = stored(sample.mapInArrow(count, "lang int, word string, n long").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    probs = None
+    for _ in range(rounds + 1):
+        counts = np.full((len(pieces) + 1, len(languages)), 0.01)
+        for r in _expected(words, tuple(pieces), probs).toLocalIterator():  # a row for each piece and language
+            counts[r["piece"], r["lang"]] += r["n"] / PARTS
         counts[0] = 0
-        return counts / counts.sum(0)
-
-    counts = np.zeros((k, g))
-    for chosen, lengths, _, edges in groups:  # begin with how often each piece stands anywhere
-        for end, _, ids in edges:
-            inside = (end <= lengths).astype(float)
-            for j in range(g):
-                counts[:, j] += np.bincount(ids, weights[chosen, j] * inside, k)
-    probs = normal(counts)
-    for _ in range(rounds):
-        counts = np.zeros((k, g))
-        for chosen, lengths, width, edges in groups:
-            alpha = _forward(edges, len(chosen), width, probs)
-            total = alpha[lengths, np.arange(len(chosen))]
-            beta = np.zeros_like(alpha)
-            beta[lengths, np.arange(len(chosen))] = 1
-            for end, length, ids in reversed(edges):
-                step = probs[ids]
-                if length == 1:
-                    step[ids == 0] = UNKNOWN
-                # every edge into an end is used only after all edges out of it
-                counts_of = alpha[end - length] * step * beta[end] / total * weights[chosen]
-                for j in range(g):
-                    counts[:, j] += np.bincount(ids, counts_of[:, j], k)
-                beta[end - length] += step * beta[end]
-        probs = normal(counts)
-    return probs
+        probs = counts / counts.sum(0)
+    discard(words)
+    return LanguageModel(languages, pieces, probs)
+
+
+def _expected(words: DataFrame, pieces: tuple[str, ...], probs: np.ndarray | None) -> DataFrame:
+    """piece, lang, n: how often each piece is expected in words (lang, word, n) under probs, in PARTS; without probs, how often
+    it stands anywhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = piece_table(pieces)
+        sums: dict[int, np.ndarray] = {}
+        logp = None if probs is None else _logs(probs)
+        for batch in batches:
+            lang, told, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for g in np.unique(lang).tolist():
+                mine = lang == g
+                into = sums.setdefault(g, np.zeros(len(pieces) + 1))
+                into += expected_counts(table, [MARK + w for w in told[mine].tolist()], n[mine], None if logp is None else logp[:, g])
+        for g, counts in sums.items():
+            there = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), g), pa.int32()), pa.array(counts[there].astype(np.int64))], names=["piece", "lang", "n"])
+        release_memory()
+
+    return words.mapInArrow(run, "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
+
+
+def expected_counts(table: PieceTable, words: list[str], n: np.ndarray, logp: np.ndarray | None, window: int = WINDOW) -> np.ndarray:
+    """How often each piece is expected in the words, each counting n times, in PARTS. A window ends at a cut node; only a
+    stretch that pieces span without a gap is held whole."""
+    codes, bounds = coded(words)
+    limit = np.repeat(bounds[1:], np.diff(bounds))
+    out, s, size = np.zeros(len(table.piece_of) + 1), 0, window
+    while s < len(codes):
+        w = Window(table, codes, limit, s, min(len(codes), s + size)).shrunk()
+        if w is None:
+            size *= 2
+            continue
+        weight = n[np.searchsorted(bounds, w.begin, side="right") - 1]
+        if logp is not None:
+            p = logp[w.piece]
+            start = np.zeros(s - w.lo + 1)
+            whole = w.sweep(p, start)
+            forth = w.gives
+            back = w.sweep(p, np.zeros(0), backward=True)
+            back[w.cut] = 0
+            nodes = np.arange(w.lo, w.e + 1)
+            ends = np.minimum.accumulate(np.where(w.cut, nodes, w.e)[::-1])[::-1]  # the cut node at or behind each node
+            weight = weight * np.exp(forth[w.begin - w.lo] + p + back[w.end - w.lo] - whole[ends[w.end - w.lo] - w.lo])
+        out += np.bincount(w.piece, np.rint(weight * PARTS), len(out))
+        s, size = w.e, window
+    return out[: int(table.piece_of.max(initial=0)) + 1]
 
 
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

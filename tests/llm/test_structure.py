@@ -1,4 +1,4 @@
-"""Sharding, mixing, near duplicates, fingerprints, search, languages and the pipeline."""
+"""Sharding, mixing, near duplicates, fingerprints, search and the pipeline."""
 
 import hashlib
 import itertools
@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexweave.llm import langid, merkle, minhash, mixing, queries, secret_scan, sharding, topk
+from lexweave.llm import merkle, minhash, mixing, queries, secret_scan, sharding, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -259,65 +259,6 @@ def test_top_k_of_odd_vectors(spark, monkeypatch, blocks):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def segmentations(word, pieces, probs):
-    if not word:
-        return 1.0
-    total = 0.0
-    for n in range(1, min(len(word), langid.LONGEST) + 1):
-        p = probs.get(word[:n], langid.UNKNOWN if n == 1 else 0.0)
-        if p:
-            total += p * segmentations(word[n:], pieces, probs)
-    return total
-
-
-def test_forward_sums_all_segmentations():
-    pieces = sorted(["▁", "▁a", "ab", "b", "abc", "c", "▁ab", "bc"])
-    rnd = np.random.default_rng(7)
-    probs = np.vstack((np.zeros(2), rnd.random((len(pieces), 2))))
-    scorer = langid.LanguageModel(["x", "y"], pieces, probs).scorer()
-    tried = ["▁abc", "▁", "▁zab", "▁abcabcab", "▁é"]
-    for row, w in zip(scorer.log_probs(tried), tried, strict=True):
-        for g in range(2):
-            want = segmentations(w, pieces, {p: probs[i + 1, g] for i, p in enumerate(pieces)})
-            assert row[g] == pytest.approx(np.log(want))
-
-
-def test_piece_table_finds_only_pieces():
-    pieces = langid.public_pieces(queries.vocabulary("piece_bpe_32k.model"))
-    table = langid.PieceTable(pieces)
-    some = [*random.Random(8).sample(pieces, 500), "▁qzqzx", "zzzzzzz"]
-    codes, lengths = langid.coded(some)
-    ids = {(end, n): found for end, n, found in table.lattice(codes)}
-    known = {p: i for i, p in enumerate(pieces, 1)}
-    for row, p in enumerate(some):
-        for end in range(1, lengths[row] + 1):
-            for n in range(1, min(end, table.longest) + 1):
-                assert ids[end, n][row] == known.get(p[end - n : end], 0)
-
-
-def test_languages_of_held_out_documents(spark, sf_dir):
-    labels = {r["doc_id"]: r["lang"] for r in queries.table(spark, sf_dir, "documents").collect()}
-    rows = queries.op9_language(spark, sf_dir).collect()
-    assert len(rows) == len(labels)
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in rows)
-    out = [r for r in rows if r["held_out"]]
-    assert sum(r["lang_pred"] == labels[r["doc_id"]] for r in out) >= 0.97 * len(out)
-
-
-def test_languages_of_odd_texts(odd, empty):
-    pieces = langid.public_pieces(queries.vocabulary("piece_bpe_32k.model"))
-    model = langid.fit(odd, pieces)
-    assert model.languages == ["en", "fr"]
-    rows = langid.identify(odd, model).collect()
-    assert len(rows) == odd.count()
-    for r in rows:
-        lettered = any(c.isalpha() for c in r["text"] or "")
-        assert (r["lang_pred"] != "und") == lettered and (r["lang_score"] > 0) == lettered
-    nothing = langid.fit(empty, pieces)
-    assert nothing.languages == [] and {r["lang_pred"] for r in langid.identify(odd, nothing).collect()} == {"und"}
-    assert langid.identify(empty, model).count() == 0
-
-
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
