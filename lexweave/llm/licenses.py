@@ -45,16 +45,16 @@ _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def parse_expression(text: str) -> tuple | str | None:
-    """The tree of the license expression that text begins with: an identifier or (operator, left, right). Operators in either
-    case, `with` before `and` before `or`, all from the left. None without an identifier; what cannot belong ends it."""
-    output: list = []
+def parse_expression(text: str) -> list[str]:
+    """The license expression that text begins with, in postfix order: identifiers as they stand, operators in lower case behind
+    their two sides. Operators in either case, `with` before `and` before `or`, all from the left. Empty without an identifier;
+    what cannot belong ends it, and an operator or a bracket without its right side is left out."""
+    output: list[str] = []
     waiting: list[str] = []
 
     def settle(binds: int) -> None:
         while waiting and waiting[-1] != "(" and BINDS[waiting[-1]] >= binds:
-            op, right, left = waiting.pop(), output.pop(), output.pop()
-            output.append((op, left, right))
+            output.append(waiting.pop())
 
     operand, at = True, 0
     for m in _TOKEN.finditer(text):
@@ -63,12 +63,13 @@ def parse_expression(text: str) -> tuple | str | None:
         at, token = m.end(), m[0]
         low = token.lower()
         if operand:
+            name = token.rstrip(".:")
             if low == "(":
                 waiting.append("(")
-            elif low == ")" or low in BINDS:
+            elif low == ")" or low in BINDS or not name:
                 break
             else:
-                output.append(token.rstrip(".:"))
+                output.append(name)
                 operand = False
         elif low == ")":
             if "(" not in waiting:
@@ -81,19 +82,12 @@ def parse_expression(text: str) -> tuple | str | None:
             operand = True
         else:
             break
-    if operand and output:  # an operator or a bracket without its right side is left out
+    if operand:
         while waiting and waiting[-1] == "(":
             waiting.pop()
         if waiting:
             waiting.pop()
-    while waiting:
-        if waiting[-1] == "(":
-            waiting.pop()
-        elif len(output) > 1:
-            settle(BINDS[waiting[-1]])
-        else:
-            waiting.pop()
-    return output[-1] if output and output[-1] else None
+    return output + [x for x in reversed(waiting) if x != "("]
 
 
 def label_of(identifier: str) -> str:
@@ -105,27 +99,47 @@ def label_of(identifier: str) -> str:
     return low
 
 
-def labels_in(tree: tuple | str) -> set[str]:
+def labels_in(expression: list[str]) -> set[str]:
     """The labels an expression names; an exception counts as with:its name."""
-    if isinstance(tree, str):
-        return {label_of(tree)}
-    op, left, right = tree
-    return labels_in(left) | ({f"with:{right.lower() if isinstance(right, str) else 'other'}"} if op == "with" else labels_in(right))
+    # the right side of `with` is one identifier, which stands before it, unless brackets make it an expression
+    out: set[str] = set()
+    for i, x in enumerate(expression):
+        if x in BINDS:
+            continue
+        exception = expression[i + 1 : i + 2] == ["with"]
+        out.add(f"with:{x.lower()}" if exception else label_of(x))
+    return out
 
 
-def permits(tree: tuple | str, allowed: frozenset[str]) -> bool:
+def permits(expression: list[str], allowed: frozenset[str]) -> bool:
     """Whether licenses of the allowed labels meet the expression: either side of `or`, both of `and`, the license of `with`."""
-    if isinstance(tree, str):
-        return label_of(tree) in allowed
-    op, left, right = tree
-    if op == "or":
-        return permits(left, allowed) or permits(right, allowed)
-    return permits(left, allowed) and (op == "with" or permits(right, allowed))
-
-
-def written(tree: tuple | str) -> str:
-    """The expression with all its brackets."""
-    return tree if isinstance(tree, str) else f"({written(tree[1])} {tree[0].upper()} {written(tree[2])})"
+    held: list[bool] = []
+    for x in expression:
+        if x not in BINDS:
+            held.append(label_of(x) in allowed)
+            continue
+        right, left = held.pop(), held.pop()
+        held.append(left or right if x == "or" else left and (right or x == "with"))
+    return held[0]
+
+
+def written(expression: list[str]) -> str:
+    """The expression with all its brackets. Its identifiers stand in postfix order as they stand in the text, so every operator
+    only says where its brackets open and close and between which two identifiers it stands."""
+    names = [x for x in expression if x not in BINDS]
+    opens, closes, between = [0] * len(names), [0] * len(names), [""] * len(names)
+    spans: list[tuple[int, int]] = []
+    for x in expression:
+        if x not in BINDS:
+            at = spans[-1][1] + 1 if spans else 0
+            spans.append((at, at))
+            continue
+        (middle, last), (first, end) = spans.pop(), spans.pop()
+        opens[first] += 1
+        closes[last] += 1
+        between[end] = f" {x.upper()} "
+        spans.append((first, last))
+    return "".join(["(" * o + n + ")" * c + b for o, n, c, b in zip(opens, names, closes, between, strict=True)])
 
 
 class LicenseScanner:
@@ -153,16 +167,16 @@ class LicenseScanner:
             else:
                 more += 1
             labels.add(label)
-        trees: list[tuple | str] = []
+        found: list[list[str]] = []
         if tags:
             for m in TAG_TEXT.finditer(text):
-                if tree := parse_expression(m[1]):
-                    trees.append(tree)
-                    labels |= labels_in(tree)
+                if expression := parse_expression(m[1]):
+                    found.append(expression)
+                    labels |= labels_in(expression)
         first, last = (line.count(" ", 0, f(places)) for f in (min, max)) if places else (None, None)
         # a tag names the license; a phrase may only mention it, and more of them say more
-        score = 1.0 if trees else 1 - 0.5 ** (len(places) + more)
-        return {"n_words": len(words), "n_base": len(places), "first_word": first, "last_word": last, "base_labels": sorted(base_labels), "labels": sorted(labels), "expressions": [written(t) for t in trees], "permitted": all(permits(t, self.allowed) for t in trees) if trees else None, "score": score}
+        score = 1.0 if found else 1 - 0.5 ** (len(places) + more)
+        return {"n_words": len(words), "n_base": len(places), "first_word": first, "last_word": last, "base_labels": sorted(base_labels), "labels": sorted(labels), "expressions": [written(e) for e in found], "permitted": all(permits(e, self.allowed) for e in found) if found else None, "score": score}
 
 
 MADE = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, expressions array<string>, permitted boolean, score double"
@@ -176,7 +190,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text", base: dict[str, str] =
     meet all of them (null without any); score, 1 with a tag, else
     1 - 2^-(phrases found).
 
-    Null and empty texts have no words, no labels and score 0. Repeated rows get equal answers, an empty df an empty result.
+    Expressions of any length are read with a stack in linear time. Null and empty texts have no words, no labels and score 0. Repeated rows get equal answers, an empty df an empty result.
     Input columns of these names are replaced."""
 
     def work():

@@ -10,8 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from re import _constants as K
-from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +39,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
-#: Well-known public key formats that the scan knows besides.
+#: Well-known public key formats that the scan knows besides. Each is linear in the text: a match that fails is not tried again
+#: from within the run that it failed on.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("private_key", r"-----BEGIN (?:(?!PRIVATE )[A-Z]+ )*+PRIVATE KEY-----"),
+    Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}+"),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}+"),
     Rule("web_key", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("bearer", r"(?i:authorization: *bearer) +[A-Za-z0-9._~+/=-]{16,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
+    Rule("bearer", r"(?i:authorization: *bearer) +[A-Za-z0-9._~+/=-]{16,}+"),
 )
 ALL_RULES = BASE_RULES + MORE_RULES
 #: Sets of strings that a part of a pattern may stand for are followed up to this size; beyond it the query only gets weaker.
@@ -70,39 +69,165 @@ def _of_strings(strings: set[str]) -> Query:
     return _both("or", [_both("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
-def _strings(op, value) -> tuple[set[str] | None, Query]:
+class Unsupported(ValueError):
+    """A pattern of which no query can be derived; its rule scans every text."""
+
+
+#: What the letter behind a backslash stands for: one character of many, no character, or itself as a control character.
+_MANY, _NONE, _CONTROL = "dDsSwW", "AbBZ", {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11}
+
+
+class _Pattern:
+    """A regex taken apart into sequences of parts: ("chars", characters or None for unknown ones), ("either", sequences),
+    ("repeat", least, most or None, part), ("nothing",) and ("anything",)."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+        self.whole = self.either()
+        if self.at < len(pattern):
+            raise Unsupported(pattern)
+
+    def sees(self, *options: str) -> str | None:
+        """The first option that stands here, which is passed over."""
+        for x in options:
+            if self.pattern.startswith(x, self.at):
+                self.at += len(x)
+                return x
+        return None
+
+    def next(self) -> str:
+        if self.at >= len(self.pattern):
+            raise Unsupported(self.pattern)
+        self.at += 1
+        return self.pattern[self.at - 1]
+
+    def either(self) -> tuple:
+        options = [self.sequence()]
+        while self.sees("|"):
+            options.append(self.sequence())
+        return ("either", options)
+
+    def sequence(self) -> list[tuple]:
+        parts: list[tuple] = []
+        while self.at < len(self.pattern) and self.pattern[self.at] not in "|)":
+            parts.append(self.repeated(self.part()))
+        return parts
+
+    def part(self) -> tuple:
+        c = self.next()
+        if c == "(":
+            return self.group()
+        if c == "[":
+            return self.one_of()
+        if c == ".":
+            return ("chars", None)
+        if c in "^$":
+            return ("nothing",)
+        if c in "*+?":
+            raise Unsupported(self.pattern)
+        return self.escape(False) if c == "\\" else ("chars", {c})
+
+    def escape(self, in_class: bool) -> tuple:
+        c = self.next()
+        if c in _MANY:
+            return ("chars", None)
+        if c in _NONE and not in_class:
+            return ("nothing",)
+        if c in _CONTROL:
+            return ("chars", {chr(_CONTROL[c])})
+        if c in "xuU":
+            digits = self.pattern[self.at : self.at + {"x": 2, "u": 4, "U": 8}[c]]
+            self.at += len(digits)
+            return ("chars", {chr(int(digits, 16))})
+        if c.isalnum():
+            raise Unsupported(self.pattern)  # numbers of groups, octal and named characters
+        return ("chars", {c})
+
+    def one_of(self) -> tuple:
+        known: set[str] | None = None if self.sees("^") else set()
+        first = True
+        while first or not self.sees("]"):
+            first = False
+            c = self.next()
+            part = self.escape(True)[1] if c == "\\" else {c}
+            if self.pattern[self.at : self.at + 1] == "-" and self.pattern[self.at + 1 : self.at + 2] not in ("]", ""):
+                self.at += 1
+                c = self.next()
+                high = self.escape(True)[1] if c == "\\" else {c}
+                if part is None or high is None:
+                    raise Unsupported(self.pattern)
+                span = range(ord(min(part)), ord(min(high)) + 1)
+                part = {chr(x) for x in span} if len(span) <= STRINGS else None
+            known = None if known is None or part is None else known | part
+        return ("chars", known)
+
+    def group(self) -> tuple:
+        if self.sees("?#"):
+            while self.next() != ")":
+                pass
+            return ("nothing",)
+        look = self.sees("?=", "?!", "?<=", "?<!")
+        if look is None and not self.sees("?:", "?>"):
+            if self.sees("?P<"):
+                while self.next() != ">":
+                    pass
+            elif self.sees("?"):
+                flags = ""
+                while (c := self.next()) not in ":)":
+                    flags += c
+                if not flags.strip("aims-") == "":
+                    raise Unsupported(self.pattern)  # verbose patterns, references, conditions
+                if c == ")":
+                    return ("nothing",)
+        inner = self.either()
+        if self.next() != ")":
+            raise Unsupported(self.pattern)
+        return inner if look is None else ("nothing",)
+
+    def repeated(self, part: tuple) -> tuple:
+        while self.at < len(self.pattern):
+            found = re.compile(r"\{(\d*)(,?)(\d*)\}").match(self.pattern, self.at)
+            if c := self.sees("*", "+", "?"):
+                least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}[c]
+            elif found and (found[1] or found[3]):
+                self.at = found.end()
+                least = int(found[1] or 0)
+                most = int(found[3]) if found[3] else None if found[2] else least
+            else:
+                return part
+            self.sees("?", "+")  # lazy or possessive: the same strings or fewer
+            part = ("repeat", least, most, part)
+        return part
+
+
+def _strings(part: tuple) -> tuple[set[str] | None, Query]:
     """The lower-cased strings that one part of a pattern can stand for (None: too many or unknown), and a query it implies."""
-    if op is K.LITERAL:
-        return ({chr(value).lower()}, True) if value < 128 else (None, True)
-    if op is K.IN and all(k is K.LITERAL and v < 128 for k, v in value) and len(value) <= STRINGS:
-        return {chr(v).lower() for _, v in value}, True
-    if op is K.SUBPATTERN:
-        return _sequence(value[3])
-    if op is K.BRANCH:
-        parts = [_sequence(x) for x in value[1]]
+    if part[0] == "chars":
+        chars = part[1]
+        return (None if chars is None or len(chars) > STRINGS or not all(c.isascii() for c in chars) else {c.lower() for c in chars}), True
+    if part[0] == "either":
+        parts = [_sequence(x) for x in part[1]]
         if all(s is not None for s, _ in parts):
             return set().union(*(s for s, _ in parts)), _both("or", [q for _, q in parts])
         return None, _both("or", [q if s is None else _both("and", [q, _of_strings(s)]) for s, q in parts])
-    if op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT):
-        low, high, inner = value
-        s, q = _sequence(inner)
-        if s is not None and (low, high) == (0, 1):
+    if part[0] == "repeat":
+        _, least, most, inner = part
+        s, q = _strings(inner)
+        if s is not None and (least, most) == (0, 1):
             return s | {""}, True
-        if s is not None and low == high and len(s) ** low <= STRINGS:
+        if s is not None and least == most and len(s) ** least <= STRINGS:
             out = {""}
-            for _ in range(low):
+            for _ in range(least):
                 out = {a + b for a in out for b in s}
             return out, q
-        return None, True if not low else q if s is None else _both("and", [q, _of_strings(s)])
-    if op is K.AT:
-        return {""}, True
-    return None, True
+        return None, True if not least else q if s is None else _both("and", [q, _of_strings(s)])
+    return ({""} if part[0] == "nothing" else None), True
 
 
-def _sequence(parts) -> tuple[set[str] | None, Query]:
+def _sequence(parts: list[tuple]) -> tuple[set[str] | None, Query]:
     queries, run, whole = [], {""}, True
-    for op, value in parts:
-        strings, query = _strings(op, value)
+    for part in parts:
+        strings, query = _strings(part)
         queries.append(query)
         if strings is not None and len(run) * len(strings) <= STRINGS:
             run = {a + b for a in run for b in strings}
@@ -114,7 +239,10 @@ def _sequence(parts) -> tuple[set[str] | None, Query]:
 
 def trigram_query(pattern: str) -> Query:
     """The Boolean trigram query, over ASCII-lower-cased text, that every text with a match satisfies; True if there is none."""
-    strings, query = _sequence(_parser.parse(pattern, re.ASCII))
+    try:
+        strings, query = _strings(_Pattern(pattern).whole)
+    except Unsupported:
+        return True
     return query if strings is None else _both("and", [query, _of_strings(strings)])
 
 

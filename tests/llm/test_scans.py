@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -49,6 +51,37 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("ab(c|d)e") == ("or", (("and", ("abc", "bce")), ("and", ("abd", "bde"))))
     assert secret_scan.trigram_query("ab?c") is True
     assert secret_scan.trigram_query("(abc)*def") == "def"
+    assert secret_scan.trigram_query(r"(?<![a-z])a\x62[c](?i:D)e{2}") == ("and", ("abc", "bcd", "cde", "dee"))
+    assert secret_scan.trigram_query(r"(a)\1bcd") is True  # what is not understood scans every text
+    assert [secret_scan.trigram_query(r.pattern) is True for r in secret_scan.ALL_RULES] == [r.kind == "hex" for r in secret_scan.ALL_RULES]
+
+
+PATTERN = st.recursive(
+    st.sampled_from(["a", "b", "c", "ab", "abc", "[ab]", "[a-c]", "[^a]", ".", r"\d", r"\x61", "A", r"\.", "é", "(?=a)", "(?<!b)", "^", r"\b"]),
+    lambda inner: st.tuples(inner, inner).map("".join) | st.tuples(inner, inner).map(lambda t: f"(?:{t[0]}|{t[1]})") | st.tuples(inner, st.sampled_from(["*", "+", "?", "{2}", "{1,2}", "{,2}", "{2,}", "*?", "++"])).map(lambda t: f"(?:{t[0]}){t[1]}") | inner.map(lambda t: f"(?i:{t})") | inner.map(lambda t: f"({t})"),
+    max_leaves=8,
+)
+
+
+@settings(max_examples=600, deadline=None)
+@given(PATTERN, st.lists(st.sampled_from(["a", "b", "c", "A", "B", "ab", "abc", "1", ".", "é", " "]), max_size=14).map("".join))
+def test_a_query_holds_where_its_pattern_matches(pattern, text):
+    if re.search(pattern, text, re.ASCII):
+        query = secret_scan.trigram_query(pattern)
+        index = secret_scan.TrigramIndex(sorted(secret_scan.trigrams_of(query)))
+        assert index.meets(query, index.build(pa.array([text]))).all()
+
+
+@pytest.mark.parametrize("rule", secret_scan.ALL_RULES, ids=lambda r: r.kind)
+def test_rules_take_linear_time(rule):
+    """Ten million characters that begin a match again and again and never, or only at the end, complete it."""
+    starts = {"assign": "password ", "access": "AKIA0", "hex": "0123456789abcde-", "private_key": "-----BEGIN A B ", "git_token": "ghp_abc", "chat_token": "xoxb-", "web_key": "AIzaAIza-", "jwt": "eyJabc-", "bearer": "authorization: bearer  "}
+    rnd = random.Random(1)
+    blob = "".join(rnd.choices("ABCDEFabcdef0123456789-_eyJ.", k=100_000))
+    for text in (starts[rule.kind] * (10_000_000 // len(starts[rule.kind])), starts[rule.kind] + " " * 10_000_000, starts[rule.kind] + "A" * 10_000_000, starts[rule.kind] + "A " * 5_000_000, blob * 100):
+        began = time.time()
+        secret_scan.Scanner((rule,))(pa.array([text]))
+        assert time.time() - began < 20
 
 
 def test_secrets_of_odd_texts(odd, empty):
@@ -113,8 +146,64 @@ def test_license_places(text):
     ],
 )
 def test_license_expressions(text, told):
-    tree = licenses.parse_expression(text)
-    assert (None if tree is None else licenses.written(tree)) == told
+    found = licenses.parse_expression(text)
+    assert (licenses.written(found) if found else None) == told
+
+
+def test_long_expressions():
+    """Expressions of 100,000 operands, nested either way, through the whole scan."""
+    n = 100_000
+    for text, told in (
+        (" OR ".join(["MIT"] * n), "(" * (n - 1) + "MIT" + " OR MIT)" * (n - 1)),
+        ("(" * n + "MIT" + ")" * n, "MIT"),
+        ("MIT OR (" * n + "MIT" + ")" * n, "(MIT OR " * n + "MIT" + ")" * n),
+        ("(" * n, None),
+        ("MIT AND (" * n, "(MIT AND " * (n - 1) + "MIT" + ")" * (n - 1)),
+    ):
+        began = time.time()
+        r = licenses.LicenseScanner()("SPDX-License-Identifier: " + text + "\n" + "spdx " * n + "spdx license " * n)
+        assert r["expressions"] == ([] if told is None else [told]) and r["permitted"] is (None if told is None else True)
+        assert time.time() - began < 20
+
+
+def plain_tree(tokens):
+    """A small parser that climbs precedences, for whole expressions."""
+    def climb(least):
+        if tokens[0] == "(":
+            tokens.pop(0)
+            left = climb(1)
+            tokens.pop(0)
+        else:
+            left = tokens.pop(0)
+        while tokens and tokens[0] in licenses.BINDS and licenses.BINDS[tokens[0]] >= least:
+            op = tokens.pop(0)
+            left = (op, left, climb(licenses.BINDS[op] + 1))
+        return left
+
+    return climb(1)
+
+
+def told_tree(tree):
+    return tree if isinstance(tree, str) else f"({told_tree(tree[1])} {tree[0].upper()} {told_tree(tree[2])})"
+
+
+def allows(tree, allowed):
+    if isinstance(tree, str):
+        return tree.lower() in allowed
+    left, right = allows(tree[1], allowed), allows(tree[2], allowed)
+    return left or right if tree[0] == "or" else left if tree[0] == "with" else left and right
+
+
+EXPRESSION = st.recursive(st.sampled_from(["MIT", "isc", "zlib", "x-1"]), lambda inner: st.tuples(inner, st.sampled_from(["or", "and", "with"]), inner).map(lambda t: f"({t[0]} {t[1]} {t[2]})") | st.tuples(inner, st.sampled_from(["or", "AND"]), inner).map(" ".join), max_leaves=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(EXPRESSION)
+def test_expressions_equal_a_plain_parser(text):
+    tree = plain_tree(re.findall(r"[()]|[^() ]+", text.replace("AND", "and")))
+    found = licenses.parse_expression(text)
+    assert licenses.written(found) == told_tree(tree)
+    assert licenses.permits(found, frozenset({"mit", "isc"})) == allows(tree, {"mit", "isc"})
 
 
 def test_license_tags_are_evaluated():
