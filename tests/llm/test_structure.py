@@ -38,30 +38,93 @@ def test_shards_of_all_documents(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     rows = queries.op1_sharding(spark, sf_dir).collect()
     check_shards(rows, list(texts.values()), 8, 2 * max(len(t.encode()) for t in texts.values()))
-    places = defaultdict(set)
-    for r in rows:
-        places[texts[r["doc_id"]]].add(r["shard"])
-    assert all(len(p) == 1 for p in places.values())  # equal texts stand together
+    assert all(len(p) == 1 for p in places_of(rows, texts).values())  # equal texts stand together
     again = queries.op1_sharding(spark, sf_dir).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def places_of(rows, texts):
+    out = defaultdict(set)
+    for r in rows:
+        out[texts[r["doc_id"]]].add(r["shard"])
+    return out
+
+
+def test_equal_texts_of_unlike_metadata_stand_together(spark):
+    """Two languages, sources and sizes for each text, most of which share their first bytes."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(300):
+        text = f"text number {i} " + "é" * rnd.randrange(60)
+        rows += [(2 * i, text, rnd.choice(["fr", None]), "a common beginning " + str(i % 7), 1.0001), (2 * i + 1, text, "en", "a common beginning " + str(i % 5), 1.0002)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")
+    texts = {r[0]: r[1] for r in rows}
+    for dims in (("bytes", "chars", "lang"), ("source", "lang"), ("score", "chars")):
+        out = sharding.shard_documents(df, shards=8, dims=dims).collect()
+        check_shards(out, list(texts.values()), 8, 400)
+        assert all(len(p) == 1 for p in places_of(out, texts).values()) and not any(r["group_cut"] for r in out)
+
+
 def test_shards_of_a_hot_text(spark):
     texts = ["copy of one text"] * 900 + [f"text {i} " + "x" * (i % 50) for i in range(600)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    check_shards(sharding.shard_documents(df, shards=8).collect(), texts, 8, 120)
-    check_shards(sharding.shard_documents(df, shards=5).collect(), texts, 5, 120)
+    for shards in (8, 5):
+        rows = sharding.shard_documents(df, shards=shards).collect()
+        check_shards(rows, texts, shards, 120)
+        # a group that fills several shards is cut, and its rows say so; no other is
+        assert {texts[r["doc_id"]] for r in rows if r["group_cut"]} == {"copy of one text"} == {t for t, p in places_of(rows, dict(enumerate(texts))).items() if len(p) > 1}
+    assert sharding.fit_tree(df, shards=8).cut_groups()
     small = sharding.shard_documents(df, target_bytes=4000)
     assert small.groupBy("shard").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] <= 4200
 
 
+def test_cuts_are_weighted_medians(spark):
+    """Every cut against the sorted sizes of its node, along the dimension that is widest there."""
+    rnd = random.Random(10)
+    rows = [(i, "".join(rnd.choice("aé") for _ in range(rnd.randrange(1, 4000)))) for i in range(500)]
+    tree = sharding.fit_tree(spark.createDataFrame(rows, "doc_id long, text string"), shards=8)
+    facts = {i: (len(t.encode()), len(t)) for i, t in rows}
+    whole = [max(f[d] for f in facts.values()) - min(f[d] for f in facts.values()) for d in (0, 1)]
+    nodes = {0: (list(facts), 8)}
+    for cuts in tree.levels:
+        goals = {}
+        for c in cuts:
+            members, k = nodes[c.lo]
+            width = [(max(facts[i][d] for i in members) - min(facts[i][d] for i in members)) / whole[d] for d in (0, 1)]
+            assert c.dim == (0 if width[0] >= width[1] else 1) and c.left == k // 2
+            by = sorted(members, key=lambda i: facts[i][c.dim])
+            goal = sum(facts[i][0] + 1 for i in members) * (k // 2) / k
+            total, median = 0, None
+            for i in by:
+                total += facts[i][0] + 1
+                if total >= goal:
+                    median = facts[i][c.dim]
+                    break
+            assert c.value == median
+            goals[c.lo] = goal
+        placed = sharding.with_shard(spark.createDataFrame(rows, "doc_id long, text string"), sharding.Tree(8, tree.dims, tree.levels[: tree.levels.index(cuts) + 1]))
+        nodes = {}
+        for r in placed.collect():
+            nodes.setdefault(r["shard"], ([], 8 >> (tree.levels.index(cuts) + 1)))[0].append(r["doc_id"])
+        for lo, goal in goals.items():
+            assert abs(sum(facts[i][0] + 1 for i in nodes[lo][0]) - goal) <= max(f[0] for f in facts.values())
+    assert len(nodes) == 8
+
+
+def test_many_nodes_are_a_table(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PLANNED_ROWS", 3)
+    texts = [f"text {i} " + "x" * (i * 7 % 90) for i in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_shards(sharding.shard_documents(df, shards=32).collect(), texts, 32, 150)
+
+
 def test_shards_of_odd_texts(odd, empty):
     texts = [r["text"] for r in odd.select("text").collect()]
     check_shards(sharding.shard_documents(odd, shards=3, dims=("chars", "lang", "source", "n_chars")).collect(), texts, 3, 160_000)
     tree = sharding.fit_tree(odd, shards=3, dims=("bytes", "lang"))
     placed = sharding.with_shard(odd, tree)
     assert placed.count() == odd.count() and set(placed.columns) == {*odd.columns, "shard"}
-    assert sharding.shard_documents(empty, shards=8).count() == 0
+    assert sharding.shard_documents(empty, shards=8, dims=("bytes", "lang")).count() == 0
     same = odd.sparkSession.createDataFrame([(1, "a", "x")] * 40, "doc_id long, text string, lang string")
     assert sharding.shard_documents(same, shards=4).count() == 40
 
