@@ -6,9 +6,13 @@ shingle sets, and linked documents form components.
 
 A band's bucket may hold any number of documents, so its pairs are never listed. First every member of a bucket is compared
 with one pivot of it, the member that shares most buckets, and linked documents merge. What is left in a bucket of several
-components is narrowed by an exact prefix filter: under any order of the shingles, two linked sets share one among their first
-few. Here the shingles that the pivot lacks come first, so sets that are each too far from the pivot begin with what is theirs
-alone, and hardly a pair is left to compare; none that could be linked is lost.
+components is narrowed by an exact prefix filter: under any order of the shingles, two linked sets share one among the first few
+of the smaller set (few, as the partner is no smaller) and the first of the larger one (more, as the partner may be smaller).
+Here the shingles that the pivot lacks come first, so sets that are each too far from the pivot begin with what is theirs alone:
+where texts of one template are just too unlike, the template does not reach into the short prefixes, and hardly a pair is left to
+compare; none that could be linked is lost.
+
+Shingles are compared by their 64-bit hashes, so two unlike ones count as equal with a probability of 2^-64 a pair.
 """
 
 from __future__ import annotations
@@ -201,6 +205,46 @@ def components(edges: DataFrame) -> DataFrame:
         last = sign
 
 
+#: Rows of one (pivot, token) from which on they are dealt by set size and over several tasks.
+HOT_TOKEN = 2000
+
+
+def _close_pairs(tokens: DataFrame, similarity: tuple[int, int], hot: int = HOT_TOKEN) -> DataFrame:
+    """Pairs (pivot, id) of documents of different components that may be linked, the smaller id first, out of prefixes (pivot,
+    id, n, token, place, comp).
+
+    The smaller set of a pair (by size, then id) meets the larger one at a token of its short prefix. From what remains behind
+    the token on, each side knows the largest partner it could be linked with; under a token that many documents share, sizes are
+    part of the join, so only partners of a possible size meet, and they do so in several tasks. Members of the largest
+    component under a token are never matched among themselves."""
+    num, den = similarity
+    rest = F.col("n") - F.col("place")
+    # a partner of m shingles needs a common part of (n + m) * num / (num + den), which the rest must hold
+    most = F.least(F.floor(rest * (num + den) / num) - F.col("n"), F.floor(F.col("n") * den / num))
+    sized = tokens.withColumn("most", most.cast("long")).filter(F.col("most") * den >= F.col("n") * num)
+    sized = sized.withColumn("short", F.col("most") >= F.col("n"))
+    by_comp = sized.groupBy("pivot", "token", "comp").agg(F.count("*").alias("c"), F.count_if("short").alias("s"))
+    shared = by_comp.groupBy("pivot", "token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    shared = shared.filter("comps > 1 AND s > 0").select("pivot", "token", "main", F.when(F.col("c") > hot, F.ceil(F.col("c") / hot)).otherwise(F.lit(1)).cast("int").alias("parts"))
+    held = sized.join(shared, ["pivot", "token"])
+
+    def size_class(n: Column) -> Column:
+        """Sizes of a hundredth more or less; one class where a token is not hot."""
+        return F.when(F.col("parts") > 1, F.floor(F.log(n) * 100)).otherwise(F.lit(0)).cast("long")
+
+    classes = F.sequence(size_class(F.col("n")), size_class(F.col("most")))
+    small = held.filter("short").withColumn("class", F.explode(classes)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    large = held.withColumn("class", size_class(F.col("n"))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    same = (a("pivot") == b("pivot")) & (a("token") == b("token")) & (a("class") == b("class")) & (a("part") == b("part"))
+    could = (a("comp") != b("comp")) & (F.struct(a("n"), a("id")) < F.struct(b("n"), b("id"))) & (b("n") <= a("most")) & (a("n") <= b("most"))
+
+    def met(few: DataFrame, many: DataFrame) -> DataFrame:
+        return few.alias("a").join(many.alias("b"), same & could).select(F.least(a("id"), b("id")).alias("pivot"), F.greatest(a("id"), b("id")).alias("id"))
+
+    return met(small.filter("comp <> main"), large).unionByName(met(small.filter("comp = main"), large.filter("comp <> main"))).distinct()
+
+
 def _fits(n: Column, m: Column, similarity: tuple[int, int]) -> Column:
     num, den = similarity
     return F.least(n, m) * den >= F.greatest(n, m) * num
@@ -215,7 +259,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without an id links nothing, has no component and is kept. Repeated rows get equal answers, an empty df an empty result;
     other columns are not used."""
     docs = sketches(df, id_col, text_col, width)
-    num, den = similarity
     # texts with equal sets are one class from here on, and stand for it by their smallest id
     classes = docs.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     keyed = classes.select("id", "n", F.explode("bands").alias("key"))
@@ -236,16 +279,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = stored(left, "minhash-open")
     tokens = _compared(left.select("pivot", "id"), texts, width, similarity, True).join(left, ["pivot", "id"])
     tokens = stored(tokens, "minhash-prefixes")
-    by_comp = tokens.groupBy("pivot", "token", "comp").agg(F.count("*").alias("c"))
-    # pairs of the largest component's members among themselves are never looked at
-    mixed = by_comp.groupBy("pivot", "token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("pivot", "token", "main")
-    held = tokens.join(mixed, ["pivot", "token"])
-    fewer, every = held.filter("comp <> main").alias("a"), held.alias("b")
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    need = F.ceil((a("n") + b("n")) * num / (num + den))
-    could = (a("comp") != b("comp")) & _fits(a("n"), b("n"), similarity) & (F.least(a("n") - a("place"), b("n") - b("place")) >= need)
-    close = fewer.join(every, (a("pivot") == b("pivot")) & (a("token") == b("token")) & could)
-    pairs = close.select(F.least(a("id"), b("id")).alias("pivot"), F.greatest(a("id"), b("id")).alias("id")).distinct()
+    pairs = _close_pairs(tokens, similarity)
     late = _compared(pairs, texts, width, similarity, False).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     final = stored(components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "minhash-components")
     discard(members, with_pivot, texts, merged, left, tokens)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -230,6 +231,40 @@ def test_near_duplicates_lose_no_link_of_a_crowded_bucket(spark, similarity):
     assert found_components(df, similarity) == plain_components(rows, *similarity)
 
 
+def form_letters(n, template, own, seed):
+    """Texts of one template with as many words of their own as own() says, in one place."""
+    rnd = random.Random(seed)
+    base = [f"t{i}" for i in range(template)]
+    return [(i, " ".join(base[: template // 2] + [f"w{rnd.randrange(10**9)}" for _ in range(own(rnd))] + base[template // 2 :])) for i in range(n)]
+
+
+@pytest.mark.parametrize("own", [lambda r: 24, lambda r: r.choice([20, 21, 24, 26, 28, 40]), lambda r: r.choice([19, 26, 26, 26, 26])])
+def test_near_duplicates_of_form_letters(spark, monkeypatch, own):
+    """Families whose pairs are just below the threshold, some of them linked through shorter letters, with hot tokens dealt."""
+    monkeypatch.setattr(minhash._close_pairs, "__defaults__", (8,))
+    rows = form_letters(160, 300, own, 11)
+    assert found_components(spark.createDataFrame(rows, "doc_id long, text string"), (85, 100)) == plain_components(rows, 85, 100)
+
+
+def test_many_form_letters_make_few_candidates(spark, monkeypatch):
+    """20,000 letters of similarity 0.84: no pair of them is compared beside those with their pivots."""
+    counted = []
+
+    def close_pairs(tokens, similarity, hot=minhash.HOT_TOKEN, plain=minhash._close_pairs):
+        out = plain(tokens, similarity, hot)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_close_pairs", close_pairs)
+    rows = form_letters(20_000, 300, lambda r: 24, 12)
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 0.83 < len(a & b) / len(a | b) < 0.85
+    began = time.time()
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(16), similarity=(85, 100))
+    assert out.filter("kept").count() == 20_000
+    assert counted[0] <= 100 and time.time() - began < 300  # a random word may stand in two letters
+
+
 def test_near_duplicates_of_odd_texts(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
     found = found_components(odd, (85, 100))
