@@ -7,7 +7,9 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -167,28 +169,52 @@ def running_in_bins(df: DataFrame, group: list[str], bin_col: str, order: list[C
     return out.select(*[held[c] for c in df.columns if c not in values], *[(F.col(f"w_{k}") + F.col(f"b_{k}")).alias(k) for k in values])
 
 
-def range_splits(df: DataFrame, col: str, parts: int | None = None) -> list[int]:
-    """At most parts - 1 values of a long column that cut its rows into ranges of near equal counts; parts defaults to the
-    session's shuffle partitions. Only these values reach the driver."""
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of rows in the order of (id, hash), null ids first: nulls ranges of rows without an id, then those between splits,
+    where (id, hash) is the last row of its range."""
+
+    nulls: int
+    splits: list[tuple[int, int]]
+
+    @property
+    def count(self) -> int:
+        return self.nulls + len(self.splits) + 1
+
+    def of(self, id_: Column, hash_: Column) -> Column:
+        """The number of the range of a row, from 0. Many splits are searched in two steps."""
+        null = F.least(F.lit(self.nulls - 1), F.floor((hash_.cast("double") + 2.0**63) / 2.0**64 * self.nulls)).cast("int")
+        at = F.struct(id_.cast("long").alias("id"), hash_.cast("long").alias("hash"))
+
+        def made(splits: list[tuple[int, int]]) -> Column:
+            return F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("hash")) for i, h in splits])
+
+        def below(of: Column) -> Column:
+            return F.size(F.filter(of, lambda s: s < at))
+
+        splits = self.splits
+        if not splits:
+            found = F.lit(0)
+        elif len(splits) <= 64:
+            found = below(made(splits))
+        else:
+            step = int(len(splits) ** 0.5)
+            blocks = [splits[i : i + step] for i in range(0, len(splits), step)]
+            block = below(made([b[-1] for b in blocks]))
+            inside = F.array(*[made(b) for b in blocks])
+            found = F.when(block >= len(blocks), F.lit(len(splits))).otherwise(block * step + below(F.get(inside, block)))
+        return F.when(id_.isNull(), null).otherwise(found + self.nulls)
+
+
+def id_ranges(df: DataFrame, col: str, parts: int | None = None) -> Ranges:
+    """About parts ranges of near equal row counts by a long column, by default as many as the session's shuffle partitions. An
+    id that fills several ranges, as a null id may, is parted by the hash of its rows. Only the splits reach the driver."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if parts < 2:
-        return []
-    found = df.agg(F.percentile_approx(col, [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"]
-    return sorted(set(found or []))
-
-
-def range_bucket(col: Column, splits: list[int]) -> Column:
-    """The number of splits below col, from 0; null for null. Many splits are searched in two steps."""
-    if not splits:
-        return F.when(col.isNotNull(), F.lit(0))
-
-    def below(of: Column) -> Column:
-        return F.when(col.isNotNull(), F.size(F.filter(of, lambda s: s < col)))
-
-    if len(splits) <= 64:
-        return below(F.array(*[F.lit(s) for s in splits]))
-    step = int(len(splits) ** 0.5)
-    blocks = [splits[i : i + step] for i in range(0, len(splits), step)]
-    block = below(F.array(*[F.lit(b[-1]) for b in blocks]))
-    inside = F.array(*[F.array(*[F.lit(s) for s in b]) for b in blocks])
-    return F.when(block >= len(blocks), F.lit(len(splits))).otherwise(block * step + below(F.get(inside, block)))
+    wanted = [i / parts for i in range(1, parts)]
+    quantiles = F.percentile_approx(col, wanted, 100 * parts) if wanted else F.lit(None).cast("array<bigint>")
+    r = df.agg(quantiles.alias("q"), F.count("*").alias("n"), F.count_if(F.col(col).isNull()).alias("null")).first()
+    splits: list[tuple[int, int]] = []
+    for value, times in sorted(Counter(r["q"] or []).items()):
+        splits += [(value, -(1 << 63) + (k << 64) // times) for k in range(1, times)]
+        splits.append((value, (1 << 63) - 1))
+    return Ranges(max(1, round(r["null"] * parts / max(1, r["n"]))), splits)

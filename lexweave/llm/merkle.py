@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import map_texts, quoted, range_bucket, range_splits
+from lexweave.llm._common import id_ranges, map_texts, quoted
 
 LEAF = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
 #: A leaf longer than this is cut behind words chosen by their checksum, and after so many words anyway.
@@ -85,7 +85,8 @@ def _sentences(print_: str) -> Counter:
 
 
 def likeness(a: str, b: str) -> float:
-    """From 0 to 1: twice the sentences that both trees hold over all their sentences; 1 for equal roots."""
+    """From 0 to 1: twice the sentences that both trees hold over all their sentences; 1 for equal roots. A fingerprint tells a
+    sentence by 24 bits, so two unlike ones count as alike with a probability of 6e-8 a pair; roots have 128 bits."""
     return _likeness(a, b, _sentences(a), _sentences(b))
 
 
@@ -148,31 +149,32 @@ def edit_study(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     doc_id, n_chars (code points), edited (the text), fingerprint, edited_fingerprint, near_edited, near_next (likeness of the
     fingerprint to the edited text's and to the next document's).
 
-    The texts move once, dealt by id ranges of equal row counts; the first document of each range is sent to the range before
-    as well, so every task sees its last document's successor. Null ids come last, equal ids are ordered by text, null texts
-    are empty; a lone document is its own successor. Other columns are not used; an empty df gives an empty result."""
-    ids = df.select(quoted(id_col).cast("long").alias("id"))
-    splits = range_splits(ids, "id")
-    of = F.coalesce(range_bucket(F.col("id"), splits) + 1, F.lit(0))
-    firsts = {r["b"]: r["first"] for r in ids.groupBy(of.alias("b")).agg(F.max("id").alias("first")).collect()}  # a row for each range
+    The texts move once, dealt by (id, text hash) ranges of equal row counts; the first document of each range is sent to the
+    range before as well, so every task sees its last document's successor. Null ids come last; equal ids and null ids, which
+    may fill several ranges, are ordered by the hash of their text; null texts are empty; a lone document is its own successor.
+    Other columns are not used; an empty df gives an empty result."""
+    rows = df.select(quoted(id_col).cast("long").alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    ranges = id_ranges(rows, "id")
+    of = ranges.of(F.col("id"), F.col("hash")).cast("int")
+    first = F.max(F.struct("id", "hash"))  # null is the least, as it comes last
+    firsts = {r["b"]: tuple(r["first"]) for r in rows.groupBy(of.alias("b")).agg(first.alias("first")).collect()}  # a row for each range
     held = sorted(firsts)
-    goes_to = [(firsts[b], held[(i + 1) % len(held)]) for i, b in enumerate(held)]  # first of a range: the range that precedes it
-    rows = df.select(quoted(id_col).cast("long").alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    goes_to = [(*firsts[b], held[(i + 1) % len(held)]) for i, b in enumerate(held)]  # first of a range: the range that precedes it
     if goes_to:
-        first_of = df.sparkSession.createDataFrame(goes_to, "first long, extra int")
-        # a row for each range, of which there are as many as partitions at most
-        rows = rows.join(F.broadcast(first_of), F.col("id").eqNullSafe(F.col("first")), "left")
+        first_of = df.sparkSession.createDataFrame(goes_to, "first long, first_hash long, extra int")
+        # a row for each range, of which there are about as many as partitions
+        rows = rows.join(F.broadcast(first_of), F.col("id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("first_hash")), "left")
     extra = F.col("extra") if goes_to else F.lit(None).cast("int")
-    own = F.struct(of.cast("int").alias("bin"), F.lit(0).alias("guest"))
+    own = F.struct(of.alias("bin"), F.lit(0).alias("guest"))
     sent = F.when(extra.isNull(), F.array(own)).otherwise(F.array(own, F.struct(extra.alias("bin"), F.lit(1).alias("guest"))))
-    dealt = rows.select("id", "text", F.inline(sent)).repartitionById(len(splits) + 2, "bin").sortWithinPartitions("bin", "guest", F.desc_nulls_last("id"), "text")
+    dealt = rows.select("id", "text", "hash", F.inline(sent)).repartitionById(ranges.count, "bin").sortWithinPartitions("bin", "guest", F.desc_nulls_last("id"), F.desc("hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # id, text, fingerprint, sentences
         out: list[tuple] = []
         size = 0
         for batch in batches:
-            for i, text, guest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3).to_pylist(), strict=True):
+            for i, text, guest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(4).to_pylist(), strict=True):
                 if guest and held is None:
                     continue  # further rows of the same id
                 text = text.as_py()

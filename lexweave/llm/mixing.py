@@ -18,9 +18,11 @@ KEY_BITS = 60
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def random_key(id_col: str, seed: str) -> Column:
-    """60 bits of a hash of the id: the same on every run, in no relation to the id's order."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(quoted(id_col).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def random_key(id_col: str, text_col: str, seed: str) -> Column:
+    """60 bits of a hash of the id, or of the text of a row without an id: the same on every run, in no relation to the id's
+    order."""
+    of = F.coalesce(quoted(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.md5(quoted(text_col).cast("string")), F.lit(""))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), of)), 1, 15), 16, 10).cast("long")
 
 
 @dataclass
@@ -49,7 +51,7 @@ class Mix:
     def documents(self, df: DataFrame) -> DataFrame:
         """df with each document as often as the mix begins it, in df's columns. Texts do not move: a row needs only the cuts of
         its source."""
-        own = df.withColumns({"__key": random_key(self.id_col, self.seed), "__source": quoted(self.source_col).cast("string")})
+        own = df.withColumns({"__key": random_key(self.id_col, self.text_col, self.seed), "__source": quoted(self.source_col).cast("string")})
         cuts = self.cuts.select(*[F.col(c).alias(f"__{c}") for c in self.cuts.columns])  # df may have columns of these names
         in_last = (F.col("__key") < F.col("__cut_key")) | ((F.col("__key") == F.col("__cut_key")) & (F.col("__cut_words") > 0))
         held = own.join(cuts, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("__copies", (F.col("__epochs") + F.when(in_last, 1).otherwise(0)).cast("int")).filter("__copies > 0")
@@ -61,7 +63,7 @@ def plan_mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     all words; no target exceeds most times its source's words, and what is above is shared again by weight.
 
     A null text has no words. Sources without words have target 0. Repeated rows count each. An empty df mixes to nothing."""
-    sized = stored(df.select(quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("source"), random_key(id_col, seed).alias("key"), F.coalesce(F.regexp_count(quoted(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sized = stored(df.select(quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("source"), random_key(id_col, text_col, seed).alias("key"), F.coalesce(F.regexp_count(quoted(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     ranges = sized.groupBy("source").agg(F.sum("size").alias("source_size")).repartitionByRange(F.col("source").asc_nulls_last())
     # stored, so that a range keeps its number whatever happens later
     sources = stored(ranges.withColumn("bin", F.spark_partition_id()), "mix-sources")
@@ -90,12 +92,13 @@ def _water_level(sources: DataFrame, share: float, most: float) -> float:
 
 
 def _cut(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """The targets with the key at which the words before it first do not exceed the rest of each source."""
+    """The targets with the key at which the words before it first do not exceed the rest of each source. Rows of one key are
+    summed before they move, so a key that many rows share is one row here."""
     bits = bins_for(sized.count()).bit_length() - 1
-    ranged = sized.withColumn("bin", F.shiftright("key", KEY_BITS - bits))
-    by_key = Window.partitionBy("source", "bin").orderBy("key")
-    inside = ranged.select("source", "bin", "key", F.coalesce(F.sum("size").over(by_key.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("in_bin"), F.sum("size").over(by_key.rangeBetween(0, 0)).alias("here"))
-    totals = ranged.groupBy("source", "bin").agg(F.sum("size").alias("n"))
+    ranged = sized.groupBy("source", "key").agg(F.sum("size").alias("here")).withColumn("bin", F.shiftright("key", KEY_BITS - bits))
+    by_key = Window.partitionBy("source", "bin").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.select("source", "bin", "key", F.coalesce(F.sum("here").over(by_key), F.lit(0)).alias("in_bin"), "here")
+    totals = ranged.groupBy("source", "bin").agg(F.sum("here").alias("n"))
     before = totals.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
     prefix = inside.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).select("source", "key", "here", (F.col("below") + F.col("in_bin")).alias("words_before"))
     of = targets.select(F.col("source").alias("of"), "source_size", "target", "epochs", "rest")

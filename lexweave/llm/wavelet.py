@@ -1,12 +1,14 @@
 """Token ids as wavelet-matrix files: one compressed file a shard, in ascending doc_id order.
 
-A file holds the bit planes of a wavelet matrix over all ids of the shard's documents, each plane compressed by itself, and the
-documents' ids and ends. After loading, rank directories give random access, counts of an id in a span, and the place of its
-k-th occurrence, all from that one file.
-
-File format (little-endian): b"LXWM", unsigned 32-bit length of the header, header (JSON), then the parts that the header
-lists in order with their byte lengths: doc ids (int64), doc id nulls (packed bits), ends (uint64), alphabet (uint32), planes from the top bit
-(packed bits). Every part is a zstandard frame.
+A file holds the bit planes of a wavelet matrix over all ids of the shard's documents and the documents' ids and ends. A plane is
+cut into blocks that are compressed one by one, and a stored directory tells where each block stands and how many ones are
+before it. Access to a token, counts of an id in a span and the place of its k-th occurrence so read the header and a few blocks
+of the one file, never all of it.
+
+File format (little-endian): b"LXW2", unsigned 32-bit length of the header, header (JSON: n, docs, zeros of each plane, bits of a
+block, byte lengths of the parts), then the parts: doc ids (int64), doc id nulls (packed bits), ends (uint64), alphabet (uint32),
+directory (uint32: compressed bytes, then ones, of each block of each plane), then the blocks of the planes from the top bit
+(packed bits). Every part and every block is a zstandard frame.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,88 +28,120 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import chunk_array, joined_back, new_folder, quoted, range_bucket, range_splits, release_memory, running_in_bins, stored, text_buffers, text_slices
+from lexweave.llm._common import chunk_array, id_ranges, joined_back, new_folder, quoted, release_memory, running_in_bins, stored, text_buffers, text_slices
 
-MAGIC = b"LXWM"
+MAGIC = b"LXW2"
 #: A file is closed once it holds this many ids; a document is never cut, so a longer one makes a larger file.
 FILE_TOKENS = 1 << 22
-WORD = 64
+#: Bits of a plane that are compressed together; a multiple of 64.
+BLOCK_BITS = 1 << 18
+#: Blocks that an open file keeps.
+HELD_BLOCKS = 256
 
 
 class WaveletMatrix:
     """Rank and select over a sequence of unsigned integers, kept as one packed bit plane for each bit of their ranks in the
-    alphabet, which holds the distinct integers in ascending order."""
+    alphabet, which holds the distinct integers in ascending order. block(level, k) gives the bytes of a plane's k-th block, and
+    ones how many ones each block holds; blocks are asked for when they are needed."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], alphabet: np.ndarray):
-        self.n, self.planes, self.zeros, self.alphabet = n, planes, zeros, alphabet
-        self.words: list[np.ndarray] | None = None
+    def __init__(self, n: int, zeros: list[int], alphabet: np.ndarray, ones: np.ndarray, block_bits: int, block: Callable[[int, int], bytes]):
+        self.n, self.zeros, self.alphabet, self.block_bits, self.block = n, zeros, alphabet, block_bits, block
+        self.before = np.concatenate((np.zeros((len(zeros), 1), np.int64), np.cumsum(ones, axis=1, dtype=np.int64)), axis=1)
+        self.held: OrderedDict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
     @classmethod
-    def build(cls, values: np.ndarray) -> WaveletMatrix:
+    def build(cls, values: np.ndarray, block_bits: int = BLOCK_BITS) -> WaveletMatrix:
         there = np.bincount(values) > 0 if len(values) else np.zeros(0, bool)
         alphabet = np.flatnonzero(there)
         top = max(1, (len(alphabet) - 1).bit_length()) if len(alphabet) else 1
         kind = np.uint16 if top <= 16 else np.uint32
         row = (np.cumsum(there) - 1).astype(kind)[values] if len(values) else np.zeros(0, kind)
         planes, zeros = [], []
-        for bit in range(top - 1, -1, -1):
+        starts = np.arange(0, len(values), block_bits)
+        ones = np.zeros((top, len(starts)), np.int64)
+        for level, bit in enumerate(range(top - 1, -1, -1)):
             one = (row & row.dtype.type(1 << bit)) != 0
-            planes.append(np.packbits(one, bitorder="little"))
+            planes.append(np.packbits(one, bitorder="little").tobytes())
+            if len(starts):
+                ones[level] = np.add.reduceat(one, starts, dtype=np.int64)
             # by places, which is several times as fast as by mask
             low = np.take(row, np.flatnonzero(~one))
             zeros.append(len(low))
             row = np.concatenate((low, np.take(row, np.flatnonzero(one))))
-        return cls(len(values), planes, zeros, alphabet)
+        size = block_bits // 8
+        return cls(len(values), zeros, alphabet, ones, block_bits, lambda level, k: planes[level][k * size : (k + 1) * size])
+
+    @property
+    def blocks(self) -> int:
+        return self.before.shape[1] - 1
 
     def decode_all(self) -> np.ndarray:
         """The whole sequence: each plane's stable split is undone from the lowest bit up."""
-        row = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for level in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+        depth = len(self.zeros)
+        row = np.zeros(self.n, np.uint16 if depth <= 16 else np.uint32)
+        for level in range(depth - 1, -1, -1):
+            plane = np.frombuffer(b"".join([self.block(level, k) for k in range(self.blocks)]), np.uint8)
+            one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(row)
             up[np.flatnonzero(~one)] = row[: self.zeros[level]]
-            up[np.flatnonzero(one)] = row[self.zeros[level] :] | row.dtype.type(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(one)] = row[self.zeros[level] :] | row.dtype.type(1 << (depth - 1 - level))
             row = up
         return self.alphabet.astype(np.uint32)[row] if self.n else np.zeros(0, np.uint32)
 
-    def _directories(self) -> None:
-        if self.words is None:
-            self.words, self.before = [], []
-            for plane in self.planes:
-                word = np.zeros(self.n // WORD + 1, "<u8")
-                word.view(np.uint8)[: len(plane)] = plane
-                self.words.append(word)
-                self.before.append(np.concatenate(([0], np.cumsum(np.bitwise_count(word), dtype=np.int64))))
-
-    def _rank1(self, level: int, i: int) -> int:
-        k, r = divmod(i, WORD)
-        return int(self.before[level][k]) + (int(self.words[level][k]) & ((1 << r) - 1)).bit_count()
-
-    def access(self, i: int) -> int:
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        self._directories()
-        value = 0
+    def _words(self, level: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit words of a block, with one more that is 0, and the ones before each of them."""
+        if (level, k) not in self.held:
+            data = self.block(level, k)
+            words = np.zeros(len(data) // 8 + 2, "<u8")
+            words.view(np.uint8)[: len(data)] = np.frombuffer(data, np.uint8)
+            self.held[level, k] = words, np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
+            if len(self.held) > HELD_BLOCKS:
+                self.held.popitem(last=False)
+        self.held.move_to_end((level, k))
+        return self.held[level, k]
+
+    def _rank1(self, level: int, places: np.ndarray) -> np.ndarray:
+        """The ones before each place of a plane."""
+        out = np.empty(len(places), np.int64)
+        block, rest = np.divmod(places, self.block_bits)
+        for k in np.unique(block).tolist():
+            mine = block == k
+            if k == self.blocks:
+                out[mine] = self.before[level, k]
+                continue
+            words, ones = self._words(level, k)
+            word, bit = rest[mine] >> 6, (rest[mine] & 63).astype(np.uint64)
+            below = words[word] & ((np.uint64(1) << bit) - np.uint64(1))
+            out[mine] = self.before[level, k] + ones[word] + np.bitwise_count(below)
+        return out
+
+    def access(self, places: np.ndarray | int) -> np.ndarray | int:
+        """The integers at places."""
+        at = np.atleast_1d(np.asarray(places, np.int64))
+        if len(at) and not (0 <= at.min() and at.max() < self.n):
+            raise IndexError(f"a place is outside 0..{self.n - 1}")
+        value = np.zeros(len(at), np.int64)
         for level, zeros in enumerate(self.zeros):
-            ones = self._rank1(level, i)
-            bit = self._rank1(level, i + 1) - ones
+            ones = self._rank1(level, at)
+            bit = self._rank1(level, at + 1) - ones
             value = value << 1 | bit
-            i = zeros + ones if bit else i - ones
-        return int(self.alphabet[value])
+            at = np.where(bit == 1, zeros + ones, at - ones)
+        out = self.alphabet[value] if len(at) else np.zeros(0, np.int64)
+        return out if np.ndim(places) else int(out[0])
 
     def _rank_of(self, value: int) -> int:
         at = int(np.searchsorted(self.alphabet, value))
         return at if at < len(self.alphabet) and self.alphabet[at] == value else -1
 
     def _span(self, value: int, a: int, b: int) -> tuple[int, int]:
-        self._directories()
         value = self._rank_of(value)
         if value < 0:
             return 0, 0
+        at = np.array([a, b], np.int64)
         for level, zeros in enumerate(self.zeros):
-            ones_a, ones_b = self._rank1(level, a), self._rank1(level, b)
-            a, b = (zeros + ones_a, zeros + ones_b) if value >> (len(self.planes) - 1 - level) & 1 else (a - ones_a, b - ones_b)
-        return a, b
+            ones = self._rank1(level, at)
+            at = zeros + ones if value >> (len(self.zeros) - 1 - level) & 1 else at - ones
+        return int(at[0]), int(at[1])
 
     def rank(self, value: int, i: int) -> int:
         """How often value stands before place i."""
@@ -119,54 +154,81 @@ class WaveletMatrix:
     def select(self, value: int, k: int) -> int:
         """The place of the k-th occurrence of value, from 0; -1 if there are fewer."""
         lo, hi = self._span(value, 0, self.n)
-        if k < 0 or k >= hi - lo:
-            return -1
-        at, value = lo + k, self._rank_of(value)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = value >> (len(self.planes) - 1 - level) & 1
+        return self._up(value, lo + k) if 0 <= k < hi - lo else -1
+
+    def _up(self, value: int, at: int) -> int:
+        """The place in the sequence of a place in the last order."""
+        value = self._rank_of(value)
+        for level in range(len(self.zeros) - 1, -1, -1):
+            bit = value >> (len(self.zeros) - 1 - level) & 1
             at = self._select_bit(level, bit, at - self.zeros[level] if bit else at)
         return at
 
     def _select_bit(self, level: int, bit: int, k: int) -> int:
-        before = self.before[level] if bit else np.arange(len(self.before[level])) * WORD - self.before[level]
-        word = int(np.searchsorted(before, k, side="right")) - 1
-        k -= int(before[word])
-        bits = np.unpackbits(self.words[level][word : word + 1].view(np.uint8), bitorder="little")
-        return word * WORD + int(np.flatnonzero(bits == bit)[k])
+        before = self.before[level] if bit else np.minimum(np.arange(self.blocks + 1) * self.block_bits, self.n) - self.before[level]
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        k -= int(before[block])
+        words, ones = self._words(level, block)
+        inside = ones if bit else np.arange(len(ones)) * 64 - ones
+        word = int(np.searchsorted(inside, k, side="right")) - 1
+        k -= int(inside[word])
+        bits = np.unpackbits(words[word : word + 1].view(np.uint8), bitorder="little")
+        return block * self.block_bits + word * 64 + int(np.flatnonzero(bits == bit)[k])
 
     def occurrences(self, value: int) -> list[int]:
-        return [self.select(value, k) for k in range(self.count(value, 0, self.n))]
+        lo, hi = self._span(value, 0, self.n)
+        return [self._up(value, at) for at in range(lo, hi)]
 
 
-def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, level: int = 1) -> bytes:
+def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, level: int = 1, block_bits: int = BLOCK_BITS) -> bytes:
     """One shard as the bytes of its file."""
     import zstandard
 
-    matrix = WaveletMatrix.build(ids)
-    none = np.array([x is None for x in doc_ids], bool)
-    parts = [np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(), np.packbits(none).tobytes(), ends.astype("<u8").tobytes(), matrix.alphabet.astype("<u4").tobytes(), *(p.tobytes() for p in matrix.planes)]
+    matrix = WaveletMatrix.build(ids, block_bits)
     packer = zstandard.ZstdCompressor(level=level)
+    blocks = [[packer.compress(matrix.block(i, k)) for k in range(matrix.blocks)] for i in range(len(matrix.zeros))]
+    directory = np.stack((np.array([[len(x) for x in plane] for plane in blocks], "<u4").reshape(len(blocks), -1), np.diff(matrix.before).astype("<u4")))
+    none = np.array([x is None for x in doc_ids], bool)
+    parts = [np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(), np.packbits(none).tobytes(), ends.astype("<u8").tobytes(), matrix.alphabet.astype("<u4").tobytes(), directory.tobytes()]
     frames = [packer.compress(p) for p in parts]
-    header = json.dumps({"n": matrix.n, "docs": len(doc_ids), "zeros": matrix.zeros, "parts": [len(f) for f in frames]}).encode()
-    return b"".join((MAGIC, struct.pack("<I", len(header)), header, *frames))
+    header = json.dumps({"n": matrix.n, "docs": len(doc_ids), "zeros": matrix.zeros, "block_bits": block_bits, "parts": [len(f) for f in frames]}).encode()
+    return b"".join((MAGIC, struct.pack("<I", len(header)), header, *frames, *(x for plane in blocks for x in plane)))
 
 
-def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """The matrix, the doc ids and the ends of a file."""
-    import zstandard
+class TokenFile:
+    """A file opened over read(offset, length): matrix, doc_ids and ends (of each document). Blocks are read when needed."""
 
-    if data[:4] != MAGIC:
-        raise ValueError("not a wavelet-matrix file")
-    (size,) = struct.unpack_from("<I", data, 4)
-    header, at, parts = json.loads(data[8 : 8 + size]), 8 + size, []
-    opener = zstandard.ZstdDecompressor()
-    for length in header["parts"]:
-        parts.append(opener.decompress(data[at : at + length]))
-        at += length
-    none = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=header["docs"])
-    doc_ids = [None if gone else x for x, gone in zip(np.frombuffer(parts[0], "<i8").tolist(), none.tolist(), strict=True)]
-    planes = [np.frombuffer(p, np.uint8) for p in parts[4:]]
-    return WaveletMatrix(header["n"], planes, header["zeros"], np.frombuffer(parts[3], "<u4")), doc_ids, np.frombuffer(parts[2], "<u8").astype(np.int64)
+    def __init__(self, read: Callable[[int, int], bytes]):
+        import zstandard
+
+        opener = zstandard.ZstdDecompressor()
+        head = bytes(read(0, 8))
+        if head[:4] != MAGIC:
+            raise ValueError("not a wavelet-matrix file")
+        (size,) = struct.unpack_from("<I", head, 4)
+        header, at, parts = json.loads(bytes(read(8, size))), 8 + size, []
+        for length in header["parts"]:
+            parts.append(opener.decompress(read(at, length)))
+            at += length
+        none = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=header["docs"])
+        self.doc_ids = [None if gone else x for x, gone in zip(np.frombuffer(parts[0], "<i8").tolist(), none.tolist(), strict=True)]
+        self.ends = np.frombuffer(parts[2], "<u8").astype(np.int64)
+        sizes, ones = np.frombuffer(parts[4], "<u4").astype(np.int64).reshape(2, len(header["zeros"]), -1)
+        offsets = at + np.concatenate(([0], np.cumsum(sizes.ravel())))
+
+        def block(level: int, k: int) -> bytes:
+            i = level * sizes.shape[1] + k
+            return opener.decompress(read(int(offsets[i]), int(sizes[level, k])))
+
+        self.matrix = WaveletMatrix(header["n"], header["zeros"], np.frombuffer(parts[3], "<u4"), ones, header["block_bits"], block)
+
+    @classmethod
+    def of_bytes(cls, data: bytes) -> TokenFile:
+        return cls(lambda at, length: data[at : at + length])
+
+    def document(self, k: int) -> np.ndarray:
+        """The ids of the k-th document."""
+        return self.matrix.access(np.arange(self.ends[k - 1] if k else 0, self.ends[k]))
 
 
 #: Kinds of bytes: 1 ASCII white space as the splitter sees it, 2 ASCII letters.
@@ -292,14 +354,17 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
     """Encodes every whole text of df, appends end_id to each document and writes the ids as wavelet-matrix files of folder, in
     ascending id_col order over the files' names. Gives a stored table of the files: file, docs, tokens, bytes.
 
-    Null ids come first, equal ids are ordered by text, a null text is the empty one (only the end id), other columns are not
-    used. An empty df gives no file. A file is written under a name of its own and then renamed, so a repeated task leaves the
-    same file once. Shards are id ranges of near equal row counts, by default as many as the session's shuffle partitions. A task holds the ids of one file, never a shard of unknown size."""
+    Null ids come first, equal ids are ordered by the hash of their text, a null text is the empty one (only the end id), other
+    columns are not used. An empty df gives no file. A file is written under a name of its own and then renamed, so a repeated
+    task leaves the same file once. Shards are (id, text hash) ranges of near equal row counts, by default about as many as the
+    session's shuffle partitions; an id that many rows share, or none, fills several. A task holds the ids of one file, never a
+    shard of unknown size."""
     manifest = "file string, docs long, tokens long, bytes long"
     rows = df.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
-    splits = range_splits(rows, "doc_id", shards)
-    shard = F.coalesce(range_bucket(F.col("doc_id"), splits) + 1, F.lit(0)).cast("int")
-    ordered = rows.repartitionById(len(splits) + 2, shard).sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    ranges = id_ranges(rows, "doc_id", shards)
+    shard = ranges.of(F.col("doc_id"), F.col("hash")).cast("int")
+    ordered = rows.repartitionById(ranges.count, shard).sortWithinPartitions("doc_id", "hash", "text").drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -358,8 +423,8 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                matrix, docs, ends = unpack(content.as_py())
-                ids = matrix.decode_all()
+                opened = TokenFile.of_bytes(content.as_py())
+                docs, ends, ids = opened.doc_ids, opened.ends, opened.matrix.decode_all()
                 begin = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 crcs = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]] * len(docs), pa.string()), pa.array(docs, pa.int64()), pa.array(begin), pa.array(ends - begin), pa.array(crcs, pa.int64())], names=["file", "doc_id", "place", "n_tokens", "ids_crc32"])
@@ -373,3 +438,63 @@ def token_files(df: DataFrame, tokenizer_path: str, folder: str | None = None, *
     """write_files and then read_documents: every column comes from the files that were read back."""
     folder = folder or new_folder(df.sparkSession, "wavelet")
     return read_documents(df.sparkSession, folder, write_files(df, folder, tokenizer_path, **options))
+
+
+def _opened(folder: str, name: str):
+    """A file of folder, of which only what is asked for is read."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    held = store.open_input_file(f"{root}/{name}")
+    return held, TokenFile(lambda at, length: held.read_at(length, at))
+
+
+def tokens_at(wanted: DataFrame, folder: str) -> DataFrame:
+    """file, place, token: the ids at wanted places (file, place) of the files, by random access. A place outside its file is an
+    error; repeated places have a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, places = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    held, opened = _opened(folder, names[a])
+                    with held:
+                        found = opened.matrix.access(places[a:b])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(found.astype(np.int64))], names=["file", "place", "token"])
+
+    dealt = wanted.select(F.col("file").cast("string"), F.col("place").cast("long")).repartition("file", F.floor(F.col("place") / BLOCK_BITS)).sortWithinPartitions("file", "place")
+    return dealt.mapInArrow(run, "file string, place long, token long")
+
+
+def token_counts(manifest: DataFrame, folder: str, tokens: list[int]) -> DataFrame:
+    """file, token, n: how often each of the tokens stands in each file, by rank; no plane is decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                held, opened = _opened(folder, name)
+                with held:
+                    counts = [opened.matrix.count(t, 0, opened.matrix.n) for t in tokens]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(tokens), pa.string()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int64())], names=["file", "token", "n"])
+
+    return manifest.select("file").mapInArrow(run, "file string, token long, n long")
+
+
+def token_occurrences(manifest: DataFrame, folder: str, token: int, batch_rows: int = 10_000) -> DataFrame:
+    """file, doc_id, place (in the file), at (in the document) of every occurrence of a token, by select."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                held, opened = _opened(folder, name)
+                with held:
+                    lo, hi = opened.matrix._span(token, 0, opened.matrix.n)
+                    for start in range(lo, hi, batch_rows):
+                        places = np.array([opened.matrix._up(token, i) for i in range(start, min(hi, start + batch_rows))], np.int64)
+                        doc = np.searchsorted(opened.ends, places, side="right")
+                        begin = np.concatenate(([0], opened.ends))[doc]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(places), pa.string()), pa.array([opened.doc_ids[d] for d in doc.tolist()], pa.int64()), pa.array(places), pa.array(places - begin)], names=["file", "doc_id", "place", "at"])
+
+    return manifest.select("file").mapInArrow(run, "file string, doc_id long, place long, at long")
