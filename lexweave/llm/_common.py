@@ -57,9 +57,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that no later step and no result reads any more."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        at = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        discard_folder(df.sparkSession, df.stored_at)
+
+
+def discard_folder(spark: SparkSession, folder: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def put_in_place(store, own: str, name: str) -> None:
+    """Renames a finished file; where a repeated task finds its file there and the store does not replace it, the old one, which
+    is equal, goes first."""
+    try:
+        store.move(own, name)
+    except OSError:
+        if store.get_file_info(name).type.name != "File":
+            raise
+        store.delete_file(name)
+        store.move(own, name)
 
 
 def kept_columns(df: DataFrame, made: list[str], keep: list[str] | None) -> list[str]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import chunk_array, id_ranges, joined_back, new_folder, quoted, release_memory, running_in_bins, stored, text_buffers, text_slices
+from lexweave.llm._common import chunk_array, id_ranges, joined_back, new_folder, put_in_place, quoted, release_memory, running_in_bins, stored, text_buffers, text_slices
 
 MAGIC = b"LXW2"
 #: A file is closed once it holds this many ids; a document is never cut, so a longer one makes a larger file.
@@ -332,18 +332,6 @@ class ByteEncoder:
         return flat, ends[np.searchsorted(starts, rows)]
 
 
-def put_in_place(store, own: str, name: str) -> None:
-    """Renames a finished file; where a repeated task finds its file there and the store does not replace it, the old one, which
-    is equal, goes first."""
-    try:
-        store.move(own, name)
-    except OSError:
-        if store.get_file_info(name).type.name != "File":
-            raise
-        store.delete_file(name)
-        store.move(own, name)
-
-
 @lru_cache(maxsize=1)
 def byte_encoder(tokenizer_path: str, special_strings_as_text: bool) -> ByteEncoder:
     """One encoder for all tasks of a Python worker, so that the words it knows are known to the next task."""

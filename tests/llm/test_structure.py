@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexweave.llm import merkle, minhash, mixing, queries, secret_scan, sharding, topk
+from lexweave.llm import merkle, minhash, mixing, queries, secret_scan, sharding, sql, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -356,6 +356,41 @@ def test_top_k_of_odd_vectors(spark, monkeypatch, blocks):
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in topk.top_k(few, F.col("vec_id") % 50 == 0).collect()} == plain_top(rows[:3], 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(df, F.lit(False)).count() == 0
+
+
+def test_top_k_sql_agrees_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(i % 60, [float(i % 7), -float(i % 5), 0.5]) for i in range(150)] + [(None, [1.0, 1.0, 1.0]), (70, None), (100, [float("nan"), 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    held = duckdb.connect()
+    held.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = held.sql(sql.OP8_TOP_K).fetchall()
+    assert sorted(tuple(r) for r in queries.op8_top_k(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["normal", "uniform", "clustered", "ties"])
+def test_the_search_stops_on_proof_and_is_exact(kind):
+    rnd = np.random.default_rng(13)
+    n, dims = 4000, 32
+    vectors = {"normal": rnd.normal(0, 60, (n, dims)), "uniform": rnd.uniform(-200, 200, (n, dims)), "clustered": rnd.normal(0, 200, (20, dims))[rnd.integers(0, 20, n)] + rnd.normal(0, 20, (n, dims)), "ties": rnd.integers(-2, 3, (n, dims))}[kind].astype(np.int64)
+    index = topk.ImpactIndex.of_bytes(topk.ImpactIndex(np.arange(n)[::-1], vectors[::-1]).to_bytes())
+    read = []
+    for q in range(0, n, 200):
+        scores, ids = index.search(vectors[q], 5, q)
+        read.append(index.read)
+        exact = vectors @ vectors[q]
+        exact[q] = -(1 << 62)
+        want = np.lexsort((np.arange(n), -exact))[:5]
+        assert ids.tolist() == want.tolist() and scores.tolist() == exact[want].tolist()
+        # with the bar of another block only what reaches it has to be found
+        bar = int(exact[want[2]])
+        scores, ids = index.search(vectors[q], 5, q, bar)
+        assert ids.tolist()[: int((exact >= bar).sum())] == want.tolist()[: int((exact >= bar).sum())]
+    print(kind, sum(read) / len(read))
+    assert kind != "clustered" or sum(read) / len(read) < 0.7
 
 
 def test_pipeline_stages(spark, sf_dir):
