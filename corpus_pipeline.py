@@ -6,12 +6,12 @@ docs, so a lost executor costs no earlier stage. All stages but the last return
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave import ship
 from lexweave.llm import langid, minhash, mixing, pieces, secret_scan
-from lexweave.llm._common import new_folder
+from lexweave.llm._common import new_folder, quoted, stored
 from lexweave.llm.queries import vocabulary
 
 #: A text whose best language has less than this share of all languages' probabilities is rejected.
@@ -30,12 +30,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links of similarity 0.8 connect, the one of the smallest id, once if its row is
-    repeated. Documents without an id are in no group and stay."""
+    repeated. Documents without an id are in no group and stay.
+
+    Texts move once, against the ids that go; rows without an id take no part in that. Of an id with several rows the first by
+    the hash of the text is found by an aggregate, which keeps one row of each id before it moves any."""
     ship(spark)
-    dropped = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("__row", first).filter("doc_id IS NULL OR __row = 1").select(docs.columns)
+    told = minhash.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")).filter("NOT kept OR rows > 1")
+    told = stored(told, "pipeline-duplicates")
+    with_id = docs.filter("doc_id IS NOT NULL")
+    several = with_id.join(told.filter("kept").select("doc_id"), "doc_id", "left_semi")
+    firsts = several.groupBy("doc_id").agg(F.min_by(F.struct(*[quoted(c) for c in docs.columns]), F.xxhash64("text")).alias("__row")).select("__row.*")
+    return docs.filter("doc_id IS NULL").unionByName(with_id.join(told.select("doc_id"), "doc_id", "left_anti").select(docs.columns)).unionByName(firsts)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
