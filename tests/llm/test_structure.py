@@ -502,4 +502,15 @@ def test_pipeline_of_odd_documents(odd, sf_dir):
 
 
 def test_pipeline_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).filter("n_tokens > 2").count() > 100
+    """All rows of the whole run against the stages one by one, near duplicates by brute force, and the library's ids."""
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    told = corpus_pipeline.language(spark, docs, sf_dir)
+    kept = {i for i, _, _, k in plain_components([(r["doc_id"], r["text"]) for r in told.collect()], 80, 100) if k}
+    clean = corpus_pipeline.secrets(spark, told.filter(F.col("doc_id").isin(*kept)), sf_dir)
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    want = Counter()
+    for r in corpus_pipeline.mixture(spark, clean, sf_dir).collect():
+        want[r["doc_id"], r["source"], np.array(model.encode(r["text"], add_bos=True, add_eos=True), "<u4").tobytes()] += 1
+    assert Counter((r["doc_id"], r["source"], bytes(r["ids"])) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
