@@ -151,6 +151,13 @@ def test_sections_of_paragraphs(spark):
         ([("x", True, None), ("-", None, None), ("y", True, None)], "**x-y**"),
         ([("  ", None, None)], ""),
         ([], ""),
+        ([("(", None, True), ("leaning", None, True), (") ", None, True), ("x", None, None)], "(*leaning*) x"),
+        ([("a", True, None), (" ", None, None), ("b", True, None)], "**a b**"),
+        ([("a", True, None), (" . ", None, None), ("b", None, True)], "__a__ . *b*"),
+        ([("A", True, True), ("b", True, None), ("c", None, True)], "__*A*b__*c*"),
+        ([("one\n two", None, True), ("\tthree", None, None)], "*one two* three"),
+        ([("!", None, True), ("word", None, None)], "!word"),
+        ([(None, None, None), ("x_", True, None), ("-", None, None)], "**x_-**"),
     ],
 )
 def test_run_markdown(runs, want):
@@ -241,11 +248,32 @@ def test_markdown():
     assert markup.plain_of("snake_case_name and 2 * 3 * 4") == "snake_case_name and 2 * 3 * 4"
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("- a\n  - b\n    - c\n- d", "<ul>\n<li>a\n<ul>\n<li>b\n<ul>\n<li>c</li>\n</ul>\n</li>\n</ul>\n</li>\n<li>d</li>\n</ul>\n"),
+        ("- a\n\n- b", "<ul>\n<li>\n<p>a</p>\n</li>\n<li>\n<p>b</p>\n</li>\n</ul>\n"),
+        ("3. x\n4. y", '<ol start="3">\n<li>x</li>\n<li>y</li>\n</ol>\n'),
+        ("1. x\n   - y\n\nz", "<ol>\n<li>x\n<ul>\n<li>y</li>\n</ul>\n</li>\n</ol>\n<p>z</p>\n"),
+        ("- a\nlazy\n\n  second", "<ul>\n<li>\n<p>a\nlazy</p>\n<p>second</p>\n</li>\n</ul>\n"),
+        ("- a\n* b", "<ul>\n<li>a</li>\n</ul>\n<ul>\n<li>b</li>\n</ul>\n"),
+        ("see [the text][K] and [k]\n\n[k]: /url 'title'", '<p>see <a href="/url">the text</a> and <a href="/url">k</a></p>\n'),
+        ("[none] and [x](y \"t\")", '<p>[none] and <a href="y">x</a></p>\n'),
+        ("    code <x>\n\n    more", "<pre><code>code &lt;x&gt;\n\nmore\n</code></pre>\n"),
+        ("text\n    goes on", "<p>text\ngoes on</p>\n"),
+        ("> - a\n> - b", "<blockquote>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n</blockquote>\n"),
+        ("in 2020\n2021. was", "<p>in 2020\n2021. was</p>\n"),
+    ],
+)
+def test_blocks(text, want):
+    assert markup.render_markdown(text) == want
+
+
 def test_linker():
     linker = markup.TermLinker({"climate risk": "Climate risk", "climate": "Climate", "risk": "Risk"})
     assert linker.link("Risk & climate risks") == '<a href="#" data-term="Risk">Risk</a> &amp; climate risks'  # the longer match hides the shorter one
     assert linker.terms("risk, CLIMATE RISK, risk") == ["risk", "climate risk"]
-    page = markup.outside_tags('<p>risk <a href="x">risk</a></p>', {"a"}, linker.link)
+    page = linker.link_page('<p>risk <a href="x">risk</a></p>')
     assert page == '<p><a href="#" data-term="Risk">risk</a> <a href="x">risk</a></p>'
     assert markup.anchored_terms(page, {"risk": "term-risk"}) == '<p><a class="glossary-link" href="#term-risk">risk</a> <a href="x">risk</a></p>'
     assert markup.link_statements("<p>A1.1 and A1.10, A1.1.</p><code>A1.1</code>", {"a1.1": "s1", "a1.10": "s2"}, markup.BY_ANCHOR) == '<p><a class="statement-link" href="#s1">A1.1</a> and <a class="statement-link" href="#s2">A1.10</a>, A1.1.</p><code>A1.1</code>'
