@@ -258,13 +258,14 @@ def setting(*names: Column) -> Column:
 
 def matches_term(text: Column, term: Column) -> Column:
     """Whether the folded term stands in the folded text with no word character beside it. The plain search first."""
-    quoted = F.concat(F.lit(f"(?<!{W})\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?!{W})"))
-    return (F.instr(text, term) > 0) & F.regexp_like(text, quoted)
+    body = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    # the term first, then what stands before it: the search is for fixed characters
+    return F.contains(text, term) & F.regexp_like(text, F.concat(body, F.lit(f"(?!{W})(?<!{W}"), body, F.lit(")")))
 
 
 def has_constant(text: Column, term: str) -> Column:
     """matches_term for a term that is known when the plan is made."""
-    return F.contains(text, F.lit(term)) & text.rlike(f"(?<!{W}){lit_regex(term)}(?!{W})")
+    return F.contains(text, F.lit(term)) & text.rlike(f"{lit_regex(term)}(?!{W})(?<!{W}{lit_regex(term)})")
 
 
 def escaped(c: Column) -> Column:

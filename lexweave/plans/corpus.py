@@ -92,7 +92,7 @@ def usage_by_first_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over the way for many terms."""
     folded = document_sentences(spark, sf_dir).select(t.folded(F.col("sentence")).alias("folded"))
     keys = demo_glossary(spark).select("term_key").distinct()
-    return matching.containing(folded, keys, constant_terms=0).groupBy("term_key").agg(F.count("*").alias("n"))
+    return matching.by_first_words(folded, keys).groupBy("term_key").agg(F.count("*").alias("n"))
 
 
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

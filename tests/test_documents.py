@@ -1,5 +1,8 @@
 """Parsers and matchers on hand-made documents."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -63,9 +66,32 @@ def test_usage(sentences, terms):
 
 
 def test_terms_without_word_characters(spark):
-    s = spark.createDataFrame([("a -- b",), ("c",)], "folded string")
-    k = spark.createDataFrame([("--",), ("b",)], "term_key string")
-    assert sorted(r["term_key"] for r in matching.containing(s, k, constant_terms=0).collect()) == ["--", "b"]
+    s = spark.createDataFrame([("a -- b",), ("c",), ("x😀y ++",), ("a--",)], "folded string")
+    marks = [chr(0x2190 + i) for i in range(100)]  # more than are made constants
+    k = spark.createDataFrame([("--",), ("b",), ("😀",), ("+",), (" ",), *((m,) for m in marks)], "term_key string")
+    assert sorted((r["folded"], r["term_key"]) for r in matching.containing(s, k, constant_terms=0).collect()) == [("a -- b", "--"), ("a -- b", "b"), ("x😀y ++", "+")]
+    rows = spark.createDataFrame([(i, f"see {m} here") for i, m in enumerate(marks)], "n int, folded string")
+    assert matching.containing(rows, k.filter("term_key <> ' '")).count() == 100
+
+
+def test_both_ways_of_matching_agree(spark):
+    rnd = random.Random(3)
+    parts = ["risk", "climate", " ", " ", "-", "co₂", "c", "+", ".", "net", "a", "é", "\u00a0", "😀", "_", "1"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25))) for _ in range(400)]
+    terms = sorted({"".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 6))).strip() for _ in range(60)} - {""})
+    s = spark.createDataFrame([(i, x) for i, x in enumerate(texts + texts[:50])], "n int, folded string")
+    k = spark.createDataFrame([(x, x.upper()) for x in terms], "term_key string, term string")
+    told = [sorted(tuple(r) for r in f.select("n", "term_key", "term").collect()) for f in (matching.containing(s, k, constant_terms=100), matching.by_first_words(s, k))]
+    plain = sorted((i, x, x.upper()) for i, text in enumerate(texts + texts[:50]) for x in terms if re.search(rf"(?<!\w){re.escape(x)}(?!\w)", text))
+    assert told[0] == told[1] == plain and plain
+
+
+def test_sentences_move_once(spark):
+    """No exchange under the join of beginnings carries the text."""
+    s, k = spark.range(10).select(F.concat(F.lit("text "), "id").alias("folded"), F.lit("more").alias("other")), spark.createDataFrame([("text",)], "term_key string")
+    plan = matching.by_first_words(s, k)._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(i for i, x in enumerate(plan.split("\n")) if "Generate inline" in x)
+    assert "other" in plan and "other#" not in "\n".join(plan.split("\n")[generate : generate + 2]).split("Range")[0]
 
 
 def test_quoted_terms(spark):
