@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+import time
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,7 +37,9 @@ def local_notice(term: Column, n: Column) -> Column:
 
 def prompts(terms: DataFrame, occurrences: DataFrame, template: str, sources: dict[str, str]) -> DataFrame:
     """term_key, prompt: template with {term}, {statement_sentence_table} and, for each placeholder of sources, the definitions of
-    that source filled in, one after another. terms as from glossary.grouped; occurrences with term_key and corpus order."""
+    that source filled in, one after another. terms as from glossary.grouped; occurrences with term_key and corpus order.
+
+    A prompt is one text with all sentences of its term, as a model reads it; pass the terms that are asked for only."""
     if not template.strip():
         raise ValueError("the prompt template is empty")
     row = F.concat(F.lit("| "), t.table_cell(F.col("statement")), F.lit(" | "), t.table_cell(F.col("sentence")), F.lit(" |"))
@@ -88,22 +94,73 @@ def merged(summaries: DataFrame, failures: DataFrame, done: DataFrame, failed: D
     return kept, still
 
 
-def run_model(prompted: DataFrame, ask: Callable[[str], str], source: str, stamp: str) -> DataFrame:
-    """term_key, term, n, prompt to answers: adds summary or error, row by row in Arrow batches on the executors."""
-    @F.pandas_udf("summary string, error string")
-    def answer(prompt: pd.Series) -> pd.DataFrame:
-        out = []
-        for p in prompt:
-            try:
-                said = ask(p)
-                if not isinstance(said, str) or not said.strip():
-                    raise RuntimeError("no summary text")
+#: Errors of the program itself: they end the job instead of being recorded as a term's failure.
+BUGS = (NameError, AttributeError, TypeError, ImportError, SyntaxError)
+
+
+def run_model(prompted: DataFrame, ask: Callable[[str], str], source: str, stamp: str, answers: str | None = None, pause: float = 0.0) -> DataFrame:
+    """term_key, term, n, prompt to answers: adds summary or error, row by row on the executors, with a pause behind each request.
+
+    With a folder for answers each one is kept there as soon as it is given, under the hash of its term and prompt; what is kept
+    is not asked for again, neither by a repeated task nor by a later run. Failures are not kept. An answer without text and
+    whatever ask raises are failures, but for BUGS."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None if answers is None else Answers(answers)
+        for batch in batches:
+            out = []
+            for key, p in zip(batch["term_key"], batch["prompt"], strict=True):
+                said = None if kept is None else kept.get(key, p)
+                if said is not None:
+                    out.append((said, None))
+                    continue
+                try:
+                    said = ask(p)
+                    if not isinstance(said, str) or not said.strip():
+                        raise RuntimeError("no summary text")
+                except BUGS:
+                    raise
+                except Exception as e:  # noqa: BLE001  whatever else fails is recorded with its term
+                    out.append((None, f"{type(e).__name__}: {e}"))
+                    continue
                 out.append((said.strip(), None))
-            except Exception as e:  # noqa: BLE001  whatever fails is recorded with its term
-                out.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["summary", "error"])
+                if kept is not None:
+                    kept.put(key, p, said.strip())
+                time.sleep(pause)
+            yield batch[["term_key", "term", "n"]].assign(summary=[x for x, _ in out], error=[x for _, x in out])
+
+    asked = prompted.select("term_key", "term", F.col("n").cast("long").alias("n"), "prompt").mapInPandas(run, "term_key string, term string, n long, summary string, error string")
+    return asked.select("term_key", "term", F.col("n").alias("occurrence_count"), "summary", "error", F.lit(source).alias("summary_source"), F.lit(stamp).alias("at"))
+
+
+class Answers:
+    """A folder of one file for each answer, in any store that pyarrow knows. A file is written beside and renamed."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.store.create_dir(self.root, recursive=True)
+
+    def _at(self, key: str, prompt: str) -> str:
+        return f"{self.root}/{hashlib.sha256(json.dumps([key, prompt]).encode()).hexdigest()}.txt"
+
+    def get(self, key: str, prompt: str) -> str | None:
+        at = self._at(key, prompt)
+        if self.store.get_file_info(at).type.name != "File":
+            return None
+        with self.store.open_input_stream(at) as data:
+            return data.read().decode()
+
+    def put(self, key: str, prompt: str, said: str) -> None:
+        at = self._at(key, prompt)
+        beside = f"{at}.{uuid.uuid4().hex}.tmp"
+        with self.store.open_output_stream(beside) as out:
+            out.write(said.encode())
+        self.store.move(beside, at)
 
-    return prompted.withColumn("a", answer("prompt")).select("term_key", "term", F.col("n").alias("occurrence_count"), "a.summary", "a.error", F.lit(source).alias("summary_source"), F.lit(stamp).alias("at"))
+    def clear(self) -> None:
+        self.store.delete_dir(self.root)
 
 
 def outcome(routed: DataFrame, failed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Each names its inputs and outputs by paths that Spark can read, and stops with a
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ from lexweave.operators import anchors, documents, glossary, matching, network,
 from lexweave.sources import readers, writers
 
 
+class UnknownTerms(ValueError):
+    """Terms were asked for that the glossary does not have."""
+
+
 def required(df: DataFrame, what: str) -> DataFrame:
     """df, or an error if it has no row."""
     if not df.take(1):
@@ -29,6 +34,27 @@ def convert_documents(spark: SparkSession, source: str, target: str) -> int:
     return lines.count()
 
 
+def read_pages(spark: SparkSession, source: str) -> DataFrame:
+    """doc, page, text of extracted page text: files whose pages end with a form feed, as text extractors write them."""
+    texts = required(readers.read_texts(spark, source), f"page text in {source}")
+    pages = texts.select("doc", F.posexplode(F.split(F.regexp_replace("text", "\f\\z", ""), "\f")).alias("page", "text"))
+    return pages.select(F.regexp_extract("doc", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("doc"), (F.col("page") + 1).alias("page"), "text")
+
+
+def build_archive(spark: SparkSession, sources: list[str], target: str) -> int:
+    """One ZIP file of the named files, checked against them byte for byte after it is written; a missing file is an error."""
+    files = spark.read.format("binaryFile").load(sources).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content")
+    held = {r["name"]: bytes(r["content"]) for r in files.toLocalIterator()}
+    lost = sorted({s.rstrip("/").rsplit("/", 1)[-1] for s in sources} - set(held))
+    if lost:
+        raise ValueError("missing files: " + ", ".join(lost))
+    writers.write_file(spark, target, writers.archive_bytes(held))
+    wrong = writers.archive_differences(files, readers.read_archive(spark, target)).take(1)
+    if wrong:
+        raise ValueError(f"the archive does not hold {wrong[0]['name']} as it is")
+    return len(held)
+
+
 def convert_pages(pages: DataFrame, target: str, headers: bool = False) -> None:
     """Extracted pages (doc, page, text) to Markdown."""
     writers.write_per_document(documents.page_markdown(required(pages, "page"), F.col("doc"), headers), target)
@@ -107,22 +133,27 @@ def write_network(corpus: Corpus, target: str) -> None:
     writers.write_ordered(network.cypher_lines(nodes, edges), target, "kind", "a", "b")
 
 
-def generate_summaries(corpus: Corpus, artifact: str, template: str, placeholders: dict[str, str], ask: Callable[[str], str], model: str, stamp: str, only: tuple[str, ...] = (), limit: int | None = None, overwrite: bool = False) -> dict[str, int]:
+def generate_summaries(corpus: Corpus, artifact: str, template: str, placeholders: dict[str, str], ask: Callable[[str], str], model: str, stamp: str, only: tuple[str, ...] = (), limit: int | None = None, overwrite: bool = False, pause: float = 0.0) -> dict[str, int]:
     """Brings a summary artifact up to date and gives how many terms were completed, skipped and failed.
 
     Records of terms that are gone are dropped, what is there is kept unless overwrite, terms in repeated use go to ask, and
-    failures are recorded with their terms. The artifact is replaced whole at the end."""
+    failures are recorded with their terms. Every answer is kept beside the artifact the moment it is given, so a run that is
+    stopped, or a lost executor, costs no answer: the next run finds it there. At the end the artifact is replaced whole and
+    the kept answers go."""
     spark = corpus.spark
     old, lost, created = readers.artifact_or_new(spark, artifact, model, stamp)
     if only and (unknown := summaries.unknown_terms(spark.createDataFrame([(x,) for x in only], "term string"), corpus.terms.select("term_key")).collect()):
-        raise ValueError("unknown terms: " + ", ".join(sorted(r["term_key"] for r in unknown)))
+        raise UnknownTerms("unknown terms: " + ", ".join(sorted(r["term_key"] for r in unknown)))
     old, lost = summaries.current(old, corpus.terms).persist(), summaries.current(lost, corpus.terms).persist()
     found = matching.occurrences(corpus.sentences, corpus.terms)
     counts = found.groupBy("term_key").agg(F.count("*").alias("n"))
     routed = summaries.routes(summaries.selected(corpus.terms, only, limit), counts, old, overwrite).persist()
     asked = routed.filter("route = 'model'").select("term_key", "term", "n")
     prompts = summaries.prompts(corpus.terms.join(asked.select("term_key"), "term_key", "left_semi"), found, template, placeholders)
-    answers = summaries.run_model(asked.join(prompts, "term_key"), ask, model, stamp).persist()
+    folder = f"{artifact}.answers"
+    if "://" not in folder:
+        folder = f"file://{os.path.abspath(folder)}"
+    answers = summaries.run_model(asked.join(prompts, "term_key"), ask, model, stamp, folder, pause).persist()
     source = F.when(F.col("route") == "notice", summaries.NOTICE_SOURCE).otherwise(summaries.LOCAL_SOURCE)
     notices = routed.filter("route IN ('notice', 'local')").select("term_key", "term", F.col("n").alias("occurrence_count"), "summary", source.alias("summary_source"), F.lit(stamp).alias("generated_at"))
     done = notices.unionByName(answers.filter("error IS NULL").select("term_key", "term", "occurrence_count", "summary", "summary_source", F.col("at").alias("generated_at")))
@@ -130,6 +161,7 @@ def generate_summaries(corpus: Corpus, artifact: str, template: str, placeholder
     kept, still = summaries.merged(old, lost, done, failed)
     writers.write_file(spark, artifact, writers.artifact_json(kept, still, model, created, stamp).encode())
     counted = summaries.outcome(routed, failed).first().asDict()
+    summaries.Answers(folder).clear()
     for df in (old, lost, routed, answers):
         df.unpersist()
     return counted

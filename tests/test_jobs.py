@@ -65,8 +65,7 @@ def test_converters(spark, tmp_path):
     assert main(["documents", str(tmp_path / "in"), f"file://{tmp_path}/md"], spark) == 0
     assert main(["summaries", str(tmp_path / "in"), f"file://{tmp_path}/es", "--level", "Top=1"], spark) == 0
     assert readers.read_texts(spark, f"{tmp_path}/es/*").first()["text"].strip() == "# Executive Summary\n\n## [ES2.1] **Findings**\n\n[ES2.1.1] Text *stressed*"
-    with pytest.raises(ValueError, match="no executive summary"):
-        main(["summaries", str(tmp_path / "in"), f"file://{tmp_path}/es2", "--level", "Other=1"], spark)
+    assert main(["summaries", str(tmp_path / "in"), f"file://{tmp_path}/es2", "--level", "Other=1"], spark) == 1
     main(["glossary-document", str(tmp_path / "in"), f"file://{tmp_path}/g1.xlsx", "--name", "S"], spark)
     assert [(r["term"], r["explanation"]) for r in readers.read_workbook(spark, str(tmp_path / "g1.xlsx")).collect()] == [("Findings", "Text stressed Next")]
     (tmp_path / "lines.txt").write_text("Alpha  first\nBeta  See Alpha.\n")
@@ -76,5 +75,74 @@ def test_converters(spark, tmp_path):
     jobs.convert_pages(spark.createDataFrame([("d", 1, "page text")], "doc string, page int, text string"), f"file://{tmp_path}/pages", headers=True)
     assert "## Page 1" in readers.read_texts(spark, f"{tmp_path}/pages/*").first()["text"]
     (tmp_path / "none").mkdir()
+    assert main(["documents", str(tmp_path / "none"), "x"], spark) == 1
     with pytest.raises(ValueError, match="no document"):
-        main(["documents", str(tmp_path / "none"), "x"], spark)
+        jobs.convert_documents(spark, str(tmp_path / "none"), "x")
+
+
+def test_pages_and_archives(spark, tmp_path):
+    (tmp_path / "text").mkdir()
+    (tmp_path / "text/a.txt").write_text("first page 1\f12\fthird\f")
+    assert main(["pages", str(tmp_path / "text"), f"file://{tmp_path}/md", "--page-headers"], spark) == 0
+    assert readers.read_texts(spark, f"{tmp_path}/md/doc=a").first()["text"].strip() == "# a\n\n\n## Page 1\n\n\nfirst page\n\n\n## Page 2\n\n\n_No extractable text on this page._\n\n\n## Page 3\n\n\nthird"
+    (tmp_path / "b.bin").write_bytes(b"\x00b")
+    assert main(["archive", f"{tmp_path}/text/a.txt", f"file://{tmp_path}/z.zip", "--file", f"{tmp_path}/b.bin"], spark) == 0
+    assert {r["name"]: bytes(r["content"]) for r in readers.read_archive(spark, f"{tmp_path}/z.zip").collect()} == {"a.txt": b"first page 1\f12\fthird\f", "b.bin": b"\x00b"}
+    assert main(["archive", f"{tmp_path}/nothing", f"file://{tmp_path}/y.zip"], spark) == 1
+
+
+def asked_of(tmp_path):
+    return sorted(p.read_text() for p in tmp_path.glob("asked-*"))
+
+
+def test_a_stopped_run_loses_no_answer(spark, corpus, tmp_path):
+    """The model dies after its first answer; the next run asks for the other term only."""
+    path, seen = f"file://{tmp_path}/a.json", str(tmp_path)
+
+    def run(ask):
+        return jobs.generate_summaries(corpus, path, "{term}|{statement_sentence_table}", {}, ask, "m", "now")
+
+    def dies(prompt):
+        import os
+        import uuid
+
+        if [x for x in os.listdir(seen) if x.startswith("asked-")]:
+            raise NameError("the job ends here")
+        with open(f"{seen}/asked-{uuid.uuid4().hex}", "w") as out:
+            out.write(prompt.split("|")[0])
+        return "said " + prompt.split("|")[0]
+
+    with pytest.raises(Exception, match="the job ends here"):
+        run(dies)
+    assert len(asked_of(tmp_path)) == 1 and not (tmp_path / "a.json").exists()
+
+    def goes_on(prompt):
+        import uuid
+
+        with open(f"{seen}/asked-{uuid.uuid4().hex}", "w") as out:
+            out.write(prompt.split("|")[0])
+        return "said " + prompt.split("|")[0]
+
+    told = run(goes_on)
+    asked = asked_of(tmp_path)
+    assert told["failed"] == 0 and len(asked) == len(set(asked)) >= 2
+    held = json.loads((tmp_path / "a.json").read_text())["summaries"]
+    assert {r["term"]: r["summary"] for r in held.values() if r["summary_source"] == "m"} == {x: f"said {x}" for x in asked}
+    assert not (tmp_path / "a.json.answers").exists()
+
+
+def answer(prompt):
+    if prompt.startswith("climate"):
+        raise RuntimeError("busy")
+    return "said"
+
+
+def test_summaries_from_the_command_line(spark, corpus, tmp_path):
+    (tmp_path / "prompt.txt").write_text("{term} {d} {statement_sentence_table}")
+    args = ["term-summaries", f"{tmp_path}/report", f"file://{tmp_path}/s.json", "--executive", f"{tmp_path}/es", "--glossary", f"{tmp_path}/glossary", "--sources", "S", "--ask", "tests.test_jobs:answer", "--model", "m", "--prompt", f"{tmp_path}/prompt.txt", "--placeholder", "d=S"]
+    assert main([*args, "--limit", "0"], spark) == main([*args, "--pause-seconds", "-1"], spark) == main([*args, "--term", "nothing"], spark) == 2
+    assert main([*args, "--term", "risk"], spark) == 0
+    assert main(args, spark) == 1  # one term is not answered
+    assert len(json.loads((tmp_path / "s.json").read_text())["summaries"]) == 5
+    args[1] = f"{tmp_path}/nowhere"
+    assert main(args, spark) == 1
