@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexweave.functions import text as t
 
@@ -37,6 +41,34 @@ def login_records(events: DataFrame, flag_kind: str = "rich_text", names: dict[s
     return events.select("*", F.to_json(F.struct(record.alias("properties"))).alias("payload"))
 
 
+def delivered(records: DataFrame, post: Callable[[str], int], payloads: tuple[str, ...] = ("payload",), least: int = 300) -> DataFrame:
+    """records with `status`, what post answered, and `accepted`, the column of payloads that was taken (null: none). The payloads
+    of a row are posted in turn until one is answered below least, so a table that refuses token counts as numbers gets them as
+    text. Each row is posted once by a task; a repeated task posts again."""
+    schema = T.StructType([*records.schema, T.StructField("status", T.LongType()), T.StructField("accepted", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = []
+            for row in batch[list(payloads)].itertuples(index=False):
+                status, accepted = None, None
+                for name, payload in zip(payloads, row, strict=True):
+                    status = int(post(payload))
+                    if status < least:
+                        accepted = name
+                        break
+                told.append((status, accepted))
+            yield batch.assign(status=[s for s, _ in told], accepted=[a for _, a in told])
+
+    return records.mapInPandas(run, schema)
+
+
+def checked(sent: DataFrame) -> DataFrame:
+    """sent, which ends with an error where a record was not accepted."""
+    lost = F.raise_error(F.concat(F.lit("a record was refused with status "), F.col("status"))).cast("string")
+    return sent.withColumn("accepted", F.when(F.col("accepted").isNull(), lost).otherwise(F.col("accepted")))
+
+
 def chat_records(chats: DataFrame, tokens_as_text: bool = False) -> DataFrame:
     """payload: one JSON record for each chat (question, answer, ip, app_name, stamp, token_input, token_output), the token counts
     as numbers or, for tables without number properties, as text."""

@@ -25,18 +25,26 @@ def term_pairs(sentences: DataFrame, active: DataFrame) -> DataFrame:
     return per.select("__at", "statement", "sentence", F.inline(pairs))
 
 
-def edges(sentences: DataFrame, active: DataFrame) -> DataFrame:
-    """source, target, weight, statements (sorted), evidence (statement, sentence) in corpus order."""
-    return edges_of(term_pairs(sentences, active))
-
-
 def edge_weights(sentences: DataFrame, active: DataFrame) -> DataFrame:
-    """source, target, weight: the edges without their evidence, summed before they are shuffled. Filters and ranges need no
-    more, and a pair that a third of all sentences holds is one row here."""
+    """source, target, weight: the edges, summed before they are shuffled. Filters and ranges need no more, and a pair that a
+    third of all sentences holds is one row here."""
     return term_pairs(sentences, active).groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-def edges_of(pairs: DataFrame) -> DataFrame:
+def edge_statements(sentences: DataFrame, active: DataFrame) -> DataFrame:
+    """source, target, statement: the distinct statements of each edge, a row each."""
+    return term_pairs(sentences, active).select("source", "target", "statement").distinct()
+
+
+def edge_evidence(sentences: DataFrame, active: DataFrame) -> DataFrame:
+    """source, target, the corpus order, statement, sentence: the evidence of each edge, a row each."""
+    return term_pairs(sentences, active).select("source", "target", "__at.*", "statement", "sentence")
+
+
+def edges(sentences: DataFrame, active: DataFrame) -> DataFrame:
+    """source, target, weight, statements (sorted), evidence (statement, sentence) in corpus order: an edge as one row, as a
+    network file holds it in one line. Where no file is written, the tables above hold the same without gathering it."""
+    pairs = term_pairs(sentences, active)
     evidence = F.array_sort(F.collect_list(F.struct("__at", "statement", "sentence")))
     return pairs.groupBy("source", "target").agg(F.count("*").alias("weight"), F.sort_array(F.collect_set("statement")).alias("statements"), F.transform(evidence, lambda e: F.struct(e["statement"].alias("statement"), e["sentence"].alias("sentence"))).alias("evidence"))
 

@@ -6,15 +6,16 @@ captions and plain lines by a fixed rule, and forty conversations in turn share
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import markup
 from lexweave.functions import text as t
 from lexweave.operators import anchors, audit, documents, glossary, matching, network, summaries
-from lexweave.sources import writers
+from lexweave.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -201,6 +202,19 @@ def network_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges with how many statements they have, nothing gathered."""
+    s, active = marked_sentences(spark, sf_dir), marked_usage(spark, sf_dir).filter("n > 0")
+    statements = network.edge_statements(s, active).groupBy("source", "target").agg(F.count("*").alias("statements"))
+    return network.edge_weights(s, active).join(statements, ["source", "target"])
+
+
+def network_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = network.edge_evidence(marked_sentences(spark, sf_dir), marked_usage(spark, sf_dir).filter("n > 0"))
+    return e.select("source", "target", "origin", "section_rank", "doc", "pos", "sp", "statement", "sentence")
+
+
+def network_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each edge as one row, as a file has it."""
     e = _network(spark, sf_dir)[1]
     return e.select("source", "target", "weight", F.array_join("statements", ",").alias("statements"), F.array_join(F.transform("evidence", lambda x: F.concat_ws(": ", x["statement"], x["sentence"])), "\n").alias("evidence"))
 
@@ -258,11 +272,6 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(t.table_cell(F.col("text"))).alias("cell_md5"), t.heading_anchor("h", F.col("text")).alias("anchor"))
 
 
-def page_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages without tags, white space collapsed."""
-    return _table(spark, sf_dir, "pages").select("page_id", F.md5(t.collapsed(F.regexp_replace("html", "<[^>]+>", ""))).alias("plain_md5"))
-
-
 def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select("item_id", t.highlighted(F.col("text"), "the").alias("html"))
 
@@ -277,19 +286,8 @@ def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.login_records(rows, "checkbox").select("event_id", "ip", "payload")
 
 
-def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
-
-
-def flagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a label that calls for a look, and those without any: semi and anti joins."""
-    docs, labels = _table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels")
-    toxic = docs.join(labels.filter("toxic = 1"), "doc_id", "left_semi").select("doc_id", F.lit("flagged").alias("kind"))
-    return toxic.unionByName(docs.join(labels, "doc_id", "left_anti").select("doc_id", F.lit("unlabelled").alias("kind")))
-
-
 def linked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third matcher: terms linked in texts, longest first. SQL has no such matcher."""
+    """The third matcher: terms linked in texts, longest first."""
     labels = {r["term_key"]: r["term"] for r in glossary.grouped(demo_glossary(spark)).select("term_key", "term").toLocalIterator()}
     return _table(spark, sf_dir, "benchmark").select("item_id", markup.linked_terms(F.col("text"), labels).alias("html"), F.array_join(markup.terms_in(F.col("text"), labels), ",").alias("terms"))
 
@@ -405,4 +403,135 @@ def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.schema_problems(kinds)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, page_plain, highlighted, chunked_texts, audit_records, event_properties, flagged_documents, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, html_reports)}
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations")
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as DOCX files, which are read again: styles, indents and runs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [writers.docx_bytes([(p["style"], p["indent"], [(p["role"], p["bold"], None), (" & <" + p["text"][:20] + ">", None, False)]) for p in rows]) for rows in batch["rows"]]
+            yield pd.DataFrame({"path": [str(d) for d in batch["doc"]], "content": made})
+
+    rows = F.struct("turn", "role", "text", F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.pmod("turn", F.lit(len(STYLES))) + 1).cast("int")).alias("style"), F.when(F.pmod("turn", F.lit(2)) == 1, F.col("turn") * 1.5).alias("indent"), F.when(F.pmod("turn", F.lit(3)) == 0, F.lit(None).cast("boolean")).otherwise(F.pmod("turn", F.lit(3)) == 1).alias("bold"))
+    files = _talk(spark, sf_dir).groupBy(F.col("conv_id").alias("doc")).agg(F.array_sort(F.collect_list(rows)).alias("rows")).mapInPandas(run, "path string, content binary")
+    found = readers.docx_paragraphs(files)
+    return found.select(F.col("doc").cast("long").alias("doc"), "pos", "style", "left_indent_pt", F.size("runs").cast("long").alias("runs"), F.col("runs")[0]["bold"].alias("bold"), F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("text"))
+
+
+def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as XLSX glossaries by brand, which are read again; one column comes first under another case of its name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [writers.xlsx_bytes(["EXPLANATION", "Term", "other"], [[r["p_type"], r["p_name"] if r["p_partkey"] % 7 else " ", None] for r in rows]) for rows in batch["rows"]]
+            yield pd.DataFrame({"path": batch["p_brand"], "content": made})
+
+    rows = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type")))
+    files = _table(spark, sf_dir, "part").groupBy("p_brand").agg(rows.alias("rows")).mapInPandas(run, "path string, content binary")
+    return readers.workbook_rows(files).select(F.col("doc").alias("brand"), "pos", "term", "explanation", "parent")
+
+
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as ZIP archives, a member a turn, which are read again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [writers.archive_bytes({f"{r['turn']}.txt": r["text"].encode() for r in rows}) for rows in batch["rows"]]
+            yield pd.DataFrame({"path": [str(c) for c in batch["conv_id"]], "content": made})
+
+    files = _talk(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("rows")).mapInPandas(run, "path string, content binary")
+    return readers.archive_members(files).select(F.col("archive").cast("long").alias("archive"), "name", F.sha2("content", 256).alias("sha256"))
+
+
+def artifact_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries and failures of an artifact's text, and which summaries are of use: some blank, some keys folding alike."""
+    ids = _table(spark, sf_dir, "documents").filter("doc_id < 200").select(F.concat_ws(" ", F.when(F.col("doc_id") % 2 == 0, "Term").otherwise("term"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("term_key"), "doc_id")
+    done = ids.select("term_key", F.col("term_key").alias("term"), F.col("doc_id").alias("occurrence_count"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit("said é "), "doc_id")).alias("summary"), F.lit("m").alias("summary_source"), F.lit("now").alias("generated_at"))
+    lost = ids.filter("doc_id % 3 = 0").select("term_key", F.col("term_key").alias("term"), F.lit("error").alias("error"), F.lit("now").alias("updated_at"))
+    text = writers.artifact_json(done, lost, "m", "then", "now")
+    summaries_, failures = readers.parse_artifact(spark.createDataFrame([(text,)], "value string"), "m")
+    usable = readers.usable_summaries(summaries_.withColumn("place", F.col("occurrence_count")))
+    kinds = ((summaries_.select("term_key", F.lit("summary").alias("kind"), F.col("summary").alias("value"))), failures.select("term_key", F.lit("failure").alias("kind"), F.col("error").alias("value")), usable.select("term_key", F.lit("usable").alias("kind"), F.col("summary").alias("value")))
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stamps of events in universal time and in the zone of Paris, half of them moved into summer."""
+    moved = F.when(F.col("event_id") % 2 == 0, F.col("ts").cast("timestamp") + F.expr("INTERVAL 182 DAYS")).otherwise(F.col("ts").cast("timestamp"))
+    return _table(spark, sf_dir, "events").withColumn("at", moved).select("event_id", t.utc_stamp(F.col("at")).alias("utc"), t.zoned_stamp(F.col("at"), "Europe/Paris").alias("paris"))
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first setting that says something, quotes off."""
+    first = F.when(F.col("turn") % 3 == 0, "  ").when(F.col("turn") % 3 == 1, F.concat(F.lit(" 'a"), "turn", F.lit("' "))).otherwise(F.concat(F.lit('"'), "role", F.lit("'")))
+    return _talk(spark, sf_dir).select("conv_id", "turn", t.setting(first, F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('"'), "role", F.lit('"')))).alias("value"))
+
+
+def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of runs as Markdown, headings by style or by being short and bold."""
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    run = lambda text, bold, italic: F.struct(text.alias("text"), F.lit(bold).cast("boolean").alias("bold"), F.lit(italic).cast("boolean").alias("italic"))
+    role, n = F.col("role"), F.col("turn").cast("string")
+    runs = (
+        F.when(kind == 0, F.array(run(role, True, None), run(F.lit("  \n"), None, None), run(n, True, None)))
+        .when(kind == 1, F.array(run(F.lit("("), None, True), run(role, None, True), run(F.lit(") "), None, True), run(n, None, None)))
+        .when(kind == 2, F.array(run(role, True, None), run(F.lit(" and "), None, None), run(n, None, True)))
+        .when(kind == 3, F.array(run(role, True, True), run(F.lit("-"), None, None), run(n, True, True)))
+        .when(kind == 4, F.array(run(F.lit(" "), True, None)))
+        .otherwise(F.array(run(role, None, None), run(F.lit(" ") , True, None), run(n, None, None)))
+    )
+    style = F.when(F.pmod("conv_id", F.lit(4)) == 0, " H Three").otherwise("Body")
+    rows = _talk(spark, sf_dir).select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), style.alias("style"), runs.alias("runs"))
+    return documents.marked_paragraphs(rows, {"h three": 3})
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _talk(spark, sf_dir).select("conv_id", "turn", t.chapter_of(F.concat(F.lit("X"), F.when(F.col("turn") % 2 == 0, "_Ch0").otherwise("_ch"), "conv_id", F.lit("_final_ch9_.docx"))).alias("chapter"))
+
+
+def report_without_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.report_lines(marked(spark, sf_dir), skip="Section B")
+
+
+def first_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five terms, and those that were asked for by name."""
+    terms = glossary.grouped(demo_glossary(spark)).select("term_key", "term")
+    return summaries.selected(terms, limit=5).withColumn("of", F.lit("first")).unionByName(summaries.selected(terms, ("THE", "License", "nothing")).withColumn("of", F.lit("asked")))
+
+
+def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("term_key"), "doc_id")
+    routed = ids.withColumn("route", F.when(F.col("doc_id") % 4 == 0, "skip").when(F.col("doc_id") % 4 == 1, "local").otherwise("model"))
+    return summaries.outcome(routed, ids.filter("doc_id % 4 = 2 AND doc_id % 10 = 0"))
+
+
+def statement_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement identifiers linked in summaries, by place and by anchor, but in links and code."""
+    page = F.concat(F.lit("<p>See a1.1 &amp; A1.10, xA1.1; "), "role", F.lit(" (B"), "turn", F.lit(") A1.1.2</p><a href='A1.1'>A1.1</a><pre>b1 <code>A1.10</code> B2</pre> b2"))
+    targets = {"a1.1": "0", "a1.10": "7", "b2": "s<2"}
+    return _talk(spark, sf_dir).select("conv_id", "turn", markup.linked_statements(page, targets, markup.BY_INDEX).alias("by_index"), markup.linked_statements(page, targets).alias("by_anchor"))
+
+
+def anchored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term links turned into links to anchors in the page; unknown terms stay."""
+    page = F.concat(F.lit('<a href="#" data-term="'), F.when(F.col("turn") % 2 == 0, "A &amp;  B").otherwise(F.col("role")), F.lit('">x</a> <a href="y">z</a>'))
+    return _talk(spark, sf_dir).select("conv_id", "turn", markup.anchored(page, {"a & b": "term-a-b", "user": "term-user"}).alias("html"))
+
+
+def sent_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat records to a table that refuses numbers of some and the text of fewer."""
+
+    def post(payload: str) -> int:
+        if '"content":"user"' in payload and '"number"' in payload:
+            return 400
+        return 500 if '"content":"user"' in payload and '"content":"2"' in payload else 200
+
+    chats = _talk(spark, sf_dir).select("conv_id", "turn", F.col("role").alias("question"), F.lit("").alias("answer"), F.lit("10.0.0.1").alias("ip"), F.lit("app").alias("app_name"), F.lit("now").alias("stamp"), F.col("turn").cast("int").alias("token_input"), F.lit(None).cast("int").alias("token_output"))
+    both = audit.chat_records(audit.chat_records(chats, True).withColumnRenamed("payload", "as_text")).withColumnRenamed("payload", "as_number")
+    return audit.delivered(both.select("conv_id", "turn", "as_number", "as_text"), post, ("as_number", "as_text")).select("conv_id", "turn", "status", "accepted")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, html_reports, document_files, workbook_files, archive_files, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}

@@ -173,7 +173,76 @@ unit_keys AS (SELECT *, {fold(collapse('statement'))} AS number_key, {fold(colla
 first_units AS (SELECT doc, number_key, text_key, min((section_rank, pos)) AS place FROM unit_keys GROUP BY ALL),
 anchors AS (SELECT doc, number_key, text_key, 'source-statement-' || row_number() OVER (PARTITION BY doc ORDER BY place) AS anchor FROM first_units)"""
 
+ALTERNATION = "(?i)(?:" + "|".join(sorted(KEYS, key=lambda k: (-len(k), k))) + ")"
+
+
+def escape(x: str) -> str:
+    return ESCAPED.replace("(text,", f"({x},")
+
+
+def glued(beside: str) -> str:
+    return f"regexp_matches({beside}, '[\\p{{L}}\\p{{N}}_]')"
+
+
+# m: the spans that the alternation takes, g: what stands before, between and behind them; a span counts if no word goes on at its ends
+SPANS = f"regexp_extract_all(x, '{ALTERNATION}') AS m, regexp_split_to_array(x, '{ALTERNATION}') AS g"
+FREE = f"""(NOT {glued("CASE WHEN g[i] <> '' THEN right(g[i], 1) WHEN i > 1 THEN right(m[i - 1], 1) ELSE ' ' END")} AND NOT {glued("CASE WHEN g[i + 1] <> '' THEN left(g[i + 1], 1) WHEN i < len(m) THEN left(m[i + 1], 1) ELSE ' ' END")})"""
+LINKED = f"""{escape('g[1]')} || array_to_string(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN {FREE} THEN '<a href="#" data-term="' || labels[lower(m[i])] || '">' || {escape('m[i]')} || '</a>' ELSE {escape('m[i]')} END || {escape('g[i + 1]')}), '')"""
+LABELS = "labels AS (SELECT map(list(term_key), list(term)) AS labels FROM terms)"
+UNESCAPED = "replace(replace(replace(replace(x, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+# the furniture of pages and the blanks that end a line, as the cleaning sees them
+FURNITURE = r"^\d{1,3}$|(?i)do\s+not\s+cite,\s*quote\s+or\s+distribute|(?i)total\s+pages\s*:\s*\d+"
+JOIN_WORDS = r"regexp_replace({}, '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g')"
+CLEANED = f"""raw AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda l: regexp_replace(l, '{WS}+$', '')) AS rows FROM documents),
+joined AS (SELECT doc_id, array_to_string(list_filter(rows, lambda l: NOT regexp_matches({strip('l')}, '{FURNITURE}')), chr(10)) AS x FROM raw),
+words AS (SELECT doc_id, string_split({JOIN_WORDS.format(JOIN_WORDS.format('x'))}, chr(10)) AS rows FROM joined),
+cleaned AS (SELECT doc_id, {strip(f"regexp_replace(array_to_string(list_transform(rows, lambda l: regexp_replace(l, '([^ ]){WS}+[0-9]{{1,3}}$', '\\1')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')")} AS x FROM words)"""
+BESIDE = r"[^\p{L}\p{N}_\x01\x02]"
+
+
+def marked_once(x: str) -> str:
+    """x with the word between two characters that no text holds; twice, as neighbours share the blank between them."""
+    return f"regexp_replace({x}, '(?i)(^|{BESIDE})(the)($|{BESIDE})', " + r"'\1' || chr(1) || '\2' || chr(2) || '\3', 'g')"
+
+
+
 ORACLE_SQL = {
+    "clean_pages": f"WITH {CLEANED} SELECT doc_id, md5(x) AS clean_md5 FROM cleaned",
+    "highlighted": f"SELECT item_id, replace(replace({marked_once(marked_once(ESCAPED))}, chr(1), '<mark>'), chr(2), '</mark>') AS html FROM benchmark",
+    "linked_items": f"WITH {GLOSS}, {LABELS}, t AS (SELECT item_id, text AS x, labels FROM benchmark, labels), s AS (SELECT *, {SPANS} FROM t), p AS (SELECT *, list_filter(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN {FREE} THEN lower(m[i]) END), lambda k: k IS NOT NULL) AS keys FROM s) SELECT item_id, {LINKED} AS html, coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(keys), lambda k: [list_position(keys, k)::VARCHAR.lpad(9, '0'), k])), lambda y: y[2]), ','), '') AS terms FROM p",
+    "linked_pages": f"""WITH {GLOSS}, {LABELS}, cuts AS (SELECT page_id, regexp_extract_all(html, '<[^>]+>') AS tags, regexp_split_to_array(html, '<[^>]+>') AS texts FROM pages),
+      each_text AS (SELECT page_id, unnest(range(1, len(texts) + 1)) * 2 AS nth, unnest(texts) AS x, 'text' AS kind FROM cuts),
+      each_tag AS (SELECT page_id, unnest(range(1, len(tags) + 1)) * 2 + 1 AS nth, unnest(tags) AS x FROM cuts),
+      named AS (SELECT *, CASE WHEN regexp_matches(x, '^</?[a-zA-Z]') THEN 'tag' ELSE 'text' END AS kind FROM each_tag),
+      parts AS (SELECT *, CASE WHEN kind = 'tag' AND lower(regexp_extract(x, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) = 'a' THEN CASE WHEN starts_with(x, '</') THEN -1 WHEN ends_with(x, '/>') THEN 0 ELSE 1 END ELSE 0 END AS step FROM (SELECT * FROM each_text UNION ALL BY NAME SELECT * FROM named)),
+      deep AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS depth FROM parts),
+      open AS (SELECT page_id, nth, {UNESCAPED} AS x, labels FROM deep, labels WHERE kind = 'text' AND depth = 0),
+      spans AS (SELECT *, {SPANS} FROM open),
+      made AS (SELECT page_id, nth, {LINKED} AS x FROM spans UNION ALL SELECT page_id, nth, x FROM deep WHERE kind = 'tag' OR depth <> 0)
+      SELECT page_id, string_agg(x, '' ORDER BY nth) AS html FROM made GROUP BY page_id""",
+    "markdown_items": f"SELECT item_id, '<p>' || replace({ESCAPED}, chr(10), chr(10)) || '</p>' || chr(10) AS html, {collapse('text')} AS plain FROM benchmark",
+    "document_files": """WITH l AS (SELECT conv_id AS doc, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS pos, turn, role, text FROM conversations)
+      SELECT doc, pos, ['Heading 2', '0th Level Chapter Heading', 'X 1st level heading', '2nd level heading ', '3rd level heading', '4th level heading', 'Normal', 'heading  12', 'My 3rd level', 'heading 0', '2nd level Heading 3'][turn % 11 + 1] AS style, CASE WHEN turn % 2 = 1 THEN turn * 1.5::DOUBLE END AS left_indent_pt, 2::BIGINT AS runs, CASE turn % 3 WHEN 1 THEN true WHEN 2 THEN false END AS bold, role || ' & <' || left(text, 20) || '>' AS text FROM l""",
+    "workbook_files": f"WITH n AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::BIGINT AS pos FROM part) SELECT p_brand AS brand, pos, {collapse('p_name')} AS term, {collapse('p_type')} AS explanation, '' AS parent FROM n WHERE p_partkey % 7 <> 0",
+    "archive_files": "SELECT conv_id AS archive, turn || '.txt' AS name, sha256(text) AS sha256 FROM conversations",
+    "artifact_file": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Term ' ELSE 'term ' END || (doc_id - doc_id % 2) AS term_key, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'said é ' || doc_id END AS summary FROM documents WHERE doc_id < 200)
+      SELECT term_key, 'summary' AS kind, summary AS value FROM d UNION ALL SELECT term_key, 'failure', 'error' FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT lower(term_key), 'usable', arg_max(summary, doc_id) FROM d WHERE summary <> ' ' GROUP BY lower(term_key)""",
+    "stamps": """WITH m AS (SELECT event_id, ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 182 DAY ELSE INTERVAL 0 DAY END AS moment, event_id % 2 = 0 AS summer FROM events)
+      SELECT event_id, strftime(moment, '%Y-%m-%dT%H:%M:%SZ') AS utc, CASE WHEN summer THEN strftime(moment + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+02:00' ELSE strftime(moment + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+01:00' END AS paris FROM m""",
+    "settings": """SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN 'a' || turn WHEN 2 THEN '"' || role || '''' ELSE CASE WHEN conv_id % 2 = 0 THEN role END END AS value FROM conversations""",
+    "run_lines": """WITH k AS (SELECT conv_id AS doc, turn AS pos, role, (conv_id + turn) % 6 AS kind, conv_id % 4 = 0 AS third FROM conversations),
+      m AS (SELECT *, CASE kind WHEN 0 THEN '**' || role || ' ' || pos || '**' WHEN 1 THEN '(*' || role || '*) ' || pos WHEN 2 THEN '__' || role || '__ and *' || pos || '*' WHEN 3 THEN '__*' || role || '-' || pos || '*__' ELSE role || ' ' || pos END AS x FROM k WHERE kind <> 4)
+      SELECT doc, pos, CASE WHEN third THEN '### ' WHEN kind = 0 THEN '## ' ELSE '' END || x AS line FROM m""",
+    "chapters": "SELECT conv_id, turn, conv_id::INTEGER AS chapter FROM conversations",
+    "report_without_section": f"WITH {REPORT} SELECT * FROM report WHERE section <> 'Section B'",
+    "first_terms": f"WITH {GLOSS} SELECT * FROM (SELECT term_key, term, 'first' AS of FROM terms ORDER BY {fold('term')}, term_key LIMIT 5) UNION ALL SELECT term_key, term, 'asked' FROM terms WHERE term_key IN ('the', 'license')",
+    "run_outcomes": "SELECT count(*) FILTER (doc_id % 4 <> 0 AND NOT (doc_id % 4 = 2 AND doc_id % 10 = 0))::BIGINT AS completed, count(*) FILTER (doc_id % 4 = 0)::BIGINT AS skipped, count(*) FILTER (doc_id % 4 = 2 AND doc_id % 10 = 0)::BIGINT AS failed FROM documents",
+    "statement_links": """WITH p AS (SELECT conv_id, turn, role, 'B' || turn AS b FROM conversations),
+      f AS (SELECT unnest(['<a href=''#'' data-statement=''@'' title=''Open full statement''>', '<a class="statement-link" href="#@">']) AS form, unnest(['by_index', 'by_anchor']) AS name),
+      l AS (SELECT conv_id, turn, name, '<p>See ' || replace(form, '@', '0') || 'a1.1</a> &amp; ' || replace(form, '@', '7') || 'A1.10</a>, xA1.1; ' || role || ' (' || CASE WHEN turn = 2 THEN replace(form, '@', 's&lt;2') || 'B2</a>' ELSE b END || ') A1.1.2</p><a href=''A1.1''>A1.1</a><pre>b1 <code>A1.10</code> B2</pre> ' || replace(form, '@', 's&lt;2') || 'b2</a>' AS page FROM p, f)
+      SELECT conv_id, turn, max(page) FILTER (name = 'by_index') AS by_index, max(page) FILTER (name = 'by_anchor') AS by_anchor FROM l GROUP BY conv_id, turn""",
+    "anchored_links": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<a class="glossary-link" href="#term-a-b">' WHEN role = 'user' THEN '<a class="glossary-link" href="#term-user">' ELSE '<a href="#" data-term="' || role || '">' END || 'x</a> <a href="y">z</a>' AS html FROM conversations""",
+    "sent_chats": "SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 200 WHEN turn = 2 THEN 500 ELSE 200 END::BIGINT AS status, CASE WHEN role <> 'user' THEN 'as_number' WHEN turn = 2 THEN NULL ELSE 'as_text' END AS accepted FROM conversations",
     "usage_counts": f"WITH {DOC_SENTENCES}, {GLOSS}, folded AS (SELECT {fold('sentence')} AS f FROM doc_sentences), {hits('folded', 'f')} SELECT k.term_key, count(h.term_key)::BIGINT AS n FROM (SELECT DISTINCT term_key FROM gloss) AS k LEFT JOIN hits AS h ON h.term_key = k.term_key GROUP BY 1",
     "usage_by_first_word": f"WITH {DOC_SENTENCES}, folded AS (SELECT {fold('sentence')} AS f FROM doc_sentences), {hits('folded', 'f')} SELECT term_key, count(*)::BIGINT AS n FROM hits GROUP BY 1",
     "line_counts": f"WITH {DOC_SENTENCES} SELECT doc, count(*)::BIGINT AS lines, count(*) FILTER ({strip('line')} <> '')::BIGINT AS filled FROM doc_lines GROUP BY doc",
@@ -202,7 +271,9 @@ ORACLE_SQL = {
     "overview_search": overview("false", "WHERE contains(term_key, 'o')"),
     "used_terms": f"WITH {FOLDED} SELECT count(*) FILTER (n > 0)::BIGINT AS used, count(*)::BIGINT AS total FROM usage",
     "network_nodes": f"WITH {NETWORK} SELECT * FROM nodes",
-    "network_edges": f"WITH {NETWORK} SELECT * FROM edges",
+    "network_edges": f"WITH {NETWORK} SELECT source, target, count(*)::BIGINT AS weight, count(DISTINCT statement)::BIGINT AS statements FROM pairs GROUP BY 1, 2",
+    "network_evidence": f"WITH {NETWORK} SELECT source, target, origin, section_rank, doc, pos, sp, statement, sentence FROM pairs",
+    "network_gathered": f"WITH {NETWORK} SELECT * FROM edges",
     "network_filtered": f"WITH {NETWORK} SELECT 'node' AS kind, id, '' AS target, count FROM nodes WHERE count BETWEEN 2 AND 100000 AND (id IN (SELECT source FROM kept_edges) OR id IN (SELECT target FROM kept_edges)) UNION ALL SELECT 'edge', source, target, weight FROM kept_edges",
     "network_ranges": f"WITH {NETWORK} SELECT 'count' AS of, min(count) AS lowest, greatest(min(count), least(5, max(count))) AS default_low, max(count) AS highest FROM nodes UNION ALL SELECT 'weight', min(weight), greatest(min(weight), least(5, max(weight))), max(weight) FROM edges",
     "network_file": f"WITH {NETWORK} SELECT id AS a, label AS b, count AS n FROM nodes UNION ALL SELECT source, target, weight FROM edges",
@@ -219,12 +290,9 @@ ORACLE_SQL = {
       SELECT term_key, md5(p) AS prompt_md5, length(p)::BIGINT AS chars FROM made""",
     "unknown_terms": f"WITH {GLOSS} SELECT DISTINCT {fold('p_name')} AS term_key FROM part WHERE {fold('p_name')} NOT IN (SELECT term_key FROM gloss)",
     "table_cells": f"SELECT doc_id, md5(replace({collapse('text')}, '|', '\\|')) AS cell_md5, 'h-' || coalesce({chars_at(fold('text'))}, 'section') AS anchor FROM documents",
-    "page_plain": f"SELECT page_id, md5({collapse("regexp_replace(html, '<[^>]+>', '', 'g')")}) AS plain_md5 FROM pages",
     "chunked_texts": f"WITH s AS (SELECT doc_id, {strip('text')} AS t FROM documents), c AS (SELECT doc_id, t, unnest(range((length(t) + 1999) // 2000)) AS i FROM s) SELECT doc_id, md5(substr(t, i * 2000 + 1, 2000)) AS chunk_md5, length(substr(t, i * 2000 + 1, 2000))::INTEGER AS chars FROM c",
     "audit_records": """WITH r AS (SELECT event_id, event_type AS name, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, CASE WHEN user_id % 300 < 256 THEN '10.0.' || (user_id % 300) || '.7' ELSE '192.0.2.' || (user_id % 256) END AS ip, event_type = 'error' AS wrong FROM events)
       SELECT event_id, ip, '{"properties":{"name":{"title":[{"text":{"content":"' || name || '"}}]},"date":{"date":{"start":"' || stamp || '"}},"ip address":{"rich_text":[{"text":{"content":"' || ip || '"}}]},"wrong pwd":{"checkbox":' || wrong || '}}}' AS payload FROM r""",
-    "event_properties": "SELECT event_type, count(*)::BIGINT AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1",
-    "flagged_documents": "SELECT doc_id, 'flagged' AS kind FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT doc_id, 'unlabelled' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "bold_entries": f"""WITH {PARAGRAPHS},
       r AS (SELECT *, max(is_term::INTEGER) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM paragraphs WHERE text <> ''),
       m AS (SELECT *, CASE WHEN is_term AND (NOT is_sub OR coalesce(seen, 0) = 0) THEN text END AS main, sum(is_term::INTEGER) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM r),

@@ -58,8 +58,8 @@ def docx_rows(content: bytes) -> list[dict]:
     return out
 
 
-def read_docx(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:
-    """doc, pos, style, left_indent_pt, runs of all documents of a folder."""
+def docx_paragraphs(files: DataFrame) -> DataFrame:
+    """doc, pos, style, left_indent_pt, runs of documents (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -67,7 +67,12 @@ def read_docx(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFr
                 rows = docx_rows(bytes(content))
                 yield pd.DataFrame({"doc": [name] * len(rows), "pos": range(len(rows)), **{k: [r[k] for r in rows] for k in ("style", "left_indent_pt", "runs")}})
 
-    return _files(spark, path, pattern).mapInPandas(run, PARAGRAPHS)
+    return files.mapInPandas(run, PARAGRAPHS)
+
+
+def read_docx(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:
+    """The paragraphs of all documents of a folder."""
+    return docx_paragraphs(_files(spark, path, pattern))
 
 
 def xlsx_rows(content: bytes) -> list[list[str | None]]:
@@ -101,8 +106,8 @@ def xlsx_rows(content: bytes) -> list[list[str | None]]:
     return out
 
 
-def read_workbook(spark: SparkSession, path: str, required: tuple[str, ...] = ("term", "explanation"), optional: tuple[str, ...] = ("parent", "source"), pattern: str = "*.xlsx") -> DataFrame:
-    """doc, pos and the named columns, found by their headers in any case; short rows are filled up, rows without the first
+def workbook_rows(files: DataFrame, required: tuple[str, ...] = ("term", "explanation"), optional: tuple[str, ...] = ("parent", "source")) -> DataFrame:
+    """doc, pos and the named columns of workbooks (path, content), found by their headers in any case; short rows are filled up, rows without the first
     required column's value go. A missing required header is an error."""
     wanted = (*required, *optional)
 
@@ -117,10 +122,15 @@ def read_workbook(spark: SparkSession, path: str, required: tuple[str, ...] = ("
                 cells = [[i, *("" if a is None or a >= len(r) or r[a] is None else r[a] for a in at)] for i, r in enumerate(rows[1:])]
                 yield pd.DataFrame([[name, *c] for c in cells], columns=["doc", "pos", *wanted])
 
-    found = _files(spark, path, pattern).mapInPandas(run, "doc string, pos long, " + ", ".join(f"{c} string" for c in wanted))
+    found = files.mapInPandas(run, "doc string, pos long, " + ", ".join(f"{c} string" for c in wanted))
     return found.select("doc", "pos", *[t.cell(F.col(c)).alias(c) for c in wanted]).filter(F.col(wanted[0]) != "")
 
 
+def read_workbook(spark: SparkSession, path: str, required: tuple[str, ...] = ("term", "explanation"), optional: tuple[str, ...] = ("parent", "source"), pattern: str = "*.xlsx") -> DataFrame:
+    """The rows of all workbooks of a folder."""
+    return workbook_rows(_files(spark, path, pattern), required, optional)
+
+
 def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """doc, text of whole UTF-8 files; lines are split later, by the rules of the text functions."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
@@ -135,9 +145,14 @@ ENVELOPE = f"format_version int, model string, created_at string, updated_at str
 
 
 def read_artifact(spark: SparkSession, path: str, model: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The summaries and failures of an artifact file as tables. Another version, another model (if one is named) or a file
-    without a summaries object is an error where the tables are used."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", ENVELOPE).alias("e")).select("e.*")
+    """The summaries and failures of an artifact file as tables."""
+    return parse_artifact(spark.read.text(path, wholetext=True), model)
+
+
+def parse_artifact(texts: DataFrame, model: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The summaries and failures of artifacts (value). Another version, another model (if one is named) or a text without a
+    summaries object is an error where the tables are used."""
+    raw = texts.select(F.from_json("value", ENVELOPE).alias("e")).select("e.*")
     wrong = F.when(~F.col("format_version").eqNullSafe(F.lit(1)), "unsupported artifact version").when(F.col("summaries").isNull(), "artifact has no summaries")
     if model is not None:
         wrong = wrong.when(~F.col("model").eqNullSafe(F.lit(model)), "artifact is of another model")
@@ -166,8 +181,8 @@ def usable_summaries(artifact: DataFrame) -> DataFrame:
     return rows.groupBy(t.folded(t.collapsed(F.col("term_key"))).alias("term_key")).agg(F.max_by("summary", "place").alias("summary"))
 
 
-def read_archive(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
-    """archive, name, content of the members of ZIP archives."""
+def archive_members(files: DataFrame) -> DataFrame:
+    """archive, name, content of the members of ZIP archives (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,4 +191,9 @@ def read_archive(spark: SparkSession, path: str, pattern: str = "*.zip") -> Data
                     for member in z.namelist():
                         yield pd.DataFrame({"archive": [name], "name": [member], "content": [z.read(member)]})
 
-    return _files(spark, path, pattern).mapInPandas(run, "archive string, name string, content binary")
+    return files.mapInPandas(run, "archive string, name string, content binary")
+
+
+def read_archive(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
+    """The members of all archives of a folder, or of one file."""
+    return archive_members(_files(spark, path, pattern))

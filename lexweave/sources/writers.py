@@ -106,6 +106,28 @@ def write_glossary_workbook(entries: DataFrame, path: str, columns: dict[str, st
     return len(rows)
 
 
+def docx_bytes(paragraphs: list[tuple[str, float | None, list[tuple[str, bool | None, bool | None]]]]) -> bytes:
+    """A document of paragraphs (style name, left indent in points, runs of text, bold, italic)."""
+    main = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    names = {s: f"s{i}" for i, s in enumerate(dict.fromkeys(p[0] for p in paragraphs))}
+
+    def switch(tag: str, on: bool | None) -> str:
+        return "" if on is None else f"<w:{tag}/>" if on else f'<w:{tag} w:val="false"/>'
+
+    def paragraph(style: str, indent: float | None, runs: list) -> str:
+        shift = "" if indent is None else f'<w:ind w:left="{round(indent * 20)}"/>'
+        told = "".join(f'<w:r><w:rPr>{switch("b", b)}{switch("i", i)}</w:rPr><w:t xml:space="preserve">{escape(text or "")}</w:t></w:r>' for text, b, i in runs)
+        return f'<w:p><w:pPr><w:pStyle w:val="{names[style]}"/>{shift}</w:pPr>{told}</w:p>'
+
+    files = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+        "word/document.xml": f'<w:document xmlns:w="{main}"><w:body>{"".join(paragraph(*p) for p in paragraphs)}</w:body></w:document>',
+        "word/styles.xml": f'<w:styles xmlns:w="{main}">' + "".join(f'<w:style w:type="paragraph" w:styleId="{k}"><w:name w:val="{escape(s, {chr(34): "&quot;"})}"/></w:style>' for s, k in names.items()) + "</w:styles>",
+    }
+    return archive_bytes({name: ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + text).encode() for name, text in files.items()})
+
+
 def archive_bytes(files: dict[str, bytes]) -> bytes:
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
