@@ -279,3 +279,9 @@ def highlighted(c: Column, term: str) -> Column:
     """The escaped text with the term marked. The term itself is not escaped, so one with & or quotes never matches."""
     pattern = f"(?iu)(?<!{W}){lit_regex(term)}(?!{W})"
     return F.regexp_replace(escaped(c), pattern, "<mark>$0</mark>")
+
+
+def highlighted_by(c: Column, term: Column) -> Column:
+    """`highlighted` with a term of each row."""
+    body = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.regexp_replace(escaped(c), F.concat(F.lit(f"(?iu)(?<!{W})"), body, F.lit(f"(?!{W})")), F.lit("<mark>$0</mark>"))

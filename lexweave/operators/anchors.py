@@ -1,4 +1,4 @@
-"""Anchors of statements and terms, and the HTML document that uses them."""
+"""Anchors of statements and terms."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions import markup
 from lexweave.functions import text as t
 
 
@@ -71,21 +70,3 @@ def term_anchors(terms: DataFrame) -> DataFrame:
 
     claimed = placed.filter("NOT alone").select("term_key", "base", "stem").groupBy("stem").applyInPandas(claim, "term_key string, anchor string")
     return numbered.unionByName(claimed)
-
-
-def html_sections(report: DataFrame, units: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """doc, section_rank, pos, html of the report lines with their anchors and linked terms. units as from source_attributes."""
-    held = report.join(units.filter("origin = 0").select("doc", "section_rank", "pos", "attributes"), ["doc", "section_rank", "pos"])
-    body = markup.linked_terms(F.col("line"), labels)
-    return held.select("doc", "section_rank", "pos", F.concat(F.lit("<p"), "attributes", F.lit(">"), body, F.lit("</p>")).alias("html"))
-
-
-def html_document(parts: DataFrame, titles: DataFrame, footer: str = "") -> DataFrame:
-    """doc, html: one page a document out of its parts (doc, section_rank, pos, html) in order, with a list of its sections."""
-    inner = parts.groupBy("doc", "section_rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "html"))), lambda p: p["html"]), "\n").alias("html"))
-    section = F.concat(F.lit('<section id="section-'), "section_rank", F.lit('">\n'), "html", F.lit("\n</section>"))
-    ordered = F.array_sort(F.collect_list(F.struct("section_rank", section.alias("html"))))
-    page = inner.groupBy("doc").agg(ordered.alias("s"))
-    nav = F.array_join(F.transform("s", lambda x: F.concat(F.lit('<a href="#section-'), x["section_rank"], F.lit('">'), x["section_rank"], F.lit("</a>"))), "\n")
-    title = t.escaped(F.coalesce("title", F.lit("")))
-    return page.join(titles, "doc", "left").select("doc", F.concat(F.lit("<!DOCTYPE html>\n<html><head><meta charset=\"utf-8\"><title>"), title, F.lit("</title></head>\n<body>\n<header><h1>"), title, F.lit("</h1></header>\n<nav>\n"), nav, F.lit("\n</nav>\n"), F.array_join(F.transform("s", lambda x: x["html"]), "\n"), F.lit(f"\n<footer>{footer}</footer>\n</body></html>\n")).alias("html"))

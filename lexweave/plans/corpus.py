@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import markup
 from lexweave.functions import text as t
-from lexweave.operators import anchors, audit, documents, glossary, matching, network, summaries
+from lexweave.operators import anchors, audit, documents, glossary, matching, network, pages, summaries
 from lexweave.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,12 +303,14 @@ def markdown_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = marked(spark, sf_dir)
-    report = documents.report_lines(rows)
-    units = anchors.statement_units(documents.statements(report))
+    """The report part of the exported page, of each report."""
+    report = documents.report_lines(marked(spark, sf_dir))
+    stated = documents.statements(report)
+    marks = anchors.statement_anchors(anchors.statement_units(stated).withColumn("page", F.lit(0)), ("page",))
     labels = {r["term_key"]: r["term"] for r in glossary.grouped(demo_glossary(spark)).select("term_key", "term").toLocalIterator()}
-    parts = anchors.html_sections(report, anchors.source_attributes(units, anchors.statement_anchors(units)), labels)
-    return anchors.html_document(parts, documents.report_titles(rows))
+    entries = {r["term_key"]: r["anchor"] for r in term_anchors(spark, sf_dir).toLocalIterator()}
+    told = pages.report_part(report, pages.rendered_units(report, stated, None, marks), labels, entries)
+    return told.select(F.col("doc").cast("long").alias("doc"), F.md5("html").alias("html_md5"))
 
 
 def _talk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

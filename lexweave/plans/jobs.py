@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as t
-from lexweave.operators import anchors, documents, glossary, matching, network, summaries
+from lexweave.operators import anchors, documents, glossary, matching, network, pages, summaries
 from lexweave.sources import readers, writers
 
 
@@ -101,7 +101,8 @@ class Corpus:
         self.lines = documents.text_lines(required(readers.read_texts(spark, reports), f"report in {reports}"), "doc")
         self.report = documents.report_lines(self.lines).persist()
         self.stated = documents.statements(self.report)
-        self.items = None if executive is None else documents.summary_items(documents.text_lines(readers.read_texts(spark, executive), "doc"))
+        self.summaries = None if executive is None else readers.read_texts(spark, executive)
+        self.items = None if executive is None else documents.summary_items(documents.text_lines(self.summaries, "doc"))
         self.sentences = documents.sentence_rows(self.stated, self.items).persist()
         rows = readers.read_workbook(spark, workbooks, required=("term", "explanation", "source"), optional=("parent",))
         self.glossary = glossary.union_glossaries(rows.withColumn("pos", F.struct("doc", "pos")), sources=sources)
@@ -167,10 +168,25 @@ def generate_summaries(corpus: Corpus, artifact: str, template: str, placeholder
     return counted
 
 
-def export_html(corpus: Corpus, target: str) -> None:
-    """The reports as pages with anchors and linked terms. Labels are a glossary's terms, a dictionary by nature."""
-    units = anchors.statement_units(corpus.stated)
-    marks = anchors.statement_anchors(units)
+def export_html(corpus: Corpus, target: str, stored: DataFrame | None = None, title: str = "Report and glossary") -> None:
+    """One page with the reports, the executive summaries and the glossary, linked with each other. stored: term_key, summary of
+    the terms that have one. Labels and anchors are those of a glossary's terms, a dictionary by nature."""
+    spark = corpus.spark
+    stored = spark.createDataFrame([], "term_key string, summary string") if stored is None else stored
+    units = anchors.statement_units(corpus.stated, corpus.items).withColumn("page", F.lit(0))
+    marks = anchors.statement_anchors(units, ("page",)).persist()
+    entries = anchors.term_anchors(corpus.terms.select("term_key")).persist()
     labels = {r["term_key"]: r["term"] for r in corpus.terms.select("term_key", "term").toLocalIterator()}
-    parts = anchors.html_sections(corpus.report, anchors.source_attributes(units, marks), labels)
-    writers.write_per_document(anchors.html_document(parts, documents.report_titles(corpus.lines)), target, "html")
+    links = {r["term_key"]: r["anchor"] for r in entries.toLocalIterator()}
+    blocks = None if corpus.summaries is None else pages.summary_blocks(corpus.summaries)
+    rendered = pages.rendered_units(corpus.report, corpus.stated, blocks, marks)
+    evidence = pages.evidence_tables(matching.occurrences(corpus.sentences, corpus.terms.select("term_key", "term")), marks)
+    told = pages.page(
+        pages.report_part(corpus.report, rendered, labels, links),
+        None if blocks is None else pages.summaries_part(blocks, rendered, labels, links),
+        pages.glossary_part(corpus.terms, corpus.usage, stored, evidence, entries, corpus.sources),
+        glossary.used_share(corpus.usage), title,
+    )
+    writers.write_file(spark, target, told.encode())
+    marks.unpersist()
+    entries.unpersist()

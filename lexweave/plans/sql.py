@@ -188,6 +188,7 @@ def glued(beside: str) -> str:
 SPANS = f"regexp_extract_all(x, '{ALTERNATION}') AS m, regexp_split_to_array(x, '{ALTERNATION}') AS g"
 FREE = f"""(NOT {glued("CASE WHEN g[i] <> '' THEN right(g[i], 1) WHEN i > 1 THEN right(m[i - 1], 1) ELSE ' ' END")} AND NOT {glued("CASE WHEN g[i + 1] <> '' THEN left(g[i + 1], 1) WHEN i < len(m) THEN left(m[i + 1], 1) ELSE ' ' END")})"""
 LINKED = f"""{escape('g[1]')} || array_to_string(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN {FREE} THEN '<a href="#" data-term="' || labels[lower(m[i])] || '">' || {escape('m[i]')} || '</a>' ELSE {escape('m[i]')} END || {escape('g[i + 1]')}), '')"""
+ANCHORED_TERMS = LINKED.replace("""'<a href="#" data-term="' || labels[lower(m[i])] || '">'""", """'<a class="glossary-link" href="#term-' || replace(lower(m[i]), ' ', '-') || '">'""")
 LABELS = "labels AS (SELECT map(list(term_key), list(term)) AS labels FROM terms)"
 UNESCAPED = "replace(replace(replace(replace(x, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
 # the furniture of pages and the blanks that end a line, as the cleaning sees them
@@ -220,6 +221,16 @@ ORACLE_SQL = {
       spans AS (SELECT *, {SPANS} FROM open),
       made AS (SELECT page_id, nth, {LINKED} AS x FROM spans UNION ALL SELECT page_id, nth, x FROM deep WHERE kind = 'tag' OR depth <> 0)
       SELECT page_id, string_agg(x, '' ORDER BY nth) AS html FROM made GROUP BY page_id""",
+    "html_reports": f"""WITH {STATED}, {GLOSS}, {LABELS},
+      keyed AS (SELECT *, {fold(collapse('statement'))} AS number_key, {fold(collapse('statement_text'))} AS text_key FROM stated),
+      anchors AS (SELECT number_key, text_key, 'source-statement-' || row_number() OVER (ORDER BY min((section_rank, pos))) AS anchor FROM keyed GROUP BY ALL),
+      shown AS (SELECT k.doc, k.section_rank, k.pos, CASE WHEN row_number() OVER (PARTITION BY k.number_key, k.text_key ORDER BY section_rank, pos) = 1 THEN ' id="' || anchor || '" class="statement-target"' ELSE '' END AS attributes FROM keyed AS k JOIN anchors AS a ON (a.number_key, a.text_key) = (k.number_key, k.text_key)),
+      t AS (SELECT r.doc, r.section_rank, r.pos, r.line AS x, attributes, CASE WHEN regexp_matches(line, '{FIRST_LEVEL}') THEN 'h4' ELSE 'p' END AS tag, labels FROM report AS r JOIN shown AS s ON (s.doc, s.section_rank, s.pos) = (r.doc, r.section_rank, r.pos), labels),
+      cuts AS (SELECT *, {SPANS} FROM t),
+      lines AS (SELECT doc, section_rank, string_agg('<' || tag || attributes || '>' || {ANCHORED_TERMS} || '</' || tag || '>', chr(10) ORDER BY pos) AS html FROM cuts GROUP BY doc, section_rank),
+      every AS (SELECT doc, unnest({SECTION_LIST}) AS section, unnest(range(1, 7)) AS section_rank FROM (SELECT DISTINCT doc FROM report)),
+      parts AS (SELECT e.doc, e.section_rank, '<section id="report-' || e.doc || '-' || replace(lower(section), ' ', '-') || '">' || chr(10) || '<h3>' || section || '</h3>' || chr(10) || coalesce(html, '<p>No content parsed for this section.</p>') || chr(10) || '</section>' AS html FROM every AS e LEFT JOIN lines AS l ON l.doc = e.doc AND l.section_rank = e.section_rank)
+      SELECT doc, md5(string_agg(html, chr(10) ORDER BY section_rank)) AS html_md5 FROM parts GROUP BY doc""",
     "markdown_items": f"SELECT item_id, '<p>' || replace({ESCAPED}, chr(10), chr(10)) || '</p>' || chr(10) AS html, {collapse('text')} AS plain FROM benchmark",
     "document_files": """WITH l AS (SELECT conv_id AS doc, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS pos, turn, role, text FROM conversations)
       SELECT doc, pos, ['Heading 2', '0th Level Chapter Heading', 'X 1st level heading', '2nd level heading ', '3rd level heading', '4th level heading', 'Normal', 'heading  12', 'My 3rd level', 'heading 0', '2nd level Heading 3'][turn % 11 + 1] AS style, CASE WHEN turn % 2 = 1 THEN turn * 1.5::DOUBLE END AS left_indent_pt, 2::BIGINT AS runs, CASE turn % 3 WHEN 1 THEN true WHEN 2 THEN false END AS bold, role || ' & <' || left(text, 20) || '>' AS text FROM l""",

@@ -326,14 +326,6 @@ def test_anchors(spark, lines):
     assert {r["number_key"]: r["anchor"] for r in targets.collect()}["section a"] == "s13"
 
 
-def test_html(lines):
-    report = documents.report_lines(lines)
-    units = anchors.statement_units(documents.statements(report))
-    parts = anchors.html_sections(report, anchors.source_attributes(units, anchors.statement_anchors(units)), {"risk": "Risk"})
-    page = anchors.html_document(parts, documents.report_titles(lines)).first()["html"]
-    assert "<title>Demo Report</title>" in page and page.index("section-1") < page.index("section-3") and 'id="source-statement-1"' in page and 'data-term="Risk"' in page
-
-
 def test_glossary(spark):
     a = spark.createDataFrame([(0, "Risk ", "one", None, "B"), (1, "RISK", "two", "P", "A"), (2, "", "x", "", "A"), (3, "Risk", "one", "", "B")], "pos long, term string, explanation string, parent string, source string")
     g = glossary.union_glossaries(a, a.select("pos", "term", "explanation", "source"), sources=("A", "B"))

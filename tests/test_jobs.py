@@ -1,10 +1,12 @@
 """Whole jobs from files to files."""
 
 import json
+import re
 
 import pytest
 
 from lexweave.__main__ import main
+from lexweave.operators import pages
 from lexweave.plans import jobs
 from lexweave.sources import readers, writers
 from tests.test_documents import REPORT, SUMMARY, TERMS
@@ -32,8 +34,18 @@ def test_corpus(spark, corpus, tmp_path):
     jobs.write_network(corpus, f"file://{tmp_path}/net")
     nodes, edges = readers.read_network(spark, str(tmp_path / "net"))
     assert nodes.count() == 6 and edges.count() == 4
-    jobs.export_html(corpus, f"file://{tmp_path}/html")
-    assert "Demo Report" in readers.read_texts(spark, f"{tmp_path}/html/*").first()["text"]
+    jobs.export_html(corpus, f"file://{tmp_path}/page.html", spark.createDataFrame([("risk", "Used in A1.1 and `A1.1`.\n\n### Potential issues substantive review\nTwo meanings")], "term_key string, summary string"), "Demo <page>")
+    page = (tmp_path / "page.html").read_text()
+    assert "<title>Demo &lt;page&gt;</title>" in page and page.index('id="part-0"') < page.index("Section A") < page.index('id="part-1"') < page.index('id="part-2"') < page.index('id="term-adaptation"') < page.index('id="term-risk"')
+    assert page.count(f"<p>{pages.NO_LINES}</p>") == 3  # of six sections three have lines
+    ids = re.findall(r' id="([^"]*)"', page)
+    links = re.findall(r'href="#([^"]*)"', page)
+    assert len(ids) == len(set(ids)) and set(links) <= set(ids) and "term-climate-risk" in links
+    a11 = next(i for i in ids if i.startswith("source-statement") and f'id="{i}" class="statement-target">A1.1 ' in page)
+    assert f'Used in <a class="statement-link" href="#{a11}">A1.1</a> and <code>A1.1</code>.' in page and 'class="issue"' in page
+    assert f'<tr><td><a class="statement-link" href="#{a11}">A1.1</a></td><td>Climate <mark>risk</mark> grows.</td></tr>' in page
+    assert '<h4 id="source-statement-3" class="statement-target">A1 ' in page and "<summary>Evidence (8)</summary>" in page and "LLM is not applied to the term confidence." in page
+    assert '>[ES1.1.1] <a class="glossary-link" href="#term-adaptation">Adaptation</a> lowers <strong>' in page.replace("<p>", "") and "6 of 6 glossary terms" in page
 
 
 def test_summaries_resume(corpus, tmp_path):
