@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ BLOCK_QUERIES = 4_096
 #: Levels into which a dimension's values are quantised within a block.
 LEVELS = 64
 #: Shares of all postings after which the bounds are looked at.
-LOOKS = tuple(i / 16 for i in range(2, 17))
+LOOKS = (0.25, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1)
 #: A search stops when reading on is so many times the work of rescoring what is left.
 RESCORE = 4
 
@@ -166,16 +167,23 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     folder = new_folder(rows.sparkSession, "topk-index")
     manifest = _build(rows, folder, blocks, ranges)
     sizes = {r["range"]: r["rows"] for r in manifest.collect()}  # a row for each range
-    queries = rows.filter("q").select("id", "v", F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("r"))
+    group, range_ = F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(groups)), F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))
+    queries = rows.filter("q").select("id", "v", group.alias("g"), range_.alias("r")).select("id", "v", (F.col("g") * ranges + F.col("r")).cast("int").alias("tile"))
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield tile(pd.concat(held))
+
+    def tile(part: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
+        at = int(part["tile"].iloc[0]) % ranges
         ids, vectors = part["id"].to_numpy(), _matrix(part["v"])
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
         met = 0
-        found = store.get_file_info(fs.FileSelector(f"{root}/{key[1]}", allow_not_found=True))
+        found = store.get_file_info(fs.FileSelector(f"{root}/{at}", allow_not_found=True))
         for name in sorted(f.path for f in found if f.base_name.startswith("block-")):
             with store.open_input_stream(name) as data:
                 index = ImpactIndex.of_bytes(data.read())
@@ -186,13 +194,14 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
                 scores, near = np.concatenate((scores, more[0])), np.concatenate((near, more[1]))
                 top = np.lexsort((near, -scores))[:k]
                 best[i] = scores[top], near[top]
-        if met != sizes.get(key[1], 0):
-            raise OSError(f"range {key[1]} of the index has {met} rows instead of {sizes.get(key[1], 0)}")
+        if met != sizes.get(at, 0):
+            raise OSError(f"range {at} of the index has {met} rows instead of {sizes.get(at, 0)}")
         release_memory()
         each = [len(s) for s, _ in best]
         return pd.DataFrame({"query_id": np.repeat(ids, each), "vec_id": np.concatenate([x for _, x in best]), "score": np.concatenate([s for s, _ in best])})
 
-    found = queries.groupBy("g", "r").applyInPandas(run, schema)
+    # a task for each tile, as its work is in the blocks it goes through and not in its few rows
+    found = queries.repartitionById(groups * ranges, "tile").mapInPandas(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = stored(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk-result")
     discard(rows, manifest)
