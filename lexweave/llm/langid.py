@@ -11,6 +11,7 @@ stretches are summed side by side.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,6 +32,8 @@ WINDOW = 1 << 17
 #: Expected counts are whole multiples of one part in so many, so that their sums do not depend on the order of adding.
 PARTS = 1 << 20
 LOWEST = -(1 << 63)
+#: Numbers that a worker keeps of words it has met.
+KNOWN_NUMBERS = 6_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII beside letters separates words; A-Z become a-z.
 _LETTERS = np.array([b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)], np.uint8)
@@ -185,7 +188,15 @@ class LanguageModel:
     probs: np.ndarray
 
     def scorer(self) -> WordScorer:
-        return WordScorer(self)
+        """The scorer of this model; one for all tasks of a Python worker, so that the words it knows are known to the next task."""
+        sign = hashlib.sha256(repr((self.languages, self.pieces)).encode() + self.probs.tobytes()).digest()
+        if sign not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[sign] = WordScorer(self)
+        return _SCORERS[sign]
+
+
+_SCORERS: dict[bytes, WordScorer] = {}
 
 
 def _logs(probs: np.ndarray) -> np.ndarray:
@@ -198,6 +209,25 @@ def _logs(probs: np.ndarray) -> np.ndarray:
 class WordScorer:
     def __init__(self, model: LanguageModel):
         self.model, self.table, self.logp = model, piece_table(tuple(model.pieces)), _logs(model.probs)
+        # words met before and their results, bounded; frequent words come early
+        self.known: dict[str, int] = {}
+        self.results = np.zeros((KNOWN_NUMBERS // (len(model.languages) + 16), len(model.languages)))
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """`log_probs` of lower-case words without marker; no word has probability 1."""
+        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        out = self.results[at]
+        if len(new):
+            found = self.log_probs([MARK + words[i] for i in new.tolist()])
+            found[[k for k, i in enumerate(new.tolist()) if not words[i]]] = 0
+            out[new] = found
+            fresh = {words[i]: k for k, i in enumerate(new.tolist()) if len(words[i]) <= 20}  # words that differed in case once
+            first = len(self.known)
+            fresh = dict(list(fresh.items())[: len(self.results) - first])
+            self.results[first : first + len(fresh)] = found[list(fresh.values())]
+            self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        return out
 
     def log_probs(self, words: list[str], window: int = WINDOW) -> np.ndarray:
         """The logarithm of each word's probability (words begin with the marker) under each language. Memory follows the window,
@@ -224,8 +254,7 @@ class WordScorer:
         if not languages or not n:
             return ["und"] * n, [0.0] * n
         index, rows, table = words_of(texts)
-        logs = self.log_probs([MARK + w.lower() for w in table])
-        logs[[i for i, w in enumerate(table) if not w]] = 0
+        logs = self.of_words(list(map(str.lower, table)))
         sums = np.zeros((n, len(languages)))
         filled = np.flatnonzero(np.diff(rows) > 0)
         if len(filled):

@@ -76,6 +76,19 @@ def test_words_of_any_length_are_summed_whole(window):
             assert row[g] == pytest.approx(plain_forward(w, NUMBER, model.probs[:, g]), rel=1e-9)
 
 
+def test_known_words_give_the_same_results(monkeypatch):
+    monkeypatch.setattr(langid, "KNOWN_NUMBERS", 18 * 30)  # room for 30 words
+    scorer = langid.WordScorer(random_model(PIECES, 2, 6))
+    rnd = random.Random(7)
+    pool = ["".join(rnd.choice("etaon") for _ in range(rnd.randrange(0, 25))) for _ in range(80)]
+    for _ in range(20):
+        words = [rnd.choice(pool) for _ in range(40)]
+        want = scorer.log_probs(["▁" + w for w in words])
+        want[[not w for w in words]] = 0
+        assert scorer.of_words(words) == pytest.approx(want)
+    assert len(scorer.known) == 30 == len(set(scorer.known.values()))
+
+
 def test_long_words_take_linear_time():
     scorer = random_model(PIECES, 4, 3).scorer()
     rnd = random.Random(4)
