@@ -28,12 +28,12 @@ MARK = "▁"
 #: The probability of a character that is no piece.
 UNKNOWN = 1e-7
 #: Characters of a lattice that are held at a time.
-WINDOW = 1 << 17
+WINDOW = 1 << 15
 #: Expected counts are whole multiples of one part in so many, so that their sums do not depend on the order of adding.
 PARTS = 1 << 20
 LOWEST = -(1 << 63)
 #: Numbers that a worker keeps of words it has met.
-KNOWN_NUMBERS = 6_000_000
+KNOWN_NUMBERS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII beside letters separates words; A-Z become a-z.
 _LETTERS = np.array([b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)], np.uint8)
