@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import datetime
 import importlib
+import os
 import sys
 
 from py4j.protocol import Py4JJavaError
@@ -37,7 +38,9 @@ def parser() -> argparse.ArgumentParser:
     job("network", *corpus)
     job("html", *corpus)
     job("pages", ("--page-headers", {"action": "store_true"}))
-    job("archive", ("--file", {"action": "append", "default": [], "help": "a further file of the archive"}))
+    key = ("--key-variable", {"metavar": "NAME", "help": "the environment variable that holds the key of a sealed archive"})
+    job("archive", ("--file", {"action": "append", "default": [], "help": "a further file of the archive"}), ("--root", {"help": "the folder that members' names begin below"}), key)
+    job("unpack", key)
     job(
         "term-summaries", *corpus,
         ("--ask", {"required": True, "metavar": "MODULE:FUNCTION", "help": "a function from a prompt to an answer"}),
@@ -57,6 +60,14 @@ def refused(text: str) -> int:
     return 2
 
 
+def sealing_key(args: argparse.Namespace) -> str | None:
+    if args.key_variable is None:
+        return None
+    if not os.environ.get(args.key_variable):
+        raise ValueError(f"{args.key_variable} is not set")
+    return os.environ[args.key_variable]
+
+
 def term_summaries(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.pause_seconds < 0:
         return refused("--pause-seconds must not be negative")
@@ -96,7 +107,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     elif args.job == "pages":
         jobs.convert_pages(jobs.read_pages(spark, args.source), args.target, args.page_headers)
     elif args.job == "archive":
-        jobs.build_archive(spark, [args.source, *args.file], args.target)
+        jobs.build_archive(spark, [args.source, *args.file], args.target, sealing_key(args), args.root)
+    elif args.job == "unpack":
+        jobs.unpack_archive(spark, args.source, args.target, sealing_key(args))
     elif args.job == "summaries":
         jobs.extract_summaries(spark, args.source, args.target, {k: int(v) for k, v in (x.rsplit("=", 1) for x in args.level)})
     elif args.job == "glossary-document":

@@ -6,13 +6,14 @@ captions and plain lines by a fixed rule, and forty conversations in turn share
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.functions import markup
+from lexweave.functions import markup, sealed
 from lexweave.functions import text as t
 from lexweave.operators import anchors, audit, documents, glossary, matching, network, pages, summaries
 from lexweave.sources import readers, writers
@@ -436,6 +437,13 @@ def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.workbook_rows(files).select(F.col("doc").alias("brand"), "pos", "term", "explanation", "parent")
 
 
+def sealed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of conversations sealed each and opened again, with the length of the tokens."""
+    key = sealed.key_table(spark, base64.urlsafe_b64encode(bytes(range(32))).decode()).scalar()
+    made = _talk(spark, sf_dir).withColumn("__key", key).withColumn("token", sealed.sealed(F.encode("text", "UTF-8"), F.col("__key"), F.col("conv_id")))
+    return made.select("conv_id", "turn", F.length("token").cast("long").alias("token_chars"), F.sha2(sealed.opened(F.col("token"), F.col("__key")), 256).alias("sha256"))
+
+
 def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as ZIP archives, a member a turn, which are read again."""
 
@@ -536,4 +544,4 @@ def sent_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.delivered(both.select("conv_id", "turn", "as_number", "as_text"), post, ("as_number", "as_text")).select("conv_id", "turn", "status", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, html_reports, document_files, workbook_files, archive_files, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, html_reports, document_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from lexweave.operators import anchors, documents, glossary, matching, network,
 from lexweave.sources import readers, writers
 
 
+#: The columns that a corpus needs of its workbooks, and those it can do without.
+WORKBOOK = (("term", "explanation", "source"), ("parent",))
+
+
 class UnknownTerms(ValueError):
     """Terms were asked for that the glossary does not have."""
 
@@ -41,20 +46,40 @@ def read_pages(spark: SparkSession, source: str) -> DataFrame:
     return pages.select(F.regexp_extract("doc", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("doc"), (F.col("page") + 1).alias("page"), "text")
 
 
-def build_archive(spark: SparkSession, sources: list[str], target: str) -> int:
-    """One ZIP file of the named files, checked against them byte for byte after it is written; a missing file is an error."""
-    files = spark.read.format("binaryFile").load(sources).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content")
-    held = {r["name"]: bytes(r["content"]) for r in files.toLocalIterator()}
-    lost = sorted({s.rstrip("/").rsplit("/", 1)[-1] for s in sources} - set(held))
+def build_archive(spark: SparkSession, sources: list[str], target: str, key: str | None = None, root: str | None = None) -> int:
+    """One ZIP file of the named files, sealed if there is a key, and checked against them byte for byte after it is written. Its
+    members have the files' names, or their paths below root. A missing file, one outside root or two of one name are errors."""
+    below = None if root is None else spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    place = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+    name = F.regexp_extract("path", "([^/]*)$", 1) if below is None else F.when(F.startswith(place, F.lit(below)), F.substring(place, F.lit(len(below) + 1), F.length("path")))
+    files = spark.read.format("binaryFile").load(sources).select("path", name.alias("name"), "content")
+    held: dict[str, bytes] = {}
+    for r in files.toLocalIterator():
+        if r["name"] is None or r["name"] in held:
+            raise ValueError(f"{r['path']} is outside {root}" if r["name"] is None else f"two files are called {r['name']}")
+        held[r["name"]] = bytes(r["content"])
+    lost = sorted({s.rstrip("/").rsplit("/", 1)[-1] for s in sources} - {n.rsplit("/", 1)[-1] for n in held})
     if lost:
         raise ValueError("missing files: " + ", ".join(lost))
-    writers.write_file(spark, target, writers.archive_bytes(held))
-    wrong = writers.archive_differences(files, readers.read_archive(spark, target)).take(1)
+    made = writers.archive_bytes(held)
+    writers.write_file(spark, target, made if key is None else writers.sealed_bytes(spark, made, key))
+    wrong = writers.archive_differences(files, readers.read_archive(spark, target, "*", key)).take(1)
     if wrong:
         raise ValueError(f"the archive does not hold {wrong[0]['name']} as it is")
     return len(held)
 
 
+def unpack_archive(spark: SparkSession, source: str, target: str, key: str | None = None) -> int:
+    """The members of one archive as files below target; a member whose name leads out of it is an error."""
+    n = 0
+    for r in readers.read_archive(spark, source, "*", key).toLocalIterator():
+        if r["name"].startswith("/") or ".." in r["name"].split("/"):
+            raise ValueError(f"{r['name']} is no name below a folder")
+        writers.write_file(spark, f"{target.rstrip('/')}/{r['name']}", bytes(r["content"]))
+        n += 1
+    return n
+
+
 def convert_pages(pages: DataFrame, target: str, headers: bool = False) -> None:
     """Extracted pages (doc, page, text) to Markdown."""
     writers.write_per_document(documents.page_markdown(required(pages, "page"), F.col("doc"), headers), target)
@@ -93,18 +118,33 @@ def glossary_with_parents(spark: SparkSession, source: str, target: str, name: s
     return writers.write_glossary_workbook(rows, target, {"term": "Term", "explanation": "Explanation", "parent": "Parent", "source": "Source"}, ("doc", "pos"))
 
 
+@dataclass(frozen=True)
+class Members:
+    """The names under which an archive holds a corpus. The stored summaries may be missing, all else must be there."""
+
+    reports: tuple[str, ...]
+    executive: tuple[str, ...]
+    workbooks: tuple[str, ...]
+    network: str
+    prompt: str
+    summaries: str
+
+
 class Corpus:
     """Reports, executive summaries and a glossary, read once and held for all that asks of them."""
 
     def __init__(self, spark: SparkSession, reports: str, executive: str | None, workbooks: str, sources: tuple[str, ...] = ()):
-        self.spark = spark
-        self.lines = documents.text_lines(required(readers.read_texts(spark, reports), f"report in {reports}"), "doc")
+        texts = required(readers.read_texts(spark, reports), f"report in {reports}")
+        self._hold(texts, None if executive is None else readers.read_texts(spark, executive), readers.read_workbook(spark, workbooks, *WORKBOOK), sources)
+
+    def _hold(self, reports: DataFrame, executive: DataFrame | None, rows: DataFrame, sources: tuple[str, ...]) -> None:
+        self.spark = reports.sparkSession
+        self.lines = documents.text_lines(reports, "doc")
         self.report = documents.report_lines(self.lines).persist()
         self.stated = documents.statements(self.report)
-        self.summaries = None if executive is None else readers.read_texts(spark, executive)
-        self.items = None if executive is None else documents.summary_items(documents.text_lines(self.summaries, "doc"))
+        self.summaries = executive
+        self.items = None if executive is None else documents.summary_items(documents.text_lines(executive, "doc"))
         self.sentences = documents.sentence_rows(self.stated, self.items).persist()
-        rows = readers.read_workbook(spark, workbooks, required=("term", "explanation", "source"), optional=("parent",))
         self.glossary = glossary.union_glossaries(rows.withColumn("pos", F.struct("doc", "pos")), sources=sources)
         self.terms = glossary.grouped(self.glossary).persist()
         self.usage = matching.usage_counts(self.sentences, self.terms).persist()
@@ -129,6 +169,39 @@ class Corpus:
             df.unpersist()
 
 
+@dataclass(frozen=True)
+class Assets:
+    """What an archive holds: a corpus, the network's nodes and edges, the prompt's template, and term_key, summary."""
+
+    corpus: Corpus
+    nodes: DataFrame
+    edges: DataFrame
+    prompt: str
+    summaries: DataFrame
+
+
+def load_assets(spark: SparkSession, source: str, members: Members, key: str | None = None, sources: tuple[str, ...] = ()) -> Assets:
+    """All that one archive, sealed if there is a key, holds of a corpus. A member that is missing is an error, but for the stored
+    summaries: without them there are none."""
+    held = readers.read_archive(spark, source, "*", key).persist()
+    there = {r["name"] for r in held.select("name").collect()}
+    wanted = (*members.reports, *members.executive, *members.workbooks, members.network, members.prompt)
+    if lost := sorted(set(wanted) - there):
+        raise ValueError("the archive lacks " + ", ".join(lost))
+
+    def texts(*names: str) -> DataFrame:
+        return readers.member_texts(held, names)
+
+    corpus = Corpus.__new__(Corpus)
+    books = held.filter(F.col("name").isin(*members.workbooks)).select(F.col("name").alias("path"), "content")
+    corpus._hold(texts(*members.reports), texts(*members.executive) if members.executive else None, readers.workbook_rows(books, *WORKBOOK), sources)
+    nodes, edges = network.parse_cypher(texts(members.network).select(F.explode(F.split("text", "\\R")).alias("value")))
+    stored = spark.createDataFrame([], "term_key string, summary string")
+    if members.summaries in there:
+        stored = readers.stored_summaries(texts(members.summaries).select(F.col("text").alias("value")))
+    return Assets(corpus, nodes, edges, texts(members.prompt).first()["text"], stored)
+
+
 def write_network(corpus: Corpus, target: str) -> None:
     nodes, edges = corpus.network()
     writers.write_ordered(network.cypher_lines(nodes, edges), target, "kind", "a", "b")

@@ -236,6 +236,7 @@ ORACLE_SQL = {
       SELECT doc, pos, ['Heading 2', '0th Level Chapter Heading', 'X 1st level heading', '2nd level heading ', '3rd level heading', '4th level heading', 'Normal', 'heading  12', 'My 3rd level', 'heading 0', '2nd level Heading 3'][turn % 11 + 1] AS style, CASE WHEN turn % 2 = 1 THEN turn * 1.5::DOUBLE END AS left_indent_pt, 2::BIGINT AS runs, CASE turn % 3 WHEN 1 THEN true WHEN 2 THEN false END AS bold, role || ' & <' || left(text, 20) || '>' AS text FROM l""",
     "workbook_files": f"WITH n AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::BIGINT AS pos FROM part) SELECT p_brand AS brand, pos, {collapse('p_name')} AS term, {collapse('p_type')} AS explanation, '' AS parent FROM n WHERE p_partkey % 7 <> 0",
     "archive_files": "SELECT conv_id AS archive, turn || '.txt' AS name, sha256(text) AS sha256 FROM conversations",
+    "sealed_texts": "SELECT conv_id, turn, (4 * ((57 + 16 * (strlen(text) // 16 + 1) + 2) // 3))::BIGINT AS token_chars, sha256(text) AS sha256 FROM conversations",
     "artifact_file": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Term ' ELSE 'term ' END || (doc_id - doc_id % 2) AS term_key, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'said é ' || doc_id END AS summary FROM documents WHERE doc_id < 200)
       SELECT term_key, 'summary' AS kind, summary AS value FROM d UNION ALL SELECT term_key, 'failure', 'error' FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT lower(term_key), 'usable', arg_max(summary, doc_id) FROM d WHERE summary <> ' ' GROUP BY lower(term_key)""",
     "stamps": """WITH m AS (SELECT event_id, ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 182 DAY ELSE INTERVAL 0 DAY END AS moment, event_id % 2 = 0 AS summer FROM events)

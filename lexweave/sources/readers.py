@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.functions import sealed
 from lexweave.functions import text as t
 from lexweave.operators.network import parse_cypher
 from lexweave.operators.summaries import FAILURE_SCHEMA, SUMMARY_SCHEMA
@@ -149,14 +150,18 @@ def read_artifact(spark: SparkSession, path: str, model: str | None = None) -> t
     return parse_artifact(spark.read.text(path, wholetext=True), model)
 
 
-def parse_artifact(texts: DataFrame, model: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The summaries and failures of artifacts (value). Another version, another model (if one is named) or a text without a
-    summaries object is an error where the tables are used."""
+def _envelopes(texts: DataFrame, model: str | None = None) -> DataFrame:
     raw = texts.select(F.from_json("value", ENVELOPE).alias("e")).select("e.*")
     wrong = F.when(~F.col("format_version").eqNullSafe(F.lit(1)), "unsupported artifact version").when(F.col("summaries").isNull(), "artifact has no summaries")
     if model is not None:
         wrong = wrong.when(~F.col("model").eqNullSafe(F.lit(model)), "artifact is of another model")
-    checked = raw.filter(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.lit(True)))
+    return raw.filter(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.lit(True)))
+
+
+def parse_artifact(texts: DataFrame, model: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The summaries and failures of artifacts (value). Another version, another model (if one is named) or a text without a
+    summaries object is an error where the tables are used."""
+    checked = _envelopes(texts, model)
 
     def of(c: str, schema: str) -> DataFrame:
         rows = checked.select(F.explode(c).alias("term_key", "v"))
@@ -174,6 +179,16 @@ def artifact_or_new(spark: SparkSession, path: str, model: str, stamp: str) -> t
     return *read_artifact(spark, path, model), made
 
 
+def stored_summaries(texts: DataFrame) -> DataFrame:
+    """term_key (folded), summary (trimmed) of artifacts (value) of any model; of keys that fold alike the later one counts. An
+    entry without a key or a text is an error."""
+    rows = _envelopes(texts).select(F.posexplode("summaries").alias("place", "term_key", "v"))
+    held = rows.select("place", t.folded(t.collapsed(F.col("term_key"))).alias("term_key"), t.stripped(F.col("v.summary")).alias("summary"))
+    blank = F.coalesce((F.col("term_key") == "") | (F.col("summary") == ""), F.lit(True))
+    whole = held.filter(F.when(blank, F.raise_error(F.lit("a stored summary has no key or no text")).cast("boolean")).otherwise(F.lit(True)))
+    return whole.groupBy("term_key").agg(F.max_by("summary", "place").alias("summary"))
+
+
 def usable_summaries(artifact: DataFrame) -> DataFrame:
     """term_key (folded), summary: the entries with a text. artifact: place, term_key, summary; of keys that fold alike the later
     one counts."""
@@ -194,6 +209,18 @@ def archive_members(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "archive string, name string, content binary")
 
 
-def read_archive(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
-    """The members of all archives of a folder, or of one file."""
-    return archive_members(_files(spark, path, pattern))
+def read_archive(spark: SparkSession, path: str, pattern: str = "*.zip", key: str | None = None) -> DataFrame:
+    """The members of all archives of a folder, or of one file. With a key the files are sealed and are opened first; one that the
+    key does not open is an error."""
+    files = _files(spark, path, pattern)
+    if key is not None:
+        keyed = files.withColumn("__key", sealed.key_table(spark, key).scalar())
+        files = keyed.select("path", sealed.opened(F.col("content"), F.col("__key")).alias("content"))
+    return archive_members(files)
+
+
+def member_texts(members: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """doc, text of the named members of archives; text that is not UTF-8 is an error."""
+    wanted = F.col("name").isin(*names)
+    # what later steps filter by may be looked at before the names are, so other members must not be decoded there either
+    return members.filter(wanted).select(F.col("name").alias("doc"), F.when(wanted, F.decode("content", "UTF-8")).alias("text"))

@@ -13,6 +13,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.functions import sealed
+
 
 def markdown_texts(lines: DataFrame) -> DataFrame:
     """doc, markdown: the lines of each document with a blank line between, and a line end behind."""
@@ -136,6 +138,12 @@ def archive_bytes(files: dict[str, bytes]) -> bytes:
     return held.getvalue()
 
 
+def sealed_bytes(spark: SparkSession, data: bytes, key: str) -> bytes:
+    """A file's bytes sealed with a key."""
+    keyed = spark.createDataFrame([(data,)], "content binary").withColumn("__key", sealed.key_table(spark, key).scalar())
+    return keyed.select(sealed.sealed(F.col("content"), F.col("__key"), F.unix_timestamp())).first()[0].encode()
+
+
 def archive_differences(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """name, side (missing or unexpected) of the members (name, content) that two archives do not share byte for byte."""
     a, b = (df.select("name", F.sha2("content", 256).alias("digest")) for df in (wanted, found))
