@@ -120,8 +120,9 @@ def clean_page(c: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
     numbers (a true number of up to three digits at a line's end goes as well), blank lines."""
     rows = F.transform(F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n"), lambda x: F.rtrim(x, F.lit(BLANKS)))
     kept = F.array_join(F.filter(rows, lambda x: ~drops_line(x, patterns)), "\n")
-    joined = F.regexp_replace(kept, f"(?<={W})-\n(?={W})", "")
-    plain = F.array_join(F.transform(F.split(joined, "\n"), lambda x: F.regexp_replace(x, r"(?<=\S)" + WS + r"+\d{1,3}\z", "")), "\n")
+    # most texts and lines hold nothing to replace, which a plain search tells sooner than a regex
+    joined = once(kept, lambda x: F.when(F.contains(x, F.lit("-\n")), F.regexp_replace(x, f"(?<={W})-\n(?={W})", "")).otherwise(x))
+    plain = F.array_join(F.transform(F.split(joined, "\n"), lambda x: F.when(F.substring(x, -1, 1).between("0", "9"), F.regexp_replace(x, r"(?<=\S)" + WS + r"+\d{1,3}\z", "")).otherwise(x)), "\n")
     return F.coalesce(stripped(F.regexp_replace(plain, "\n{3,}", "\n\n")), F.lit(""))
 
 

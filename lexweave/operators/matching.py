@@ -35,7 +35,7 @@ def _constant(sentences: DataFrame, keys: list[str], terms: DataFrame, text: str
 
 
 #: A character that makes no word and is not blank.
-ODD = f"(?!{t.W}|{t.WS})(?s:.)"
+ODD = f"[^{t.W[1:-1]}{t.WS[1:-1]}]"
 
 
 def _tokens(text: Column) -> Column:
