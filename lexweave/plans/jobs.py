@@ -178,6 +178,11 @@ class Assets:
     edges: DataFrame
     prompt: str
     summaries: DataFrame
+    members: DataFrame
+
+    def close(self) -> None:
+        self.corpus.close()
+        self.members.unpersist()
 
 
 def load_assets(spark: SparkSession, source: str, members: Members, key: str | None = None, sources: tuple[str, ...] = ()) -> Assets:
@@ -187,6 +192,7 @@ def load_assets(spark: SparkSession, source: str, members: Members, key: str | N
     there = {r["name"] for r in held.select("name").collect()}
     wanted = (*members.reports, *members.executive, *members.workbooks, members.network, members.prompt)
     if lost := sorted(set(wanted) - there):
+        held.unpersist()
         raise ValueError("the archive lacks " + ", ".join(lost))
 
     def texts(*names: str) -> DataFrame:
@@ -199,7 +205,7 @@ def load_assets(spark: SparkSession, source: str, members: Members, key: str | N
     stored = spark.createDataFrame([], "term_key string, summary string")
     if members.summaries in there:
         stored = readers.stored_summaries(texts(members.summaries).select(F.col("text").alias("value")))
-    return Assets(corpus, nodes, edges, texts(members.prompt).first()["text"], stored)
+    return Assets(corpus, nodes, edges, texts(members.prompt).first()["text"], stored, held)
 
 
 def write_network(corpus: Corpus, target: str) -> None:

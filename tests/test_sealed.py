@@ -105,14 +105,14 @@ def test_assets_of_an_archive(spark, tmp_path):
     assert [tuple(r) for r in found.nodes.collect()] == [("risk", "Risk", 2)] and [r["weight"] for r in found.edges.collect()] == [1]
     rows = found.corpus.overview(found.summaries).orderBy("place").collect()
     assert [(r["term"], r["n"]) for r in rows] == [("adaptation", 2), ("climate risk", 4), ("confidence", 1), ("co₂", 1), ("risk", 8), ("urban area", 1)]
-    found.corpus.close()
+    found.close()
 
 
 def test_assets_that_lack_members(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(held_archive(**{"stored.json": None}))
     found = jobs.load_assets(spark, f"{tmp_path}/a.zip", MEMBERS)
     assert found.summaries.count() == 0
-    found.corpus.close()
+    found.close()
     (tmp_path / "b.zip").write_bytes(held_archive(**{"prompt.md": None, "es.md": None}))
     with pytest.raises(ValueError, match="lacks es.md, prompt.md"):
         jobs.load_assets(spark, f"{tmp_path}/b.zip", MEMBERS)
