@@ -233,3 +233,23 @@ def id_ranges(df: DataFrame, col: str, parts: int | None = None) -> Ranges:
         splits += [(value, -(1 << 63) + (k << 64) // times) for k in range(1, times)]
         splits.append((value, (1 << 63) - 1))
     return Ranges(max(1, round(r["null"] * parts / max(1, r["n"]))), splits)
+
+
+def floored(vector: Column, scale: int) -> Column:
+    """Each component x as floor(scale * x), x as double; null for a vector that is null or holds null or non-finite values."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+
+
+def evened(df: DataFrame, col: str, multiple: int = 1, fill: int = 0) -> tuple[DataFrame, int]:
+    """df with the integer vectors of a column filled up to the length of the longest, and that to a multiple; and this length."""
+    r = df.agg(F.min(F.size(col)).alias("least"), F.max(F.size(col)).alias("most")).first()
+    dims = -(-(r["most"] or 0) // multiple) * multiple
+    if r["least"] in (None, dims):
+        return df, dims
+    return df.withColumn(col, F.concat(col, F.array_repeat(F.lit(fill).cast("long"), F.lit(dims) - F.size(col)))), dims
+
+
+def matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    """The rows of a column of equally long lists of whole numbers."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(lists), dims)

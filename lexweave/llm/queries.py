@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import langid, licenses, merkle, minhash, mixing, pieces, secret_scan, sharding, sql, topk, wavelet
+from lexweave.llm import codebooks, langid, licenses, merkle, minhash, mixing, pieces, pii, secret_scan, sharding, sql, topk, wavelet, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,30 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(table(spark, sf_dir, "documents")).spans()
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["k"]), s["start"], s["end"])), ",")
+
+    def count(k):
+        return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", "found"))).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
@@ -91,8 +115,12 @@ QUERIES: dict[str, Query] = {
     "op8_top_k": op8_top_k,
     "op9_language": op9_language,
     "op10_token_files": op10_token_files,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
+    "op13_personal_data": op13_personal_data,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": sql.OP6_MIXING,
     "op8_top_k": sql.OP8_TOP_K,
+    "op11_vector_codes": sql.OP11_VECTOR_CODES,
 }

@@ -45,3 +45,39 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The rounds of codebooks, one after another: n has the parts of the vectors, e0 the first entries, d and e those of each round."""
+    near = """
+d{r} AS MATERIALIZED (
+  SELECT n.row, n.part, min(list_sum(list_transform(list_zip(n.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 256 + e.entry) AS best
+  FROM n JOIN e{r} AS e ON n.part = e.part GROUP BY n.row, n.part
+)"""
+    means = """
+s{r} AS (
+  SELECT d.part, d.best % 256 AS entry, i.i, sum(n.v[i.i])::BIGINT AS s, count(*) AS c
+  FROM d{r} AS d JOIN n ON d.row = n.row AND d.part = n.part, range(1, (SELECT max(len(v)) FROM n) + 1) AS i(i) GROUP BY ALL
+), e{q} AS MATERIALIZED (
+  SELECT e.part, e.entry, coalesce(m.v, e.v) AS v FROM e{r} AS e
+  LEFT JOIN (SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY i) AS v FROM s{r} GROUP BY part, entry) AS m ON e.part = m.part AND e.entry = m.entry
+)"""
+    steps = [near.format(r=r) + "," + means.format(r=r, q=r + 1) for r in range(rounds)] + [near.format(r=rounds)]
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, label) AS row, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS MATERIALIZED (
+  SELECT row, p.p AS part, v[p.p * (len(v) // {parts}) + 1 : (p.p + 1) * (len(v) // {parts})] AS v FROM k, range({parts}) AS p(p)
+), e0 AS MATERIALIZED (
+  SELECT n.part, f.entry, n.v FROM n JOIN (SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT {entries}) AS f ON n.row = f.row
+),{",".join(steps)}, c AS (
+  SELECT row, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM d{rounds} GROUP BY row
+)
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM e{rounds}) AS codebooks_sha256
+FROM k JOIN c ON k.row = c.row
+"""
+
+
+OP11_VECTOR_CODES = vector_codes()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import discard, discard_folder, new_folder, put_in_place, quoted, release_memory, stored
+from lexweave.llm._common import discard, discard_folder, floored, new_folder, put_in_place, quoted, release_memory, stored
 
 #: Rows of an index block, and queries that go through blocks in one task.
 BLOCK_ROWS = 16_384
@@ -114,12 +114,6 @@ class ImpactIndex:
         raise AssertionError("the last look is at all postings")
 
 
-def floored(vector: Column, scale: int) -> Column:
-    """Each component x as floor(scale * x), x as double; null for a vector that is null or holds null or non-finite values."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
-
-
 def _matrix(lists: pd.Series) -> np.ndarray:
     out = np.zeros((len(lists), max(1, lists.map(len).max())), np.int64)
     for i, v in enumerate(lists):
