@@ -138,6 +138,24 @@ def release_memory() -> None:
         trim(0)
 
 
+#: What a Python worker keeps between tasks, by the module that keeps it, and how that is dropped.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    """Says that the tasks of a module keep something in their worker from one task to the next."""
+    _KEPT[owner] = drop
+
+
+def take_worker(owner: str) -> None:
+    """At the start of a task: what other modules have kept in this worker goes, as a worker outlives the stages it works for."""
+    others = [x for x in _KEPT if x != owner]
+    for x in others:
+        _KEPT.pop(x)()
+    if others:
+        release_memory()
+
+
 def map_texts(df: DataFrame, text_col: str, made: T.StructType | str, work: Callable[[], Callable[[pa.StringArray], list[pa.Array]]], keep: list[str] | None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Adds the columns made to df. work() is called once a task and gives a function from a slice of texts to those columns."""
     made = T.StructType.fromDDL(made) if isinstance(made, str) else made
@@ -153,6 +171,7 @@ def map_texts(df: DataFrame, text_col: str, made: T.StructType | str, work: Call
     n_kept, labels = len(kept), [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(work.__module__)
         each = work()
         for batch in batches:
             for at, texts in text_slices(batch.column(at_text), slice_bytes):

@@ -12,6 +12,7 @@ stretches are summed side by side.
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import discard, map_texts, quoted, release_memory, stored, text_buffers, text_slices
+from lexweave.llm._common import discard, keeps, map_texts, quoted, release_memory, stored, take_worker, text_buffers, text_slices
 
 MARK = "▁"
 #: The probability of a character that is no piece.
@@ -193,12 +194,18 @@ class LanguageModel:
         if sign not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[sign] = WordScorer(self)
+            keeps(__name__, _drop)
         return _SCORERS[sign]
 
 
 _SCORERS: dict[bytes, WordScorer] = {}
 
 
+def _drop() -> None:
+    _SCORERS.clear()
+    piece_table.cache_clear()
+
+
 def _logs(probs: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         out = np.log(probs)
@@ -281,21 +288,24 @@ def hash_bound(wanted: int, count: int) -> int:
 
 
 def fit(df: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500, rounds: int = 3) -> LanguageModel:
-    """Fits a model on a bounded sample of the labelled rows of df: about per_language rows of each language, chosen by the hash
-    of their id (of their text, without an id); all words of these rows teach. Rows without a language teach nothing; without any
-    the model knows no language.
+    """Fits a model on a bounded sample of the labelled rows of df: about per_language distinct (id, text) of each language, chosen
+    by a hash of both; all words of these rows teach. Repeated rows teach once, and an id that many texts share gives a sample of
+    them like any others. Rows without a language or a text teach nothing. A language whose sample has no word is not learned, with a
+    warning; without any labelled text the model knows no language.
 
     The words are counted and each round of expectation-maximisation runs distributed; a row for each language, and for each
     piece of the vocabulary and language, reaches the driver."""
-    rows = df.filter(quoted(lang_col).isNotNull()).select(quoted(id_col).cast("string").alias("id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    named = df.select(quoted(id_col).cast("string").alias("id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text"))
+    rows = named.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # a row for each language
     if not counts:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
     languages = sorted(counts)
     bound = F.create_map(*[F.lit(x) for k in languages for x in (k, hash_bound(per_language, counts[k]))])[F.col("lang")]
-    sample = rows.filter(F.xxhash64(F.coalesce("id", "text")) <= bound).select("lang", "text")
+    sample = rows.filter(F.col("h") <= bound).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(__name__)
         for batch in batches:
             for at, texts in text_slices(batch.column(1)):
                 index, bounds, table = words_of(texts)
@@ -306,6 +316,9 @@ def fit(df: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str
                 yield pa.RecordBatch.from_arrays([pa.array([k // len(table) for k in keys.tolist()], pa.int32()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     words = stored(sample.mapInArrow(count, "lang int, word string, n long").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    learned = sorted(r["lang"] for r in words.select("lang").distinct().collect())  # a row for each language
+    if len(learned) < len(languages):
+        warnings.warn(f"no words to learn from: {', '.join(sorted(set(languages) - {languages[k] for k in learned}))}", stacklevel=2)
     probs = None
     for _ in range(rounds + 1):
         counts = np.full((len(pieces) + 1, len(languages)), 0.01)
@@ -314,7 +327,7 @@ def fit(df: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str
         counts[0] = 0
         probs = counts / counts.sum(0)
     discard(words)
-    return LanguageModel(languages, pieces, probs)
+    return LanguageModel([languages[k] for k in learned], pieces, probs[:, learned])
 
 
 def _expected(words: DataFrame, pieces: tuple[str, ...], probs: np.ndarray | None) -> DataFrame:
@@ -322,6 +335,8 @@ def _expected(words: DataFrame, pieces: tuple[str, ...], probs: np.ndarray | Non
     it stands anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(__name__)
+        keeps(__name__, _drop)
         table = piece_table(pieces)
         sums: dict[int, np.ndarray] = {}
         logp = None if probs is None else _logs(probs)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import discard, quoted, release_memory, stored, text_slices
+from lexweave.llm._common import discard, quoted, release_memory, stored, take_worker, text_slices
 
 #: Documents are linked from this similarity on where nothing else is asked for.
 SIMILARITY = (80, 100)
@@ -115,6 +115,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        take_worker(__name__)
         minhash = CirculantMinHash()
         none = np.zeros(minhash.bands * minhash.rows, np.uint32)
         for batch in batches:
@@ -142,6 +143,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[
     num, den = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(__name__)
         pivot, of_pivot = None, np.zeros(0, np.uint64)
         for batch in batches:
             ids = [batch.column(i).to_pylist() for i in range(4)]

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pytest
 
-from lexweave.llm import langid, queries
+from lexweave.llm import _common, langid, queries
 
 PIECES = langid.public_pieces(queries.vocabulary("piece_bpe_32k.model"))
 NUMBER = {p: i for i, p in enumerate(PIECES, 1)}
@@ -201,6 +201,41 @@ def test_a_bounded_sample_answers_alike_on_every_run(spark, sf_dir):
     assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.9 * len(rows)
 
 
+def test_rows_of_one_id_give_a_bounded_sample(spark):
+    rnd = random.Random(2)
+    english, german = "the house of water and the road".split(), "das haus und die straße mit wasser".split()
+
+    def some(words, n=12):
+        return " ".join(rnd.choice(words) for _ in range(n))
+
+    for one in (1, 7, None):
+        rows = [(one, some(english), "en") for _ in range(5000)] + [(i, some(german), "de") for i in range(1000)]
+        rows += [(None, None, "xx")] * 50 + [(3, "12 34", "yy")] * 50
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        with pytest.warns(UserWarning, match="yy"):
+            model = langid.fit(df, PIECES, per_language=300)
+        assert model.languages == ["de", "en"]
+        mark = model.pieces.index(langid.MARK + "the") + 1
+        assert model.probs[mark, 1] > 100 * model.probs[mark, 0]
+        told = langid.identify(df, model).filter("text IS NOT NULL AND lang <> 'yy'").collect()
+        assert sum(r["lang_pred"] == r["lang"] for r in told) > 0.99 * len(told)
+
+
+def test_repeated_rows_teach_once(spark):
+    rows = [(1, "the water of the house", "en")] * 3000 + [(i, f"a road in the land {'x' * (i % 5)}", "en") for i in range(2, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert (langid.fit(df.repartition(5), PIECES).probs == langid.fit(df.distinct(), PIECES).probs).all()
+
+
+def test_a_worker_drops_what_other_tasks_kept():
+    scorer = random_model(PIECES, 2, 6).scorer()
+    assert scorer is random_model(PIECES, 2, 6).scorer() and langid._SCORERS
+    _common.take_worker(langid.__name__)
+    assert langid._SCORERS
+    _common.take_worker("another")
+    assert not langid._SCORERS and not _common._KEPT and langid.piece_table.cache_info().currsize == 0
+
+
 def test_languages_of_odd_texts(odd, empty):
     model = langid.fit(odd, PIECES)
     assert model.languages == ["en", "fr"]
