@@ -31,6 +31,8 @@ from lexweave.llm._common import discard, quoted, release_memory, stored, take_w
 SIMILARITY = (80, 100)
 WORDS = 5
 BANDS, BAND_ROWS = 30, 5
+#: Bytes of texts whose shingles are held at a time.
+SLICE = 2 << 20
 #: Places of the universe over which the shingles are scattered.
 UNIVERSE = 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +121,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
         minhash = CirculantMinHash()
         none = np.zeros(minhash.bands * minhash.rows, np.uint32)
         for batch in batches:
-            for at, texts in text_slices(batch.column(1)):
+            for at, texts in text_slices(batch.column(1), SLICE):
                 sets = shingle_sets(texts, width)
                 keys = minhash.band_keys(np.array([minhash.signature(s) if len(s) else none for s in sets])).view(np.int64)
                 whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
@@ -147,7 +149,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[
         pivot, of_pivot = None, np.zeros(0, np.uint64)
         for batch in batches:
             ids = [batch.column(i).to_pylist() for i in range(4)]
-            for at, texts in text_slices(batch.column(4)):
+            for at, texts in text_slices(batch.column(4), SLICE):
                 out = []
                 for k, s in enumerate(shingle_sets(texts, width), at):
                     if not ids[2][k]:
