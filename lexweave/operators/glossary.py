@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions import markup
 from lexweave.functions import text as t
+from lexweave.sources import store
 
 
 def union_glossaries(*tables: DataFrame, sources: tuple[str, ...] = ()) -> DataFrame:
@@ -25,6 +28,27 @@ def union_glossaries(*tables: DataFrame, sources: tuple[str, ...] = ()) -> DataF
     return once.select(t.folded(F.col("term")).alias("term_key"), "term", "explanation", "parent", "source", rank.cast("int").alias("src_rank"), "load_pos")
 
 
+#: Terms of one automaton.
+INDEX_TERMS = 100_000
+
+
+def term_index(terms: DataFrame, key: str = "term_key", label: str = "term") -> markup.TermIndex:
+    """The automata over terms (folded term, display form or anchor), in files of the shared folder. Each is built by a task of its own
+    out of about INDEX_TERMS terms, so no task and no driver holds a glossary of any size; a worker that links texts holds the
+    automata, which it reads once. Blank terms are left out; of a term with several labels the first one by code point counts."""
+    once = terms.filter(t.stripped(F.col(key)) != "").groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"))
+    folder = store.shared_folder(terms.sparkSession, "terms")
+    buckets = max(1, -(-once.count() // INDEX_TERMS))
+
+    def build(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        store.put_object(folder, f"automaton-{group[0]:06d}", markup.term_automaton(zip(rows["key"], rows["label"], strict=True)))
+        return pd.DataFrame({"bucket": [group[0]], "terms": [len(rows)]})
+
+    built = once.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInPandas(build, "bucket int, terms long")
+    built.agg(F.sum("terms")).collect()
+    return markup.TermIndex(folder)
+
+
 DEFINITION = ("src_rank", "source", "load_pos", "term", "explanation", "parent")
 
 

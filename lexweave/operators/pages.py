@@ -52,7 +52,7 @@ def rendered_units(report: DataFrame, stated: DataFrame, blocks: DataFrame | Non
     return anchors.source_attributes(units.withColumn("page", F.lit(0)), marks, ("page",)).select("doc", "origin", "section_rank", "pos", "attributes")
 
 
-def report_part(report: DataFrame, units: DataFrame, labels: dict[str, str], entries: dict[str, str]) -> DataFrame:
+def report_part(report: DataFrame, units: DataFrame, labels: markup.Labels, entries: markup.Labels) -> DataFrame:
     """doc, part, html: the sections of each report, all of them, empty ones with a notice; first-level statements are headings."""
     held = report.join(units.filter("origin = 0").drop("origin"), ["doc", "section_rank", "pos"], "left")
     linked = markup.anchored(markup.linked_terms(F.col("line"), labels), entries)
@@ -66,7 +66,7 @@ def report_part(report: DataFrame, units: DataFrame, labels: dict[str, str], ent
     return _joined(sections, ["doc"], ["section_rank"]).select(F.col("doc").cast("string").alias("doc"), F.lit(0).alias("part"), "html")
 
 
-def summaries_part(blocks: DataFrame, units: DataFrame, labels: dict[str, str], entries: dict[str, str]) -> DataFrame:
+def summaries_part(blocks: DataFrame, units: DataFrame, labels: markup.Labels, entries: markup.Labels) -> DataFrame:
     """doc, part, html: the executive summaries, block by block."""
     held = blocks.join(units.filter("origin = 1").select("doc", "pos", "attributes"), ["doc", "pos"], "left")
     linked = markup.anchored(markup.linked_terms_html(markup.markdown_html(F.col("block")), labels), entries)

@@ -289,13 +289,13 @@ def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third matcher: terms linked in texts, longest first."""
-    labels = {r["term_key"]: r["term"] for r in glossary.grouped(demo_glossary(spark)).select("term_key", "term").toLocalIterator()}
+    labels = glossary.term_index(glossary.grouped(demo_glossary(spark)))
     return _table(spark, sf_dir, "benchmark").select("item_id", markup.linked_terms(F.col("text"), labels).alias("html"), F.array_join(markup.terms_in(F.col("text"), labels), ",").alias("terms"))
 
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms linked in the text of pages, outside their links."""
-    labels = {r["term_key"]: r["term"] for r in glossary.grouped(demo_glossary(spark)).select("term_key", "term").toLocalIterator()}
+    labels = glossary.term_index(glossary.grouped(demo_glossary(spark)))
     return _table(spark, sf_dir, "pages").select("page_id", markup.linked_terms_html(F.col("html"), labels).alias("html"))
 
 
@@ -303,13 +303,23 @@ def markdown_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select("item_id", markup.markdown_html(F.col("text")).alias("html"), markup.markdown_plain(F.col("text")).alias("plain"))
 
 
+def marked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations under all kinds of marks as HTML and as plain text."""
+    body = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "), " +", " "))
+    marked_ = F.concat(
+        F.lit("## "), "role", F.lit(" ##\n\n> ***"), body, F.lit("*** and [the *"), body, F.lit("*](/u \"t\")\n> lazy  \nend\n\n7. `"), body, F.lit("`\n8. - ![x **y**](</i>)\n   - __"), body,
+        F.lit("__ & <b>\n\n      *code*\n\n"), body, F.lit("\n===\n\n```py\n"), body, F.lit(" *x*\n```\nsnake_case_x [r] *open\n\n[r]: <a b> 'q'\n"),
+    )
+    rows = _talk(spark, sf_dir).filter(body != "").select("conv_id", "turn", marked_.alias("marked"))
+    return rows.select("conv_id", "turn", F.md5(markup.markdown_html(F.col("marked"))).alias("html_md5"), F.md5(markup.markdown_plain(F.col("marked"))).alias("plain_md5"))
+
+
 def html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report part of the exported page, of each report."""
     report = documents.report_lines(marked(spark, sf_dir))
     stated = documents.statements(report)
     marks = anchors.statement_anchors(anchors.statement_units(stated).withColumn("page", F.lit(0)), ("page",))
-    labels = {r["term_key"]: r["term"] for r in glossary.grouped(demo_glossary(spark)).select("term_key", "term").toLocalIterator()}
-    entries = {r["term_key"]: r["anchor"] for r in term_anchors(spark, sf_dir).toLocalIterator()}
+    labels, entries = glossary.term_index(glossary.grouped(demo_glossary(spark))), glossary.term_index(anchors.term_anchors(demo_glossary(spark).select("term_key").distinct()), label="anchor")
     told = pages.report_part(report, pages.rendered_units(report, stated, None, marks), labels, entries)
     return told.select(F.col("doc").cast("long").alias("doc"), F.md5("html").alias("html_md5"))
 
@@ -544,4 +554,4 @@ def sent_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.delivered(both.select("conv_id", "turn", "as_number", "as_text"), post, ("as_number", "as_text")).select("conv_id", "turn", "status", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, html_reports, document_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, marked_turns, html_reports, document_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}

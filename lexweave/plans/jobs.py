@@ -249,14 +249,13 @@ def generate_summaries(corpus: Corpus, artifact: str, template: str, placeholder
 
 def export_html(corpus: Corpus, target: str, stored: DataFrame | None = None, title: str = "Report and glossary") -> None:
     """One page with the reports, the executive summaries and the glossary, linked with each other. stored: term_key, summary of
-    the terms that have one. Labels and anchors are those of a glossary's terms, a dictionary by nature."""
+    the terms that have one."""
     spark = corpus.spark
     stored = spark.createDataFrame([], "term_key string, summary string") if stored is None else stored
     units = anchors.statement_units(corpus.stated, corpus.items).withColumn("page", F.lit(0))
     marks = anchors.statement_anchors(units, ("page",)).persist()
     entries = anchors.term_anchors(corpus.terms.select("term_key")).persist()
-    labels = {r["term_key"]: r["term"] for r in corpus.terms.select("term_key", "term").toLocalIterator()}
-    links = {r["term_key"]: r["anchor"] for r in entries.toLocalIterator()}
+    labels, links = glossary.term_index(corpus.terms), glossary.term_index(entries, label="anchor")
     blocks = None if corpus.summaries is None else pages.summary_blocks(corpus.summaries)
     rendered = pages.rendered_units(corpus.report, corpus.stated, blocks, marks)
     evidence = pages.evidence_tables(matching.occurrences(corpus.sentences, corpus.terms.select("term_key", "term")), marks)

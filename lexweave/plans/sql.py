@@ -190,6 +190,20 @@ FREE = f"""(NOT {glued("CASE WHEN g[i] <> '' THEN right(g[i], 1) WHEN i > 1 THEN
 LINKED = f"""{escape('g[1]')} || array_to_string(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN {FREE} THEN '<a href="#" data-term="' || labels[lower(m[i])] || '">' || {escape('m[i]')} || '</a>' ELSE {escape('m[i]')} END || {escape('g[i + 1]')}), '')"""
 ANCHORED_TERMS = LINKED.replace("""'<a href="#" data-term="' || labels[lower(m[i])] || '">'""", """'<a class="glossary-link" href="#term-' || replace(lower(m[i]), ' ', '-') || '">'""")
 LABELS = "labels AS (SELECT map(list(term_key), list(term)) AS labels FROM terms)"
+MARKED_TURNS = """
+WITH t AS (
+  SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'), ' +', ' ', 'g')) AS b FROM conversations
+)
+SELECT conv_id, turn, md5(concat(
+  '<h2>', role, '</h2>', chr(10), '<blockquote>', chr(10), '<p><em><strong>', b, '</strong></em> and <a href="/u" title="t">the <em>', b, '</em></a>', chr(10),
+  'lazy<br />', chr(10), 'end</p>', chr(10), '</blockquote>', chr(10), '<ol start="7">', chr(10), '<li><code>', b, '</code></li>', chr(10),
+  '<li>', chr(10), '<ul>', chr(10), '<li>', chr(10), '<p><img src="/i" alt="x y" /></p>', chr(10), '</li>', chr(10), '<li>', chr(10),
+  '<p><strong>', b, '</strong> &amp; &lt;b&gt;</p>', chr(10), '<p><em>code</em></p>', chr(10), '</li>', chr(10), '</ul>', chr(10), '</li>', chr(10), '</ol>', chr(10),
+  '<h1>', b, '</h1>', chr(10), '<pre><code class="language-py">', b, ' *x*', chr(10), '</code></pre>', chr(10),
+  '<p>snake_case_x <a href="a%20b" title="q">r</a> *open</p>', chr(10))) AS html_md5,
+  md5(concat(role, ' ', b, ' and the ', b, ' lazy end ', b, ' ', b, ' & <b> code ', b, ' ', b, ' *x* snake_case_x r *open')) AS plain_md5
+FROM t WHERE b <> ''
+"""
 UNESCAPED = "replace(replace(replace(replace(x, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
 # the furniture of pages and the blanks that end a line, as the cleaning sees them
 FURNITURE = r"^\d{1,3}$|(?i)do\s+not\s+cite,\s*quote\s+or\s+distribute|(?i)total\s+pages\s*:\s*\d+"
@@ -231,7 +245,8 @@ ORACLE_SQL = {
       every AS (SELECT doc, unnest({SECTION_LIST}) AS section, unnest(range(1, 7)) AS section_rank FROM (SELECT DISTINCT doc FROM report)),
       parts AS (SELECT e.doc, e.section_rank, '<section id="report-' || e.doc || '-' || replace(lower(section), ' ', '-') || '">' || chr(10) || '<h3>' || section || '</h3>' || chr(10) || coalesce(html, '<p>No content parsed for this section.</p>') || chr(10) || '</section>' AS html FROM every AS e LEFT JOIN lines AS l ON l.doc = e.doc AND l.section_rank = e.section_rank)
       SELECT doc, md5(string_agg(html, chr(10) ORDER BY section_rank)) AS html_md5 FROM parts GROUP BY doc""",
-    "markdown_items": f"SELECT item_id, '<p>' || replace({ESCAPED}, chr(10), chr(10)) || '</p>' || chr(10) AS html, {collapse('text')} AS plain FROM benchmark",
+    "marked_turns": MARKED_TURNS,
+    "markdown_items": f"SELECT item_id, '<p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>' || chr(10) AS html, {collapse('text')} AS plain FROM benchmark",
     "document_files": """WITH l AS (SELECT conv_id AS doc, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS pos, turn, role, text FROM conversations)
       SELECT doc, pos, ['Heading 2', '0th Level Chapter Heading', 'X 1st level heading', '2nd level heading ', '3rd level heading', '4th level heading', 'Normal', 'heading  12', 'My 3rd level', 'heading 0', '2nd level Heading 3'][turn % 11 + 1] AS style, CASE WHEN turn % 2 = 1 THEN turn * 1.5::DOUBLE END AS left_indent_pt, 2::BIGINT AS runs, CASE turn % 3 WHEN 1 THEN true WHEN 2 THEN false END AS bold, role || ' & <' || left(text, 20) || '>' AS text FROM l""",
     "workbook_files": f"WITH n AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::BIGINT AS pos FROM part) SELECT p_brand AS brand, pos, {collapse('p_name')} AS term, {collapse('p_type')} AS explanation, '' AS parent FROM n WHERE p_partkey % 7 <> 0",

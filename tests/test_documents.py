@@ -283,8 +283,8 @@ def test_markdown():
         ("1. x\n   - y\n\nz", "<ol>\n<li>x\n<ul>\n<li>y</li>\n</ul>\n</li>\n</ol>\n<p>z</p>\n"),
         ("- a\nlazy\n\n  second", "<ul>\n<li>\n<p>a\nlazy</p>\n<p>second</p>\n</li>\n</ul>\n"),
         ("- a\n* b", "<ul>\n<li>a</li>\n</ul>\n<ul>\n<li>b</li>\n</ul>\n"),
-        ("see [the text][K] and [k]\n\n[k]: /url 'title'", '<p>see <a href="/url">the text</a> and <a href="/url">k</a></p>\n'),
-        ("[none] and [x](y \"t\")", '<p>[none] and <a href="y">x</a></p>\n'),
+        ("see [the text][K] and [k]\n\n[k]: /url 'title'", '<p>see <a href="/url" title="title">the text</a> and <a href="/url" title="title">k</a></p>\n'),
+        ("[none] and [x](y \"t\")", '<p>[none] and <a href="y" title="t">x</a></p>\n'),
         ("    code <x>\n\n    more", "<pre><code>code &lt;x&gt;\n\nmore\n</code></pre>\n"),
         ("text\n    goes on", "<p>text\ngoes on</p>\n"),
         ("> - a\n> - b", "<blockquote>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n</blockquote>\n"),
@@ -301,7 +301,7 @@ def test_linker():
     assert linker.terms("risk, CLIMATE RISK, risk") == ["risk", "climate risk"]
     page = linker.link_page('<p>risk <a href="x">risk</a></p>')
     assert page == '<p><a href="#" data-term="Risk">risk</a> <a href="x">risk</a></p>'
-    assert markup.anchored_terms(page, {"risk": "term-risk"}) == '<p><a class="glossary-link" href="#term-risk">risk</a> <a href="x">risk</a></p>'
+    assert markup.anchored_terms(page, {"risk": "term-risk"}.get) == '<p><a class="glossary-link" href="#term-risk">risk</a> <a href="x">risk</a></p>'
     assert markup.link_statements("<p>A1.1 and A1.10, A1.1.</p><code>A1.1</code>", {"a1.1": "s1", "a1.10": "s2"}, markup.BY_ANCHOR) == '<p><a class="statement-link" href="#s1">A1.1</a> and <a class="statement-link" href="#s2">A1.10</a>, A1.1.</p><code>A1.1</code>'
     assert markup.link_statements("x", {}, markup.BY_INDEX) == "x" and markup.TermLinker({}).link("<") == "&lt;"
 
