@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as t
+from lexweave.operators.ordinals import numbered
 
 
 def statement_units(stated: DataFrame, items: DataFrame | None = None) -> DataFrame:
@@ -18,10 +19,12 @@ def statement_units(stated: DataFrame, items: DataFrame | None = None) -> DataFr
 
 
 def statement_anchors(units: DataFrame, per: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """number_key, text_key, anchor: source-statement-N in the order of first appearance, numbered within each of per."""
+    """number_key, text_key, anchor: source-statement-N in the order of first appearance, numbered within each of per, or over
+    the whole corpus."""
     keyed = units.withColumn("k", t.statement_key(F.col("statement"), F.col("statement_text")))
     first = keyed.groupBy(*per, "k").agg(F.min(F.struct("origin", "section_rank", "pos")).alias("at"))
-    return first.select(*per, "k.number_key", "k.text_key", F.concat(F.lit("source-statement-"), F.row_number().over(Window.partitionBy(*per).orderBy("at"))).alias("anchor"))
+    placed = numbered(first, [F.col("at"), F.col("k")], per)
+    return placed.select(*per, "k.number_key", "k.text_key", F.concat(F.lit("source-statement-"), "place").alias("anchor"))
 
 
 def source_attributes(units: DataFrame, anchors: DataFrame, per: tuple[str, ...] = ("doc",)) -> DataFrame:

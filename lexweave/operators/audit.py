@@ -20,11 +20,14 @@ def rich_text(c: Column) -> Column:
     return F.transform(t.text_chunks(c), lambda x: F.struct(F.struct(x.alias("content")).alias("text")))
 
 
-def schema_problems(properties: DataFrame) -> DataFrame:
-    """The required properties that properties (name, kind) lacks or has of another kind: property, wanted, found."""
-    own = properties.select(t.property_name(F.col("name")).alias("property"), F.col("kind").alias("found"))
-    wanted = properties.sparkSession.createDataFrame([*REQUIRED.items(), (FLAG, "|".join(FLAG_KINDS))], "property string, wanted string")
-    return wanted.join(own, "property", "left").filter(F.col("found").isNull() | ~F.array_contains(F.split("wanted", r"\|"), F.col("found")))
+def schema_problems(properties: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """The required properties that properties (name, kind) lacks or has of another kind: property, wanted, found; for each of per,
+    if many tables are looked at."""
+    own = properties.select(*per, t.property_name(F.col("name")).alias("property"), F.col("kind").alias("found"))
+    required = F.array(*[F.struct(F.lit(p).alias("property"), F.lit(w).alias("wanted")) for p, w in (*REQUIRED.items(), (FLAG, "|".join(FLAG_KINDS)))])
+    tables = properties.select(*per).distinct() if per else properties.sparkSession.range(1).select()
+    wanted = tables.select(*per, F.inline(required))
+    return wanted.join(own, [*per, "property"], "left").filter(F.col("found").isNull() | ~F.array_contains(F.split("wanted", r"\|"), F.col("found")))
 
 
 def login_records(events: DataFrame, flag_kind: str = "rich_text", names: dict[str, str] | None = None) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import markup
 from lexweave.functions import text as t
+from lexweave.operators.ordinals import numbered
 from lexweave.sources import store
 
 
@@ -84,8 +85,8 @@ def overview(terms: DataFrame, usage: DataFrame, summaries: DataFrame, search: s
         rows = rows.filter("issue")
     if wanted:
         rows = rows.filter(F.instr("term_key", wanted) > 0)
-    # one row for each term of a glossary, so one ordered window over all of them is small
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(t.folded(F.col("term")), "term_key"))).select("place", "term_key", "term", "n", "sources", "issue")
+    placed = numbered(rows, [t.folded(F.col("term")), F.col("term_key")]).withColumn("place", F.col("place").cast("int"))
+    return placed.select("place", "term_key", "term", "n", "sources", "issue")
 
 
 def used_share(usage: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as t
 from lexweave.operators import matching
 from lexweave.operators.documents import CORPUS_ORDER
+from lexweave.operators.ordinals import numbered
 
 
 def nodes(terms: DataFrame, usage: DataFrame) -> DataFrame:
@@ -77,9 +78,8 @@ def sankey_nodes(links: DataFrame, prefix: str = "") -> DataFrame:
     own = links.filter(F.col("statement").startswith(prefix))
     left = own.select(F.col("statement").alias("label")).distinct().select(F.lit(0).alias("side"), "label", F.substring("label", 1, 1).alias("letter"), numbers(F.expr("substring(label, 2)")).alias("parts"))
     right = own.select(F.col("reference").alias("label")).distinct().select(F.lit(1).alias("side"), "label", F.lit("").alias("letter"), numbers(F.col("label")).alias("parts"))
-    # a diagram's nodes, so one ordered window is small
-    order = Window.orderBy("side", "letter", "parts", "label")
-    return left.unionByName(right).select((F.row_number().over(order) - 1).cast("long").alias("node_index"), "label", "side", F.when(F.col("side") == 0, 0.02).otherwise(0.98).alias("x"))
+    order = [F.col(c) for c in ("side", "letter", "parts", "label")]
+    return numbered(left.unionByName(right), order).select((F.col("place") - 1).alias("node_index"), "label", "side", F.when(F.col("side") == 0, 0.02).otherwise(0.98).alias("x"))
 
 
 def sankey_links(links: DataFrame, prefix: str = "") -> DataFrame:

@@ -49,7 +49,7 @@ def rendered_units(report: DataFrame, stated: DataFrame, blocks: DataFrame | Non
     if blocks is not None:
         told = blocks.filter("statement IS NOT NULL")
         units = units.unionByName(told.select("doc", F.lit(1).alias("origin"), F.lit(0).alias("section_rank"), "pos", "statement", "statement_text"))
-    return anchors.source_attributes(units.withColumn("page", F.lit(0)), marks, ("page",)).select("doc", "origin", "section_rank", "pos", "attributes")
+    return anchors.source_attributes(units, marks, ()).select("doc", "origin", "section_rank", "pos", "attributes")
 
 
 def report_part(report: DataFrame, units: DataFrame, labels: markup.Labels, entries: markup.Labels) -> DataFrame:
@@ -78,7 +78,7 @@ def summaries_part(blocks: DataFrame, units: DataFrame, labels: markup.Labels, e
 
 def evidence_tables(occurrences: DataFrame, marks: DataFrame) -> DataFrame:
     """term_key, n, html and targets (statement number to anchor, the last one counting) of each term's evidence."""
-    linked = anchors.linked_statement(occurrences.withColumn("page", F.lit(0)), marks, ("page",))
+    linked = anchors.linked_statement(occurrences, marks, ())
     keyed = linked.withColumn("target", F.nullif(F.regexp_extract("label", 'href="#([^"]*)"', 1), F.lit("")))
     row = F.concat(F.lit("<tr><td>"), "label", F.lit("</td><td>"), t.highlighted_by(F.col("sentence"), F.col("term")), F.lit("</td></tr>"))
     tables = _joined(keyed.withColumn("html", row), ["term_key"], list(CORPUS_ORDER))

@@ -1,7 +1,7 @@
 """The operators over the driver's tables: one query for each, and the same in DuckDB SQL where SQL can say it.
 
 The tables hold no reports, so one is made of conversations: turns become titles, headings, numbered findings with citations,
-captions and plain lines by a fixed rule, and forty conversations in turn share a document. Both engines apply the same rule.
+captions and plain lines by a fixed rule, and forty conversations in a row make a document. Both engines apply the same rule.
 """
 
 from __future__ import annotations
@@ -52,6 +52,20 @@ def demo_glossary(spark: SparkSession) -> DataFrame:
     return glossary.union_glossaries(rows.filter("pos < 8"), rows.filter("pos >= 8"), sources=ORDER)
 
 
+#: The sources of the glossary made of parts that are known.
+BRANDS = ("Brand#1", "Brand#2")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary out of all parts: names with sizes, some in capitals, explanations that refer elsewhere in several ways, brands as
+    sources."""
+    k = F.col("p_partkey")
+    term = F.concat_ws(" ", F.when(k % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")), "p_size")
+    said = F.element_at(F.array(F.concat(F.lit("See "), "p_type", F.lit(".")), F.concat(F.lit("See also "), "p_type"), F.concat(F.lit("See x (under "), "p_brand", F.lit(").")), F.concat(F.lit("see "), "p_name", F.lit(" (under a (b)).")), F.concat(F.lit("means "), "p_type"), F.concat_ws(" ", "p_type", k)), (k % 6 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "part").select(k.alias("pos"), term.alias("term"), said.alias("explanation"), F.when(k % 4 == 0, "").otherwise(F.col("p_type")).alias("parent"), F.col("p_brand").alias("source"))
+    return glossary.union_glossaries(rows, sources=BRANDS)
+
+
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, pos, line of the report made of conversations."""
     talk = _table(spark, sf_dir, "conversations")
@@ -69,7 +83,7 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 8, F.concat(F.lit("["), F.lit("ES"), F.pmod("conv_id", F.lit(5)) + 1, F.lit("."), F.col("turn") + 1, F.lit("."), F.pmod("conv_id", F.lit(9)) + 1, F.lit("] "), body))
         .otherwise(F.concat(body, F.lit(" (high confidence)")))
     )
-    return talk.select(F.pmod("conv_id", F.lit(40)).alias("doc"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), line.alias("line"))
+    return talk.select(F.expr("conv_id div 40").alias("doc"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), line.alias("line"))
 
 
 def marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,12 +159,12 @@ def first_assistant_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glossary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demo_glossary(spark).select("term_key", "term", "explanation", "parent", "source", "src_rank")
+    return parts(spark, sf_dir).select("term_key", "term", "explanation", "parent", "source", "src_rank")
 
 
 def glossary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = glossary.grouped(demo_glossary(spark))
-    return g.select("term_key", "term", glossary.source_label(F.col("definitions"), ORDER).alias("sources"), glossary.parent_label(F.col("definitions")).alias("parents"), glossary.definition_of(F.col("definitions"), "first").alias("first"))
+    g = glossary.grouped(parts(spark, sf_dir))
+    return g.select("term_key", "term", glossary.source_label(F.col("definitions"), BRANDS).alias("sources"), glossary.parent_label(F.col("definitions")).alias("parents"), glossary.definition_of(F.col("definitions"), "Brand#1").alias("first"))
 
 
 def part_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +175,7 @@ def part_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explanation_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demo_glossary(spark).select("term_key", "source", t.parent_of(F.col("explanation")).alias("found"))
+    return parts(spark, sf_dir).select("term_key", "source", t.parent_of(F.col("explanation")).alias("found"))
 
 
 def occurrence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +257,7 @@ def statement_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anchors.term_anchors(demo_glossary(spark).select("term_key").distinct())
+    return anchors.term_anchors(parts(spark, sf_dir).select("term_key").distinct())
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +332,7 @@ def html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report part of the exported page, of each report."""
     report = documents.report_lines(marked(spark, sf_dir))
     stated = documents.statements(report)
-    marks = anchors.statement_anchors(anchors.statement_units(stated).withColumn("page", F.lit(0)), ("page",))
+    marks = anchors.statement_anchors(anchors.statement_units(stated), ())
     labels, entries = glossary.term_index(glossary.grouped(demo_glossary(spark))), glossary.term_index(anchors.term_anchors(demo_glossary(spark).select("term_key").distinct()), label="anchor")
     told = pages.report_part(report, pages.rendered_units(report, stated, None, marks), labels, entries)
     return told.select(F.col("doc").cast("long").alias("doc"), F.md5("html").alias("html_md5"))
@@ -331,7 +345,7 @@ def _talk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(term, F.concat_ws(" ", "role", F.pmod("conv_id", F.lit(7)))).when(F.pmod("turn", F.lit(7)) == 3, F.concat(F.lit("See "), "role")).otherwise(F.col("text"))
     runs = F.array(F.struct(text.alias("text"), term.alias("bold"), F.lit(None).cast("boolean").alias("italic")))
     style = F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.pmod(F.col("conv_id") + F.col("turn") * 2, F.lit(len(STYLES))) + 1).cast("int"))
-    return talk.select(F.pmod("conv_id", F.lit(40)).alias("doc"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), style.alias("style"), F.when(F.pmod("turn", F.lit(4)) == 2, 10.0).alias("left_indent_pt"), runs.alias("runs"))
+    return talk.select(F.expr("conv_id div 40").alias("doc"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), style.alias("style"), F.when(F.pmod("turn", F.lit(4)) == 2, 10.0).alias("left_indent_pt"), runs.alias("runs"))
 
 
 def bold_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,8 +426,12 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = spark.createDataFrame([("NAME", "title"), ("Date", "rich_text"), ("IP  address", "rich_text")], "name string, kind string")
-    return audit.schema_problems(kinds)
+    """The audit tables of users, whose properties are told by their events."""
+    n = F.col("event_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("NAME", "Date", "IP  address", "wrong pwd", "other")]), (n % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("title", "date", "rich_text", "checkbox")]), (n % 4 + 1).cast("int"))
+    told = _table(spark, sf_dir, "events").filter(F.col("event_type") != "error").select("user_id", name.alias("name"), kind.alias("kind")).distinct()
+    return audit.schema_problems(told, ("user_id",))
 
 
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,7 +443,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [writers.docx_bytes([(p["style"], p["indent"], [(p["role"], p["bold"], None), (" & <" + p["text"][:20] + ">", None, False)]) for p in rows]) for rows in batch["rows"]]
+            made = [writers.docx_bytes([(p["style"], p["indent"], [(p["role"], p["bold"], None), (" & <" + p["text"] + ">", None, False)]) for p in rows]) for rows in batch["rows"]]
             yield pd.DataFrame({"path": [str(d) for d in batch["doc"]], "content": made})
 
     rows = F.struct("turn", "role", "text", F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.pmod("turn", F.lit(len(STYLES))) + 1).cast("int")).alias("style"), F.when(F.pmod("turn", F.lit(2)) == 1, F.col("turn") * 1.5).alias("indent"), F.when(F.pmod("turn", F.lit(3)) == 0, F.lit(None).cast("boolean")).otherwise(F.pmod("turn", F.lit(3)) == 1).alias("bold"))
@@ -468,7 +486,7 @@ def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artifact_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summaries and failures of an artifact's text, and which summaries are of use: some blank, some keys folding alike."""
-    ids = _table(spark, sf_dir, "documents").filter("doc_id < 200").select(F.concat_ws(" ", F.when(F.col("doc_id") % 2 == 0, "Term").otherwise("term"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("term_key"), "doc_id")
+    ids = _table(spark, sf_dir, "documents").select(F.concat_ws(" ", F.when(F.col("doc_id") % 2 == 0, "Term").otherwise("term"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("term_key"), "doc_id")
     done = ids.select("term_key", F.col("term_key").alias("term"), F.col("doc_id").alias("occurrence_count"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit("said é "), "doc_id")).alias("summary"), F.lit("m").alias("summary_source"), F.lit("now").alias("generated_at"))
     lost = ids.filter("doc_id % 3 = 0").select("term_key", F.col("term_key").alias("term"), F.lit("error").alias("error"), F.lit("now").alias("updated_at"))
     text = writers.artifact_json(done, lost, "m", "then", "now")
@@ -518,8 +536,8 @@ def report_without_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five terms, and those that were asked for by name."""
-    terms = glossary.grouped(demo_glossary(spark)).select("term_key", "term")
-    return summaries.selected(terms, limit=5).withColumn("of", F.lit("first")).unionByName(summaries.selected(terms, ("THE", "License", "nothing")).withColumn("of", F.lit("asked")))
+    terms = glossary.grouped(parts(spark, sf_dir)).select("term_key", "term")
+    return summaries.selected(terms, limit=5).withColumn("of", F.lit("first")).unionByName(summaries.selected(terms, ("SMALL Ring 11", "red widget 28", "nothing")).withColumn("of", F.lit("asked")))
 
 
 def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

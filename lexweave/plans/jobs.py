@@ -5,7 +5,6 @@ Each names its inputs and outputs by paths that Spark can read, and stops with a
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as t
 from lexweave.operators import anchors, documents, glossary, matching, network, pages, summaries
-from lexweave.sources import readers, writers
+from lexweave.sources import readers, store, writers
 
 
 #: The columns that a corpus needs of its workbooks, and those it can do without.
@@ -230,9 +229,7 @@ def generate_summaries(corpus: Corpus, artifact: str, template: str, placeholder
     routed = summaries.routes(summaries.selected(corpus.terms, only, limit), counts, old, overwrite).persist()
     asked = routed.filter("route = 'model'").select("term_key", "term", "n")
     prompts = summaries.prompts(corpus.terms.join(asked.select("term_key"), "term_key", "left_semi"), found, template, placeholders)
-    folder = f"{artifact}.answers"
-    if "://" not in folder:
-        folder = f"file://{os.path.abspath(folder)}"
+    folder = store.qualified(spark, f"{artifact}.answers")
     answers = summaries.run_model(asked.join(prompts, "term_key"), ask, model, stamp, folder, pause).persist()
     source = F.when(F.col("route") == "notice", summaries.NOTICE_SOURCE).otherwise(summaries.LOCAL_SOURCE)
     notices = routed.filter("route IN ('notice', 'local')").select("term_key", "term", F.col("n").alias("occurrence_count"), "summary", source.alias("summary_source"), F.lit(stamp).alias("generated_at"))
@@ -252,8 +249,8 @@ def export_html(corpus: Corpus, target: str, stored: DataFrame | None = None, ti
     the terms that have one."""
     spark = corpus.spark
     stored = spark.createDataFrame([], "term_key string, summary string") if stored is None else stored
-    units = anchors.statement_units(corpus.stated, corpus.items).withColumn("page", F.lit(0))
-    marks = anchors.statement_anchors(units, ("page",)).persist()
+    units = anchors.statement_units(corpus.stated, corpus.items)
+    marks = anchors.statement_anchors(units, ()).persist()
     entries = anchors.term_anchors(corpus.terms.select("term_key")).persist()
     labels, links = glossary.term_index(corpus.terms), glossary.term_index(entries, label="anchor")
     blocks = None if corpus.summaries is None else pages.summary_blocks(corpus.summaries)

@@ -46,6 +46,17 @@ gloss AS (
   FROM gloss_raw WHERE term <> '' AND explanation <> '' AND source <> '' GROUP BY ALL
 ),
 terms AS (SELECT term_key, arg_min(term, (src_rank, source, load_pos)) AS term FROM gloss GROUP BY term_key)"""
+PARTS = f"""
+part_raw AS (
+  SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END || ' ' || p_size AS term,
+         ['See ' || p_type || '.', 'See also ' || p_type, 'See x (under ' || p_brand || ').', 'see ' || p_name || ' (under a (b)).', 'means ' || p_type, p_type || ' ' || p_partkey][p_partkey % 6 + 1] AS explanation,
+         CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS parent, p_brand AS source FROM part
+),
+gloss AS (
+  SELECT {fold('term')} AS term_key, term, explanation, parent, source, CASE source WHEN 'Brand#1' THEN 0 WHEN 'Brand#2' THEN 1 ELSE 2 END AS src_rank, min(pos) AS load_pos
+  FROM part_raw GROUP BY ALL
+),
+terms AS (SELECT term_key, arg_min(term, (src_rank, source, load_pos)) AS term FROM gloss GROUP BY term_key)"""
 KEYS = sorted({g[0].lower() for g in GLOSSARY if g[0]})
 
 DOC_SENTENCES = f"""
@@ -56,7 +67,7 @@ doc_sentences AS (SELECT doc, pos, sp, {strip('raw')} AS sentence FROM doc_cut W
 MARKED = """
 kinds AS (SELECT *, ((conv_id * 7 + turn * 3) % 11)::INTEGER AS kind, replace(text, chr(10), ' ') AS body, substr('ABCD', (conv_id % 4 + 1)::INTEGER, 1) AS letter FROM conversations),
 marked AS (
-  SELECT conv_id % 40 AS doc, conv_id * 1000 + turn AS pos, CASE
+  SELECT conv_id // 40 AS doc, conv_id * 1000 + turn AS pos, CASE
     WHEN kind = 0 THEN '# Talk ' || conv_id
     WHEN kind = 1 THEN '## Section ' || substr('ABCDQ', (conv_id % 5 + 1)::INTEGER, 1) || ': talk'
     WHEN kind = 2 THEN letter || (turn % 9 + 1) || '  ' || body
@@ -146,6 +157,8 @@ edges AS (
 ),
 kept_edges AS (SELECT e.* FROM edges AS e WHERE weight BETWEEN 2 AND 100000 AND source IN (SELECT id FROM nodes WHERE count BETWEEN 2 AND 100000) AND target IN (SELECT id FROM nodes WHERE count BETWEEN 2 AND 100000))"""
 DEFS = "list({} ORDER BY src_rank, source, load_pos, term, explanation, parent)"
+#: Each value at its first place.
+ONCE = f"list_transform(list_filter(list_zip({DEFS}, range(len({DEFS}))), lambda z: list_position({DEFS}, z[1]) = z[2] + 1), lambda z: z[1])".replace("{}", "{0}")
 SOURCES = "CASE WHEN bool_or(source = 'first') AND bool_or(source = 'second') THEN 'first + second' WHEN bool_or(source = 'first') THEN 'first' WHEN bool_or(source = 'second') THEN 'second' ELSE '' END"
 
 
@@ -163,7 +176,7 @@ ESCAPED = """replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '
 
 PARAGRAPHS = f"""
 paragraphs AS (
-  SELECT conv_id % 40 AS doc, conv_id * 1000 + turn AS pos, turn % 2 = 0 AS is_term, turn % 4 = 2 AS is_sub,
+  SELECT conv_id // 40 AS doc, conv_id * 1000 + turn AS pos, turn % 2 = 0 AS is_term, turn % 4 = 2 AS is_sub,
     {collapse("CASE WHEN turn % 2 = 0 THEN role || ' ' || (conv_id % 7) WHEN turn % 7 = 3 THEN 'See ' || role ELSE text END")} AS text,
     ((conv_id + turn * 2) % 11)::INTEGER AS style
   FROM conversations
@@ -248,11 +261,11 @@ ORACLE_SQL = {
     "marked_turns": MARKED_TURNS,
     "markdown_items": f"SELECT item_id, '<p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>' || chr(10) AS html, {collapse('text')} AS plain FROM benchmark",
     "document_files": """WITH l AS (SELECT conv_id AS doc, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS pos, turn, role, text FROM conversations)
-      SELECT doc, pos, ['Heading 2', '0th Level Chapter Heading', 'X 1st level heading', '2nd level heading ', '3rd level heading', '4th level heading', 'Normal', 'heading  12', 'My 3rd level', 'heading 0', '2nd level Heading 3'][turn % 11 + 1] AS style, CASE WHEN turn % 2 = 1 THEN turn * 1.5::DOUBLE END AS left_indent_pt, 2::BIGINT AS runs, CASE turn % 3 WHEN 1 THEN true WHEN 2 THEN false END AS bold, role || ' & <' || left(text, 20) || '>' AS text FROM l""",
+      SELECT doc, pos, ['Heading 2', '0th Level Chapter Heading', 'X 1st level heading', '2nd level heading ', '3rd level heading', '4th level heading', 'Normal', 'heading  12', 'My 3rd level', 'heading 0', '2nd level Heading 3'][turn % 11 + 1] AS style, CASE WHEN turn % 2 = 1 THEN turn * 1.5::DOUBLE END AS left_indent_pt, 2::BIGINT AS runs, CASE turn % 3 WHEN 1 THEN true WHEN 2 THEN false END AS bold, role || ' & <' || text || '>' AS text FROM l""",
     "workbook_files": f"WITH n AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::BIGINT AS pos FROM part) SELECT p_brand AS brand, pos, {collapse('p_name')} AS term, {collapse('p_type')} AS explanation, '' AS parent FROM n WHERE p_partkey % 7 <> 0",
     "archive_files": "SELECT conv_id AS archive, turn || '.txt' AS name, sha256(text) AS sha256 FROM conversations",
     "sealed_texts": "SELECT conv_id, turn, (4 * ((57 + 16 * (strlen(text) // 16 + 1) + 2) // 3))::BIGINT AS token_chars, sha256(text) AS sha256 FROM conversations",
-    "artifact_file": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Term ' ELSE 'term ' END || (doc_id - doc_id % 2) AS term_key, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'said é ' || doc_id END AS summary FROM documents WHERE doc_id < 200)
+    "artifact_file": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Term ' ELSE 'term ' END || (doc_id - doc_id % 2) AS term_key, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'said é ' || doc_id END AS summary FROM documents)
       SELECT term_key, 'summary' AS kind, summary AS value FROM d UNION ALL SELECT term_key, 'failure', 'error' FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT lower(term_key), 'usable', arg_max(summary, doc_id) FROM d WHERE summary <> ' ' GROUP BY lower(term_key)""",
     "stamps": """WITH m AS (SELECT event_id, ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 182 DAY ELSE INTERVAL 0 DAY END AS moment, event_id % 2 = 0 AS summer FROM events)
       SELECT event_id, strftime(moment, '%Y-%m-%dT%H:%M:%SZ') AS utc, CASE WHEN summer THEN strftime(moment + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+02:00' ELSE strftime(moment + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+01:00' END AS paris FROM m""",
@@ -262,7 +275,7 @@ ORACLE_SQL = {
       SELECT doc, pos, CASE WHEN third THEN '### ' WHEN kind = 0 THEN '## ' ELSE '' END || x AS line FROM m""",
     "chapters": "SELECT conv_id, turn, conv_id::INTEGER AS chapter FROM conversations",
     "report_without_section": f"WITH {REPORT} SELECT * FROM report WHERE section <> 'Section B'",
-    "first_terms": f"WITH {GLOSS} SELECT * FROM (SELECT term_key, term, 'first' AS of FROM terms ORDER BY {fold('term')}, term_key LIMIT 5) UNION ALL SELECT term_key, term, 'asked' FROM terms WHERE term_key IN ('the', 'license')",
+    "first_terms": f"WITH {PARTS} SELECT * FROM (SELECT term_key, term, 'first' AS of FROM terms ORDER BY {fold('term')}, term_key LIMIT 5) UNION ALL SELECT term_key, term, 'asked' FROM terms WHERE term_key IN ('small ring 11', 'red widget 28')",
     "run_outcomes": "SELECT count(*) FILTER (doc_id % 4 <> 0 AND NOT (doc_id % 4 = 2 AND doc_id % 10 = 0))::BIGINT AS completed, count(*) FILTER (doc_id % 4 = 0)::BIGINT AS skipped, count(*) FILTER (doc_id % 4 = 2 AND doc_id % 10 = 0)::BIGINT AS failed FROM documents",
     "statement_links": """WITH p AS (SELECT conv_id, turn, role, 'B' || turn AS b FROM conversations),
       f AS (SELECT unnest(['<a href=''#'' data-statement=''@'' title=''Open full statement''>', '<a class="statement-link" href="#@">']) AS form, unnest(['by_index', 'by_anchor']) AS name),
@@ -287,11 +300,11 @@ ORACLE_SQL = {
       SELECT doc, pos, kind, section, paragraph, CASE kind WHEN 'title' THEN '# ' || role WHEN 'heading' THEN '## [ES' || chapter || '.' || section || '] ' || role ELSE '[ES' || chapter || '.' || section || '.' || paragraph || '] ' || role END AS line FROM p""",
     "first_assistant_section": """WITH a AS (SELECT conv_id AS doc, turn AS pos, role, min(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS a FROM conversations),
       z AS (SELECT *, min(pos) FILTER (role = 'user' AND pos > a) OVER (PARTITION BY doc) AS z FROM a) SELECT doc, pos, role FROM z WHERE pos >= a AND (z IS NULL OR pos < z)""",
-    "glossary_union": f"WITH {GLOSS} SELECT term_key, term, explanation, parent, source, src_rank FROM gloss",
-    "glossary_labels": f"WITH {GLOSS} SELECT term_key, {DEFS.format('term')}[1] AS term, {SOURCES} AS sources, coalesce(array_to_string(list_filter({DEFS.format('parent')}, lambda p: p <> ''), '; '), '') AS parents, coalesce(nullif(array_to_string(list_filter({DEFS.format("CASE WHEN source = 'first' THEN explanation END")}, lambda e: e IS NOT NULL), chr(10) || chr(10)), ''), 'Definition not available') AS first FROM gloss GROUP BY term_key",
+    "glossary_union": f"WITH {PARTS} SELECT term_key, term, explanation, parent, source, src_rank FROM gloss",
+    "glossary_labels": f"WITH {PARTS} SELECT term_key, {DEFS.format('term')}[1] AS term, {SOURCES.replace('first', 'Brand#1').replace('second', 'Brand#2')} AS sources, coalesce(array_to_string(list_filter({ONCE.format('parent')}, lambda p: p <> ''), '; '), '') AS parents, coalesce(nullif(array_to_string(list_filter({DEFS.format("CASE WHEN source = 'Brand#1' THEN explanation END")}, lambda e: e IS NOT NULL), chr(10) || chr(10)), ''), 'Definition not available') AS first FROM gloss GROUP BY term_key",
     "part_glossary": f"""WITH r AS (SELECT {collapse('p_name')} AS term, p_type AS explanation, p_brand AS source, min(p_partkey) AS pos, CASE p_brand WHEN 'Brand#1' THEN 0 WHEN 'Brand#2' THEN 1 ELSE 2 END AS src_rank FROM part WHERE p_name <> '' AND p_type <> '' AND p_brand <> '' GROUP BY ALL)
       SELECT {fold('term')} AS term_key, arg_min(term, (src_rank, source, pos)) AS term, count(*)::BIGINT AS definitions, CASE WHEN bool_or(src_rank = 0) AND bool_or(src_rank = 1) THEN 'Brand#1 + Brand#2' WHEN bool_or(src_rank = 0) THEN 'Brand#1' WHEN bool_or(src_rank = 1) THEN 'Brand#2' ELSE '' END AS sources FROM r GROUP BY 1""",
-    "explanation_parents": rf"WITH {GLOSS} SELECT term_key, source, CASE WHEN regexp_matches(explanation, '(?i)^See\s+also\b') THEN '' WHEN regexp_matches(explanation, '(?i)^See\s+.+?\s+\(under\s+.*\)\.*$') THEN regexp_extract(explanation, '(?i)^See\s+.+?\s+\(under\s+(.*?)\s*\)\.*$', 1) WHEN regexp_matches(explanation, '(?i)^See\s+.+') THEN trim(regexp_extract(explanation, '(?i)^See\s+(.+?)\.*$', 1)) ELSE '' END AS found FROM gloss",
+    "explanation_parents": rf"WITH {PARTS} SELECT term_key, source, CASE WHEN regexp_matches(explanation, '(?i)^See\s+also\b') THEN '' WHEN regexp_matches(explanation, '(?i)^See\s+.+?\s+\(under\s+.*\)\.*$') THEN regexp_extract(explanation, '(?i)^See\s+.+?\s+\(under\s+(.*?)\s*\)\.*$', 1) WHEN regexp_matches(explanation, '(?i)^See\s+.+') THEN trim(regexp_extract(explanation, '(?i)^See\s+(.+?)\.*$', 1)) ELSE '' END AS found FROM gloss",
     "occurrence_rows": f"WITH {FOLDED} SELECT term_key, statement, sentence, doc, pos, sp, origin FROM hits",
     "marked_usage": f"WITH {FOLDED} SELECT * FROM usage",
     "overview": overview("t.term_key = 'of'", ""),
@@ -307,7 +320,7 @@ ORACLE_SQL = {
     "statement_anchors": f"""WITH {STATED}, units AS (SELECT doc, 0 AS origin, section_rank, pos, statement, statement_text FROM stated UNION ALL SELECT doc, 1, 0, pos, statement, statement_text FROM items),
       keyed AS (SELECT doc, {fold(collapse('statement'))} AS number_key, {fold(collapse('statement_text'))} AS text_key, min((origin, section_rank, pos)) AS place FROM units GROUP BY ALL)
       SELECT doc, number_key, text_key, 'source-statement-' || row_number() OVER (PARTITION BY doc ORDER BY place) AS anchor FROM keyed""",
-    "term_anchors": f"WITH {GLOSS} SELECT term_key, 'term-' || coalesce({chars_at('lower(term_key)')}, 'item') AS anchor FROM (SELECT DISTINCT term_key FROM gloss)",
+    "term_anchors": f"WITH {PARTS} SELECT term_key, 'term-' || coalesce({chars_at('lower(term_key)')}, 'item') AS anchor FROM (SELECT DISTINCT term_key FROM gloss)",
     "routes": f"""WITH {FOLDED} SELECT t.term_key, t.term, u.n, CASE WHEN t.term_key = 'confidence' THEN 'notice' WHEN t.term_key = 'zzz unused' AND n = 0 THEN 'skip' WHEN n <= 1 THEN 'local' WHEN t.term_key = 'of' THEN 'skip' ELSE 'model' END AS route,
       CASE WHEN t.term_key = 'confidence' THEN 'LLM is not applied to the term ' || t.term || '.' WHEN n = 1 THEN 'The term ''' || t.term || ''' is only used once in the provided texts.' WHEN n = 0 THEN 'The term ''' || t.term || ''' is not used in the provided texts.' WHEN t.term_key = 'of' THEN 'kept' END AS summary
       FROM terms AS t JOIN usage AS u ON u.term_key = t.term_key""",
@@ -343,5 +356,8 @@ ORACLE_SQL = {
     "linked_statements": f"WITH {SENTENCES}, {ANCHORED[len(STATED) + 2:]} SELECT s.doc, s.pos, s.sp, s.origin, CASE WHEN anchor IS NULL THEN s.statement ELSE '<a class=\"statement-link\" href=\"#' || anchor || '\">' || s.statement || '</a>' END AS label FROM sentences AS s LEFT JOIN anchors AS a ON a.doc = s.doc AND a.number_key = {fold(collapse('s.statement'))} AND a.text_key = {fold(collapse('s.statement_text'))}",
     "last_statement_targets": f"WITH {STATED} SELECT {fold(collapse('statement'))} AS number_key, arg_max(pos, (doc, section_rank, pos)) AS pos FROM stated GROUP BY 1",
     "chat_records": """SELECT conv_id, turn, '{"properties":{"Title":{"title":[{"text":{"content":"chat log"}}]},"App name":{"rich_text":[{"text":{"content":"app"}}]},"questions":{"rich_text":[{"text":{"content":"' || role || '"}}]},"answer":{"rich_text":[]},"ip address":{"rich_text":[{"text":{"content":"10.0.0.1"}}]},"datetime":{"date":{"start":"now"}},"token_input":{"number":' || turn || '},"token_output":{"number":' || CASE WHEN turn > 1 THEN turn::VARCHAR ELSE 'null' END || '}}}' AS payload FROM conversations""",
-    "schema_problems": "SELECT * FROM (VALUES ('date', 'date', 'rich_text'), ('wrong pwd', 'checkbox|select|status|rich_text', NULL)) AS t(property, wanted, found)",
+    "schema_problems": """WITH p AS (SELECT DISTINCT user_id, ['name', 'date', 'ip address', 'wrong pwd', 'other'][event_id % 5 + 1] AS property, ['title', 'date', 'rich_text', 'checkbox'][event_id % 4 + 1] AS found FROM events WHERE event_type <> 'error'),
+      w(property, wanted) AS (VALUES ('name', 'title'), ('date', 'date'), ('ip address', 'rich_text'), ('wrong pwd', 'checkbox|select|status|rich_text'))
+      SELECT u.user_id, w.property, w.wanted, p.found FROM (SELECT DISTINCT user_id FROM p) AS u, w LEFT JOIN p ON p.user_id = u.user_id AND p.property = w.property
+      WHERE p.found IS NULL OR NOT list_contains(string_split(w.wanted, '|'), p.found)""",
 }

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
@@ -31,6 +31,13 @@ def qualified(spark: SparkSession, path: str) -> str:
     return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written once to the shared folder and read back, so that it stays as it is whatever executor is lost."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_object(folder: str, name: str, value: Any) -> None:
     """Writes an object as a file of a folder, beside and renamed, so that a repeated task does no harm."""
     from pyarrow import fs
