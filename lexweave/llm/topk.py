@@ -20,9 +20,13 @@ from pyspark.sql import functions as F
 
 from lexweave.llm._common import discard, discard_folder, floored, new_folder, put_in_place, quoted, release_memory, stored
 
-#: Rows of an index block, and queries that go through blocks in one task.
+#: Rows of an index block, and queries of a group that go through blocks together.
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 4_096
+#: Blocks of a tile: a task never does more than RANGE_BLOCKS * BLOCK_QUERIES searches of a block, at any number of rows.
+RANGE_BLOCKS = 16
+#: Tiles of one job; more of them are done by several jobs, whose results are merged as they come.
+WAVE_TILES = 20_000
 #: Levels into which a dimension's values are quantised within a block.
 LEVELS = 64
 #: Shares of all postings after which the bounds are looked at.
@@ -142,6 +146,24 @@ def _build(rows: DataFrame, folder: str, blocks: int, ranges: int) -> DataFrame:
     return stored(made.groupBy("range").agg(F.count("*").alias("blocks"), F.sum("rows").alias("rows")), "topk-manifest")
 
 
+def _write_groups(queries: DataFrame, folder: str, groups: int) -> DataFrame:
+    """Writes the queries of each group as a file: group, rows (stored)."""
+    group = F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(groups)).cast("int")
+
+    def write(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(f"{root}/groups", recursive=True)
+        with store.open_output_stream(own := f"{root}/groups/.{key[0]}.{uuid.uuid4().hex}") as out, io.BytesIO() as held:
+            np.savez(held, ids=part["id"].to_numpy(), vectors=_matrix(part["v"]))
+            out.write(held.getvalue())
+        put_in_place(store, own, f"{root}/groups/{key[0]:09d}")
+        return pd.DataFrame({"group": [key[0]], "rows": [len(part)]})
+
+    return stored(queries.select("id", "v", group.alias("group")).groupBy("group").applyInPandas(write, "group int, rows long"), "topk-groups")
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of df that is_query picks, the k other rows of the highest integer
     inner product, ties to the smaller id; all of them if there are fewer.
@@ -150,31 +172,34 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     filled up by zeros. A repeated row counts once; an id with several vectors has a row for each, none of which answers a query of
     that id. Scores are whole while components stay below 2^26. An empty df gives an empty result.
 
-    A task takes a group of queries through a range of blocks, one block at a time, and keeps the k best of each query; only
-    these meet by query. Vectors move once, into the index files; the queries, a row for each range, once."""
+    A tile is a group of queries and a range of blocks, both in files; it goes through the blocks one by one, keeps the k best of each
+    query, and is a task of its own, so a lost executor costs single tiles. Only the best rows meet by query. Vectors move once, into
+    the index files, and queries once, into the files of their groups."""
     schema = "query_id long, vec_id long, score long"
     rows = stored(df.select(quoted(id_col).cast("long").alias("id"), is_query.alias("q"), floored(quoted(vector_col), scale).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL").dropDuplicates(["id", "v"]), "topk-rows")
     counts = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     blocks, groups = max(1, -(-counts["n"] // BLOCK_ROWS)), max(1, -(-counts["q"] // BLOCK_QUERIES))
-    # few groups share the blocks among several tasks, many groups need not
-    ranges = min(blocks, max(1, 4 * rows.sparkSession.sparkContext.defaultParallelism // groups))
+    # few groups share the blocks among several tasks; many need not, but a tile stays within its bound
+    ranges = min(blocks, max(-(-blocks // RANGE_BLOCKS), 4 * rows.sparkSession.sparkContext.defaultParallelism // groups, 1))
     folder = new_folder(rows.sparkSession, "topk-index")
     manifest = _build(rows, folder, blocks, ranges)
     sizes = {r["range"]: r["rows"] for r in manifest.collect()}  # a row for each range
-    group, range_ = F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(groups)), F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))
-    queries = rows.filter("q").select("id", "v", group.alias("g"), range_.alias("r")).select("id", "v", (F.col("g") * ranges + F.col("r")).cast("int").alias("tile"))
+    grouped = _write_groups(rows.filter("q"), folder, groups)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if held:
-            yield tile(pd.concat(held))
+        for batch in batches:
+            for number in batch["id"].tolist():
+                yield tile(number % groups, number // groups)
 
-    def tile(part: pd.DataFrame) -> pd.DataFrame:
+    def tile(group: int, at: int) -> pd.DataFrame:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        at = int(part["tile"].iloc[0]) % ranges
-        ids, vectors = part["id"].to_numpy(), _matrix(part["v"])
+        name = f"{root}/groups/{group:09d}"
+        if store.get_file_info(name).type.name != "File":  # a group that no query's hash fell into
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        with store.open_input_stream(name) as data, np.load(io.BytesIO(data.read())) as held:
+            ids, vectors = held["ids"], held["vectors"]
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
         met = 0
         found = store.get_file_info(fs.FileSelector(f"{root}/{at}", allow_not_found=True))
@@ -194,10 +219,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
         each = [len(s) for s, _ in best]
         return pd.DataFrame({"query_id": np.repeat(ids, each), "vec_id": np.concatenate([x for _, x in best]), "score": np.concatenate([s for s, _ in best])})
 
-    # a task for each tile, as its work is in the blocks it goes through and not in its few rows
-    found = queries.repartitionById(groups * ranges, "tile").mapInPandas(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = stored(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk-result")
-    discard(rows, manifest)
+    out, tiles = None, groups * ranges
+    for first in range(0, tiles, WAVE_TILES):
+        last = min(tiles, first + WAVE_TILES)
+        found = rows.sparkSession.range(first, last, 1, last - first).mapInPandas(run, schema)
+        both = found if out is None else found.unionByName(out.select("query_id", "vec_id", "score"))
+        before, out = out, stored(both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk-result")
+        if before is not None:
+            discard(before)
+    discard(rows, manifest, grouped)
     discard_folder(rows.sparkSession, folder)
     return out

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import itertools
 import random
 import re
@@ -514,3 +515,37 @@ def test_pipeline_run(spark, sf_dir):
     for r in corpus_pipeline.mixture(spark, clean, sf_dir).collect():
         want[r["doc_id"], r["source"], np.array(model.encode(r["text"], add_bos=True, add_eos=True), "<u4").tobytes()] += 1
     assert Counter((r["doc_id"], r["source"], bytes(r["ids"])) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
+
+
+def test_tiles_stay_within_their_bound_and_are_merged(spark, monkeypatch):
+    rnd = random.Random(21)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(300)] + [(7, [0.5] * 6), (7, [0.25] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect()}
+    for name, value in (("BLOCK_ROWS", 10), ("BLOCK_QUERIES", 8), ("RANGE_BLOCKS", 3), ("WAVE_TILES", 7)):
+        monkeypatch.setattr(topk, name, value)
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect()} == want
+    scores = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows[:300]}
+    for q, rank, i, score in want:
+        if q not in (7,) and i not in (7,):
+            assert score == sum(a * b for a, b in zip(scores[q], scores[i], strict=True))
+
+
+def test_files_of_a_tile_can_be_written_again(spark, tmp_path):
+    rnd = random.Random(22)
+    rows = spark.createDataFrame([(i, [rnd.randrange(-200, 200) for _ in range(4)]) for i in range(200)], "id long, v array<bigint>")
+    folder = f"file://{tmp_path}/index"
+
+    def files():
+        return {str(p.relative_to(tmp_path)): p.read_bytes() for p in (tmp_path / "index").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+    topk._build(rows, folder, 3, 2)
+    topk._write_groups(rows.filter("id % 10 = 0"), folder, 2)
+    once = files()
+    assert len(once) == 5
+    topk._build(rows, folder, 3, 2)  # as repeated tasks do
+    topk._write_groups(rows.filter("id % 10 = 0"), folder, 2)
+    assert files().keys() == once.keys()
+    for name, data in files().items():
+        with np.load(io.BytesIO(data)) as a, np.load(io.BytesIO(once[name])) as b:
+            assert all((np.sort(a[p].ravel()) == np.sort(b[p].ravel())).all() for p in a.files)
