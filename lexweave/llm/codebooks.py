@@ -151,7 +151,8 @@ def compress(df: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6,
     largest = even.agg(F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v"))))).first()[0] or 0
     if dims * 4 * int(largest) ** 2 >= 1 << 63:
         raise ValueError(f"a component of {largest} parts of 1/{scale} is too large for distances of 63 bits")
-    start = even.filter("id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v")).orderBy("id").limit(entries).collect()
+    smallest = [r["id"] for r in even.select("id").filter("id IS NOT NULL").distinct().orderBy("id").limit(entries).collect()]
+    start = even.filter(F.col("id").isin(smallest)).groupBy("id").agg(F.min("v").alias("v")).orderBy("id").collect()
     first = np.array([r["v"] for r in start], np.int64).reshape(len(start), dims)
     width = dims // parts
     books = Codebooks([first[:, p * width : (p + 1) * width] for p in range(parts)] if dims and len(start) else [])
