@@ -32,6 +32,12 @@ def edge_weights(sentences: DataFrame, active: DataFrame) -> DataFrame:
     return term_pairs(sentences, active).groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
+def edge_counts(sentences: DataFrame, active: DataFrame) -> DataFrame:
+    """source, target, weight, statements (how many distinct ones) of each edge, from one pass over the sentences."""
+    of_statement = term_pairs(sentences, active).groupBy("source", "target", "statement").agg(F.count("*").alias("n"))
+    return of_statement.groupBy("source", "target").agg(F.sum("n").alias("weight"), F.count("*").alias("statements"))
+
+
 def edge_statements(sentences: DataFrame, active: DataFrame) -> DataFrame:
     """source, target, statement: the distinct statements of each edge, a row each."""
     return term_pairs(sentences, active).select("source", "target", "statement").distinct()

@@ -218,9 +218,7 @@ def network_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges with how many statements they have, nothing gathered."""
-    s, active = marked_sentences(spark, sf_dir), marked_usage(spark, sf_dir).filter("n > 0")
-    statements = network.edge_statements(s, active).groupBy("source", "target").agg(F.count("*").alias("statements"))
-    return network.edge_weights(s, active).join(statements, ["source", "target"])
+    return network.edge_counts(marked_sentences(spark, sf_dir), marked_usage(spark, sf_dir).filter("n > 0"))
 
 
 def network_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
