@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from lexweave.functions import markup, sealed
 from lexweave.functions import text as t
 from lexweave.operators import anchors, audit, documents, glossary, matching, network, pages, summaries
-from lexweave.sources import readers, writers
+from lexweave.plans.made_pdf import pdf_bytes
+from lexweave.sources import pdf, readers, store, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -450,6 +451,27 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").cast("long").alias("doc"), "pos", "style", "left_indent_pt", F.size("runs").cast("long").alias("runs"), F.col("runs")[0]["bold"].alias("bold"), F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("text"))
 
 
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts of documents as pages of PDF files (50 lines of 80 characters), in three producers' forms, which are read again
+    by ranges of pages. A task makes a file of each batch; only files of finished tasks are named, so a repeated task does no harm."""
+    folder = store.shared_folder(spark, "pdf")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                for k in range(0, max(len(text), 1), 4000):
+                    made.append([f"{doc_id} {k // 4000}", *(text[i : i + 80] for i in range(k, min(k + 4000, len(text)), 80))])
+            yield pd.DataFrame({"path": [store.put_bytes(folder, ".pdf", pdf_bytes(made, int(batch["doc_id"].iloc[0]) % 3))]})
+
+    texts = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = store.stored(texts.mapInPandas(run, "path string"), "pdf-files")
+    parts = F.split("text", "\n", 2)
+    head = F.split(parts[0], " ")
+    shown = pdf.page_texts(pdf.page_ranges(files, 200))
+    return shown.select(head[0].cast("long").alias("doc_id"), head[1].cast("long").alias("page"), F.md5(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("text_md5"))
+
+
 def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as XLSX glossaries by brand, which are read again; one column comes first under another case of its name."""
 
@@ -570,4 +592,4 @@ def sent_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.delivered(both.select("conv_id", "turn", "as_number", "as_text"), post, ("as_number", "as_text")).select("conv_id", "turn", "status", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, marked_turns, html_reports, document_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, marked_turns, html_reports, document_files, pdf_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}

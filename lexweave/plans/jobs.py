@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as t
 from lexweave.operators import anchors, documents, glossary, matching, network, pages, summaries
-from lexweave.sources import readers, store, writers
+from lexweave.sources import pdf, readers, store, writers
 
 
 #: The columns that a corpus needs of its workbooks, and those it can do without.
@@ -39,10 +39,14 @@ def convert_documents(spark: SparkSession, source: str, target: str) -> int:
 
 
 def read_pages(spark: SparkSession, source: str) -> DataFrame:
-    """doc, page, text of extracted page text: files whose pages end with a form feed, as text extractors write them."""
-    texts = required(readers.read_texts(spark, source), f"page text in {source}")
-    pages = texts.select("doc", F.posexplode(F.split(F.regexp_replace("text", "\f\\z", ""), "\f")).alias("page", "text"))
-    return pages.select(F.regexp_extract("doc", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("doc"), (F.col("page") + 1).alias("page"), "text")
+    """doc, page, text of a folder's PDF files, and of its files of extracted text, whose pages end with a form feed."""
+    paths = required(spark.read.format("binaryFile").load(source).select("path"), f"file in {source}")
+    is_pdf = F.lower("path").endswith(".pdf")
+    pages = pdf.page_texts(pdf.page_ranges(paths.filter(is_pdf))).select(F.col("path").alias("doc"), "page", "text")
+    texts = spark.read.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(~is_pdf)
+    told = texts.select(F.col("path").alias("doc"), F.posexplode(F.split(F.regexp_replace("text", "\f\\z", ""), "\f")).alias("page", "text"))
+    whole = pages.unionByName(told.withColumn("page", F.col("page") + 1))
+    return whole.withColumn("doc", F.regexp_extract("doc", r"([^/]*?)(?:\.[^./]*)?$", 1))
 
 
 def build_archive(spark: SparkSession, sources: list[str], target: str, key: str | None = None, root: str | None = None) -> int:

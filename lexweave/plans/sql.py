@@ -265,6 +265,10 @@ ORACLE_SQL = {
     "workbook_files": f"WITH n AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::BIGINT AS pos FROM part) SELECT p_brand AS brand, pos, {collapse('p_name')} AS term, {collapse('p_type')} AS explanation, '' AS parent FROM n WHERE p_partkey % 7 <> 0",
     "archive_files": "SELECT conv_id AS archive, turn || '.txt' AS name, sha256(text) AS sha256 FROM conversations",
     "sealed_texts": "SELECT conv_id, turn, (4 * ((57 + 16 * (strlen(text) // 16 + 1) + 2) // 3))::BIGINT AS token_chars, sha256(text) AS sha256 FROM conversations",
+    "pdf_files": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      p AS (SELECT doc_id, t, unnest(range(0, greatest((length(t) + 3999) // 4000, 1))) AS page FROM d),
+      l AS (SELECT doc_id, page, substring(t, (page * 4000 + 1)::BIGINT, 4000) AS t FROM p)
+      SELECT doc_id, page, md5(array_to_string(list_transform(range(0, (length(t) + 79) // 80), lambda j: substring(t, (j * 80 + 1)::BIGINT, 80)), chr(10))) AS text_md5 FROM l""",
     "artifact_file": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Term ' ELSE 'term ' END || (doc_id - doc_id % 2) AS term_key, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'said é ' || doc_id END AS summary FROM documents)
       SELECT term_key, 'summary' AS kind, summary AS value FROM d UNION ALL SELECT term_key, 'failure', 'error' FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT lower(term_key), 'usable', arg_max(summary, doc_id) FROM d WHERE summary <> ' ' GROUP BY lower(term_key)""",
     "stamps": """WITH m AS (SELECT event_id, ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 182 DAY ELSE INTERVAL 0 DAY END AS moment, event_id % 2 = 0 AS summer FROM events)

@@ -52,6 +52,18 @@ def put_object(folder: str, name: str, value: Any) -> None:
         store.delete_file(own)
 
 
+def put_bytes(folder: str, suffix: str, data: bytes) -> str:
+    """Writes a file of a new name to a folder and gives its path."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    name = uuid.uuid4().hex + suffix
+    with store.open_output_stream(f"{root}/{name}") as out:
+        out.write(data)
+    return f"{folder}/{name}"
+
+
 def objects(folder: str) -> list[Any]:
     """The objects of a folder, in the order of their names."""
     from pyarrow import fs
