@@ -96,10 +96,16 @@ def sankey_links(links: DataFrame, prefix: str = "") -> DataFrame:
     return own.join(a, "statement").join(b, "reference").select("source", "target", F.lit(1).alias("value"))
 
 
+def _head_and_nodes(nodes_: DataFrame, title: str) -> DataFrame:
+    q = t.json_text
+    node = F.concat_ws("\n", F.concat(F.lit("// NODE "), F.to_json(F.struct("id", "label", "count"))), F.concat(F.lit("MERGE (term:GlossaryTerm {id: "), q(F.col("id")), F.lit("})")), F.concat(F.lit("SET term.label = "), q(F.col("label")), F.lit(", term.count = "), F.col("count"), F.lit(";")), F.lit(""))
+    head = nodes_.sparkSession.range(1).select(F.lit(0).alias("kind"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(f"// {title}\n").alias("text"))
+    return head.unionByName(nodes_.select(F.lit(1).alias("kind"), t.folded(F.col("label")).alias("a"), F.col("id").alias("b"), node.alias("text")))
+
+
 def cypher_lines(nodes_: DataFrame, edges_: DataFrame, title: str = "Term co-occurrence network.") -> DataFrame:
     """kind, sort keys and text of the statements that rebuild the network; comment lines carry each element as JSON."""
     q = t.json_text
-    node = F.concat_ws("\n", F.concat(F.lit("// NODE "), F.to_json(F.struct("id", "label", "count"))), F.concat(F.lit("MERGE (term:GlossaryTerm {id: "), q(F.col("id")), F.lit("})")), F.concat(F.lit("SET term.label = "), q(F.col("label")), F.lit(", term.count = "), F.col("count"), F.lit(";")), F.lit(""))
     named = lambda what, c: F.concat(F.lit(f"({what}:GlossaryTerm {{id: "), q(F.col(c)), F.lit("})"))
     edge = F.concat_ws(
         "\n",
@@ -109,10 +115,49 @@ def cypher_lines(nodes_: DataFrame, edges_: DataFrame, title: str = "Term co-occ
         F.concat(F.lit("SET connection.weight = "), F.col("weight"), F.lit(", connection.statements = "), F.to_json("statements"), F.lit(", connection.evidence = "), q(F.to_json("evidence")), F.lit(";")),
         F.lit(""),
     )
-    head = nodes_.sparkSession.range(1).select(F.lit(0).alias("kind"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(f"// {title}\n").alias("text"))
-    ns = nodes_.select(F.lit(1).alias("kind"), t.folded(F.col("label")).alias("a"), F.col("id").alias("b"), node.alias("text"))
     es = edges_.select(F.lit(2).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), edge.alias("text"))
-    return head.unionByName(ns).unionByName(es)
+    return _head_and_nodes(nodes_, title).unionByName(es)
+
+
+def cypher_fragments(nodes_: DataFrame, pairs: DataFrame, title: str = "Term co-occurrence network.") -> DataFrame:
+    """kind, a, b, part, at, key, item (whether the text is one of a list, which a comma parts from the one before) and text: what the
+    lines of `cypher_lines` are made of, in the order of kind, a, b, part, at, key. An edge's statements and its evidence (from the rows of
+    `term_pairs`) stand in rows of their own, so no row grows with the number of sentences that hold a pair."""
+    nowhere = F.lit(None).cast(pairs.schema["__at"].dataType)
+
+    def fragment(df: DataFrame, part: int, text: Column, at: Column = nowhere, key: Column | None = None) -> DataFrame:
+        order = F.lit(None).cast("string") if key is None else key
+        return df.select(F.lit(2).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.lit(part).alias("part"), at.alias("at"), order.alias("key"), F.lit(key is not None).alias("item"), text.alias("text"))
+
+    def element(c: Column) -> Column:
+        told = F.to_json(F.array(c))
+        return F.substring(told, F.lit(2), F.length(told) - 2)
+
+    def inside(c: Column) -> Column:
+        told = t.json_text(c)
+        return F.substring(told, F.lit(2), F.length(told) - 2)
+
+    weights = pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
+    said = pairs.select("source", "target", "statement").distinct().filter("statement IS NOT NULL")
+    head = F.to_json(F.struct("source", "target", "weight"))
+    named = lambda what, c: F.concat(F.lit(f"({what}:GlossaryTerm {{id: "), t.json_text(F.col(c)), F.lit("})"))
+    match = F.concat(F.lit("]}\nMATCH "), named("source", "source"), F.lit(", "), named("target", "target"), F.lit("\nMERGE (source)-[connection:CO_OCCURS]->(target)\nSET connection.weight = "), F.col("weight"), F.lit(", connection.statements = ["))
+    evidence = element(F.struct("statement", "sentence"))
+    whole = _head_and_nodes(nodes_, title).select("kind", "a", "b", F.lit(0).alias("part"), nowhere.alias("at"), F.lit(None).cast("string").alias("key"), F.lit(False).alias("item"), F.concat("text", F.lit("\n")).alias("text"))
+    rows = [
+        fragment(weights.withColumn("h", head), 0, F.concat(F.lit("// EDGE "), F.expr("left(h, length(h) - 1)"), F.lit(',"statements":['))),
+        fragment(said, 1, element(F.col("statement")), key=F.col("statement")),
+        fragment(weights, 2, F.lit('],"evidence":[')),
+        fragment(pairs, 3, evidence, F.col("__at"), F.col("sentence")),
+        fragment(weights, 4, match),
+        fragment(said, 5, element(F.col("statement")), key=F.col("statement")),
+        fragment(weights, 6, F.lit('], connection.evidence = "[')),
+        fragment(pairs, 7, inside(evidence), F.col("__at"), F.col("sentence")),
+        fragment(weights, 8, F.lit(']";\n\n')),
+    ]
+    for df in rows:
+        whole = whole.unionByName(df)
+    return whole
 
 
 NODE_SCHEMA = "id string, label string, count long"

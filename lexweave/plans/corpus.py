@@ -17,7 +17,7 @@ from lexweave.functions import markup, sealed
 from lexweave.functions import text as t
 from lexweave.operators import anchors, audit, documents, glossary, matching, network, pages, summaries
 from lexweave.plans.made_pdf import pdf_bytes
-from lexweave.sources import pdf, readers, store, writers
+from lexweave.sources import fragments, pdf, readers, store, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -243,10 +243,13 @@ def network_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The network written as a file's lines and parsed again."""
-    n, e = _network(spark, sf_dir)
-    rows = network.cypher_lines(n, e).select(F.explode(F.split("text", "\n")).alias("value"))
-    n2, e2 = network.parse_cypher(rows)
+    """The network written as a file, piece by piece, and read again."""
+    s = marked_sentences(spark, sf_dir)
+    terms, usage = glossary.grouped(demo_glossary(spark)), marked_usage(spark, sf_dir)
+    pairs = store.stored(network.term_pairs(s, usage.filter("n > 0")), "pairs")
+    folder = store.shared_folder(spark, "network")
+    fragments.write_fragments(network.cypher_fragments(network.nodes(terms, usage), pairs), folder, ("kind", "a", "b"), ("part", "at", "key"))
+    n2, e2 = readers.read_network(spark, folder)
     return n2.select(F.col("id").alias("a"), F.col("label").alias("b"), F.col("count").alias("n")).unionByName(e2.select(F.col("source").alias("a"), F.col("target").alias("b"), F.size("evidence").cast("long").alias("n")))
 
 
@@ -259,6 +262,13 @@ def term_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.term_anchors(parts(spark, sf_dir).select("term_key").distinct())
 
 
+def colliding_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of part names with numbers and marks, so that many plain ids are numbered ids of others."""
+    k = F.col("p_partkey")
+    number = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(" "), k % 30)).otherwise(F.concat(F.lit(" "), k % 30, F.lit(" "), k % 5))
+    return anchors.term_anchors(_table(spark, sf_dir, "part").select(F.concat(F.lower("p_name"), number, F.expr("repeat('!', cast(p_partkey % 7 AS int))")).alias("term_key")).distinct())
+
+
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = marked_usage(spark, sf_dir)
     old = spark.createDataFrame([("of", "of", 9, "kept", "model", ""), ("zzz unused", "zzz unused", 0, "The term 'zzz unused' is not used in the provided texts.", "local occurrence notice", ""), ("gone", "gone", 1, "x", "model", "")], summaries.SUMMARY_SCHEMA)
@@ -592,4 +602,4 @@ def sent_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.delivered(both.select("conv_id", "turn", "as_number", "as_text"), post, ("as_number", "as_text")).select("conv_id", "turn", "status", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, marked_turns, html_reports, document_files, pdf_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, colliding_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, marked_turns, html_reports, document_files, pdf_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}

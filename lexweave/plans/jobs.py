@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as t
 from lexweave.operators import anchors, documents, glossary, matching, network, pages, summaries
-from lexweave.sources import pdf, readers, store, writers
+from lexweave.sources import fragments, pdf, readers, store, writers
 
 
 #: The columns that a corpus needs of its workbooks, and those it can do without.
@@ -161,9 +161,6 @@ class Corpus:
         wanted = self.terms.filter(F.col("term_key") == term.lower().replace("ß", "ss"))
         return matching.occurrences(self.sentences, wanted).orderBy(*documents.CORPUS_ORDER).select("statement", "sentence", "statement_text")
 
-    def network(self) -> tuple[DataFrame, DataFrame]:
-        return network.nodes(self.terms, self.usage), network.edges(self.sentences, self.usage.filter("n > 0"))
-
     def citations(self) -> DataFrame:
         return documents.citations(self.report)
 
@@ -212,8 +209,10 @@ def load_assets(spark: SparkSession, source: str, members: Members, key: str | N
 
 
 def write_network(corpus: Corpus, target: str) -> None:
-    nodes, edges = corpus.network()
-    writers.write_ordered(network.cypher_lines(nodes, edges), target, "kind", "a", "b")
+    """The network as part files in order. An edge's evidence is never one row: its line is written piece by piece."""
+    pairs = store.stored(network.term_pairs(corpus.sentences, corpus.usage.filter("n > 0")), "pairs")
+    rows = network.cypher_fragments(network.nodes(corpus.terms, corpus.usage), pairs)
+    fragments.write_fragments(rows, target, ("kind", "a", "b"), ("part", "at", "key"))
 
 
 def generate_summaries(corpus: Corpus, artifact: str, template: str, placeholders: dict[str, str], ask: Callable[[str], str], model: str, stamp: str, only: tuple[str, ...] = (), limit: int | None = None, overwrite: bool = False, pause: float = 0.0) -> dict[str, int]:

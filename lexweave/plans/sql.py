@@ -325,6 +325,16 @@ ORACLE_SQL = {
       keyed AS (SELECT doc, {fold(collapse('statement'))} AS number_key, {fold(collapse('statement_text'))} AS text_key, min((origin, section_rank, pos)) AS place FROM units GROUP BY ALL)
       SELECT doc, number_key, text_key, 'source-statement-' || row_number() OVER (PARTITION BY doc ORDER BY place) AS anchor FROM keyed""",
     "term_anchors": f"WITH {PARTS} SELECT term_key, 'term-' || coalesce({chars_at('lower(term_key)')}, 'item') AS anchor FROM (SELECT DISTINCT term_key FROM gloss)",
+    "colliding_anchors": f"""WITH RECURSIVE keys AS (SELECT DISTINCT lower(p_name) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || (p_partkey % 30) ELSE ' ' || (p_partkey % 30) || ' ' || (p_partkey % 5) END || repeat('!', (p_partkey % 7)::INT) AS term_key FROM part),
+      based AS (SELECT term_key, 'term-' || coalesce({chars_at('term_key')}, 'item') AS base FROM keys),
+      placed AS (SELECT *, regexp_replace(base, '(-[0-9]+)+$', '') AS stem, row_number() OVER (PARTITION BY regexp_replace(base, '(-[0-9]+)+$', '') ORDER BY term_key) AS i FROM based),
+      claimed AS (
+        SELECT DISTINCT stem, 0::BIGINT AS i, []::VARCHAR[] AS taken, '' AS term_key, '' AS anchor FROM placed
+        UNION ALL
+        SELECT stem, i, list_append(taken, anchor), term_key, anchor FROM (
+          SELECT p.stem, p.i, c.taken, p.term_key, CASE WHEN list_contains(c.taken, p.base) THEN list_filter(list_transform(range(2, p.i + 2), lambda n: p.base || '-' || n), lambda x: NOT list_contains(c.taken, x))[1] ELSE p.base END AS anchor
+          FROM claimed AS c JOIN placed AS p ON p.stem = c.stem AND p.i = c.i + 1)
+      ) SELECT term_key, anchor FROM claimed WHERE i > 0""",
     "routes": f"""WITH {FOLDED} SELECT t.term_key, t.term, u.n, CASE WHEN t.term_key = 'confidence' THEN 'notice' WHEN t.term_key = 'zzz unused' AND n = 0 THEN 'skip' WHEN n <= 1 THEN 'local' WHEN t.term_key = 'of' THEN 'skip' ELSE 'model' END AS route,
       CASE WHEN t.term_key = 'confidence' THEN 'LLM is not applied to the term ' || t.term || '.' WHEN n = 1 THEN 'The term ''' || t.term || ''' is only used once in the provided texts.' WHEN n = 0 THEN 'The term ''' || t.term || ''' is not used in the provided texts.' WHEN t.term_key = 'of' THEN 'kept' END AS summary
       FROM terms AS t JOIN usage AS u ON u.term_key = t.term_key""",
