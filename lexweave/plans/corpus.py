@@ -515,12 +515,13 @@ def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artifact_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summaries and failures of an artifact's text, and which summaries are of use: some blank, some keys folding alike."""
+    """The summaries and failures of an artifact that is written as a file and read again, and which summaries are of use: some blank, some keys folding alike."""
     ids = _table(spark, sf_dir, "documents").select(F.concat_ws(" ", F.when(F.col("doc_id") % 2 == 0, "Term").otherwise("term"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("term_key"), "doc_id")
     done = ids.select("term_key", F.col("term_key").alias("term"), F.col("doc_id").alias("occurrence_count"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit("said é "), "doc_id")).alias("summary"), F.lit("m").alias("summary_source"), F.lit("now").alias("generated_at"))
     lost = ids.filter("doc_id % 3 = 0").select("term_key", F.col("term_key").alias("term"), F.lit("error").alias("error"), F.lit("now").alias("updated_at"))
-    text = writers.artifact_json(done, lost, "m", "then", "now")
-    summaries_, failures = readers.parse_artifact(spark.createDataFrame([(text,)], "value string"), "m")
+    path = store.shared_folder(spark, "artifact-file") + ".json"
+    writers.write_artifact(path, done, lost, "m", "then", "now")
+    summaries_, failures = readers.read_artifact(spark, path, "m")
     usable = readers.usable_summaries(summaries_.withColumn("place", F.col("occurrence_count")))
     kinds = ((summaries_.select("term_key", F.lit("summary").alias("kind"), F.col("summary").alias("value"))), failures.select("term_key", F.lit("failure").alias("kind"), F.col("error").alias("value")), usable.select("term_key", F.lit("usable").alias("kind"), F.col("summary").alias("value")))
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])

@@ -239,7 +239,7 @@ def generate_summaries(corpus: Corpus, artifact: str, template: str, placeholder
     done = notices.unionByName(answers.filter("error IS NULL").select("term_key", "term", "occurrence_count", "summary", "summary_source", F.col("at").alias("generated_at")))
     failed = answers.filter("error IS NOT NULL").select("term_key", "term", "error", F.col("at").alias("updated_at"))
     kept, still = summaries.merged(old, lost, done, failed)
-    writers.write_file(spark, artifact, writers.artifact_json(kept, still, model, created, stamp).encode())
+    writers.write_artifact(artifact, kept, still, model, created, stamp)
     counted = summaries.outcome(routed, failed).first().asDict()
     summaries.Answers(folder).clear()
     for df in (old, lost, routed, answers):

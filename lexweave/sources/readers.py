@@ -7,6 +7,7 @@ executors, one file a row.
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -145,9 +146,35 @@ def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 ENVELOPE = f"format_version int, model string, created_at string, updated_at string, summaries map<string,struct<{', '.join(c.replace(' ', ':', 1) for c in SUMMARY_SCHEMA.split(', ')[1:])}>>, failures map<string,struct<{', '.join(c.replace(' ', ':', 1) for c in FAILURE_SCHEMA.split(', ')[1:])}>>"
 
 
+def _artifact_head(spark: SparkSession, path: str) -> dict | None:
+    """The envelope of an artifact whose records have a line each, without them; None for another layout of the JSON."""
+    first = spark.read.text(path).first()
+    if first is None or not first["value"].endswith('"summaries":{'):
+        return None
+    return json.loads(first["value"] + "}}")
+
+
 def read_artifact(spark: SparkSession, path: str, model: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The summaries and failures of an artifact file as tables."""
-    return parse_artifact(spark.read.text(path, wholetext=True), model)
+    """The summaries and failures of an artifact file as tables. A file with a line for each record is read by lines, in as many tasks as
+    Spark cuts it for; another layout has to be one text. What is an error is one as for `parse_artifact`, as is a file that is cut off."""
+    head = _artifact_head(spark, path)
+    if head is None:
+        return parse_artifact(spark.read.text(path, wholetext=True), model)
+    lines = spark.read.text(path)
+    if head.get("format_version") != 1:
+        raise ValueError("unsupported artifact version")
+    if model is not None and head.get("model") != model:
+        raise ValueError("artifact is of another model")
+    if not lines.filter("value = '}}'").take(1):
+        raise ValueError("the artifact is cut off")
+    fields = dict(x.split(" ", 1) for schema in (SUMMARY_SCHEMA, FAILURE_SCHEMA) for x in schema.split(", ")[1:])
+    record = f"map<string,struct<{','.join(f'{k}:{v}' for k, v in fields.items())}>>"
+    told = F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", ",$", ""), F.lit("}")), record)
+    rows = lines.filter(F.col("value").startswith('"')).select(F.explode(told).alias("term_key", "v")).select("term_key", "v.*")
+
+    failed = F.col("error").isNotNull()
+    done, lost = ([x.split()[0] for x in schema.split(", ")] for schema in (SUMMARY_SCHEMA, FAILURE_SCHEMA))
+    return rows.filter(~failed).select(done), rows.filter(failed).select(lost)
 
 
 def _envelopes(texts: DataFrame, model: str | None = None) -> DataFrame:
@@ -175,7 +202,8 @@ def artifact_or_new(spark: SparkSession, path: str, model: str, stamp: str) -> t
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], SUMMARY_SCHEMA), spark.createDataFrame([], FAILURE_SCHEMA), stamp
-    made = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.created_at")).first()[0]
+    head = _artifact_head(spark, path)
+    made = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.created_at")).first()[0] if head is None else head.get("created_at")
     return *read_artifact(spark, path, model), made
 
 

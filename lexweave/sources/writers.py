@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import sealed
+from lexweave.functions import text as t
+from lexweave.sources import store
+from lexweave.sources.fragments import write_fragments
 
 
 def markdown_texts(lines: DataFrame) -> DataFrame:
@@ -38,8 +41,8 @@ def _store(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
-def write_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """A file that is there whole or not at all: written beside and renamed over what stood there, in one step of the store, so
+def write_file(spark: SparkSession, path: str, data: bytes | list[str]) -> None:
+    """A file of some bytes, or of the bytes of other files, which stream from store to store. It is there whole or not at all: written beside and renamed over what stood there, in one step of the store, so
     a crash at any moment leaves the old file or the new one. Stores that do not rename files in one step (objects) put a file in
     its place only when it is closed."""
     at, store, jvm = _store(spark, path)
@@ -53,7 +56,14 @@ def write_file(spark: SparkSession, path: str, data: bytes) -> None:
         context = None
     beside = at if context is None else fs.Path(f"{at.toString()}.{uuid.uuid4().hex}.tmp")
     out = store.create(beside, True)
-    out.write(data)
+    if isinstance(data, bytes):
+        out.write(data)
+    else:
+        for part in data:
+            source, of, _ = _store(spark, part)
+            held = of.open(source)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 20, False)
+            held.close()
     out.close()
     if context is not None:
         rename = getattr(fs, "Options$Rename")
@@ -62,17 +72,29 @@ def write_file(spark: SparkSession, path: str, data: bytes) -> None:
         context.rename(beside, at, over)
 
 
-def artifact_json(summaries: DataFrame, failures: DataFrame, model: str, created_at: str, updated_at: str) -> str:
-    """The artifact of a glossary's summaries: an envelope with its records by sorted key."""
-    def records(df: DataFrame) -> object:
+def artifact_lines(summaries: DataFrame, failures: DataFrame, model: str, created_at: str, updated_at: str) -> DataFrame:
+    """kind, key, text, item: the lines of an artifact in the order of kind and key: an envelope whose records, by sorted key, have a line
+    each. The whole is one JSON object."""
+    def records(df: DataFrame, kind: int) -> DataFrame:
         rest = [c for c in df.columns if c != "term_key"]
-        made = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("term_key").alias("key"), F.struct(*rest).alias("value")))))
-        return df.agg(made.alias("r"))
+        last = df.agg(F.max("term_key")).first()[0]
+        told = F.concat(t.json_text(F.col("term_key")), F.lit(":"), F.to_json(F.struct(*rest)), F.when(F.col("term_key") == F.lit(last), "\n").otherwise(",\n"))
+        return df.select(F.lit(kind).alias("kind"), F.col("term_key").alias("key"), told.alias("text"))
 
-    # each half is one JSON object, as the file is one by its format
-    halves = [records(df).select(F.to_json(F.struct(F.col("r").alias(name)))).first()[0] for name, df in (("summaries", summaries), ("failures", failures))]
     head = json.dumps({"format_version": 1, "model": model, "created_at": created_at, "updated_at": updated_at}, ensure_ascii=False)
-    return ",".join([head[:-1], halves[0][1:-1], halves[1][1:]]) + "\n"
+    frame = summaries.sparkSession.createDataFrame([(0, "", head[:-1] + ', "summaries":{\n'), (2, "", '},"failures":{\n'), (4, "", "}}\n")], "kind int, key string, text string")
+    return frame.unionByName(records(summaries, 1)).unionByName(records(failures, 3)).withColumn("item", F.lit(False))
+
+
+def write_artifact(path: str, summaries: DataFrame, failures: DataFrame, model: str, created_at: str, updated_at: str) -> None:
+    """The artifact of a glossary's summaries as one file, replaced in one step. Tasks write its parts, which stream into the file one after
+    another, so neither a row nor the driver holds it."""
+    spark = summaries.sparkSession
+    folder = store.shared_folder(spark, "artifact")
+    write_fragments(artifact_lines(summaries, failures, model, created_at, updated_at), folder, ("kind", "key"), ())
+    at, held, _ = _store(spark, folder)
+    write_file(spark, path, sorted(f.getPath().toString() for f in held.listStatus(at) if not f.getPath().getName().startswith(".")))
+    held.delete(at, True)
 
 
 def xlsx_bytes(header: list[str], rows: list[list[str]], sheet: str = "Glossary") -> bytes:

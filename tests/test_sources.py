@@ -65,16 +65,29 @@ def test_archives(spark, tmp_path):
 def test_artifacts(spark, tmp_path):
     done = spark.createDataFrame([("b", "B", 2, "text", "m", "t"), ("a", "A", 0, "é", "m", "t")], summaries.SUMMARY_SCHEMA)
     lost = spark.createDataFrame([("c", "C", "error", "t")], summaries.FAILURE_SCHEMA)
-    told = writers.artifact_json(done, lost, "m", "t0", "t1")
-    assert list(json.loads(told)["summaries"]) == ["a", "b"]
     path = f"file://{tmp_path}/art.json"
-    writers.write_file(spark, path, told.encode())
-    writers.write_file(spark, path, told.encode())  # over itself
+    writers.write_artifact(path, done, lost, "m", "t0", "t1")
+    writers.write_artifact(path, done, lost, "m", "t0", "t1")  # over itself
+    told = (tmp_path / "art.json").read_text()
+    assert list(json.loads(told)["summaries"]) == ["a", "b"] and json.loads(told)["failures"]["c"]["error"] == "error"
     assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["art.json"]
     s, f = readers.read_artifact(spark, path, "m")
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, done.collect())) and f.collect()[0]["error"] == "error"
     with pytest.raises(Exception, match="another model"):
         readers.read_artifact(spark, path, "n")[0].collect()
+    writers.write_file(spark, path, json.dumps(json.loads(told), indent=2).encode())  # another layout
+    s, f = readers.read_artifact(spark, path, "m")
+    assert sorted(map(tuple, s.collect())) == sorted(map(tuple, done.collect())) and f.count() == 1
+    with pytest.raises(Exception, match="another model"):
+        readers.read_artifact(spark, path, "n")[0].collect()
+    assert readers.artifact_or_new(spark, path, "m", "t2")[2] == "t0"
+    writers.write_file(spark, path, told[:-4].encode())
+    with pytest.raises(ValueError, match="cut off"):
+        readers.read_artifact(spark, path, "m")
+    many = spark.range(30_000).selectExpr("concat('k \"', id) AS term_key", "'T' AS term", "id AS occurrence_count", "concat('line\n}}\n', id) AS summary", "'m' AS summary_source", "'t' AS generated_at").repartition(7)
+    writers.write_artifact(path, many, lost.limit(0), "m", "t0", "t1")
+    s, f = readers.read_artifact(spark, path)
+    assert s.exceptAll(many).count() == 0 and s.count() == 30_000 == len(json.loads((tmp_path / "art.json").read_text())["summaries"]) and f.count() == 0
     rows = spark.createDataFrame([(0, "Risk", "a"), (1, " risk ", "b"), (2, "risk", " ")], "place int, term_key string, summary string")
     assert [tuple(r) for r in readers.usable_summaries(rows).collect()] == [("risk", "b")]
 
