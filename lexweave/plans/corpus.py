@@ -461,6 +461,14 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").cast("long").alias("doc"), "pos", "style", "left_indent_pt", F.size("runs").cast("long").alias("runs"), F.col("runs")[0]["bold"].alias("bold"), F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("text"))
 
 
+def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's documents written as Markdown files, one a document, and read again from the folders of a folder."""
+    folder = store.shared_folder(spark, "markdown")
+    writers.write_per_document(writers.markdown_texts(marked(spark, sf_dir)), folder)
+    found = readers.read_texts(spark, f"{folder}/doc=*")
+    return found.select(F.regexp_extract("doc", "doc=([0-9]+)", 1).cast("long").alias("doc"), F.md5(F.regexp_replace("text", "\n+\\z", "")).alias("text_md5"))
+
+
 def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole texts of documents as pages of PDF files (50 lines of 80 characters), in three producers' forms, which are read again
     by ranges of pages. A task makes a file of each batch; only files of finished tasks are named, so a repeated task does no harm."""
@@ -603,4 +611,4 @@ def sent_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.delivered(both.select("conv_id", "turn", "as_number", "as_text"), post, ("as_number", "as_text")).select("conv_id", "turn", "status", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, colliding_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, marked_turns, html_reports, document_files, pdf_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, colliding_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, marked_turns, html_reports, document_files, markdown_files, pdf_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}

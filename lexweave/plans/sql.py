@@ -265,6 +265,7 @@ ORACLE_SQL = {
     "workbook_files": f"WITH n AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::BIGINT AS pos FROM part) SELECT p_brand AS brand, pos, {collapse('p_name')} AS term, {collapse('p_type')} AS explanation, '' AS parent FROM n WHERE p_partkey % 7 <> 0",
     "archive_files": "SELECT conv_id AS archive, turn || '.txt' AS name, sha256(text) AS sha256 FROM conversations",
     "sealed_texts": "SELECT conv_id, turn, (4 * ((57 + 16 * (strlen(text) // 16 + 1) + 2) // 3))::BIGINT AS token_chars, sha256(text) AS sha256 FROM conversations",
+    "markdown_files": f"WITH {MARKED} SELECT doc, md5(regexp_replace(string_agg(line, chr(10) || chr(10) ORDER BY pos), '\\n+$', '')) AS text_md5 FROM marked GROUP BY doc",
     "pdf_files": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
       p AS (SELECT doc_id, t, unnest(range(0, greatest((length(t) + 3999) // 4000, 1))) AS page FROM d),
       l AS (SELECT doc_id, page, substring(t, (page * 4000 + 1)::BIGINT, 4000) AS t FROM p)

@@ -77,8 +77,21 @@ def read_docx(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFr
     return docx_paragraphs(_files(spark, path, pattern))
 
 
+def _typed(kind: str, told: str) -> str | None:
+    """The text of a number or a truth value; zero and false are empty cells, as a number that is no text has no words."""
+    if kind == "b":
+        return "True" if told.strip() == "1" else None
+    if kind != "n":
+        return told
+    try:
+        number = int(told) if re.fullmatch(r"\s*[+-]?\d+\s*", told) else float(told)
+    except ValueError:
+        return told
+    return str(number) if number else None
+
+
 def xlsx_rows(content: bytes) -> list[list[str | None]]:
-    """The cells of a workbook's first sheet as text."""
+    """The cells of a workbook's first sheet as text; a zero and a false are empty."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = []
@@ -102,6 +115,8 @@ def xlsx_rows(content: bytes) -> list[list[str | None]]:
                 text = shared[int(text)]
             elif c.get("t") == "inlineStr":
                 text = "".join(x.text or "" for x in c.iter(_S + "t"))
+            elif text is not None:
+                text = _typed(c.get("t", "n"), text)
             cells += [None] * (at + 1 - len(cells))
             cells[at] = text
         out.append(cells)

@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 
 import pytest
@@ -127,3 +128,14 @@ def test_stream(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["name"] for r in rows.collect()) == ["a", "b"] and seen == [0, 1]
     assert rows.filter(F.col("payload").contains('"Yes"')).count() == 1
+
+
+def test_typed_cells():
+    """Zero and false are empty, numbers are written plainly, texts stay."""
+    made = writers.xlsx_bytes(["a"] * 9, [["x"] * 9])
+    cells = "".join(f'<c r="{chr(65 + i)}2"{kind}><v>{v}</v></c>' for i, (kind, v) in enumerate([("", "0"), ("", "5"), ("", "1.50"), (' t="b"', "1"), (' t="b"', "0"), (' t="str"', "0"), (' t="n"', "0.0"), (' t="e"', "#N/A"), ("", "-3")]))
+    with zipfile.ZipFile(io.BytesIO(made)) as z:
+        files = {n: z.read(n) for n in z.namelist()}
+    name = "xl/worksheets/sheet1.xml"
+    files[name] = re.sub(rb'(?s)<row r="2">.*?</row>', f'<row r="2">{cells}</row>'.encode(), files[name])
+    assert readers.xlsx_rows(writers.archive_bytes(files))[1] == [None, "5", "1.5", "True", None, "0", None, "#N/A", "-3"]
