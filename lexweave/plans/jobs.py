@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as t
 from lexweave.operators import anchors, documents, glossary, matching, network, pages, summaries
-from lexweave.sources import fragments, pdf, readers, store, writers
+from lexweave.sources import archives, fragments, pdf, readers, store, writers
 
 
 #: The columns that a corpus needs of its workbooks, and those it can do without.
@@ -55,21 +55,31 @@ def build_archive(spark: SparkSession, sources: list[str], target: str, key: str
     below = None if root is None else spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
     place = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
     name = F.regexp_extract("path", "([^/]*)$", 1) if below is None else F.when(F.startswith(place, F.lit(below)), F.substring(place, F.lit(len(below) + 1), F.length("path")))
-    files = spark.read.format("binaryFile").load(sources).select("path", name.alias("name"), "content")
-    held: dict[str, bytes] = {}
-    for r in files.toLocalIterator():
-        if r["name"] is None or r["name"] in held:
-            raise ValueError(f"{r['path']} is outside {root}" if r["name"] is None else f"two files are called {r['name']}")
-        held[r["name"]] = bytes(r["content"])
-    lost = sorted({s.rstrip("/").rsplit("/", 1)[-1] for s in sources} - {n.rsplit("/", 1)[-1] for n in held})
-    if lost:
+    found = {s: store.listed(spark, s) for s in sources}
+    if lost := sorted({s.rstrip("/").rsplit("/", 1)[-1] for s, paths in found.items() if not paths}):
         raise ValueError("missing files: " + ", ".join(lost))
-    made = writers.archive_bytes(held)
-    writers.write_file(spark, target, made if key is None else writers.sealed_bytes(spark, made, key))
-    wrong = writers.archive_differences(files, readers.read_archive(spark, target, "*", key)).take(1)
+    paths = dict.fromkeys(p for some in found.values() for p in some)
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").select("path", name.alias("name"))
+    if outside := listed.filter("name IS NULL").take(1):
+        raise ValueError(f"{outside[0]['path']} is outside {root}")
+    if twice := listed.groupBy("name").count().filter("count > 1").take(1):
+        raise ValueError(f"two files are called {twice[0]['name']}")
+    wanted = archives.file_digests(listed)
+    if key is None:
+        n = archives.write_archive(listed, target)
+        there = archives.member_digests(spark.createDataFrame([(p,) for p in store.listed(spark, target)], "path string"))
+    else:  # a sealed file is one token by its format, so it has to fit the driver
+        held = {}
+        for r in listed.orderBy("name").collect():
+            with store.opened(r["path"]) as file:
+                held[r["name"]] = file.read()
+        n = len(held)
+        writers.write_file(spark, target, writers.sealed_bytes(spark, writers.archive_bytes(held), key))
+        there = readers.read_archive(spark, target, "*", key).select("name", F.sha2("content", 256).alias("digest"))
+    wrong = wanted.exceptAll(there).union(there.exceptAll(wanted)).take(1)
     if wrong:
         raise ValueError(f"the archive does not hold {wrong[0]['name']} as it is")
-    return len(held)
+    return n
 
 
 def unpack_archive(spark: SparkSession, source: str, target: str, key: str | None = None) -> int:

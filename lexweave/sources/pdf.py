@@ -12,13 +12,14 @@ import zlib
 from collections.abc import Callable, Iterator
 from math import hypot
 from typing import Any, NamedTuple
-from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.sources import store
+
 #: Objects of one file that a task keeps.
 HELD = 2000
 #: Fonts of one file that a task keeps.
@@ -688,14 +689,6 @@ class Shown:
         return "".join(self.out)
 
 
-def _opened(path: str):
-    from pyarrow import fs
-
-    m = re.match(r"file:/*(?=/)", path)
-    store, name = (fs.LocalFileSystem(), path[m.end() :]) if m else fs.FileSystem.from_uri(path)
-    return store.open_input_file(name if m else unquote(name))
-
-
 def _pdf(file) -> Pdf:
     return Pdf(lambda at, n: file.read_at(max(0, min(n, file.size() - at)), at) if at < file.size() else b"", file.size())
 
@@ -707,7 +700,7 @@ def page_ranges(files: DataFrame, pages: int = 64) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                with _opened(path) as file:
+                with store.opened(path) as file:
                     try:
                         pdf = _pdf(file)
                         numbers = pdf.page_numbers() or ([-1] if pdf.encrypted else [])
@@ -725,7 +718,7 @@ def page_texts(ranges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, first, numbers in zip(batch["path"], batch["first"], batch["objects"], strict=True):
-                with _opened(path) as file:
+                with store.opened(path) as file:
                     pdf = _pdf(file)
                     for i, number in enumerate(numbers):
                         yield pd.DataFrame({"path": [path], "page": [first + i], "text": [pdf.page_text(int(number))]})

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import pickle
+import re
 import shutil
 import tempfile
 import uuid
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,36 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def listed(spark: SparkSession, source: str) -> list[str]:
+    """The paths of the files that a path, a pattern or a folder names, empty ones too, which Spark's readers pass over; names that begin
+    with a dot or an underscore are not looked at in folders."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    held = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, todo = [], list(held.globStatus(at) or [])
+    while todo:
+        status = todo.pop()
+        if status.isDirectory():
+            todo += [s for s in held.listStatus(status.getPath()) if s.getPath().getName()[0] not in "._"]
+        else:
+            out.append(status.getPath().toString())
+    return sorted(out)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def opened(path: str):
+    """A file at a path as Spark tells it, of which parts can be read."""
+    from pyarrow import fs
+
+    m = re.match(r"file:/*(?=/)", path)
+    store, name = (fs.LocalFileSystem(), path[m.end() :]) if m else fs.FileSystem.from_uri(path)
+    return store.open_input_file(name if m else unquote(name))
+
+
 def put_object(folder: str, name: str, value: Any) -> None:
     """Writes an object as a file of a folder, beside and renamed, so that a repeated task does no harm."""
     from pyarrow import fs
