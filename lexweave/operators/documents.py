@@ -1,6 +1,7 @@
 """From texts to lines, sections, statements, sentences and entries.
 
-Every table carries where a row stands (doc, pos, ...), because order has a meaning; windows run within one document.
+Every table carries where a row stands (doc, pos, ...), because order has a meaning; what lines inherit from lines above is a running
+state (ordinals.running), which long documents are scanned for in blocks.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import markup
 from lexweave.functions import text as t
+from lexweave.operators import ordinals
 
 #: What stands for a page without text. A fixed value.
 NO_TEXT = "_No extractable text on this page._"
@@ -17,10 +19,6 @@ NO_TEXT = "_No extractable text on this page._"
 SECTIONS = ("Author Team", "Introduction", "Section A", "Section B", "Section C", "Section D")
 
 
-def _upto(*by: str) -> object:
-    return Window.partitionBy("doc").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def text_lines(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, pos, line for each line of each text; a null text has none."""
     return df.select(F.col(doc).alias("doc"), F.posexplode(t.lines(F.col(text))).alias("pos", "line"))
@@ -36,10 +34,11 @@ def report_lines(lines: DataFrame, skip: str = "") -> DataFrame:
     lettered = F.regexp_extract(heading, "^section ([a-d])", 1)
     named = F.when(heading == "introduction", F.lit("Introduction")).when(lettered != "", F.concat(F.lit("Section "), F.upper(lettered))).otherwise(F.lit(""))
     contents = F.lower("line") == "table of contents"
-    state = bare.select(
+    told = ordinals.running(bare.select("doc", "pos", "line"), last={"section": F.when(is_heading, named), "in_contents": F.when(is_heading, False).when(contents, True)})
+    state = told.select(
         "doc", "pos", "line",
-        F.coalesce(F.last(F.when(is_heading, named), True).over(_upto("pos")), F.lit(SECTIONS[0])).alias("section"),
-        F.coalesce(F.last(F.when(is_heading, False).when(contents, True), True).over(_upto("pos")), F.lit(False)).alias("in_contents"),
+        F.coalesce("section", F.lit(SECTIONS[0])).alias("section"),
+        F.coalesce("in_contents", F.lit(False)).alias("in_contents"),
         (is_heading | F.col("line").startswith("# ") | contents).alias("marker"),
     )
     rank = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")).cast("int")
@@ -98,10 +97,9 @@ def citations(report: DataFrame) -> DataFrame:
 
 def take_section(paragraphs: DataFrame, starts: Column, stops: Column) -> DataFrame:
     """The paragraphs of each document from its first start up to the next stop. Documents without a start have none."""
-    by = Window.partitionBy("doc")
-    first = paragraphs.withColumn("a", F.min(F.when(starts, F.col("pos"))).over(by))
-    last = first.withColumn("z", F.min(F.when(stops & (F.col("pos") > F.col("a")), F.col("pos"))).over(by))
-    return last.filter("pos >= a AND (z IS NULL OR pos < z)").drop("a", "z")
+    # the last stop so far lies behind the first start wherever any stop does
+    told = ordinals.running(paragraphs, first={"__start": F.when(starts, F.col("pos"))}, last={"__stop": F.when(stops, F.col("pos"))})
+    return told.filter("__start IS NOT NULL AND (__stop IS NULL OR __stop <= __start)").drop("__start", "__stop")
 
 
 def summary_section(paragraphs: DataFrame, first_style: str, name: str = "executive summary") -> DataFrame:
@@ -112,8 +110,8 @@ def summary_section(paragraphs: DataFrame, first_style: str, name: str = "execut
 
 def until_style(paragraphs: DataFrame, style: str) -> DataFrame:
     """Each document's paragraphs before the first of a style."""
-    stop = F.min(F.when(F.lower(F.trim("style")) == style.lower(), F.col("pos"))).over(Window.partitionBy("doc"))
-    return paragraphs.withColumn("z", stop).filter("z IS NULL OR pos < z").drop("z")
+    stop = F.when(F.lower(F.trim("style")) == style.lower(), True)
+    return ordinals.running(paragraphs, last={"__stop": stop}).filter("__stop IS NULL").drop("__stop")
 
 
 def numbered_lines(lines: DataFrame, chapter: Column) -> DataFrame:
@@ -123,9 +121,8 @@ def numbered_lines(lines: DataFrame, chapter: Column) -> DataFrame:
     mark = F.regexp_extract("line", heading, 1)
     kind = F.when(mark == "#", F.lit("title")).when(mark != "", F.lit("heading")).otherwise(F.lit("text"))
     one = lines.withColumns({"kind": kind, "chapter": chapter})
-    two = one.withColumn("section", F.coalesce(F.sum(F.when(F.col("kind") == "heading", 1)).over(_upto("pos")), F.lit(0)))
-    inside = Window.partitionBy("doc", "section").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    three = two.withColumn("paragraph", F.sum(F.when(F.col("kind") == "text", 1).otherwise(0)).over(inside))
+    two = ordinals.running(one, total={"section": F.when(F.col("kind") == "heading", 1), "texts": F.when(F.col("kind") == "text", 1)}).fillna(0, ["section", "texts"])
+    three = ordinals.running(two, last={"above": F.when(F.col("kind") == "heading", F.col("texts"))}).withColumn("paragraph", F.col("texts") - F.coalesce("above", F.lit(0)))
     told = (
         F.when(F.col("kind") == "title", F.col("line"))
         .when(F.col("kind") == "heading", F.format_string("%s [ES%d.%d] %s", mark, "chapter", "section", F.regexp_extract("line", heading, 2)))
@@ -142,14 +139,13 @@ def listed_entries(lines: DataFrame, start_term: str, stop_prefix: str) -> DataF
     if not start:
         return lines.select("doc", "pos", F.lit("").alias("term"), F.lit("").alias("definition")).filter(F.lit(False))
     bare = lines.withColumn("line", t.stripped(F.col("line")))
-    begun = bare.withColumn("a", F.min(F.when(t.collapsed(F.col("line")).startswith(start), F.col("pos"))).over(Window.partitionBy("doc"))).filter("pos >= a AND line <> ''")
-    if stop:
-        begun = begun.withColumn("z", F.min(F.when(F.lower("line").startswith(stop), F.col("pos"))).over(Window.partitionBy("doc"))).filter("z IS NULL OR pos < z")
     term = F.regexp_extract("line", entry, 1)
-    island = begun.withColumns({"term": term, "rest": F.when(term != "", F.regexp_extract("line", entry, 2)).otherwise(F.col("line"))})
-    island = island.withColumn("n", F.sum(F.when(F.col("term") != "", 1).otherwise(0)).over(_upto("pos"))).filter("n > 0")
+    begins = F.when(t.collapsed(F.col("line")).startswith(start), F.col("pos"))
+    stops = F.when(F.lower("line").startswith(stop), F.col("pos")) if stop else F.lit(None).cast("int")
+    told = ordinals.running(bare.filter("line <> ''"), first={"a": begins}, last={"z": stops}, total={"n": F.when(term != "", 1)})
+    island = told.filter("a IS NOT NULL AND (z IS NULL OR z < a) AND n > 0").withColumns({"term": term, "rest": F.when(term != "", F.regexp_extract("line", entry, 2)).otherwise(F.col("line"))})
     parts = F.array_sort(F.collect_list(F.struct("pos", "rest")))
-    return island.groupBy("doc", "n").agg(F.min("pos").alias("pos"), F.max("term").alias("term"), t.collapsed(F.array_join(F.transform(parts, lambda p: p["rest"]), " ")).alias("definition")).select("doc", "pos", "term", "definition")
+    return island.groupBy("doc", "n").agg(F.min("pos").alias("pos"), F.max("term").alias("term"), t.collapsed(F.array_join(F.transform(parts, lambda p: p["rest"]), " ")).alias("definition")).filter("term <> ''").select("doc", "pos", "term", "definition")  # lines that go on an entry above the island have no term in it
 
 
 def bold_entries(paragraphs: DataFrame) -> DataFrame:
@@ -159,12 +155,10 @@ def bold_entries(paragraphs: DataFrame) -> DataFrame:
     runs = F.filter("runs", lambda r: t.collapsed(r["text"]) != "")
     text = t.collapsed(F.array_join(F.transform("runs", lambda r: r["text"]), ""))
     rows = paragraphs.select("doc", "pos", text.alias("text"), ((F.size(runs) > 0) & F.forall(runs, lambda r: F.coalesce(r["bold"], F.lit(False)))).alias("is_term"), (F.coalesce("left_indent_pt", F.lit(0.0)) > 0).alias("is_sub")).filter("text <> ''")
-    before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    # an indented term without any main term before it has no parent and is a main term itself
-    seen = F.max(F.col("is_term").cast("int")).over(before)
-    main = F.col("is_term") & (~F.col("is_sub") | (F.coalesce(seen, F.lit(0)) == 0))
-    rows = rows.withColumn("main", F.when(main, F.col("text")))
-    rows = rows.withColumns({"parent": F.when(F.col("is_term") & F.col("main").isNull(), F.last("main", True).over(before)), "n": F.sum(F.col("is_term").cast("int")).over(_upto("pos"))}).filter("n > 0")
+    is_term, is_sub = F.col("is_term"), F.col("is_sub")
+    # an indented term without any term before it has no parent and is a main term itself
+    told = ordinals.running(rows, last={"main": F.when(is_term & ~is_sub, F.col("text"))}, first={"head": F.when(is_term, F.col("text"))}, total={"above": F.when(is_term, 1)}, before=True)
+    rows = told.withColumns({"parent": F.when(is_term & is_sub, F.coalesce("main", "head")), "n": F.coalesce("above", F.lit(0)) + is_term.cast("int")}).filter("n > 0")
     parts = F.array_sort(F.collect_list(F.when(~F.col("is_term"), F.struct("pos", "text"))))
     entries = rows.groupBy("doc", "n").agg(F.min("pos").alias("pos"), F.max(F.when(F.col("is_term"), F.col("text"))).alias("term"), t.collapsed(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("explanation"), F.coalesce(F.max("parent"), F.lit("")).alias("parent"))
     of_key = Window.partitionBy("doc", t.folded(F.col("term")))

@@ -101,21 +101,22 @@ def convert_pages(pages: DataFrame, target: str, headers: bool = False) -> None:
 def extract_summaries(spark: SparkSession, source: str, target: str, levels: dict[str, int]) -> int:
     """The executive summaries of chapter documents, numbered, as Markdown; a document without one is an error. levels maps
     styles to heading levels; that of level 1 begins and ends the summary."""
-    rows = required(readers.read_docx(spark, source), f"document in {source}")
+    # running states read their rows twice: what Python makes is stored first
+    rows = required(store.stored(readers.read_docx(spark, source), "paragraphs"), f"document in {source}")
     rows = rows.withColumn("text", F.array_join(F.transform("runs", lambda r: r["text"]), ""))
     top = next(k for k, v in levels.items() if v == 1)
     found = documents.summary_section(rows, top)
     lost = rows.select("doc").distinct().join(found.select("doc").distinct(), "doc", "left_anti").take(1)
     if lost:
         raise ValueError(f"{lost[0]['doc']} has no executive summary")
-    lines = documents.numbered_lines(documents.marked_paragraphs(found, levels), t.chapter_of(F.col("doc")))
+    lines = documents.numbered_lines(store.stored(documents.marked_paragraphs(found, levels), "marked"), t.chapter_of(F.col("doc")))
     writers.write_per_document(writers.markdown_texts(lines), target)
     return lines.select("doc").distinct().count()
 
 
 def glossary_from_document(spark: SparkSession, source: str, target: str, stop_style: str, name: str) -> int:
     """A glossary document of bold terms as a workbook."""
-    entries = documents.bold_entries(documents.until_style(readers.read_docx(spark, source), stop_style)).withColumn("source", F.lit(name))
+    entries = documents.bold_entries(documents.until_style(store.stored(readers.read_docx(spark, source), "paragraphs"), stop_style)).withColumn("source", F.lit(name))
     return writers.write_glossary_workbook(entries, target, {"term": "Term", "explanation": "Explanation", "parent": "Parent", "source": "Source"}, ("doc", "pos"))
 
 
