@@ -337,14 +337,27 @@ def marked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.md5(markup.markdown_html(F.col("marked"))).alias("html_md5"), F.md5(markup.markdown_plain(F.col("marked"))).alias("plain_md5"))
 
 
-def html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report part of the exported page, of each report."""
+def _linked_report(spark: SparkSession, sf_dir: str) -> tuple:
+    """A report, its rendered units, and the indexes of terms and of their entries."""
     report = documents.report_lines(marked(spark, sf_dir))
     stated = documents.statements(report)
     marks = anchors.statement_anchors(anchors.statement_units(stated), ())
     labels, entries = glossary.term_index(glossary.grouped(demo_glossary(spark))), glossary.term_index(anchors.term_anchors(demo_glossary(spark).select("term_key").distinct()), label="anchor")
-    told = pages.report_part(report, pages.rendered_units(report, stated, None, marks), labels, entries)
-    return told.select(F.col("doc").cast("long").alias("doc"), F.md5("html").alias("html_md5"))
+    return report, pages.rendered_units(report, stated, None, marks), labels, entries
+
+
+def html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report part of the exported page, of each report."""
+    return pages.report_part(*_linked_report(spark, sf_dir)).select(F.col("doc").cast("long").alias("doc"), F.md5("html").alias("html_md5"))
+
+
+def report_page_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of the exported page as one file of pieces written by tasks, read again by lines."""
+    pieces = pages.report_fragments(*_linked_report(spark, sf_dir)).withColumn("item", F.lit(False))
+    path = store.shared_folder(spark, "report-page")
+    order = tuple(c for c in pages.ORDER if c in pieces.columns)
+    writers.write_joined(pieces, path, order)
+    return spark.read.text(path, lineSep="\n").groupBy(F.md5("value").alias("line_md5")).agg(F.count("*").alias("n"))
 
 
 def _talk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -611,4 +624,4 @@ def sent_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.delivered(both.select("conv_id", "turn", "as_number", "as_text"), post, ("as_number", "as_text")).select("conv_id", "turn", "status", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, colliding_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, marked_turns, html_reports, document_files, markdown_files, pdf_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (usage_counts, usage_by_first_word, line_counts, report_lines, report_titles, report_sections, report_statements, sentences, citations, sankey_nodes, sankey_links, numbered_turns, first_assistant_section, glossary_union, glossary_labels, part_glossary, explanation_parents, occurrence_rows, marked_usage, overview, overview_search, used_terms, network_nodes, network_edges, network_evidence, network_gathered, network_filtered, network_ranges, network_file, statement_anchors, term_anchors, colliding_anchors, routes, prompts, unknown_terms, clean_pages, table_cells, highlighted, chunked_texts, audit_records, bold_entries, styled_paragraphs, paragraphs_before_style, listed_entries, page_documents, archive_differences, merged_records, issue_flags, shifted_headings, picked_occurrences, source_attributes, linked_statements, last_statement_targets, chat_records, schema_problems, linked_items, linked_pages, markdown_items, marked_turns, html_reports, report_page_file, document_files, markdown_files, pdf_files, workbook_files, archive_files, sealed_texts, artifact_file, stamps, settings, run_lines, chapters, report_without_section, first_terms, run_outcomes, statement_links, anchored_links, sent_chats)}

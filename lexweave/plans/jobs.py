@@ -260,7 +260,7 @@ def generate_summaries(corpus: Corpus, artifact: str, template: str, placeholder
 
 def export_html(corpus: Corpus, target: str, stored: DataFrame | None = None, title: str = "Report and glossary") -> None:
     """One page with the reports, the executive summaries and the glossary, linked with each other. stored: term_key, summary of
-    the terms that have one."""
+    the terms that have one. Tasks write its pieces, which are joined in the store: no part of it passes through the driver."""
     spark = corpus.spark
     stored = spark.createDataFrame([], "term_key string, summary string") if stored is None else stored
     units = anchors.statement_units(corpus.stated, corpus.items)
@@ -269,13 +269,14 @@ def export_html(corpus: Corpus, target: str, stored: DataFrame | None = None, ti
     labels, links = glossary.term_index(corpus.terms), glossary.term_index(entries, label="anchor")
     blocks = None if corpus.summaries is None else pages.summary_blocks(corpus.summaries)
     rendered = pages.rendered_units(corpus.report, corpus.stated, blocks, marks)
-    evidence = pages.evidence_tables(matching.occurrences(corpus.sentences, corpus.terms.select("term_key", "term")), marks)
-    told = pages.page(
-        pages.report_part(corpus.report, rendered, labels, links),
-        None if blocks is None else pages.summaries_part(blocks, rendered, labels, links),
-        pages.glossary_part(corpus.terms, corpus.usage, stored, evidence, entries, corpus.sources),
+    evidence = store.stored(pages.evidence_rows(matching.occurrences(corpus.sentences, corpus.terms.select("term_key", "term")), marks), "evidence")
+    told = pages.page_fragments(
+        pages.report_fragments(corpus.report, rendered, labels, links),
+        None if blocks is None else pages.summary_fragments(blocks, rendered, labels, links),
+        pages.glossary_fragments(corpus.terms, corpus.usage, stored, evidence, entries, corpus.sources),
         glossary.used_share(corpus.usage), title,
     )
-    writers.write_file(spark, target, told.encode())
+    # stored, as what is sorted by ranges is read twice
+    writers.write_joined(store.stored(told, "page").withColumn("item", F.lit(False)), target, pages.ORDER)
     marks.unpersist()
     entries.unpersist()

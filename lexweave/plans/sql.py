@@ -234,6 +234,16 @@ def marked_once(x: str) -> str:
 
 
 
+#: The sections of the exported reports, as parts (doc, section_rank, html) and every (doc, section).
+REPORT_HTML = f"""{STATED}, {GLOSS}, {LABELS},
+      keyed AS (SELECT *, {fold(collapse('statement'))} AS number_key, {fold(collapse('statement_text'))} AS text_key FROM stated),
+      anchors AS (SELECT number_key, text_key, 'source-statement-' || row_number() OVER (ORDER BY min((section_rank, pos))) AS anchor FROM keyed GROUP BY ALL),
+      shown AS (SELECT k.doc, k.section_rank, k.pos, CASE WHEN row_number() OVER (PARTITION BY k.number_key, k.text_key ORDER BY section_rank, pos) = 1 THEN ' id="' || anchor || '" class="statement-target"' ELSE '' END AS attributes FROM keyed AS k JOIN anchors AS a ON (a.number_key, a.text_key) = (k.number_key, k.text_key)),
+      t AS (SELECT r.doc, r.section_rank, r.pos, r.line AS x, attributes, CASE WHEN regexp_matches(line, '{FIRST_LEVEL}') THEN 'h4' ELSE 'p' END AS tag, labels FROM report AS r JOIN shown AS s ON (s.doc, s.section_rank, s.pos) = (r.doc, r.section_rank, r.pos), labels),
+      cuts AS (SELECT *, {SPANS} FROM t),
+      lines AS (SELECT doc, section_rank, string_agg('<' || tag || attributes || '>' || {ANCHORED_TERMS} || '</' || tag || '>', chr(10) ORDER BY pos) AS html FROM cuts GROUP BY doc, section_rank),
+      every AS (SELECT doc, unnest({SECTION_LIST}) AS section, unnest(range(1, 7)) AS section_rank FROM (SELECT DISTINCT doc FROM report)),
+      parts AS (SELECT e.doc, e.section_rank, '<section id="report-' || e.doc || '-' || replace(lower(section), ' ', '-') || '">' || chr(10) || '<h3>' || section || '</h3>' || chr(10) || coalesce(html, '<p>No content parsed for this section.</p>') || chr(10) || '</section>' AS html FROM every AS e LEFT JOIN lines AS l ON l.doc = e.doc AND l.section_rank = e.section_rank)"""
 ORACLE_SQL = {
     "clean_pages": f"WITH {CLEANED} SELECT doc_id, md5(x) AS clean_md5 FROM cleaned",
     "highlighted": f"SELECT item_id, replace(replace({marked_once(marked_once(ESCAPED))}, chr(1), '<mark>'), chr(2), '</mark>') AS html FROM benchmark",
@@ -248,16 +258,10 @@ ORACLE_SQL = {
       spans AS (SELECT *, {SPANS} FROM open),
       made AS (SELECT page_id, nth, {LINKED} AS x FROM spans UNION ALL SELECT page_id, nth, x FROM deep WHERE kind = 'tag' OR depth <> 0)
       SELECT page_id, string_agg(x, '' ORDER BY nth) AS html FROM made GROUP BY page_id""",
-    "html_reports": f"""WITH {STATED}, {GLOSS}, {LABELS},
-      keyed AS (SELECT *, {fold(collapse('statement'))} AS number_key, {fold(collapse('statement_text'))} AS text_key FROM stated),
-      anchors AS (SELECT number_key, text_key, 'source-statement-' || row_number() OVER (ORDER BY min((section_rank, pos))) AS anchor FROM keyed GROUP BY ALL),
-      shown AS (SELECT k.doc, k.section_rank, k.pos, CASE WHEN row_number() OVER (PARTITION BY k.number_key, k.text_key ORDER BY section_rank, pos) = 1 THEN ' id="' || anchor || '" class="statement-target"' ELSE '' END AS attributes FROM keyed AS k JOIN anchors AS a ON (a.number_key, a.text_key) = (k.number_key, k.text_key)),
-      t AS (SELECT r.doc, r.section_rank, r.pos, r.line AS x, attributes, CASE WHEN regexp_matches(line, '{FIRST_LEVEL}') THEN 'h4' ELSE 'p' END AS tag, labels FROM report AS r JOIN shown AS s ON (s.doc, s.section_rank, s.pos) = (r.doc, r.section_rank, r.pos), labels),
-      cuts AS (SELECT *, {SPANS} FROM t),
-      lines AS (SELECT doc, section_rank, string_agg('<' || tag || attributes || '>' || {ANCHORED_TERMS} || '</' || tag || '>', chr(10) ORDER BY pos) AS html FROM cuts GROUP BY doc, section_rank),
-      every AS (SELECT doc, unnest({SECTION_LIST}) AS section, unnest(range(1, 7)) AS section_rank FROM (SELECT DISTINCT doc FROM report)),
-      parts AS (SELECT e.doc, e.section_rank, '<section id="report-' || e.doc || '-' || replace(lower(section), ' ', '-') || '">' || chr(10) || '<h3>' || section || '</h3>' || chr(10) || coalesce(html, '<p>No content parsed for this section.</p>') || chr(10) || '</section>' AS html FROM every AS e LEFT JOIN lines AS l ON l.doc = e.doc AND l.section_rank = e.section_rank)
-      SELECT doc, md5(string_agg(html, chr(10) ORDER BY section_rank)) AS html_md5 FROM parts GROUP BY doc""",
+    "html_reports": f"WITH {REPORT_HTML} SELECT doc, md5(string_agg(html, chr(10) ORDER BY section_rank)) AS html_md5 FROM parts GROUP BY doc",
+    "report_page_file": f"""WITH {REPORT_HTML},
+      told AS (SELECT unnest(string_split(html, chr(10))) AS line FROM parts UNION ALL SELECT '<a href="#report-' || doc || '-' || replace(lower(section), ' ', '-') || '">' || doc || ' ' || section || '</a>' FROM every)
+      SELECT md5(line) AS line_md5, count(*) AS n FROM told GROUP BY line""",
     "marked_turns": MARKED_TURNS,
     "markdown_items": f"SELECT item_id, '<p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>' || chr(10) AS html, {collapse('text')} AS plain FROM benchmark",
     "document_files": """WITH l AS (SELECT conv_id AS doc, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS pos, turn, role, text FROM conversations)

@@ -89,9 +89,14 @@ def artifact_lines(summaries: DataFrame, failures: DataFrame, model: str, create
 def write_artifact(path: str, summaries: DataFrame, failures: DataFrame, model: str, created_at: str, updated_at: str) -> None:
     """The artifact of a glossary's summaries as one file, replaced in one step. Tasks write its parts, which stream into the file one after
     another, so neither a row nor the driver holds it."""
-    spark = summaries.sparkSession
-    folder = store.shared_folder(spark, "artifact")
-    write_fragments(artifact_lines(summaries, failures, model, created_at, updated_at), folder, ("kind", "key"), ())
+    write_joined(artifact_lines(summaries, failures, model, created_at, updated_at), path, ("kind", "key"))
+
+
+def write_joined(rows: DataFrame, path: str, order: tuple[str, ...]) -> None:
+    """One file of the texts of rows (item, text) in an order, replaced in one step: parts written by tasks, joined in the store."""
+    spark = rows.sparkSession
+    folder = store.shared_folder(spark, "joined")
+    write_fragments(rows, folder, order, ())
     at, held, _ = _store(spark, folder)
     write_file(spark, path, sorted(f.getPath().toString() for f in held.listStatus(at) if not f.getPath().getName().startswith(".")))
     held.delete(at, True)

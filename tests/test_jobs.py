@@ -6,7 +6,7 @@ import re
 import pytest
 
 from lexweave.__main__ import main
-from lexweave.operators import pages
+from lexweave.operators import documents, pages
 from lexweave.plans import jobs
 from lexweave.sources import readers, writers
 from tests.test_documents import REPORT, SUMMARY, TERMS
@@ -48,6 +48,32 @@ def test_corpus(spark, corpus, tmp_path):
     assert '>[ES1.1.1] <a class="glossary-link" href="#term-adaptation">Adaptation</a> lowers <strong>' in page.replace("<p>", "") and "6 of 6 glossary terms" in page
 
 
+def test_pages_do_not_depend_on_the_tasks(spark, corpus, tmp_path):
+    stored = spark.createDataFrame([("risk", "As A1.1 and Section A say."), ("adaptation", " "), ("co₂", None), ("confidence", "A1")], "term_key string, summary string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    told = []
+    try:
+        for n in (1, 23):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            jobs.export_html(corpus, f"file://{tmp_path}/page{n}.html", stored, "T")
+            told.append((tmp_path / f"page{n}.html").read_text())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    page = told[0]
+    assert page == told[1]
+    for tag in ("section", "article", "table", "tbody", "tr", "details", "nav", "main", "p", "h3"):
+        assert len(re.findall(f"<{tag}[ >]", page)) == page.count(f"</{tag}>"), tag
+    index = page[page.index("<h2>Report") : page.index('<section id="report-')]
+    assert re.findall(r'href="#([^"]*)">([^<]*)<', index) == [(f"report-r-md-{s.lower().replace(' ', '-')}", f"r.md {s}") for s in documents.SECTIONS]
+    assert '<a href="#summary-s-md">s.md</a>' in page and 'id="glossary-search"' in page and page.startswith("<!DOCTYPE html>") and page.endswith("</html>\n")
+    risk = page[page.index('<article id="term-risk"') :]
+    rows = re.findall(r"<tr><td>(?:<a [^>]*>)?([^<]*)(?:</a>)?</td>", risk[: risk.index("</article>")])
+    assert rows == [r["statement"] for r in corpus.details("risk").collect()] and len(rows) == 8
+    assert re.search(r'As <a class="statement-link" href="#[^"]*">A1\.1</a> and', risk) and page.count(f"<p>{pages.NO_SUMMARY}</p>") == 4
+    jobs.export_html(corpus, f"file://{tmp_path}/none.html")
+    assert (tmp_path / "none.html").read_text().count(f"<p>{pages.NO_SUMMARY}</p>") == 5
+
+
 def test_summaries_resume(corpus, tmp_path):
     path = f"file://{tmp_path}/a.json"
 
